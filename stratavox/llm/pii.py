@@ -160,11 +160,15 @@ def score_graph(places: DataFrame, rounds: int, min_support: int, min_confidence
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, min_support: int = 5, min_confidence: float = 0.8) -> DataFrame:
-    """One row per input row: id, base (seed spans as kind:start:end, comma-joined) and spans (seeds and added ones).
+    """As _find(), without its keys. One row per input row: id, base (seed spans as kind:start:end, comma-joined) and spans (seeds and added ones).
 
     Null and empty texts have no spans. Rows with equal id and text get equal results. An added span never overlaps a seed
     or another added span of its row; of the kinds an added span could be, the most confident counts, then the first.
     """
+    return _find(docs, id_col, text_col, rounds, min_support, min_confidence).drop("_k1", "_k2")
+
+
+def _find(docs: DataFrame, id_col: str, text_col: str, rounds: int, min_support: int, min_confidence: float) -> DataFrame:
     scanned = stage(_scan(docs, id_col, text_col))
     places = scanned.filter(F.size("found") > 0).select("_k1", "_k2", F.explode("found").alias("p")).select("_k1", "_k2", "p.*")
     patterns = score_graph(places, rounds, min_support, min_confidence)
@@ -177,7 +181,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     parts = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("start"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.split(x, ":")[0]).alias("rank"), F.split(x, ":")[2].cast("int").alias("end"), F.split(x, ":")[0].alias("kind")))
     extra = F.transform(F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:string>>")), lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
     spans = F.transform(F.array_sort(F.concat(parts, extra)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
-    return out.select(F.col("_id").alias(id_col), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_join(spans, ",")).alias("spans"))
+    return out.select(F.col("_id").alias(id_col), "_k1", "_k2", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_join(spans, ",")).alias("spans"))
 
 
 def redact(text: str | None, spans: str) -> str | None:
@@ -193,3 +197,18 @@ def redact(text: str | None, spans: str) -> str | None:
         elif int(end) > at:
             at = int(end)
     return "".join(out) + text[at:]
+
+
+def redact_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, min_support: int = 5, min_confidence: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs, all rows and columns, with every span of find_pii() replaced in the text. Texts without spans pass unchanged."""
+    spans = stage(_find(docs, id_col, text_col, rounds, min_support, min_confidence).filter("spans <> ''").select("_k1", "_k2", "spans").dropDuplicates(["_k1", "_k2"]))
+    spans = F.broadcast(spans) if spans.count() <= broadcast_rows else spans
+    rows = docs.withColumns({"_k1": F.xxhash64(F.col(id_col), F.col(text_col)), "_k2": F.xxhash64(F.col(text_col), F.col(id_col), F.lit(7))}).join(spans, ["_k1", "_k2"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("spans").alias("_spans"))
+    at, names = docs.columns.index(text_col), docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [redact(t, s) if s else t for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names=names)
+
+    return map_batches(rows, schema, run)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from stratavox.llm.common import crc_mod, table
 from stratavox.llm.html_extract import extract_html
 from stratavox.llm.language import fit_languages, identify_language
+from stratavox.llm.near_dedup import near_duplicate_classes
 from stratavox.llm.packing import assign_sequences, tokenize_pieces
 from stratavox.llm.pii import KINDS, find_pii
 from stratavox.llm.quality import fit_quality, score_quality
+from stratavox.llm.substring_dedup import remove_repeats
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -28,6 +30,15 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify_language(docs, fit_languages(docs))
@@ -57,6 +68,8 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_prob_minhash": op3_prob_minhash,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,

@@ -310,9 +310,11 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return whole.unionByName(part).groupBy("_id", "_x").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 4000, broadcast_rows: int = 1_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 4000, broadcast_rows: int = 1_000_000, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per input row: id, the kept columns, n_bytes, n_removed, n_spans and kept (the remaining bytes).
 
+    With as_text, kept is a string: bytes of characters that a cut has split are left out.
+
     Null text counts as empty. Texts under `width` bytes lose nothing. Repeated rows, null ids included, are documents of
     their own: their common strings are removed from each of them. Offsets are bytes of the UTF-8 form.
     """
@@ -323,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.xxhash64(text_col).alias("_x"), F.col(text_col).alias("_text"))
     rows = rows.join(spans, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_x") == F.col("_sx")), "left").drop("_sid", "_sx", "_x")
     kept_fields = rows.schema.fields[: 1 + len(keep)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields) + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields) + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept " + ("string" if as_text else "binary")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -341,7 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n_spans.append(len(merged))
                 cut = [0, *[x for m in merged for x in m], len(raw)]
                 kept.append(b"".join(raw[s:e] for s, e in zip(cut[::2], cut[1::2], strict=True)) if merged else raw)
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept_fields))], pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=[*[f.name for f in kept_fields], "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept_fields))], pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*[f.name for f in kept_fields], "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = rows.mapInArrow(run, schema)
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed", "n_spans", "kept")
