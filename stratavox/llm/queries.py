@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratavox.llm.ann import nearest_neighbours
+from stratavox.llm.bm25 import search_bm25
 from stratavox.llm.common import crc_mod, table
 from stratavox.llm.html_extract import extract_html
 from stratavox.llm.language import fit_languages, identify_language
@@ -15,6 +17,7 @@ from stratavox.llm.packing import assign_sequences, tokenize_pieces
 from stratavox.llm.pii import KINDS, find_pii
 from stratavox.llm.quality import fit_quality, score_quality
 from stratavox.llm.substring_dedup import remove_repeats
+from stratavox.llm.subword import encode_documents
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -39,6 +42,15 @@ def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search_bm25(docs, docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+def op5_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify_language(docs, fit_languages(docs))
@@ -61,6 +73,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op9_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), check=True)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "round_trip")
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_html(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -70,9 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_prob_minhash": op3_prob_minhash,
+    "op4_bm25_block_max": op4_bm25_block_max,
+    "op5_pruned_graph_ann": op5_pruned_graph_ann,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
+    "op9_streaming_viterbi": op9_streaming_viterbi,
     "op10_html_extract": op10_html_extract,
 }
 ORACLE_SQL: dict[str, str] = {}
