@@ -243,11 +243,13 @@ def _map_sort(width: int, max_bytes: int = 24 << 20):
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
-    """The bytes of one copy of each wanted run (a, c, rep): the texts stay where they are if the list is small, else they are shuffled."""
+    """The bytes of one copy of each wanted run (a, c, rep). Texts that hold none are left out by their 8-byte hash before the
+    shuffle, if the hashes are few enough to broadcast."""
     need = wanted.groupBy(F.col("rep._id").alias("_wid"), F.col("rep._x").alias("_wx")).agg(F.collect_list(F.struct("a", "c", "rep.start", "rep.n")).alias("_list"))
-    if wanted.count() <= broadcast_rows:
-        need = F.broadcast(need)
-    rows = docs.join(need, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_x") == F.col("_wx"))).select("_text", "_list")
+    hashes = wanted.select(F.col("rep._x").alias("_x")).distinct()
+    if hashes.count() <= broadcast_rows:
+        docs = docs.join(F.broadcast(hashes), "_x", "left_semi")
+    rows = docs.join(need.hint("merge"), F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_x") == F.col("_wx"))).select("_text", "_list")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -283,13 +285,16 @@ def _map_windows(width: int):
 
 
 def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 4000, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Columns _id, _x (hash of the text) and spans: the repeated byte intervals (start, end) of each text that has any, unmerged."""
+    """Columns _id, _x (hash of the text) and spans: the repeated byte intervals (start, end) of each text that has any, merged and in order."""
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_x"), F.col(text_col).alias("_text")).filter(F.octet_length("_text") >= width)
     id_type = rows.schema["_id"].dataType.simpleString()
     runs = stage(rows.mapInArrow(_map_runs(width, gram), f"a bigint, c bigint, _id {id_type}, _x bigint, start bigint, n int"))
+    # Written first, so that the join reads plain exchanges, of which Spark can split a hot anchor's.
     anchors = runs.groupBy("a").agg(F.count("*").alias("tot"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("tot > 1")
-    shared = stage(runs.join(anchors.select("a", (F.col("lo") != F.col("hi")).alias("mixed")), "a"))
+    anchors = stage(anchors.select("a", (F.col("lo") != F.col("hi")).alias("mixed")))
+    shared = stage(runs.join(anchors, "a"))
     unstage(runs)
+    unstage(anchors)
     whole = shared.filter("not mixed").select("_id", "_x", F.col("start").alias("s"), (F.col("start") + F.col("n") + (width - 1)).alias("e"))
 
     mixed = shared.filter("mixed")
@@ -303,11 +308,27 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hits = cold.mapInArrow(_map_sort(width), "a bigint, c bigint, off int, cnt int")
     windows = content.join(hot, "a", "left_semi").mapInArrow(_map_windows(width), "a bigint, c bigint, off int, f1 bigint, f2 bigint")
     windows = stage(windows)
-    twice = windows.groupBy("f1", "f2").agg(F.count("*").alias("k")).filter("k > 1").select("f1", "f2")
+    twice = stage(windows.groupBy("f1", "f2").agg(F.count("*").alias("k")).filter("k > 1").select("f1", "f2"))
     hits = hits.unionByName(windows.join(twice, ["f1", "f2"]).select("a", "c", "off", F.lit(1).alias("cnt")))
     hits = hits.unionByName(distinct.filter("copies > 1").select("a", "c", F.lit(0).alias("off"), F.col("rep.n").alias("cnt")))
     part = mixed.join(hits, ["a", "c"]).select("_id", "_x", (F.col("start") + F.col("off")).alias("s"), (F.col("start") + F.col("off") + F.col("cnt") + (width - 1)).alias("e"))
-    return whole.unionByName(part).groupBy("_id", "_x").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = whole.unionByName(part).groupBy("_id", "_x").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        for b in it:
+            out = []
+            for found in column(b, "spans"):
+                merged: list[dict] = []
+                for s, e in sorted((x["s"], x["e"]) for x in found):
+                    if merged and s <= merged[-1]["e"]:
+                        merged[-1]["e"] = max(merged[-1]["e"], e)
+                    else:
+                        merged.append({"s": s, "e": e})
+                out.append(merged)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, span)], names=["_id", "_x", "spans"])
+
+    return spans.mapInArrow(merge, f"_id {id_type}, _x bigint, spans array<struct<s:bigint,e:bigint>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 4000, broadcast_rows: int = 1_000_000, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
@@ -319,7 +340,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their own: their common strings are removed from each of them. Offsets are bytes of the UTF-8 form.
     """
     spans = stage(repeated_intervals(docs, id_col, text_col, width, gram, hot_runs, broadcast_rows))
-    if spans.count() <= broadcast_rows // 2:
+    held = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("k")).first()
+    if held["n"] + held["k"] <= broadcast_rows:  # of some 30 bytes each
         spans = F.broadcast(spans)
     spans = spans.select(F.col("_id").alias("_sid"), F.col("_x").alias("_sx"), "spans")
     rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.xxhash64(text_col).alias("_x"), F.col(text_col).alias("_text"))
@@ -333,12 +355,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text, found in zip(column(b, "_text"), column(b, "spans"), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 size.append(len(raw))
-                merged: list[list[int]] = []
-                for s, e in sorted((x["s"], x["e"]) for x in found or ()):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
+                merged = [(x["s"], x["e"]) for x in found or ()]
                 removed.append(sum(e - s for s, e in merged))
                 n_spans.append(len(merged))
                 cut = [0, *[x for m in merged for x in m], len(raw)]
