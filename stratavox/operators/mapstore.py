@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratavox.functions.grid import CHUNK, chunk_of, in_bounds, in_chunk_index, lng, pack, round_half_away, unpack_value, unpack_weight
+from stratavox.schemas import MAP_CHUNKS, MAP_META
 
 AXES = ("x", "y", "z")
 
@@ -36,12 +39,16 @@ def read_map(spark: SparkSession, path: str, window: tuple | None = None) -> Dat
 
 
 def dense_chunks(voxels: DataFrame, default_value: int, default_weight: int = 0) -> DataFrame:
-    """One row per touched chunk: all 64^3 packed cells, untouched ones at the default. Built from a map of slots, no dense join."""
-    v = with_chunk(voxels).select("cx", "cy", "cz", in_chunk_index("ix", "iy", "iz").cast("int").alias("slot"), pack("value", "weight").alias("raw"))
-    g = v.groupBy("cx", "cy", "cz").agg(F.map_from_entries(F.collect_list(F.struct("slot", "raw"))).alias("m"))
+    """One row per touched chunk: all 64^3 packed cells, untouched ones at the default. A chunk is a bounded group."""
+    v = with_chunk(voxels).select("cx", "cy", "cz", in_chunk_index("ix", "iy", "iz").alias("slot"), pack("value", "weight").alias("raw"))
     default = ((default_weight & 0xFFFF) << 16) + (default_value & 0xFFFF)
-    slots = F.sequence(F.lit(0), F.lit(CHUNK**3 - 1))
-    return g.select("cx", "cy", "cz", F.transform(slots, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(default).cast("bigint"))).alias("data"))
+
+    def run(t: pa.Table) -> pa.Table:
+        data = np.full(CHUNK**3, default, np.int64)
+        data[t.column("slot").to_numpy()] = t.column("raw").to_numpy()
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in ("cx", "cy", "cz")}, "data": pa.array([data], pa.list_(pa.int64()))})
+
+    return v.groupBy("cx", "cy", "cz").applyInArrow(run, MAP_CHUNKS)
 
 
 def touched_cells(chunks: DataFrame) -> DataFrame:
@@ -106,6 +113,4 @@ def store_poses(poses: DataFrame, scale: float = 1000.0, session: str | None = N
 
 def write_metadata(spark: SparkSession, meta: dict, path: str) -> None:
     """S10."""
-    from stratavox.schemas import MAP_META
-
     spark.createDataFrame([tuple(meta[k.strip().split()[0]] for k in MAP_META.split(","))], MAP_META).write.mode("overwrite").parquet(path)

@@ -53,7 +53,7 @@ def last_scans(scans: DataFrame, k: int, by: tuple[str, ...] = ("session",), seq
     """(by, seq, source): the up to k accepted scans before each scan, whose points are added to it."""
     w = Window.partitionBy(*by).orderBy(seq)
     past = F.array(*[F.lag(seq, i).over(w) for i in range(1, k + 1)])
-    return scans.select(*by, seq, F.explode(F.filter(past, lambda x: x.isNotNull())).alias("source"))
+    return scans.select(*by, seq, past.alias("_past")).select(*by, seq, F.explode(F.filter("_past", lambda x: x.isNotNull())).alias("source"))
 
 
 def pose_deltas(poses: DataFrame, by: tuple[str, ...] = ("session",), order: tuple[str, ...] = ("seq",)) -> DataFrame:

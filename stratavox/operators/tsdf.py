@@ -69,11 +69,11 @@ def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] =
     df = _columns(df, near=F.least(_norm3(centre), F.lit(tau)))
     df = _columns(df, value=F.when(F.col("len") > F.col("dist"), -F.col("near")).otherwise(F.col("near")))
     df = _columns(df, weight=tsdf_weight("value", tau)).filter("weight <> 0")
-    df = _columns(df, dz=idiv(F.col("len") * dz, m))
-    df = _columns(df, mid=idiv("dz", res), step=F.explode(F.sequence(F.lit(0).cast("bigint"), idiv(F.col("dz") * 2, res))))
-    lowest = [F.col(f"p{a}") - idiv(F.col("dz") * F.col(f"v{a}"), m) for a in AXES]
-    fan = [cell_trunc(lo + idiv(F.col("step") * res * F.col(f"v{a}"), m), res) for lo, a in zip(lowest, AXES, strict=True)]
-    df = df.select(*keys, *AXES, "len", "step", *[c.alias(f"i{a}") for c, a in zip(fan, AXES, strict=True)], "value", F.when(F.col("step") == F.col("mid"), F.col("weight")).otherwise(-F.col("weight")).alias("weight"))
+    df = _columns(df, fan=idiv(F.col("len") * dz, m))
+    df = _columns(df, mid=idiv("fan", res), step=F.explode(F.sequence(F.lit(0).cast("bigint"), idiv(F.col("fan") * 2, res))))
+    lowest = [F.col(f"p{a}") - idiv(F.col("fan") * F.col(f"v{a}"), m) for a in AXES]
+    spots = [cell_trunc(lo + idiv(F.col("step") * res * F.col(f"v{a}"), m), res) for lo, a in zip(lowest, AXES, strict=True)]
+    df = df.select(*keys, *AXES, "len", "step", *[c.alias(f"i{a}") for c, a in zip(spots, AXES, strict=True)], "value", F.when(F.col("step") == F.col("mid"), F.col("weight")).otherwise(-F.col("weight")).alias("weight"))
     return bounded(df, [F.col(f"i{a}") for a in AXES])
 
 
