@@ -69,6 +69,19 @@ def crc_mod(col: str, n: int):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(n), F.lit(0))
 
 
+#: Rows of an Arrow batch. Texts are long: a tenth of Spark's default keeps several workers within an executor's overhead.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches limited to BATCH_ROWS rows."""
+    spark = df.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """mapInArrow with a function of one batch; the function sees bounded batches, so memory is bounded."""
 
@@ -77,7 +90,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Re
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- word hashing over bytes

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.llm.common import _powers, column, mix64, stage, unstage
+from stratavox.llm.common import _powers, bounded_batches, column, mix64, stage, unstage
 
 CHUNK = 1 << 20
 
@@ -198,7 +198,7 @@ def deep_shallow(data: bytes, starts: np.ndarray, width: int, shallow: int = 32)
     return out
 
 
-def _map_sort(width: int, max_bytes: int = 24 << 20):
+def _map_sort(width: int, max_bytes: int = 5 << 20):
     """Sorts the suffixes of runs that come sorted by anchor; flushes whole anchors once max_bytes are held."""
 
     def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -286,7 +286,7 @@ def _map_windows(width: int):
 
 def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 4000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Columns _id, _x (hash of the text) and spans: the repeated byte intervals (start, end) of each text that has any, merged and in order."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_x"), F.col(text_col).alias("_text")).filter(F.octet_length("_text") >= width)
+    rows = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_x"), F.col(text_col).alias("_text")).filter(F.octet_length("_text") >= width)
     id_type = rows.schema["_id"].dataType.simpleString()
     runs = stage(rows.mapInArrow(_map_runs(width, gram), f"a bigint, c bigint, _id {id_type}, _x bigint, start bigint, n int"))
     # Written first, so that the join reads plain exchanges, of which Spark can split a hot anchor's.
