@@ -60,20 +60,21 @@ def covariance(df: DataFrame, cols: tuple[str, ...], others: tuple[str, ...] | N
     return df.groupBy(*keys).agg(*[(F.sum(F.col(a) * F.col(b)) / F.count("*")).alias(f"{a}_{b}") for a in cols for b in others])
 
 
-def gauss_newton_step(row: dict, alpha: float) -> np.ndarray:
-    """The twist -(H + alpha c I)^-1 g."""
+def gauss_newton_step(row: dict, alpha: float, unit: float = 1.0) -> np.ndarray:
+    """The twist -(H + alpha c I)^-1 g, with gradients divided by unit."""
     h = np.zeros((6, 6))
     for i in range(6):
         for k in range(i, 6):
             h[i, k] = h[k, i] = float(row[f"h{i}{k}"])
     g = np.array([float(row[f"g{i}"]) for i in range(6)])
-    return -np.linalg.solve(h + alpha * row["c"] * np.eye(6), g)
+    return -np.linalg.solve(h / unit**2 + alpha * row["c"] * np.eye(6), g / unit)
 
 
-def register(points: DataFrame, gradient_map: DataFrame, res: int, prior: np.ndarray | None = None, max_iterations: int = 200, weight_gradient: float = 0.1, epsilon: float = 0.03) -> tuple[np.ndarray, int, float]:
+def register(points: DataFrame, gradient_map: DataFrame, res: int, prior: np.ndarray | None = None, max_iterations: int = 200, weight_gradient: float = 0.1, epsilon: float = 0.03, metric: bool = False) -> tuple[np.ndarray, int, float]:
     """Gauss-Newton on the map's distances; returns the pose (4x4, mm), the iterations and the last mean error.
 
-    Every iteration is one aggregate over the points; the driver holds 29 sums. Points and map should be cached by the caller.
+    Gradients are differences per cell, as the reference codes them, so that steps are short and iterations many; with metric they
+    are per millimetre, which converges in a few. Every iteration is one aggregate over the points; the driver holds 29 sums. Points and map should be cached by the caller.
     It ends when the error differs by less than epsilon from those two and four iterations before, or without matches.
     """
     pose = np.eye(4) if prior is None else np.array(prior, float)
@@ -85,7 +86,7 @@ def register(points: DataFrame, gradient_map: DataFrame, res: int, prior: np.nda
         if not row["c"]:
             break
         try:
-            xi = gauss_newton_step(row, alpha)
+            xi = gauss_newton_step(row, alpha, res if metric else 1.0)
         except np.linalg.LinAlgError:
             break
         alpha += weight_gradient

@@ -50,16 +50,18 @@ def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] =
     df = points.select(*keys, *[lng(a).alias(a) for a in AXES])
     df = bounded(df, [cell_trunc(a, res) for a in AXES])
     df = _columns(df, **{f"d{a}": F.col(a) - start[i] for i, a in enumerate(AXES)})
-    df = _columns(df, dist=_norm3([F.col(f"d{a}") for a in AXES])).filter("dist > 0")
-    df = _columns(df, **{f"n{a}": idiv(F.col(f"d{a}") * m, "dist") for a in AXES})
+    # Zero lengths become nulls and empty outer generators, not filters, which would be pushed below the projections and repeat
+    # their arithmetic there (plain generators infer such filters themselves).
+    df = _columns(df, dist=_norm3([F.col(f"d{a}") for a in AXES]))
+    df = _columns(df, **{f"n{a}": idiv(F.col(f"d{a}") * m, F.nullif("dist", F.lit(0))) for a in AXES})
     n = [F.col(f"n{a}") for a in AXES]
     inner = [idiv(c, m) for c in _cross(n, [lng(u) for u in up])]
     df = _columns(df, **{f"j{a}": c for a, c in zip(AXES, inner, strict=True)})
     df = _columns(df, **{f"v{a}": c for a, c in zip(AXES, _cross(n, [F.col(f"j{a}") for a in AXES]), strict=True)})
-    df = _columns(df, vn=_norm3([F.col(f"v{a}") for a in AXES])).filter("vn > 0")
+    df = _columns(df, vn=F.nullif(_norm3([F.col(f"v{a}") for a in AXES]), F.lit(0)))
     df = df.select(*keys, *AXES, *[f"d{a}" for a in AXES], "dist", *[idiv(F.col(f"v{a}") * m, "vn").alias(f"v{a}") for a in AXES])
     step = max(res // 2, 1)
-    df = _columns(df, len=F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("dist") + tau, F.lit(step).cast("bigint"))))
+    df = _columns(df, len=F.explode_outer(F.when(F.col("vx").isNotNull(), F.sequence(F.lit(1).cast("bigint"), F.col("dist") + tau, F.lit(step).cast("bigint"))))).filter("len is not null")
     df = _columns(df, **{f"p{a}": F.lit(start[i]) + idiv(F.col(f"d{a}") * F.col("len"), "dist") for i, a in enumerate(AXES)})
     df = _columns(df, **{f"i{a}": cell_trunc(f"p{a}", res) for a in AXES})
     along = Window.partitionBy(*keys, *AXES).orderBy("len")
@@ -68,9 +70,9 @@ def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] =
     centre = [F.col(a) - (F.col(f"i{a}") * res + res // 2) for a in AXES]
     df = _columns(df, near=F.least(_norm3(centre), F.lit(tau)))
     df = _columns(df, value=F.when(F.col("len") > F.col("dist"), -F.col("near")).otherwise(F.col("near")))
-    df = _columns(df, weight=tsdf_weight("value", tau)).filter("weight <> 0")
+    df = _columns(df, weight=tsdf_weight("value", tau))
     df = _columns(df, fan=idiv(F.col("len") * dz, m))
-    df = _columns(df, mid=idiv("fan", res), step=F.explode(F.sequence(F.lit(0).cast("bigint"), idiv(F.col("fan") * 2, res))))
+    df = _columns(df, mid=idiv("fan", res), step=F.explode_outer(F.when(F.col("weight") != 0, F.sequence(F.lit(0).cast("bigint"), idiv(F.col("fan") * 2, res))))).filter("step is not null")
     lowest = [F.col(f"p{a}") - idiv(F.col("fan") * F.col(f"v{a}"), m) for a in AXES]
     spots = [cell_trunc(lo + idiv(F.col("step") * res * F.col(f"v{a}"), m), res) for lo, a in zip(lowest, AXES, strict=True)]
     df = df.select(*keys, *AXES, "len", "step", *[c.alias(f"i{a}") for c, a in zip(spots, AXES, strict=True)], "value", F.when(F.col("step") == F.col("mid"), F.col("weight")).otherwise(-F.col("weight")).alias("weight"))
@@ -126,9 +128,9 @@ def splat(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] = (0,
     if window is not None:
         df = df.filter(in_bounds("cx", window[0][0], window[1][0]) & in_bounds("cy", window[0][1], window[1][1]) & in_bounds("cz", window[0][2], window[1][2]))
     df = _columns(df, **{f"d{a}": F.col(a) - pos[i] * m for i, a in enumerate(AXES)})
-    df = _columns(df, dist=_norm3([F.col(f"d{a}") for a in AXES])).filter("dist > 0")
+    df = _columns(df, dist=F.nullif(_norm3([F.col(f"d{a}") for a in AXES]), F.lit(0)))
     facing = idiv(-sum((F.col(f"n{a}") * idiv(F.col(f"d{a}") * m, "dist") for a in AXES[1:]), F.col("nx") * idiv(F.col("dx") * m, "dist")), m)
-    df = _columns(df, acc=facing).filter("acc <> 0")
+    df = _columns(df, acc=F.nullif(facing, F.lit(0)))
     df = df.select(*keys, *AXES, "dist", F.abs("acc").alias("acc"), *[F.when(F.col("acc") < 0, -F.col(f"n{a}")).otherwise(F.col(f"n{a}")).alias(f"n{a}") for a in AXES])
     n = [F.col(f"n{a}") for a in AXES]
     flat = (F.col("nx") == 0) & (F.col("nz") == 0)  # along y, the first cross product vanishes
@@ -138,8 +140,8 @@ def splat(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] = (0,
     df = _columns(df, **{f"t{a}": idiv(c, m) for a, c in zip(AXES, _cross(n, [F.col(f"b{a}") for a in AXES]), strict=True)})
     df = _columns(df, reach=idiv(F.col("dist") * (dz * 2), m) + 1)
     span = lambda r: F.sequence(-r, r, F.lit(half).cast("bigint"))
-    df = _columns(df, la=F.explode(span(F.col("reach"))))
-    df = _columns(df, lb=F.explode(span(F.col("reach"))))
+    df = _columns(df, la=F.explode_outer(F.when(F.col("acc").isNotNull(), span(F.col("reach"))))).filter("la is not null")
+    df = _columns(df, lb=F.explode_outer(span(F.col("reach")))).filter("lb is not null")
     df = _columns(df, ln=F.explode(span(F.lit(tau * m // res).cast("bigint"))))
     spot = [F.col(a) + idiv(F.col(f"t{a}") * F.col("la"), m) + idiv(F.col(f"b{a}") * F.col("lb"), m) + idiv(F.col(f"n{a}") * F.col("ln"), m) for a in AXES]
     df = _columns(df, **{f"i{a}": F.floor(c / m).cast("bigint") for a, c in zip(AXES, spot, strict=True)})
@@ -151,7 +153,8 @@ def splat(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] = (0,
         column = Window.partitionBy(*keys, *AXES, "la", "lb").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn("_past", F.max((F.col("near") > tau).cast("int")).over(column)).filter("_past = 0")
     else:
-        df = df.filter(F.col("near") <= tau).dropDuplicates([*keys, *AXES, "ix", "iy", "iz"])
+        # Generated rather than filtered, as a filter would repeat the whole arithmetic below the projections.
+        df = _columns(df, _hit=F.explode_outer(F.when(F.col("near") <= tau, F.array(F.lit(1))))).filter("_hit is not null").dropDuplicates([*keys, *AXES, "ix", "iy", "iz"])
     df = _columns(df, value=F.when(F.col("front") > 0, -F.col("near")).otherwise(F.col("near")))
     df = df.select(*keys, "ix", "iy", "iz", "value", idiv(tsdf_weight("value", tau) * F.col("acc"), m).alias("weight")).filter("weight <> 0")
     if window is not None:

@@ -82,7 +82,7 @@ def feature_odometry(edges: DataFrame, surfs: DataFrame, map_edges: DataFrame, m
 
         lines = NB.principal_axes(matched(e, me)).filter("is_line")
         lines = lines.select(*[(F.col(f"q_o{a}") / 1000).alias(f"p{a}") for a in AXES], *[((F.col(f"m{a}") + 100 * F.col(f"l{a}")) / 1000).alias(f"a{a}") for a in AXES], *[((F.col(f"m{a}") - 100 * F.col(f"l{a}")) / 1000).alias(f"b{a}") for a in AXES])
-        planes = NB.plane_fit(matched(s, ms)).filter("not isnan(a)")
+        planes = NB.plane_fit(matched(s, ms)).filter("a is not null and not isnan(a)")
         planes = planes.select(*[(F.col(f"q_o{a}") / 1000).alias(f"p{a}") for a in AXES], F.col("a").alias("nx"), F.col("b").alias("ny"), F.col("c").alias("nz"), (F.col("d") / 1000).alias("d"))
         pose = SO.align_features(lines, planes, pose, outer=1)
     return pose
