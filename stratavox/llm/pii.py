@@ -201,9 +201,9 @@ def redact(text: str | None, spans: str) -> str | None:
 
 def redact_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, min_support: int = 5, min_confidence: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
     """docs, all rows and columns, with every span of find_pii() replaced in the text. Texts without spans pass unchanged."""
-    spans = stage(_find(docs, id_col, text_col, rounds, min_support, min_confidence).filter("spans <> ''").select("_k1", "_k2", "spans").dropDuplicates(["_k1", "_k2"]))
+    spans = stage(_find(docs, id_col, text_col, rounds, min_support, min_confidence).filter("spans <> ''").select("_k1", "_k2", F.col("spans").alias("_spans")).dropDuplicates(["_k1", "_k2"]))
     spans = F.broadcast(spans) if spans.count() <= broadcast_rows else spans
-    rows = docs.withColumns({"_k1": F.xxhash64(F.col(id_col), F.col(text_col)), "_k2": F.xxhash64(F.col(text_col), F.col(id_col), F.lit(7))}).join(spans, ["_k1", "_k2"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("spans").alias("_spans"))
+    rows = docs.withColumns({"_k1": F.xxhash64(F.col(id_col), F.col(text_col)), "_k2": F.xxhash64(F.col(text_col), F.col(id_col), F.lit(7))}).join(spans, ["_k1", "_k2"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_spans")
     at, names = docs.columns.index(text_col), docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
