@@ -153,10 +153,13 @@ def splat(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] = (0,
         column = Window.partitionBy(*keys, *AXES, "la", "lb").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn("_past", F.max((F.col("near") > tau).cast("int")).over(column)).filter("_past = 0")
     else:
-        # Generated rather than filtered, as a filter would repeat the whole arithmetic below the projections.
-        df = _columns(df, _hit=F.explode_outer(F.when(F.col("near") <= tau, F.array(F.lit(1))))).filter("_hit is not null").dropDuplicates([*keys, *AXES, "ix", "iy", "iz"])
+        # Generated rather than filtered, as a filter and the null checks it implies would repeat the arithmetic below the projections.
+        inside = F.col("near") <= tau
+        if window is not None:
+            inside = inside & in_bounds("ix", window[0][0], window[1][0]) & in_bounds("iy", window[0][1], window[1][1]) & in_bounds("iz", window[0][2], window[1][2])
+        df = _columns(df, _hit=F.explode_outer(F.when(inside, F.array(F.lit(1))))).filter("_hit is not null").dropDuplicates([*keys, *AXES, "ix", "iy", "iz"])
     df = _columns(df, value=F.when(F.col("front") > 0, -F.col("near")).otherwise(F.col("near")))
     df = df.select(*keys, "ix", "iy", "iz", "value", idiv(tsdf_weight("value", tau) * F.col("acc"), m).alias("weight")).filter("weight <> 0")
-    if window is not None:
+    if window is not None and stop_early:
         df = df.filter(in_bounds("ix", window[0][0], window[1][0]) & in_bounds("iy", window[0][1], window[1][1]) & in_bounds("iz", window[0][2], window[1][2]))
     return df

@@ -48,6 +48,13 @@ RES, TAU, HALF = 500, 1500, 8
 WINDOW = ((0, 0, 0), (17, 17, 17))
 XYZ = "x, y, z"
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of all scans in a 60 m window at 1 m: points to rays to nearest surfaces to weighted voxels."""
+    p = A.points(spark, sf_dir)
+    half = [TD.merge_nearest(TD.ray_march(p.filter(f"scan_id % 2 = {k}"), 1000, 3000, window=((0, 0, 0), (61, 61, 61)))) for k in (0, 1)]
+    return TD.upsert(*half, 640)
+
+
 # ---------------------------------------------------------------- filters and set operations
 
 

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 OWN = sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline")
 
