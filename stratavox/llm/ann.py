@@ -115,7 +115,7 @@ def _clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(fine).distinct()
 
 
-def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, shard_size: int = 4000, degree: int = 24, beam: int = 64, block: int = 128, blocks_per_group: int = 64) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, shard_size: int = 4000, degree: int = 24, beam: int = 100, block: int = 128, blocks_per_group: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows found for each row that is_query holds for (a condition on "id").
 
     Score is the Euclidean distance in double precision; ties go to the smaller id. Vectors that are null, zero or hold null or

@@ -29,9 +29,7 @@ class ByteBpe:
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
+        self.path, self._slow = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -40,6 +38,14 @@ class ByteBpe:
         if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True) and not spec.get("normalizer"):
             self.fast = self._fast(spec["model"]["vocab"])
 
+    @property
+    def slow(self):
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+        return self._slow
+
     def _fast(self, vocab: dict[str, int]):
         import tiktoken
 

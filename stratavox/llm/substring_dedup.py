@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.common import _powers, bounded_batches, column, mix64, stage, unstage
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 # ---------------------------------------------------------------- runs
@@ -198,7 +198,7 @@ def deep_shallow(data: bytes, starts: np.ndarray, width: int, shallow: int = 32)
     return out
 
 
-def _map_sort(width: int, max_bytes: int = 5 << 20):
+def _map_sort(width: int, max_bytes: int = 2 << 20):
     """Sorts the suffixes of runs that come sorted by anchor; flushes whole anchors once max_bytes are held."""
 
     def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -311,8 +311,11 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     twice = stage(windows.groupBy("f1", "f2").agg(F.count("*").alias("k")).filter("k > 1").select("f1", "f2"))
     hits = hits.unionByName(windows.join(twice, ["f1", "f2"]).select("a", "c", "off", F.lit(1).alias("cnt")))
     hits = hits.unionByName(distinct.filter("copies > 1").select("a", "c", F.lit(0).alias("off"), F.col("rep.n").alias("cnt")))
-    part = mixed.join(hits, ["a", "c"]).select("_id", "_x", (F.col("start") + F.col("off")).alias("s"), (F.col("start") + F.col("off") + F.col("cnt") + (width - 1)).alias("e"))
-    spans = whole.unionByName(part).groupBy("_id", "_x").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # One row per run, with all its repeated stretches, meets each of the run's places.
+    stretches = hits.groupBy("a", "c").agg(F.collect_list(F.struct("off", "cnt")).alias("hs"))
+    at = lambda h: F.struct((F.col("start") + h["off"]).alias("s"), (F.col("start") + h["off"] + h["cnt"] + (width - 1)).alias("e"))
+    part = mixed.join(stretches, ["a", "c"]).select("_id", "_x", F.transform("hs", at).alias("se"))
+    spans = whole.select("_id", "_x", F.array(F.struct("s", "e")).alias("se")).unionByName(part).groupBy("_id", "_x").agg(F.flatten(F.collect_list("se")).alias("spans"))
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
