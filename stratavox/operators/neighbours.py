@@ -26,6 +26,17 @@ def radius_join(queries: DataFrame, points: DataFrame, r: int, prefix: tuple[str
     return q.join(p, ["bx", "by", "bz"]).withColumn("d2", d2).filter(F.col("d2") <= r * r).drop("bx", "by", "bz")
 
 
+def box_join(queries: DataFrame, points: DataFrame, half: int, prefix: tuple[str, str] = ("q_", "p_")) -> DataFrame:
+    """All pairs whose coordinates differ by at most `half` on each axis; buckets as in radius_join()."""
+    q = _bucketed(queries, half, prefix[0])
+    for a in AXES:
+        q = q.withColumn(f"b{a}", F.explode(F.array(*[F.col(f"b{a}") + k for k in (-1, 0, 1)])))
+    df = q.join(_bucketed(points, half, prefix[1]), ["bx", "by", "bz"])
+    for a in AXES:
+        df = df.filter(F.abs(F.col(f"{prefix[0]}{a}") - F.col(f"{prefix[1]}{a}")) <= half)
+    return df.drop("bx", "by", "bz")
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int, r: int, query_key: list[str], point_key: list[str], prefix: tuple[str, str] = ("q_", "p_")) -> DataFrame:
     """The k nearest within r of every query, ascending squared distance, ties by the point's key; rank from 1."""
     w = Window.partitionBy(*[f"{prefix[0]}{c}" for c in query_key]).orderBy("d2", *[f"{prefix[1]}{c}" for c in point_key])

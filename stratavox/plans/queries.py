@@ -13,6 +13,7 @@ from stratavox.functions import linalg as L
 from stratavox.functions import text as T
 from stratavox.operators import features as FE
 from stratavox.operators import filters as FI
+from stratavox.operators import images as IM
 from stratavox.operators import mapstore as MS
 from stratavox.operators import metrics as ME
 from stratavox.operators import neighbours as NB
@@ -261,6 +262,30 @@ def nearest_to_origin(spark, sf):
     return FI.first_by(p, ["scan_id"], ["d2", "idx"]).select("scan_id", "idx", "x", "y", "z")
 
 
+@query(f"WITH {S.PTS} SELECT scan_id, idx, CAST(z AS DOUBLE) AS x, CAST(x AS DOUBLE) AS y, CAST(y AS DOUBLE) AS z FROM pts")
+def quaternion_transform(spark, sf):
+    """E11 by the quaternion of equal parts, which turns the axes into one another."""
+    q = [F.lit(0.5)] * 4
+    r = L.quat_rotate(q, [F.col(a).cast("double") for a in "xyz"])
+    return A.points(spark, sf).select("scan_id", "idx", *[c.alias(a) for c, a in zip(r, "xyz", strict=True)])
+
+
+@query(f"WITH {S.PTS} SELECT scan_id, CAST(trunc((degrees(atan(z / sqrt(CAST(x*x + y*y AS DOUBLE)))) + 22.5) / 2 + 0.5) AS BIGINT) AS ring, count(*) AS n FROM pts WHERE x <> 0 GROUP BY 1, 2")
+def elevation_ring(spark, sf):
+    p = A.points(spark, sf).filter("x <> 0")
+    return p.groupBy("scan_id", G.elevation_ring("x", "y", "z").alias("ring")).agg(F.count("*").alias("n"))
+
+
+_IMG = "img AS (SELECT scan_id AS image_id, idx // 256 AS row, idx % 256 AS col, (abs(x) % 256 * 299 + abs(y) % 256 * 587 + abs(z) % 256 * 114 + 500) // 1000 AS level FROM pts)"
+_TAP = lambda src, axis, other: " + ".join(f"{t} * coalesce({f}({src}, {d}) OVER (PARTITION BY image_id, {other} ORDER BY {axis}), {src})" for t, f, d in ((1, "lag", 2), (4, "lag", 1), (6, "lag", 0), (4, "lead", 1), (1, "lead", 2)))
+
+
+@query(f"WITH {S.PTS}, {_IMG}, h AS (SELECT *, {_TAP('level', 'col', 'row')} AS hs FROM img), v AS (SELECT *, {_TAP('hs', 'row', 'col')} AS vs FROM h) SELECT image_id, row, col, level, vs // 256 AS smooth FROM v")
+def image_smoothing(spark, sf):
+    p = A.points(spark, sf).select(F.col("scan_id").alias("image_id"), G.idiv("idx", 256).alias("row"), F.pmod("idx", F.lit(256)).alias("col"), *[(F.abs(a) % 256).alias(c) for a, c in zip("xyz", "rgb", strict=True)])
+    return IM.gaussian(IM.grey(p)).select("image_id", "row", "col", "level", "smooth")
+
+
 # ---------------------------------------------------------------- signed distances
 
 
@@ -510,6 +535,11 @@ def radius_join(spark, sf):
     return NB.radius_join(*_sides(spark, sf), 1500).select("q_scan_id", "q_idx", "p_scan_id", "p_idx", "d2")
 
 
+@query(f"WITH {S.PTS} SELECT q.scan_id AS q_scan_id, q.idx AS q_idx, p.scan_id AS p_scan_id, p.idx AS p_idx FROM pts q JOIN pts p ON abs(q.x - p.x) <= 1000 AND abs(q.y - p.y) <= 1000 AND abs(q.z - p.z) <= 1000 WHERE q.idx % 40 = 0 AND p.scan_id % 2 = 1")
+def box_join(spark, sf):
+    return NB.box_join(*_sides(spark, sf), 1000).select("q_scan_id", "q_idx", "p_scan_id", "p_idx")
+
+
 @query(f"WITH {_PAIR}, {_KNN} SELECT q_scan_id, q_idx, count(*) AS n, {', '.join(f'CAST(sum(p_{a}) AS BIGINT) AS s{a}' for a in 'xyz')}, {', '.join(f'CAST(sum(p_{a} * p_{b}) AS BIGINT) AS s{a}{b}' for i, a in enumerate('xyz') for b in 'xyz'[i:])} FROM knn GROUP BY 1, 2")
 def plane_fit_moments(spark, sf):
     return NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"])
@@ -520,6 +550,16 @@ def plane_fit(spark, sf):
     return NB.plane_fit(NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"]).filter("n = 5"))
 
 
+@query()
+def plane_accepted(spark, sf):
+    """fitted planes that all five neighbours lie within 200 mm of."""
+    knn = _knn(spark, sf)
+    fits = NB.plane_fit(NB.scatter(knn, ["q_scan_id", "q_idx"]).filter("n = 5")).filter("a is not null")
+    near = knn.groupBy("q_scan_id", "q_idx").agg(F.collect_list(F.array("p_x", "p_y", "p_z")).alias("ps"))
+    off = F.transform("ps", lambda p: F.col("a") * p[0] + F.col("b") * p[1] + F.col("c") * p[2] + F.col("d"))
+    return fits.join(near, ["q_scan_id", "q_idx"]).filter(FI.plane_holds(off, 200.0)).select("q_scan_id", "q_idx", "a", "b", "c", "d")
+
+
 @query()
 def line_and_normal(spark, sf):
     return NB.principal_axes(NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"]).filter("n = 5"))
@@ -626,6 +666,14 @@ def pose_accumulate(spark, sf):
     return TS.accumulate_poses(steps)
 
 
+@query()
+def pose_predict(spark, sf):
+    """E25 over the accumulated walk."""
+    steps = TS.accumulate_poses(A.pose_increments(spark, 48))
+    turn = L.euler_rotation(F.lit(0.0), F.lit(0.0), F.radians((F.col("seq") + 1) * 15.0))
+    return TS.predict_constant_velocity(steps.select("session", "seq", turn.alias("rotation"), "tx", "ty", "tz"))
+
+
 # ---------------------------------------------------------------- metrics
 
 

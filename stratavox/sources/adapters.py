@@ -63,3 +63,12 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events")
     return t.select(F.col("event_type").alias("task"), F.col("event_id").alias("seq"), F.floor(F.col("value") * 300).cast("bigint").alias("micros"))
+
+
+def pose_increments(spark: SparkSession, n: int, degrees: float = 15.0, forward: float = 0.5) -> DataFrame:
+    """A synthetic walk: session 0, n equal steps of a turn about z and a move along x, for pose folds."""
+    import math
+
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    rot = F.array(*[F.lit(float(v)) for v in (c, -s, 0, s, c, 0, 0, 0, 1)])
+    return spark.range(n).select(F.lit(0).cast("bigint").alias("session"), F.col("id").alias("seq"), rot.alias("rotation"), F.lit(forward).alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("tz"))

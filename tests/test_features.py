@@ -73,3 +73,11 @@ def test_every_variant_runs_on_a_grid(spark):
         assert got.count() == got.select("scan_id", "ring", "col").distinct().count()
     broken = g.filter("not (ring = 1 and col = 7)")
     assert {r.ring for r in FE.extract_features(broken, W, "production").select("ring").distinct().collect()} <= {0, 2}
+
+
+def test_edges_of_a_step_image(spark):
+    from stratavox.operators import images as IM
+
+    px = spark.createDataFrame([(0, r, c, *[200 * (c >= 8)] * 3) for r in range(8) for c in range(16)], "image_id bigint, row bigint, col bigint, r bigint, g bigint, b bigint")
+    e = {(r.row, r.col): r.edge for r in IM.gradient(IM.gaussian(IM.grey(px))).collect()}
+    assert max(e, key=e.get)[1] in (7, 8) and e[4, 2] == 0 and e[4, 13] == 0 and e[4, 7] > 50

@@ -66,3 +66,10 @@ def test_sheets(spark, tmp_path):
     assert sheet.columns == ["series", "0", "1"]
     ME.write_sheet(sheet, str(tmp_path / "s"), "times", ";")
     assert spark.read.csv(str(tmp_path / "s" / "times"), header=True, sep=";").first().asDict() == {"series": "kd", "0": "5", "1": "6"}
+
+
+def test_synthetic_walk(spark):
+    from stratavox.sources.adapters import pose_increments
+
+    last = TS.accumulate_poses(pose_increments(spark, 24)).orderBy("seq").collect()[-1]
+    assert np.isclose(last.tx, 12.0) and np.isclose(abs(last.qw), 1.0)  # a full turn; translations only add
