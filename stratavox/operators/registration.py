@@ -29,14 +29,11 @@ def gradients(voxels: DataFrame) -> DataFrame:
     return df
 
 
-def match_points(points: DataFrame, gradient_map: DataFrame, res: int, matrix: list[list[int]], keys: tuple[str, ...] = ("scan_id", "idx"), broadcast_cells: int = 500_000) -> DataFrame:
-    """Moved points with the observed cell they fall in. The map side is broadcast only if it was counted to be small."""
+def match_points(points: DataFrame, gradient_map: DataFrame, res: int, matrix: list[list[int]], keys: tuple[str, ...] = ("scan_id", "idx")) -> DataFrame:
+    """Moved points with the observed cell they fall in. Adaptive execution broadcasts the map side if it proves small at run time."""
     moved = points.select(*keys, *[c.alias(a) for c, a in zip(fixed_transform("x", "y", "z", matrix), AXES, strict=True)])
     moved = moved.select("*", *[cell_trunc(a, res).alias(f"i{a}") for a in AXES])
-    seen = gradient_map.filter("weight <> 0")
-    if broadcast_cells and seen.limit(broadcast_cells + 1).count() <= broadcast_cells:
-        seen = F.broadcast(seen)
-    return moved.join(seen, ["ix", "iy", "iz"])
+    return moved.join(gradient_map.filter("weight <> 0"), ["ix", "iy", "iz"])
 
 
 def jacobians(matched: DataFrame, centre: tuple[int, int, int]) -> DataFrame:
@@ -70,7 +67,7 @@ def gauss_newton_step(row: dict, alpha: float, unit: float = 1.0) -> np.ndarray:
     return -np.linalg.solve(h / unit**2 + alpha * row["c"] * np.eye(6), g / unit)
 
 
-def register(points: DataFrame, gradient_map: DataFrame, res: int, prior: np.ndarray | None = None, max_iterations: int = 200, weight_gradient: float = 0.1, epsilon: float = 0.03, metric: bool = False) -> tuple[np.ndarray, int, float]:
+def register(points: DataFrame, gradient_map: DataFrame, res: int, prior: np.ndarray | None = None, max_iterations: int = 200, weight_gradient: float = 0.1, epsilon: float = 0.03, metric: bool = False, broadcast_cells: int = 500_000) -> tuple[np.ndarray, int, float]:
     """Gauss-Newton on the map's distances; returns the pose (4x4, mm), the iterations and the last mean error.
 
     Gradients are differences per cell, as the reference codes them, so that steps are short and iterations many; with metric they
@@ -78,6 +75,8 @@ def register(points: DataFrame, gradient_map: DataFrame, res: int, prior: np.nda
     It ends when the error differs by less than epsilon from those two and four iterations before, or without matches.
     """
     pose = np.eye(4) if prior is None else np.array(prior, float)
+    if gradient_map.limit(broadcast_cells + 1).count() <= broadcast_cells:  # counted once for all iterations
+        gradient_map = F.broadcast(gradient_map)
     errors, alpha, err, i = [0.0] * 4, 0.0, float("inf"), 0
     for i in range(1, max_iterations + 1):
         centre = tuple(int(v) for v in pose[:3, 3])
