@@ -158,6 +158,7 @@ def fit_languages(docs: DataFrame, chars_per_lang: int = 24_000, docs_per_lang:
     for lang, n in counts.items():
         wanted = wanted | ((F.col("_lang") == lang) & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, docs_per_lang / n))))
     texts: dict[str, list[str]] = {}
+    rows = rows.withColumn("_text", F.substring("_text", 1, 2 * chars_per_lang))  # of the sample only: bounds what comes to the driver
     for r in rows.filter(wanted).orderBy(F.xxhash64("_id"), "_id", "_text").limit(4 * docs_per_lang * max(1, len(counts))).collect():
         if clean := normalise(r["_text"]):
             texts.setdefault(r["_lang"], []).append(clean)
