@@ -107,9 +107,18 @@ def _map_runs(width: int, gram: int):
                     continue
                 content = np.fromiter((xxhash.xxh3_64_intdigest(data[s : s + k + width - 1]) for s, k in zip(at.tolist(), n.tolist(), strict=True)), np.uint64, len(at))
                 g = np.searchsorted(ends, at, side="right")
-                rows = pa.array(np.array([x[0] for x in group], np.int64)[g])
+                rows = np.array([x[0] for x in group], np.int64)[g]
                 start = at - (ends - np.array([len(x[2]) for x in group]))[g] + np.array([x[1] for x in group], np.int64)[g]
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(content.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(start), pa.array(n.astype(np.int32))], names=["a", "c", "_id", "_x", "start", "n"])
+                # equal runs of one text are one row: its first start, and the others as a list
+                order = np.lexsort((start, content, anchors, rows))
+                rows, anchors, content, start, n = (v[order] for v in (rows, anchors, content, start, n))
+                new = np.ones(len(order), bool)
+                new[1:] = (rows[1:] != rows[:-1]) | (anchors[1:] != anchors[:-1]) | (content[1:] != content[:-1])
+                first = np.flatnonzero(new)
+                again = np.concatenate([[0], np.cumsum(np.diff(np.append(first, len(order))) - 1)]).astype(np.int32)
+                ids = pa.array(rows[first])
+                more = pa.ListArray.from_arrays(pa.array(again), pa.array(start[~new]))
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[first].view(np.int64)), pa.array(content[first].view(np.int64)), b.column(0).take(ids), b.column(1).take(ids), pa.array(start[first]), pa.array(n[first].astype(np.int32)), more], names=["a", "c", "_id", "_x", "start", "n", "more"])
 
     return run
 
@@ -288,17 +297,19 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Columns _id, _x (hash of the text) and spans: the repeated byte intervals (start, end) of each text that has any, merged and in order."""
     rows = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_x"), F.col(text_col).alias("_text")).filter(F.octet_length("_text") >= width)
     id_type = rows.schema["_id"].dataType.simpleString()
-    runs = stage(rows.mapInArrow(_map_runs(width, gram), f"a bigint, c bigint, _id {id_type}, _x bigint, start bigint, n int"))
+    runs = stage(rows.mapInArrow(_map_runs(width, gram), f"a bigint, c bigint, _id {id_type}, _x bigint, start bigint, n int, more array<bigint>"))
+    times = F.sum(1 + F.size("more"))
     # Written first, so that the join reads plain exchanges, of which Spark can split a hot anchor's.
-    anchors = runs.groupBy("a").agg(F.count("*").alias("tot"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("tot > 1")
+    anchors = runs.groupBy("a").agg(times.alias("tot"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("tot > 1")
     anchors = stage(anchors.select("a", (F.col("lo") != F.col("hi")).alias("mixed")))
     shared = stage(runs.join(anchors, "a"))
     unstage(runs)
     unstage(anchors)
-    whole = shared.filter("not mixed").select("_id", "_x", F.col("start").alias("s"), (F.col("start") + F.col("n") + (width - 1)).alias("e"))
+    starts = F.concat(F.array("start"), F.col("more"))
+    whole = shared.filter("not mixed").select("_id", "_x", F.transform(starts, lambda s: F.struct(s.alias("s"), (s + F.col("n") + (width - 1)).alias("e"))).alias("se"))
 
     mixed = shared.filter("mixed")
-    distinct = mixed.groupBy("a", "c").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_x", "start", "n")).alias("rep"))
+    distinct = mixed.groupBy("a", "c").agg(times.alias("copies"), F.min(F.struct("_id", "_x", "start", "n")).alias("rep"))
     distinct = stage(distinct)
     content = stage(_fetch(rows, distinct, width, broadcast_rows))
     hot = distinct.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > hot_runs).select("a")
@@ -313,9 +324,9 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hits = hits.unionByName(distinct.filter("copies > 1").select("a", "c", F.lit(0).alias("off"), F.col("rep.n").alias("cnt")))
     # One row per run, with all its repeated stretches, meets each of the run's places.
     stretches = hits.groupBy("a", "c").agg(F.collect_list(F.struct("off", "cnt")).alias("hs"))
-    at = lambda h: F.struct((F.col("start") + h["off"]).alias("s"), (F.col("start") + h["off"] + h["cnt"] + (width - 1)).alias("e"))
-    part = mixed.join(stretches, ["a", "c"]).select("_id", "_x", F.transform("hs", at).alias("se"))
-    spans = whole.select("_id", "_x", F.array(F.struct("s", "e")).alias("se")).unionByName(part).groupBy("_id", "_x").agg(F.flatten(F.collect_list("se")).alias("spans"))
+    at = lambda s: F.transform("hs", lambda h: F.struct((s + h["off"]).alias("s"), (s + h["off"] + h["cnt"] + (width - 1)).alias("e")))
+    part = mixed.join(stretches, ["a", "c"]).select("_id", "_x", F.flatten(F.transform(starts, at)).alias("se"))
+    spans = whole.unionByName(part).groupBy("_id", "_x").agg(F.flatten(F.collect_list("se")).alias("spans"))
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
