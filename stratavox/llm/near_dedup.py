@@ -7,7 +7,8 @@ probability Jaccard similarity of the weights.
 
 Texts of equal shingle sets are one node. Registers are banded into buckets, and members of a bucket are linked by the exact
 Jaccard similarity of their shingle sets. Only links that join two components of a bucket are looked for and emitted, never all
-pairs; what a task holds of a bucket is a window of bounded size.
+pairs; what a task holds of a bucket is a window of bounded size. Members of a large bucket that are still in different components
+afterwards are compared exactly, chunk against chunk, so every link between texts that share a bucket counts.
 """
 
 from __future__ import annotations
@@ -133,6 +134,90 @@ def _map_links(least: float, window: int):
     return run
 
 
+def _map_cross(least: float):
+    """Links (u, v) between labels; rows come sorted by group (g, i, j), and in a group the chunk held (held = 0) comes first.
+
+    A member is compared with the whole chunk at once, by an inverted index of the chunk's shingles; pairs of one component are
+    left out, those of components joined on the way too.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, part = None, {}
+        labels: list[bytes] = []
+        sets: list[np.ndarray] = []
+        index = None
+
+        def root(x: bytes) -> bytes:
+            while part.setdefault(x, x) != x:
+                part[x] = x = part[part[x]]
+            return x
+
+        for b in it:
+            us, vs = [], []
+            for g, i, j, held, label, raw in zip(*(column(b, c) for c in ("g", "i", "j", "held", "label", "shingles")), strict=True):
+                if (g, i, j) != group:
+                    group, part, labels, sets, index = (g, i, j), {}, [], [], None
+                mine = np.frombuffer(raw, np.uint32)
+                if held == 0:
+                    labels.append(label)
+                    sets.append(mine)
+                    continue
+                if not labels:
+                    continue
+                if index is None:
+                    sizes = np.array([len(x) for x in sets])
+                    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                    order = np.argsort(flat, kind="stable")
+                    index, owner, sets = flat[order], owner[order], []
+                lo, hi = np.searchsorted(index, mine, "left"), np.searchsorted(index, mine, "right")
+                size = hi - lo
+                at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+                common = np.bincount(owner[at], minlength=len(labels))
+                for k in np.flatnonzero(common >= least * (sizes + len(mine) - common) - 1e-9).tolist():
+                    x, y = root(label), root(labels[k])
+                    if x != y:
+                        part[x] = y
+                        us.append(min(label, labels[k]))
+                        vs.append(max(label, labels[k]))
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+
+    return run
+
+
+def _finish(dealt: DataFrame, labels: DataFrame, known: DataFrame, similarity: float, chunk: int, broadcast_rows: int) -> DataFrame:
+    """labels (node, label) with the links that the windows of large buckets (dealt: g, node) left out.
+
+    Of a bucket's components the largest is compared with the others only, by chunks of their members against chunks of all members.
+    """
+    spark = dealt.sparkSession
+    named = dealt.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label"))
+    counts = named.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("k"))
+    counts = counts.filter("k > 1").select("g", F.col("top.label").alias("main"), F.ceil((F.col("c") - F.col("top.c")) / chunk).alias("ni"), F.ceil(F.col("c") / (4 * chunk)).alias("nj"))
+    open_ = stage(named.join(counts, "g").withColumn("rest", F.col("label") != F.col("main")))
+    if open_.isEmpty():
+        unstage(open_)
+        return labels
+    own = F.pmod(F.xxhash64("node"), F.col("ni"))
+    # Chunk i of the others is held against each chunk j of all; a pair of two others meets once, in the smaller of their chunks.
+    upto = F.when(F.col("rest"), own).otherwise(F.col("ni") - 1)
+    zero = F.lit(0).cast("bigint")
+    passing = open_.select("g", F.explode(F.sequence(zero, upto)).alias("i"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("nj")).alias("j"), F.lit(1).alias("held"), "node", "label")
+    held = open_.filter("rest").select("g", own.alias("i"), F.explode(F.sequence(zero, F.col("nj") - 1)).alias("j"), F.lit(0).alias("held"), "node", "label")
+    wanted = open_.select("node").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    sets = known.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = held.unionByName(passing).join(sets, "node").repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j", "held")
+    more = stage(rows.select("g", "i", "j", "held", "label", "shingles").mapInArrow(_map_cross(similarity), "u binary, v binary"))
+    unstage(open_)
+    if more.isEmpty():
+        return labels
+    joined = components(more).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    lone = joined.join(labels, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return labels.join(joined, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label")).unionByName(lone)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label for every node of the edges (u, v): label is the least node of its component. Neighbour minima with pointer jumping."""
     both = stage(edges.select("u", "v").union(edges.select("v", "u")).distinct())
@@ -150,12 +235,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS, window: int = 64, block: int = 2000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS, window: int = 64, block: int = 2000, chunk: int = 500, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per input row: _id, _x (hash of the text) and label (its class; null for a text without words, a class of its own).
 
     Classes are the components of all links of Jaccard similarity `similarity` or more between texts that share a bucket; at
     0.8, 24 bands of 4 rows miss a link with probability 3e-6. Buckets up to `window` texts are compared in full; in larger ones
-    a text meets the window of texts that share its next band, in each of their common buckets, and the bucket's hub. A text under `words` words is one shingle. Copies are one node.
+    a text first meets the window of texts that share its next band and the bucket's hub, and then, in chunks of `chunk`, all texts
+    of other components. A text under `words` words is one shingle. Copies are one node.
     """
     source = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_x"), F.col(text_col).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
@@ -167,10 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = stage(keyed.join(shared, "key"))
     # Small buckets of equal members are one group; a large one is dealt into blocks by its members' next band, each with the hub.
     small = buckets.filter(F.col("c") <= window).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("ms")).select("ms").distinct()
-    small = small.select(F.xxhash64("ms").alias("g"), F.lit(0).cast("bigint").alias("blk"), F.explode("ms").alias("node"), F.lit(0).cast("bigint").alias("next"))
+    small = small.select(F.xxhash64("ms").alias("g"), F.lit(0).cast("bigint").alias("blk"), F.explode("ms").alias("node"), F.lit(0).cast("bigint").alias("next"), F.lit(False).alias("big"))
     dealt = buckets.filter(F.col("c") > window).withColumn("parts", F.floor(F.col("c") / block) + 1)
-    large = dealt.select(F.col("key").alias("g"), F.pmod(F.xxhash64("next"), F.col("parts")).alias("blk"), "node", "next")
-    hubs = dealt.select("key", "hub", "parts").distinct().select(F.col("key").alias("g"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("blk"), F.col("hub").alias("node"), F.lit(None).cast("bigint").alias("next"))
+    large = dealt.select(F.col("key").alias("g"), F.pmod(F.xxhash64("next"), F.col("parts")).alias("blk"), "node", "next", F.lit(True).alias("big"))
+    hubs = dealt.select("key", "hub", "parts").distinct().select(F.col("key").alias("g"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("blk"), F.col("hub").alias("node"), F.lit(None).cast("bigint").alias("next"), F.lit(False).alias("big"))
     members = stage(small.unionByName(large).unionByName(hubs))
     unstage(buckets)
     wanted = members.select("node").distinct()
@@ -181,6 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_ = members.join(sets, "node").repartition(parts, "g", "blk").sortWithinPartitions("g", "blk", F.col("next").asc_nulls_first(), "node")
     edges = rows_.select("g", "blk", "node", "shingles").mapInArrow(_map_links(similarity, window), "u binary, v binary")
     labels = components(edges)
+    labels = _finish(members.filter("big").select("g", "node"), labels, known, similarity, chunk, broadcast_rows)
     return signed.select("_id", "_x", "node").join(labels, "node", "left").select("_id", "_x", F.coalesce("label", "node").alias("label"))
 
 

@@ -158,6 +158,20 @@ def test_large_buckets_keep_their_links(spark):
     assert [got[i] for i in range(len(texts))] == classes_by_brute_force(texts)
 
 
+def test_large_buckets_find_what_their_windows_miss(spark):
+    rng = random.Random(3)
+    base = [str(rng.random()) for _ in range(400)]
+    texts = [" ".join(base)]
+    for _ in range(150):  # each at about 0.83 of the base and less of one another: a star
+        b = list(base)
+        for i in rng.sample(range(0, 400, 5), 7):
+            b[i] = str(rng.random())
+        texts.append(" ".join(b))
+    want = classes_by_brute_force(texts)
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(docs(spark, texts), window=2, block=8, chunk=10).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 1
+
+
 def test_one_of_each_class_stays(spark):
     texts = [*edited(10, 4), "alone in here", None, "", "alone in here"]
     kept = drop_near_duplicates(docs(spark, texts, [*range(12), 12, 10])).collect()
