@@ -1,9 +1,9 @@
 """Near-duplicate classes by ProbMinHash.
 
-A text is its five-word shingles weighted by their counts. Every shingle is a Poisson process whose rate is its weight; each
+A text is the set of its five-word shingles, each of weight 1, as links are defined by the similarity of the sets. Every shingle is a Poisson process whose rate is its weight; each
 arrival falls on a random register, and a register keeps the shingle of its first arrival. Once all registers of a text are
 filled, shingles whose next arrival is later than the latest register stop (early termination). Equal registers estimate the
-probability Jaccard similarity of the weights.
+probability Jaccard similarity of the weights, which for weights of 1 is the Jaccard similarity of the sets.
 
 Texts of equal shingle sets are one node. Registers are banded into buckets, and members of a bucket are linked by the exact
 Jaccard similarity of their shingle sets. Only links that join two components of a bucket are looked for and emitted, never all
@@ -45,25 +45,25 @@ def prob_min_hash(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n_do
     return owner.reshape(n_docs, registers)
 
 
-def _shingles(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(text: str | None, k: int) -> np.ndarray:
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    return np.unique(shingle_hashes(word_hashes(raw), k), return_counts=True)
+    return np.unique(shingle_hashes(word_hashes(raw), k))
 
 
 def _map_signatures(k: int, bands: int, rows: int):
     def solve(texts: list[str | None]) -> tuple[list, list, list, list]:
         found = [_shingles(t, k) for t in texts]
-        sizes = np.array([len(f[0]) for f in found])
+        sizes = np.array([len(f) for f in found])
         node, n, sets, out = [None] * len(texts), sizes.tolist(), [None] * len(texts), [None] * len(texts)
         if not sizes.sum():
             return node, n, sets, out
-        flat, counts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        sig = prob_min_hash(np.repeat(np.arange(len(texts)), sizes), flat, counts.astype(np.float64), len(texts), bands * rows).reshape(len(texts), bands, rows)
+        flat = np.concatenate(found)
+        sig = prob_min_hash(np.repeat(np.arange(len(texts)), sizes), flat, np.ones(len(flat)), len(texts), bands * rows).reshape(len(texts), bands, rows)
         key = np.zeros(sig.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for r in range(rows):
             key = mix64(key + sig[:, :, r])
         for i in np.flatnonzero(sizes):
-            h = found[i][0]
+            h = found[i]
             node[i] = np.array([mix64(h ^ np.uint64(0xA24BAED4963EE407)).sum(), mix64(h + np.uint64(0x9FB21C651E98DF25)).sum()], np.uint64).tobytes()
             sets[i] = np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()
             out[i] = key[i].view(np.int64)

@@ -172,6 +172,17 @@ def test_large_buckets_find_what_their_windows_miss(spark):
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 1
 
 
+def test_repeated_lines_do_not_hide_near_duplicates(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(6):
+        words = [str(rng.random()) for _ in range(500)]
+        texts += [" ".join(words), " ".join(words + words[:24] * 300)]
+    want = classes_by_brute_force(texts)
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 6
+
+
 def test_one_of_each_class_stays(spark):
     texts = [*edited(10, 4), "alone in here", None, "", "alone in here"]
     kept = drop_near_duplicates(docs(spark, texts, [*range(12), 12, 10])).collect()
