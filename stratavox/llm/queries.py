@@ -44,7 +44,7 @@ def op3_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return search_bm25(docs, docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+    return search_bm25(docs, docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), query_terms=None)
 
 
 def op5_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,25 @@ def test_bm25_against_brute_force(spark, options):
     assert search_bm25(empty, empty.withColumnRenamed("doc_id", "query_id")).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"shard_docs": 60}], ids=["one_shard", "floors"])
+def test_bm25_of_all_terms(spark, monkeypatch, options):
+    from stratavox.llm import queries as Q
+
+    rng = random.Random(6)
+    vocab = [f"w{int(rng.paretovariate(0.8))}" for _ in range(2000)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 90)))) for i in range(400)]
+    rows += [(i, rows[i - 397][1]) for i in range(400, 403)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(Q, "table", lambda *_: d)
+    monkeypatch.setattr(Q, "search_bm25", lambda *a, **b: search_bm25(*a, **b, **options))
+    got = defaultdict(list)
+    for r in Q.op4_bm25_block_max(spark, "").orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.doc_id))
+    for qid, want in bm25_by_brute_force(rows, [r for r in rows if r[0] % 20 == 0], most=None).items():
+        assert [i for _, i in got[qid]] == [i for _, i in want]
+        assert np.allclose([s for s, _ in got[qid]], [s for s, _ in want])
+
+
 def test_prune_keeps_the_nearest_and_spreads():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)).astype(np.float32)
