@@ -512,12 +512,18 @@ _KNN = "knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_scan_
 
 
 def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The part of the points that the SQL forms compare; the queries of all points have no SQL."""
     p = A.points(spark, sf).drop("intensity")
     return p.filter("idx % 40 = 0"), p.filter("scan_id % 2 = 1")
 
 
-def _knn(spark, sf) -> DataFrame:
-    return NB.knn_join(*_sides(spark, sf), 5, 3000, ["scan_id", "idx"], ["scan_id", "idx"])
+def _every(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = A.points(spark, sf).drop("intensity")
+    return p, p
+
+
+def _knn(spark, sf, sides=_sides) -> DataFrame:
+    return NB.knn_join(*sides(spark, sf), 5, 3000, ["scan_id", "idx"], ["scan_id", "idx"])
 
 
 @query(f"WITH {_PAIR}, {_KNN} SELECT q_scan_id, q_idx, p_scan_id, p_idx, d2, CAST(rank AS BIGINT) AS rank FROM knn")
@@ -545,15 +551,40 @@ def plane_fit_moments(spark, sf):
     return NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"])
 
 
+@query()
+def knn5_all_points(spark, sf):
+    return _knn(spark, sf, _every).select("q_scan_id", "q_idx", "p_scan_id", "p_idx", "d2", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def knn_accepted_all_points(spark, sf):
+    return NB.accepted(_knn(spark, sf, _every), ["q_scan_id", "q_idx"], 5, 2500 * 2500).select("q_scan_id", "q_idx", "p_scan_id", "p_idx")
+
+
+@query()
+def radius_join_all_points(spark, sf):
+    return NB.radius_join(*_every(spark, sf), 1500).select("q_scan_id", "q_idx", "p_scan_id", "p_idx", "d2")
+
+
+@query()
+def box_join_all_points(spark, sf):
+    return NB.box_join(*_every(spark, sf), 1000).select("q_scan_id", "q_idx", "p_scan_id", "p_idx")
+
+
+@query()
+def plane_fit_moments_all_points(spark, sf):
+    return NB.scatter(_knn(spark, sf, _every), ["q_scan_id", "q_idx"])
+
+
 @query()
 def plane_fit(spark, sf):
-    return NB.plane_fit(NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"]).filter("n = 5"))
+    return NB.plane_fit(NB.scatter(_knn(spark, sf, _every), ["q_scan_id", "q_idx"]).filter("n = 5"))
 
 
 @query()
 def plane_accepted(spark, sf):
     """fitted planes that all five neighbours lie within 200 mm of."""
-    knn = _knn(spark, sf)
+    knn = _knn(spark, sf, _every)
     fits = NB.plane_fit(NB.scatter(knn, ["q_scan_id", "q_idx"]).filter("n = 5")).filter("a is not null")
     near = knn.groupBy("q_scan_id", "q_idx").agg(F.collect_list(F.array("p_x", "p_y", "p_z")).alias("ps"))
     off = F.transform("ps", lambda p: F.col("a") * p[0] + F.col("b") * p[1] + F.col("c") * p[2] + F.col("d"))
@@ -562,7 +593,7 @@ def plane_accepted(spark, sf):
 
 @query()
 def line_and_normal(spark, sf):
-    return NB.principal_axes(NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"]).filter("n = 5"))
+    return NB.principal_axes(NB.scatter(_knn(spark, sf, _every), ["q_scan_id", "q_idx"]).filter("n = 5"))
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 10000) AS BIGINT)) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
