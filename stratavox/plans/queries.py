@@ -200,7 +200,15 @@ def float_transform(spark, sf):
 
 @query(f"WITH {S.PTS} SELECT scan_id, idx, CAST(trunc(CAST(x AS DOUBLE) * CAST(0.001 AS DOUBLE) * 1000) AS BIGINT) AS mm, {S.norm('x', 'y', 'z')} AS rng FROM pts WHERE x % 8 = 0")
 def metres_and_ranges(spark, sf):
-    p = A.points(spark, sf).filter("x % 8 = 0")
+    return _metres(A.points(spark, sf).filter("x % 8 = 0"))
+
+
+@query()
+def metres_and_ranges_all_points(spark, sf):
+    return _metres(A.points(spark, sf))
+
+
+def _metres(p: DataFrame) -> DataFrame:
     return p.select("scan_id", "idx", ((F.col("x") * 0.001) * 1000).cast("bigint").alias("mm"), G.norm_trunc("x", "y", "z").alias("rng"))
 
 
@@ -600,10 +608,19 @@ def line_and_normal(spark, sf):
 d AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: (q.v[i] - e.v[i]) * (q.v[i] - e.v[i]))) AS BIGINT) AS d2 FROM q, e)
 SELECT query_id, vec_id, d2, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM d) WHERE rank <= 5""")
 def knn5_embeddings(spark, sf):
-    """The stated queries (every 50th row, a bounded share) meet all rows in blocks; the k best are kept per block before they are merged."""
+    return _knn5_embeddings(spark, sf, "vec_id % 50 = 0")
+
+
+@query()
+def knn5_embeddings_every_20th(spark, sf):
+    return _knn5_embeddings(spark, sf, "vec_id % 20 = 0")
+
+
+def _knn5_embeddings(spark, sf, asked: str) -> DataFrame:
+    """The stated queries (a bounded share of the rows) meet all rows in blocks; the k best are kept per block before they are merged."""
     e = A.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 10000).cast("bigint")).alias("v"))
     parts = 32
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("blk"))
+    q = e.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("blk"))
     d = e.withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).join(q, "blk")
     d2 = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0).cast("bigint"), lambda s, x: s + x)
     d = d.select("query_id", "blk", "vec_id", d2.alias("d2"))
@@ -699,10 +716,9 @@ def pose_accumulate(spark, sf):
 
 @query()
 def pose_predict(spark, sf):
-    """E25 over the accumulated walk."""
-    steps = TS.accumulate_poses(A.pose_increments(spark, 48))
-    turn = L.euler_rotation(F.lit(0.0), F.lit(0.0), F.radians((F.col("seq") + 1) * 15.0))
-    return TS.predict_constant_velocity(steps.select("session", "seq", turn.alias("rotation"), "tx", "ty", "tz"))
+    """E25 over all poses of the table, turned about z by their tz in milliradians."""
+    turn = L.euler_rotation(F.lit(0.0), F.lit(0.0), F.col("tz") / 1000.0)
+    return TS.predict_constant_velocity(A.poses(spark, sf).select("session", "seq", turn.alias("rotation"), "tx", "ty", "tz"))
 
 
 # ---------------------------------------------------------------- metrics
