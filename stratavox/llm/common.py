@@ -70,7 +70,7 @@ def crc_mod(col: str, n: int):
 
 
 #: Rows of an Arrow batch. Texts are long: a tenth of Spark's default keeps several workers within an executor's overhead.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

@@ -9,15 +9,19 @@ windows have equal anchors at equal offsets, so all copies meet under one anchor
 3. Under the other anchors, one copy of each distinct run is fetched, and the suffixes that start its windows are sorted by
    deep-shallow sorting: multikey quicksort on eight-byte keys to a shallow depth, then blind tries order the groups that still
    share a prefix. Leaves of two or more suffixes, equal over the whole width, are repeated windows.
-   Anchors with very many distinct runs are dealt out by window instead (128-bit fingerprints, pre-aggregated), as no single
-   task may hold them; this path is exact up to fingerprint collisions.
-4. Repeated windows become byte intervals of their documents.
+4. An anchor with more distinct runs than one task should hold is split by the anchors its windows have under another hash, and
+   what then are equal runs collapse; its parts are sorted like any anchor. Splitting goes on while parts are too large, and ends
+   with single windows, of which equal ones collapse too, so no part can stay large.
+5. Repeated windows become byte intervals of their documents.
+
+Copies of a run are told by 128 bits of hashes (of its anchor and of its bytes), everything else by the bytes themselves: over
+10^12 runs a false match has a chance of about 10^-15.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.common import _powers, bounded_batches, column, mix64, stage, unstage
 
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 # ---------------------------------------------------------------- runs
@@ -43,8 +47,11 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def runs_of(data: bytes, doc_ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window's start and number of windows of each run; doc_ends are the ends of the texts in data."""
+def runs_of(data: bytes, doc_ends: np.ndarray, width: int, gram: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first window's start and number of windows of each run; doc_ends are the ends of the texts in data.
+
+    salt chooses the hash that anchors are least by.
+    """
     raw = np.frombuffer(data, np.uint8)
     n, none = len(raw), np.zeros(0, np.int64)
     if n < width:
@@ -52,7 +59,7 @@ def runs_of(data: bytes, doc_ends: np.ndarray, width: int, gram: int) -> tuple[n
     up, down = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    grams = mix64((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    grams = mix64((sums[gram:] - sums[:-gram]) * down[: n - gram + 1] + np.uint64(salt * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
     bits = np.uint64(max(1, int(len(grams)).bit_length()))
     keys = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     least = _sliding_min(keys, width - gram + 1)
@@ -76,7 +83,7 @@ def runs_of(data: bytes, doc_ends: np.ndarray, width: int, gram: int) -> tuple[n
     return grams[anchor[at]], at, stop - at
 
 
-def _pieces(texts: list[bytes], width: int) -> Iterator[list[tuple[int, int, bytes]]]:
+def _pieces(texts: Iterable[bytes], width: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """Groups of (text's number, offset, bytes) of about CHUNK bytes; longer texts are cut with width - 1 bytes of overlap."""
     group, size = [], 0
     for i, t in enumerate(texts):
@@ -95,20 +102,28 @@ def _pieces(texts: list[bytes], width: int) -> Iterator[list[tuple[int, int, byt
         yield group
 
 
+def _runs_in(group: list[tuple[int, int, bytes]], width: int, gram: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Anchor, hash of the bytes, text's number, start in it, number of windows and bytes of each run of a group of _pieces()."""
+    data = b"".join(g[2] for g in group)
+    sizes = np.array([len(g[2]) for g in group])
+    ends = np.cumsum(sizes)
+    anchors, at, n = runs_of(data, ends, width, gram, salt)
+    parts = [data[s : s + k + width - 1] for s, k in zip(at.tolist(), n.tolist(), strict=True)]
+    content = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(at))
+    g = np.searchsorted(ends, at, side="right")
+    rows = np.array([x[0] for x in group], np.int64)[g]
+    start = at - (ends - sizes)[g] + np.array([x[1] for x in group], np.int64)[g]
+    return anchors, content, rows, start, n, parts
+
+
 def _map_runs(width: int, gram: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in column(b, "_text")]
-            for group in _pieces(texts, width):
-                data = b"".join(g[2] for g in group)
-                ends = np.cumsum([len(g[2]) for g in group])
-                anchors, at, n = runs_of(data, ends, width, gram)
-                if not len(at):
+            texts = b.column(b.schema.get_field_index("_text"))
+            for group in _pieces(((t.as_py() or "").encode("utf-8", "surrogatepass") for t in texts), width):
+                anchors, content, rows, start, n, _ = _runs_in(group, width, gram)
+                if not len(rows):
                     continue
-                content = np.fromiter((xxhash.xxh3_64_intdigest(data[s : s + k + width - 1]) for s, k in zip(at.tolist(), n.tolist(), strict=True)), np.uint64, len(at))
-                g = np.searchsorted(ends, at, side="right")
-                rows = np.array([x[0] for x in group], np.int64)[g]
-                start = at - (ends - np.array([len(x[2]) for x in group]))[g] + np.array([x[1] for x in group], np.int64)[g]
                 # equal runs of one text are one row: its first start, and the others as a list
                 order = np.lexsort((start, content, anchors, rows))
                 rows, anchors, content, start, n = (v[order] for v in (rows, anchors, content, start, n))
@@ -207,8 +222,8 @@ def deep_shallow(data: bytes, starts: np.ndarray, width: int, shallow: int = 32)
     return out
 
 
-def _map_sort(width: int, max_bytes: int = 2 << 20):
-    """Sorts the suffixes of runs that come sorted by anchor; flushes whole anchors once max_bytes are held."""
+def _map_sort(width: int, max_bytes: int = 1 << 19):
+    """Sorts the suffixes of runs that come sorted by anchor and content (a repeated run counts once); flushes whole anchors once max_bytes are held."""
 
     def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         data = b"".join(r[2] for r in rows)
@@ -236,7 +251,10 @@ def _map_sort(width: int, max_bytes: int = 2 << 20):
         held: list[tuple[int, int, bytes]] = []
         size = 0
         for b in it:
-            for row in zip(column(b, "a"), column(b, "c"), column(b, "bytes"), strict=True):
+            for a, c, raw in zip(*(b.column(b.schema.get_field_index(x)) for x in ("a", "c", "bytes")), strict=True):
+                row = a.as_py(), c.as_py(), raw.as_py()
+                if held and held[-1][:2] == row[:2]:
+                    continue
                 if size >= max_bytes and held[-1][0] != row[0]:
                     yield solve(held)
                     held, size = [], 0
@@ -251,9 +269,9 @@ def _map_sort(width: int, max_bytes: int = 2 << 20):
 # ---------------------------------------------------------------- the operator
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
-    """The bytes of one copy of each wanted run (a, c, rep). Texts that hold none are left out by their 8-byte hash before the
-    shuffle, if the hashes are few enough to broadcast."""
+def _fetch(docs: DataFrame, wanted: DataFrame, width: int, broadcast_rows: int, batch_bytes: int = 1 << 20) -> DataFrame:
+    """The bytes of one copy of each wanted run (a, c, rep); twice or more, where rows of docs are repeated. Texts that hold none
+    are left out by their 8-byte hash before the shuffle, if the hashes are few enough to broadcast."""
     need = wanted.groupBy(F.col("rep._id").alias("_wid"), F.col("rep._x").alias("_wx")).agg(F.collect_list(F.struct("a", "c", "rep.start", "rep.n")).alias("_list"))
     hashes = wanted.select(F.col("rep._x").alias("_x")).distinct()
     if hashes.count() <= broadcast_rows:
@@ -261,40 +279,98 @@ def _fetch(docs: DataFrame, wanted: DataFrame, width: int, broadcast_rows: int)
     rows = docs.join(need.hint("merge"), F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_x") == F.col("_wx"))).select("_text", "_list")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out: tuple[list, list, list] = ([], [], [])
-            for text, items in zip(column(b, "_text"), column(b, "_list"), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                for x in items:
-                    out[0].append(x["a"])
-                    out[1].append(x["c"])
-                    out[2].append(raw[x["start"] : x["start"] + x["n"] + width - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["a", "c", "bytes"])
+        out: list[list] = [[], [], []]
+        size = 0
 
-    return rows.mapInArrow(run, "a bigint, c bigint, bytes binary").dropDuplicates(["a", "c"])
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["a", "c", "bytes"])
 
+        for b in it:
+            for text, items in zip(b.column(0), b.column(1), strict=True):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                fields = [items.values.field(i).to_numpy().tolist() for i in range(4)]
+                for a, c, start, n in zip(*fields, strict=True):
+                    out[0].append(a)
+                    out[1].append(c)
+                    out[2].append(raw[start : start + n + width - 1])
+                    size += n + width
+                    if size >= batch_bytes:
+                        yield batch()
+                        out, size = [[], [], []], 0
+        if out[0]:
+            yield batch()
+
+    return rows.mapInArrow(run, "a bigint, c bigint, bytes binary")
+
+
+def _map_split(width: int, gram: int, level: int, last: bool):
+    """Parts of runs (a, c, bytes) by the anchors of another hash, or, at last, single windows: pa, pc and the part's offset, size and bytes."""
 
-def _map_windows(width: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                of, off, high, low = [], [], [], []
-                for i, raw in enumerate(column(part, "bytes")):
-                    for o in range(len(raw) - width + 1):
-                        d = xxhash.xxh3_128_intdigest(raw[o : o + width])
-                        of.append(i)
-                        off.append(o)
-                        high.append(d >> 64)
-                        low.append(d & 0xFFFFFFFFFFFFFFFF)
-                rows = pa.array(of, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(off, pa.int32()), pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint64).view(np.int64))], names=["a", "c", "off", "f1", "f2"])
+            parent = b.column(0).to_numpy().view(np.uint64)
+            for group in _pieces((x.as_py() for x in b.column(2)), width):
+                if last:
+                    spots = [(i, at + o, raw[o : o + width]) for i, at, raw in group for o in range(len(raw) - width + 1)]
+                    rows, off, parts = (list(x) for x in zip(*spots, strict=True))
+                    rows, n = np.array(rows, np.int64), np.ones(len(rows), np.int32)
+                    anchors = np.fromiter((xxhash.xxh3_64_intdigest(x, 1) for x in parts), np.uint64, len(parts))
+                    content = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+                else:
+                    anchors, content, rows, off, n, parts = _runs_in(group, width, gram, level)
+                for s in range(0, len(rows), 4000):
+                    e = s + 4000
+                    of = pa.array(rows[s:e])
+                    own = mix64(anchors[s:e] + mix64(parent[rows[s:e]])).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(own), pa.array(content[s:e].view(np.int64)), pa.array(off[s:e], pa.int32()), pa.array(np.asarray(n[s:e], np.int32)), pa.array(parts[s:e], pa.binary())], names=["pa", "pc", "a", "c", "off", "n", "bytes"])
 
     return run
 
 
-def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 4000, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Columns _id, _x (hash of the text) and spans: the repeated byte intervals (start, end) of each text that has any, merged and in order."""
+def _repeats_in(content: DataFrame, width: int, gram: int, hot_runs: int, levels: int, level: int = 1) -> DataFrame:
+    """Repeated stretches (a, c, off, cnt) of distinct runs (a, c, bytes); rows equal in a and c are one run."""
+    spark = content.sparkSession
+    n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = stage(content.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > hot_runs).select("a"))
+    none_hot = hot.isEmpty() or level > levels + 1
+    cold = content if none_hot else content.join(hot, "a", "left_anti")
+    hits = cold.repartition(n_parts, "a").sortWithinPartitions("a", "c").mapInArrow(_map_sort(width), "a bigint, c bigint, off int, cnt int")
+    if none_hot:
+        return hits
+    large = content.join(hot, "a", "left_semi").dropDuplicates(["a", "c"])
+    parts = stage(large.mapInArrow(_map_split(width, gram, level, level > levels), "pa bigint, pc bigint, a bigint, c bigint, off int, n int, bytes binary"))
+    distinct = stage(parts.groupBy("a", "c").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bytes").alias("bytes")))
+    mixed = distinct.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").select("a")
+    below = _repeats_in(stage(distinct.join(mixed, "a").select("a", "c", "bytes")), width, gram, hot_runs, levels, level + 1)
+    below = stage(below.unionByName(distinct.filter("copies > 1").select("a", "c", F.lit(0).alias("off"), F.col("n").alias("cnt"))))
+    found = parts.join(below.withColumnRenamed("off", "inner"), ["a", "c"]).select(F.col("pa").alias("a"), F.col("pc").alias("c"), (F.col("off") + F.col("inner")).alias("off"), "cnt")
+    return hits.unionByName(found)
+
+
+def _map_merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorts and merges the intervals of each row."""
+    for b in it:
+        lists = b.column(2)
+        start, end = (lists.flatten().field(i).to_numpy() for i in (0, 1))
+        row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((start, row))
+        row, start, end = row[order], start[order], end[order]
+        high = int(end.max(initial=0)) + 1
+        reach = np.maximum.accumulate(row * high + end) - row * high  # furthest end so far in the row
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+        first = np.flatnonzero(new)
+        until = reach[np.append(first[1:], len(row)) - 1] if len(row) else reach
+        spans = pa.StructArray.from_arrays([pa.array(start[first], pa.int64()), pa.array(until, pa.int64())], names=["s", "e"])
+        cuts = pa.array(np.searchsorted(row[first], np.arange(b.num_rows + 1)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(cuts, spans)], names=["_id", "_x", "spans"])
+
+
+def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 2000, levels: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Columns _id, _x (hash of the text) and spans: the repeated byte intervals (start, end) of each text that has any, merged and in order.
+
+    An anchor of over `hot_runs` distinct runs is split by up to `levels` further hashes, then by window.
+    """
     rows = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_x"), F.col(text_col).alias("_text")).filter(F.octet_length("_text") >= width)
     id_type = rows.schema["_id"].dataType.simpleString()
     runs = stage(rows.mapInArrow(_map_runs(width, gram), f"a bigint, c bigint, _id {id_type}, _x bigint, start bigint, n int, more array<bigint>"))
@@ -312,40 +388,19 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = mixed.groupBy("a", "c").agg(times.alias("copies"), F.min(F.struct("_id", "_x", "start", "n")).alias("rep"))
     distinct = stage(distinct)
     content = stage(_fetch(rows, distinct, width, broadcast_rows))
-    hot = distinct.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > hot_runs).select("a")
-    hot = stage(hot)
-    n_parts = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cold = content.join(hot, "a", "left_anti").repartition(n_parts, "a").sortWithinPartitions("a")
-    hits = cold.mapInArrow(_map_sort(width), "a bigint, c bigint, off int, cnt int")
-    windows = content.join(hot, "a", "left_semi").mapInArrow(_map_windows(width), "a bigint, c bigint, off int, f1 bigint, f2 bigint")
-    windows = stage(windows)
-    twice = stage(windows.groupBy("f1", "f2").agg(F.count("*").alias("k")).filter("k > 1").select("f1", "f2"))
-    hits = hits.unionByName(windows.join(twice, ["f1", "f2"]).select("a", "c", "off", F.lit(1).alias("cnt")))
+    hits = _repeats_in(content, width, gram, hot_runs, levels)
     hits = hits.unionByName(distinct.filter("copies > 1").select("a", "c", F.lit(0).alias("off"), F.col("rep.n").alias("cnt")))
-    # One row per run, with all its repeated stretches, meets each of the run's places.
-    stretches = hits.groupBy("a", "c").agg(F.collect_list(F.struct("off", "cnt")).alias("hs"))
+    # One row per run, with all its repeated stretches, meets each of the run's places. Written first, so that Spark can split a hot run's.
+    stretches = stage(hits.groupBy("a", "c").agg(F.collect_list(F.struct("off", "cnt")).alias("hs")))
+    unstage(content)
+    unstage(distinct)
     at = lambda s: F.transform("hs", lambda h: F.struct((s + h["off"]).alias("s"), (s + h["off"] + h["cnt"] + (width - 1)).alias("e")))
     part = mixed.join(stretches, ["a", "c"]).select("_id", "_x", F.flatten(F.transform(starts, at)).alias("se"))
     spans = whole.unionByName(part).groupBy("_id", "_x").agg(F.flatten(F.collect_list("se")).alias("spans"))
+    return spans.mapInArrow(_map_merge, f"_id {id_type}, _x bigint, spans array<struct<s:bigint,e:bigint>>")
 
-    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-        for b in it:
-            out = []
-            for found in column(b, "spans"):
-                merged: list[dict] = []
-                for s, e in sorted((x["s"], x["e"]) for x in found):
-                    if merged and s <= merged[-1]["e"]:
-                        merged[-1]["e"] = max(merged[-1]["e"], e)
-                    else:
-                        merged.append({"s": s, "e": e})
-                out.append(merged)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, span)], names=["_id", "_x", "spans"])
 
-    return spans.mapInArrow(merge, f"_id {id_type}, _x bigint, spans array<struct<s:bigint,e:bigint>>")
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 4000, broadcast_rows: int = 1_000_000, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 2000, levels: int = 3, broadcast_rows: int = 1_000_000, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per input row: id, the kept columns, n_bytes, n_removed, n_spans and kept (the remaining bytes).
 
     With as_text, kept is a string: bytes of characters that a cut has split are left out.
@@ -353,7 +408,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null text counts as empty. Texts under `width` bytes lose nothing. Repeated rows, null ids included, are documents of
     their own: their common strings are removed from each of them. Offsets are bytes of the UTF-8 form.
     """
-    spans = stage(repeated_intervals(docs, id_col, text_col, width, gram, hot_runs, broadcast_rows))
+    spans = stage(repeated_intervals(docs, id_col, text_col, width, gram, hot_runs, levels, broadcast_rows))
     held = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("k")).first()
     if held["n"] + held["k"] <= broadcast_rows:  # of some 30 bytes each
         spans = F.broadcast(spans)
@@ -364,17 +419,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields) + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept " + ("string" if as_text else "binary")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            size, removed, n_spans, kept = [], [], [], []
-            for text, found in zip(column(b, "_text"), column(b, "spans"), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                size.append(len(raw))
-                merged = [(x["s"], x["e"]) for x in found or ()]
-                removed.append(sum(e - s for s, e in merged))
-                n_spans.append(len(merged))
-                cut = [0, *[x for m in merged for x in m], len(raw)]
-                kept.append(b"".join(raw[s:e] for s, e in zip(cut[::2], cut[1::2], strict=True)) if merged else raw)
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept_fields))], pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*[f.name for f in kept_fields], "n_bytes", "n_removed", "n_spans", "kept"])
+        for whole in it:
+            for first in range(0, whole.num_rows, 100):
+                b = whole.slice(first, 100)
+                size, removed, n_spans, kept = [], [], [], []
+                for text, found in zip(column(b, "_text"), column(b, "spans"), strict=True):
+                    raw = (text or "").encode("utf-8", "surrogatepass")
+                    size.append(len(raw))
+                    merged = [(x["s"], x["e"]) for x in found or ()]
+                    removed.append(sum(e - s for s, e in merged))
+                    n_spans.append(len(merged))
+                    cut = [0, *[x for m in merged for x in m], len(raw)]
+                    kept.append(b"".join(raw[s:e] for s, e in zip(cut[::2], cut[1::2], strict=True)) if merged else raw)
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept_fields))], pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*[f.name for f in kept_fields], "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = rows.mapInArrow(run, schema)
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "n_removed", "n_spans", "kept")
