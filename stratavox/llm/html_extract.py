@@ -14,17 +14,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.llm.common import column, map_batches
+from stratavox.llm.common import map_batches
 
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option button canvas audio video noframes xmp".split())
-PRUNED = RAW | frozenset("nav header footer aside form head menu dialog".split())
+#: Elements whose content is text up to their own end tag, whatever stands in it.
+RAW = frozenset("script style textarea title iframe noframes xmp".split())
+#: Elements that are pruned inside a line of text, without ending its block.
+INSIDE = frozenset("noscript template svg math object select button canvas audio video".split())
+PRUNED = RAW | INSIDE | frozenset("nav header footer aside form head menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote section article main figure figcaption address center details summary fieldset hgroup search".split()
-) | (PRUNED - {"title", "select", "option", "button", "svg", "math"})
-ENDS_P = BLOCK | {"hr"}
+) | (PRUNED - RAW - INSIDE)
+ENDS_P = (BLOCK - {"html", "body", "head"}) | {"hr"}
 #: An open element on the left is closed by a start tag on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base link meta title style script noscript template head".split())
+#: Elements that often lack an end tag. They end with their parent.
+UNENDED = frozenset(CLOSES) | {"p", "tfoot", "head", "html", "body"}
+#: An end tag closes nothing beyond these, unless it is of a table's own parts; those stop at the table.
+LIMITS = frozenset("td th caption table".split())
+TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
 STRONG = frozenset("ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr comment comments commentlist replies respond disqus newsletter subscribe signup popup modal pager pagination toolbar skiplink".split())
 WEAK = frozenset("header sidebar side rail notice notices banner alert message search share sharing social related recommended widget widgets form login outbrain taboola".split())
 KEEPS = frozenset("content article main post entry story body text".split())
@@ -54,54 +64,135 @@ def _unwanted(tag: str, attrs: str) -> bool:
 
 
 class _Node:
-    __slots__ = ("parent", "tag", "depth", "order", "size", "link", "points", "blocks")
+    __slots__ = ("parent", "tag", "depth", "size", "link", "points", "blocks", "pruned", "gone")
 
-    def __init__(self, parent, tag):
+    def __init__(self, parent, tag, pruned=False):
         self.parent, self.tag, self.depth = parent, tag, parent.depth + 1 if parent else 0
         self.size = self.link = 0
         self.points = 0.0
         self.blocks: list[tuple[int, str]] = []
+        self.pruned, self.gone = pruned, False
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page: blocks in page order joined by newlines; empty for null, empty or text-free pages."""
-    if not page:
-        return ""
-    root = _Node(None, "#")
-    stack, parts, links = [root], [], 0
-    nodes, n_blocks, in_link = [root], 0, 0
-    skip_depth = 0  # open elements inside a pruned one
-    skip: list[str] = []
-    pos, end = 0, len(page)
+class _Tree:
+    """Elements that matter for the text: blocks, and pruned elements of any kind. Open ones form a stack, which implied end tags
+    shorten alike inside and outside of pruned elements. Text directly in a pruned element is dropped; its descendants go
+    once it is known to have ended before the page did, as an element that is never closed would swallow the rest. Of a pruned
+    element inside a line that its parent's end closes, blocks stay too."""
+
+    def __init__(self):
+        root = _Node(None, "#")
+        self.stack, self.nodes = [root], [root]
+        self.at: dict[str, list[int]] = {}  # places in the stack by tag
+        self.limits: list[int] = []  # places of LIMITS
+        self.blocks = [0]  # places of block elements
+        self.parts: list[str] = []
+        self.links = self.n_blocks = self.in_link = 0
 
-    def flush():
-        nonlocal parts, links, n_blocks
-        if parts:
-            text = " ".join("".join(parts).split())
-            parts = []
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            self.parts = []
             if text:
-                node = stack[-1]
-                node.blocks.append((n_blocks, text))
-                n_blocks += 1
+                node = self.stack[self.blocks[-1]]
+                node.blocks.append((self.n_blocks, text))
+                self.n_blocks += 1
                 node.size += len(text)
-                node.link += min(links, len(text))
-        links = 0
+                node.link += min(self.links, len(text))
+        self.links = 0
+
+    def text(self, s: str) -> None:
+        if not s:
+            return
+        if self.stack[-1].tag == "head" and s.strip():
+            self.pop(len(self.stack) - 1)
+        if self.stack[-1].pruned:
+            return
+        s = unescape(s) if "&" in s else s
+        self.parts.append(s)
+        if self.in_link:
+            self.links += len(s.strip())
+
+    def push(self, tag: str, pruned: bool, block: bool) -> None:
+        if block:
+            self.flush()
+            self.blocks.append(len(self.stack))
+        if tag in LIMITS:
+            self.limits.append(len(self.stack))
+        self.at.setdefault(tag, []).append(len(self.stack))
+        # plain elements inside a pruned one of the same line are dropped with it
+        node = _Node(self.stack[-1], tag, pruned or not block and self.stack[-1].pruned)
+        self.stack.append(node)
+        self.nodes.append(node)
+
+    def pop(self, to: int, by: str = "") -> None:
+        """Closes all elements from place `to` on; `by` is the end tag that closes the first of them."""
+        if self.blocks[-1] >= to:
+            self.flush()
+            self.in_link = 0
+        for k in range(len(self.stack) - 1, to - 1, -1):
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if self.blocks[-1] == k:
+                self.blocks.pop()
+            if self.limits and self.limits[-1] == k:
+                self.limits.pop()
+            if node.pruned and (node.tag in UNENDED or k == to and by or node.tag in BLOCK and by not in ("", "body", "html")):
+                node.gone = True
+
+    def start(self, tag: str, attrs: str) -> None:
+        if self.stack[-1].tag == "head" and tag not in IN_HEAD:
+            self.pop(len(self.stack) - 1)
+        if tag in ENDS_P and self.stack[self.blocks[-1]].tag == "p":
+            self.pop(self.blocks[-1])
+        while tag in CLOSES.get(self.stack[self.blocks[-1]].tag, ()):
+            self.pop(self.blocks[-1])
+        if _unwanted(tag, attrs):
+            if tag in BLOCK or not attrs.endswith("/"):
+                self.push(tag, True, tag in BLOCK)
+        elif tag == "a":
+            self.in_link += 1
+            if self.at.get("a"):
+                self.push(tag, False, False)
+        elif tag in BLOCK:
+            self.push(tag, False, True)
+        elif self.at.get(tag):  # inside a pruned element of this tag
+            self.push(tag, False, False)
+
+    def end(self, tag: str) -> None:
+        if tag == "a":
+            self.in_link = max(0, self.in_link - 1)
+        places = self.at.get(tag)
+        if not places:
+            return
+        if tag not in BLOCK:
+            limit = self.blocks[-1]
+        elif tag in TABLE:
+            limit = self.at["table"][-1] - 1 if self.at.get("table") else 0
+        else:
+            limit = self.limits[-1] if self.limits else 0
+        if places[-1] > limit:
+            self.pop(places[-1], tag)
+
+    def finish(self) -> list[_Node]:
+        self.pop(1)
+        self.flush()
+        return self.nodes
 
-    def data(s: str):
-        nonlocal links
-        if s and not skip:
-            s = unescape(s) if "&" in s else s
-            parts.append(s)
-            if in_link:
-                links += len(s.strip())
 
+def main_text(page: str | None) -> str:
+    """The main text of one page: blocks in page order joined by newlines; empty for null, empty or text-free pages."""
+    if not page:
+        return ""
+    tree = _Tree()
+    pos, end = 0, len(page)
     while pos < end:
         lt = page.find("<", pos)
         if lt < 0:
-            data(page[pos:])
+            tree.text(page[pos:])
             break
         if lt > pos:
-            data(page[pos:lt])
+            tree.text(page[pos:lt])
         if page.startswith("<!--", lt):
             stop = page.find("-->", lt + 4)
             pos = end if stop < 0 else stop + 3
@@ -109,7 +200,7 @@ def main_text(page: str | None) -> str:
         nxt = page[lt + 1 : lt + 2]
         if nxt in ("!", "?"):
             if page.startswith("<![CDATA[", lt) and (stop := page.find("]]>", lt)) > 0:
-                data(page[lt + 9 : stop].replace("&", "&amp;"))
+                tree.text(page[lt + 9 : stop].replace("&", "&amp;"))
                 pos = stop + 3
                 continue
             stop = page.find(">", lt)
@@ -121,90 +212,55 @@ def main_text(page: str | None) -> str:
                 stop = page.find(">", lt)
                 pos = end if stop < 0 else stop + 1
             else:
-                data("<")
+                tree.text("<")
                 pos = lt + 1
             continue
         pos = m.end()
-        tag, closing, attrs = m[2].lower(), m[1] == "/", m[3]
-        if skip:
-            if closing:
-                if tag in skip:
-                    while skip.pop() != tag:
-                        pass
-            elif tag not in VOID and not attrs.endswith("/"):
-                if tag in RAW:
-                    stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-                    pos = stop.end() if stop else end
-                elif tag in BLOCK or tag == skip[0]:
-                    while len(skip) > 1 and tag in CLOSES.get(skip[-1], ()):
-                        skip.pop()
-                    if tag in ENDS_P and skip[-1] == "p" and len(skip) > 1:
-                        skip.pop()
-                    skip.append(tag)
-            continue
-        if closing:
-            if tag == "a":
-                in_link = max(0, in_link - 1)
-            elif tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        flush()
-                        del stack[k:]
-                        in_link = 0
-                        break
-                    if tag == "p" and stack[k].tag != "p":
-                        break
-            continue
-        if tag == "br":
-            parts.append(" ")
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                flush()
-            continue
-        if tag in ENDS_P and stack[-1].tag == "p":
-            flush()
-            stack.pop()
-            in_link = 0
-        while stack[-1].tag in CLOSES and tag in CLOSES[stack[-1].tag]:
-            flush()
-            stack.pop()
-        if _unwanted(tag, attrs):
-            if tag in BLOCK:
-                flush()
-            if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-                pos = stop.end() if stop else end
-            elif not attrs.endswith("/") or tag in BLOCK:
-                skip = [tag]
-            continue
-        if tag == "a":
-            in_link += 1
-        elif tag in BLOCK:
-            flush()
-            node = _Node(stack[-1], tag)
-            stack.append(node)
-            nodes.append(node)
-    flush()
-    return _best(nodes)
+        tag, attrs = m[2].lower(), m[3]
+        if m[1]:
+            tree.end(tag)
+        elif tag in RAW:
+            stop = _RAW_END[tag].search(page, pos)
+            pos = stop.end() if stop else end
+        elif tag == "br":
+            if not tree.stack[-1].pruned:
+                tree.parts.append(" ")
+        elif tag not in VOID:
+            tree.start(tag, attrs)
+        elif tag == "hr":
+            if tree.stack[tree.blocks[-1]].tag == "p":
+                tree.pop(tree.blocks[-1])
+            tree.flush()
+    return _best(tree.finish())
 
 
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 INLINE_PARENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre figcaption summary".split())
+#: Levels that points climb; they halve at each, so what is left beyond counts for nothing.
+LEVELS = 50
 
 
 def _best(nodes: list[_Node]) -> str:
+    left = []
+    for n in nodes:  # parents stand before their children
+        n.gone = n.gone or n.parent is not None and n.parent.gone
+        if not n.gone:
+            left.append(n)
+    nodes = left
     if not any(n.blocks for n in nodes):
         return ""
     kids: dict[int, list[_Node]] = {}
     for n in nodes:
         for _, text in n.blocks:
-            points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - n.link / max(n.size, 1))
-            at, share = (n.parent if n.tag in INLINE_PARENTS and n.parent else n), 1.0
-            while at is not None:
-                at.points += points * share
+            share = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - n.link / max(n.size, 1))
+            at = n.parent if n.tag in INLINE_PARENTS and n.parent else n
+            for _ in range(LEVELS):
+                at.points += share
                 share /= 2
                 at = at.parent
-    for n in reversed(nodes):  # parents stand before their children
+                if at is None:
+                    break
+    for n in reversed(nodes):
         if n.parent is not None:
             n.parent.size += n.size
             n.parent.link += n.link
@@ -231,13 +287,18 @@ def _best(nodes: list[_Node]) -> str:
 
 
 def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """One row per page: its id, the kept columns and text. Null or empty html gives an empty text; ids may repeat or be null."""
-    out = pages.select(F.col(id_col), *[F.col(c) for c in keep], F.col(html_col).alias("_html"))
-    fields = [f for f in out.schema.fields if f.name != "_html"]
+    """One row per page: its id, the kept columns and text. Null or empty html gives an empty text; ids may repeat or be null.
+
+    Columns of other names, `text` among them, are left out unless kept; a kept column `text` would clash and is refused.
+    """
+    if "text" in (id_col, *keep):
+        raise ValueError("a kept column is named text")
+    out = pages.select(F.col(id_col), *[F.col(c) for c in keep], F.col(html_col).alias("html_in"))
+    fields = out.schema.fields[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pa.array([main_text(h) for h in column(b, "_html")], pa.string())
+        texts = pa.array([main_text(h) for h in b.column(len(fields)).to_pylist()], pa.string())
         return pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(fields))], texts], names=[*[f.name for f in fields], "text"])
 
     return map_batches(out, schema, run)
