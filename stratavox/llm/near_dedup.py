@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash.
 
-A text is the set of its five-word shingles, each of weight 1, as links are defined by the similarity of the sets. Every shingle is a Poisson process whose rate is its weight; each
-arrival falls on a random register, and a register keeps the shingle of its first arrival. Once all registers of a text are
-filled, shingles whose next arrival is later than the latest register stop (early termination). Equal registers estimate the
-probability Jaccard similarity of the weights, which for weights of 1 is the Jaccard similarity of the sets.
+A text is the set of its five-word shingles, each of weight 1, as links are defined by the similarity of the sets. Every shingle
+is a Poisson process whose rate is its weight; each arrival falls on a random register, and a register keeps the shingle of its
+first arrival. Once all registers of a text are filled, shingles whose next arrival is later than the latest register stop (early
+termination). Equal registers estimate the probability Jaccard similarity of the weights, which for weights of 1 is the Jaccard
+similarity of the sets.
 
 Texts of equal shingle sets are one node. Registers are banded into buckets, and members of a bucket are linked by the exact
 Jaccard similarity of their shingle sets. Only links that join two components of a bucket are looked for and emitted, never all
@@ -241,7 +242,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Classes are the components of all links of Jaccard similarity `similarity` or more between texts that share a bucket; at
     0.8, 24 bands of 4 rows miss a link with probability 3e-6. Buckets up to `window` texts are compared in full; in larger ones
     a text first meets the window of texts that share its next band and the bucket's hub, and then, in chunks of `chunk`, all texts
-    of other components. A text under `words` words is one shingle. Copies are one node.
+    of other components. A text under `words` words is one shingle. Copies are one node. Sets are compared by 32-bit hashes.
+    Extra columns of any name do no harm.
     """
     source = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_x"), F.col(text_col).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
@@ -288,14 +290,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = found.join(classes.filter("k > 1"), "label").filter(~F.struct("_id", "_x").eqNullSafe(F.col("kept"))).select(F.col("_id").alias("_gid"), F.col("_x").alias("_gx")).distinct()
     twice = found.groupBy("_id", "_x").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("_id").alias("_gid"), F.col("_x").alias("_gx"))
     gone, twice = stage(gone), stage(twice)
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the columns are called
+    key, x = F.col(f"c{names.index(id_col)}"), F.xxhash64(F.col(f"c{names.index(text_col)}"))
 
     def sided(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
         ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
-        x = F.xxhash64(F.col(text_col))
-        return df.join(ids, df[id_col].eqNullSafe(ids["_gid"]) & (x == ids["_gx"]), how)
-
-    left = sided(docs, gone, "left_anti")
-    if twice.isEmpty():
-        return left
-    again = sided(left, twice, "left_semi").withColumn("_gx", F.xxhash64(text_col)).dropDuplicates([id_col, "_gx"]).drop("_gx")
-    return sided(left, twice, "left_anti").unionByName(again)
+        return df.join(ids, key.eqNullSafe(F.col("_gid")) & (x == F.col("_gx")), how)
+
+    left = sided(rows, gone, "left_anti")
+    if not twice.isEmpty():
+        again = sided(left, twice, "left_semi").withColumn("_gx", x).dropDuplicates([f"c{names.index(id_col)}", "_gx"]).drop("_gx")
+        left = sided(left, twice, "left_anti").unionByName(again)
+    return left.toDF(*names)
