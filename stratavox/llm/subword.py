@@ -1,9 +1,11 @@
 """Streaming Viterbi encoding and decoding with a SentencePiece vocabulary.
 
-Pieces score by a Zipf law over the vocabulary's own ranking, -ln(rank + 1), as a merge-ranked vocabulary holds no
-probabilities; characters without a piece fall back to their UTF-8 bytes at a fixed extra cost. Best paths are kept for the
-boundaries that a future piece could still start from, a window of the longest piece. Once all of them trace back through one
-boundary, the ids before it are committed, so memory does not grow with the text.
+Pieces score by a Zipf law over the vocabulary's own ranking, the logarithm of 1 / ((rank + 1) H) with H the sum of 1 / (rank + 1), as
+a merge-ranked vocabulary holds no probabilities; characters without a piece fall back to their UTF-8 bytes at a fixed extra cost.
+Best paths are kept for the boundaries that a future piece could still start from, a window of the longest piece. Once all of
+them trace back through one boundary, the ids before it are committed, so memory does not grow with the text. A text whose
+paths never meet, as a run of one letter can be, commits the best path so far once WINDOW longest pieces are held; that costs
+it at most about a piece each time.
 """
 
 from __future__ import annotations
@@ -46,133 +48,143 @@ class Vocabulary:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 plain.append((-sp.get_score(i), i, p.replace(SPACE_MARK, " ")))
                 self.bytes[i] = plain[-1][2].encode()
+        norm = math.log(sum(1 / (r + 1) for r in range(len(plain))) or 1)
         for rank, (_, i, p) in enumerate(sorted(plain)):
-            self.pieces[p] = (i, -round(UNIT * math.log(rank + 1)))
+            self.pieces[p] = (i, -round(UNIT * (math.log(rank + 1) + norm)))
         self.longest = max(map(len, self.pieces), default=1)
-        self.endings = {p[k:] for p in self.pieces for k in range(len(p))}
+        #: Every ending of a piece, with (id, score) if it is a piece itself and else with an empty tuple.
+        self.endings: dict[str, tuple[int, int] | tuple[()]] = {p[k:]: () for p in self.pieces for k in range(len(p))} | self.pieces
         # No piece crosses the start of a run of spaces, nor a line break or tab without a piece of its own: paths always meet there.
         solo = "".join(c for c in "\n\r\t" if not any(c in p for p in self.pieces))
         crossing = any(" " in p.lstrip(" ") for p in self.pieces)
         self.cut = re.compile(r"(?s).+" if crossing else rf"[{solo}]|[ ]*[^ {solo}]+|[ ]+" if solo else r"[ ]*[^ ]+|[ ]+")
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.stream = StreamingViterbi(self)
 
     def fallback(self, c: str) -> tuple[tuple[int, ...], int]:
         raw = c.encode("utf-8", "surrogatepass")
         return tuple(self.byte_ids[b] for b in raw), -BYTE_COST * len(raw)
 
 
+#: Most boundaries held, in longest pieces.
+WINDOW = 64
+
+
 class StreamingViterbi:
     """push() characters in any portions and finish(); both return the ids that are certain by then. Ties go to the longer last piece."""
 
     def __init__(self, vocab: Vocabulary):
-        self.v, self.tail = vocab, ""
-        self.scores: list[int] = [0]  # of the boundaries from `base` on
-        self.back: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-        self.base = 0
+        self.v = vocab
         self.held = 0  # most boundaries ever held
+        self._restart("")
+
+    def _restart(self, tail: str) -> None:
+        """Holds one boundary, with `tail` as the characters before it."""
+        self.tail = tail
+        self.scores: list[int] = [0]  # of the boundaries held
+        self.back: list[int] = [0]  # length of the last piece of the best path to each
+        self.ids: list = [None]  # and its id, or ids of bytes
+        self.look = 4 * self.v.longest
 
     def push(self, text: str) -> list[int]:
-        v, out = self.v, []
-        for c in text:
-            self.tail = (self.tail + c)[-v.longest :]
-            at = self.base + len(self.scores)  # the new boundary
-            best, via = LEAST, None
-            for n in range(1, min(len(self.tail), at - self.base) + 1):
-                part = self.tail[-n:]
-                if part not in v.endings:
-                    break
-                if part in v.pieces:
-                    i, s = v.pieces[part]
-                    s += self.scores[at - n - self.base]
-                    if s >= best:
-                        best, via = s, (at - n, (i,))
-            if c not in v.pieces:
-                ids, s = v.fallback(c)
-                s += self.scores[-1]
-                if s > best:
-                    best, via = s, (at - 1, ids)
-            self.scores.append(best)
-            self.back.append(via)
-            self.held = max(self.held, len(self.scores))
-            if len(self.scores) > 4 * v.longest and len(self.scores) % v.longest == 0:
-                out += self._commit(v.longest)
+        v, out, longest, get = self.v, [], self.v.longest, self.v.endings.get
+        buf = self.tail + text
+        scores, back, ids = self.scores, self.back, self.ids
+        for at in range(len(self.tail) + 1, len(buf) + 1):
+            c = buf[at - 1]
+            got = get(c)
+            if got:
+                best, size, via = scores[-1] + got[1], 1, got[0]
+            else:
+                via, best = v.fallback(c)
+                best, size = best + scores[-1], 1
+            if got is not None:
+                for n in range(2, min(longest, len(scores)) + 1):
+                    got = get(buf[at - n : at])
+                    if got:
+                        s = scores[-n] + got[1]
+                        if s >= best:
+                            best, size, via = s, n, got[0]
+                    elif got is None:
+                        break
+            scores.append(best)
+            back.append(size)
+            ids.append(via)
+            if len(scores) >= self.look:
+                self.held = max(self.held, len(scores))
+                out += self._commit(longest)
+                if len(scores) >= WINDOW * longest:
+                    out += self._force(buf[max(0, at - 2 * longest) : at])
+                    scores, back, ids = self.scores, self.back, self.ids
+                self.look = max(4 * longest, min(2 * len(scores), WINDOW * longest))
+        self.held = max(self.held, len(scores))
+        self.tail = buf[-longest:]
+        return out
+
+    def _take(self, to: int) -> list[int]:
+        """Ids of the best path to a held boundary; what is before it is let go."""
+        found, b = [], to
+        while b > 0:
+            found.append(self.ids[b])
+            b -= self.back[b]
+        out: list[int] = []
+        for x in reversed(found):
+            if isinstance(x, tuple):
+                out += x
+            else:
+                out.append(x)
+        low = self.scores[to]
+        self.scores[:] = [s - low for s in self.scores[to:]]
+        del self.back[:to], self.ids[:to]
         return out
 
     def _commit(self, alive: int) -> list[int]:
-        top = self.base + len(self.scores) - 1
-        paths = {b for b in range(max(self.base, top - alive + 1), top + 1)}
-        while len(paths) > 1:  # all surviving paths back to where they meet
-            last = max(paths)
-            paths.discard(last)
-            paths.add(self.back[last - self.base][0])
-        meet = paths.pop()
-        if meet <= self.base:
-            return []
-        ids: list[int] = []
-        b = meet
-        while b > self.base:
-            prev, own = self.back[b - self.base]
-            ids[:0] = own
-            b = prev
-        keep = meet - self.base
-        low = self.scores[keep]
-        self.scores = [s - low for s in self.scores[keep:]]
-        self.back = self.back[keep:]
-        self.base = meet
-        return ids
+        """Ids up to the last boundary that the best paths to the last `alive` boundaries all run through."""
+        top = len(self.scores) - 1
+        paths = set(range(max(0, top - alive + 1), top + 1))
+        b = top
+        while len(paths) > 1:
+            if b in paths:
+                paths.discard(b)
+                paths.add(b - self.back[b])
+            b -= 1
+        return self._take(paths.pop())
+
+    def _force(self, recent: str) -> list[int]:
+        """Ids of the best path up to a longest piece before the end; the characters after it, the last of `recent`, are gone over again."""
+        top = b = len(self.scores) - 1
+        while b > 0 and top - b < self.v.longest:
+            b -= self.back[b]
+        out = self._take(b)
+        again = recent[len(recent) - (top - b) :]
+        self._restart("")
+        return out + self.push(again)
 
     def finish(self) -> list[int]:
-        ids = self._commit(1)
-        self.__init__(self.v)
-        return ids
-
-
-def _solve(v: Vocabulary, seg: str) -> tuple[int, ...]:
-    """Best path of one short segment; equal to streaming it."""
-    n = len(seg)
-    if n > 48:
-        s = StreamingViterbi(v)
-        return tuple(s.push(seg) + s.finish())
-    scores, back = [0], [(0, ())]
-    pieces, endings = v.pieces, v.endings
-    for at in range(1, n + 1):
-        best, via = LEAST, None
-        for start in range(at - 1, max(-1, at - v.longest - 1), -1):
-            part = seg[start:at]
-            got = pieces.get(part)
-            if got is not None:
-                s = scores[start] + got[1]
-                if s >= best:
-                    best, via = s, (start, (got[0],))
-            elif part not in endings:
-                break
-        if seg[at - 1] not in pieces:
-            ids, s = v.fallback(seg[at - 1])
-            if scores[-1] + s > best:
-                best, via = scores[-1] + s, (at - 1, ids)
-        scores.append(best)
-        back.append(via)
-    out: tuple[int, ...] = ()
-    while n:
-        n, own = back[n]
-        out = own + out
-    return out
+        out = self._commit(1)
+        self._restart("")
+        return out
 
 
-def encode(v: Vocabulary, text: str | None, memo_size: int = 500_000) -> list[int]:
-    """Ids of a text, with a leading space as these vocabularies expect; repeated segments are solved once. Null and empty texts have none."""
+def encode(v: Vocabulary, text: str | None, memo_size: int = 500_000, memo_chars: int = 48) -> list[int]:
+    """Ids of a text, with a leading space as these vocabularies expect. Null and empty texts have none.
+
+    The text is streamed in stretches between places where all paths meet, whatever comes; the ids of short stretches, words
+    mostly, are remembered.
+    """
     if not text:
         return []
     out: list[int] = []
-    memo = v.memo
+    memo, stream = v.memo, v.stream
     for seg in v.cut.findall(" " + text):
         ids = memo.get(seg)
         if ids is None:
-            ids = _solve(v, seg)
-            if len(seg) <= 48:
+            ids = stream.push(seg)
+            ids += stream.finish()
+            if len(seg) <= memo_chars:
                 if len(memo) >= memo_size:
                     memo.clear()
-                memo[seg] = ids
+                memo[seg] = tuple(ids)
         out += ids
     return out
 
