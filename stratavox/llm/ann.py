@@ -119,8 +119,9 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
     """query_id, rank, vec_id, score: the k nearest other rows found for each row that is_query holds for (a condition on "id").
 
     Score is the Euclidean distance in double precision; ties go to the smaller id. Vectors that are null, zero or hold null or
-    non-finite components take no part, nor do null ids; rows equal in id and vector count once. Vectors of different lengths
-    are never compared. Equal vectors are one point of the graph, with its k + 1 least ids, so copies cost and hide nothing.
+    non-finite components take no part, nor do null ids; rows equal in id and vector count once. Of rows equal in id only, each
+    is a point and each a query; the id is listed once, at the least distance found, and never for itself. Vectors of different
+    lengths are never compared. Equal vectors are one point of the graph, with its k + 1 least ids, so copies cost and hide nothing.
     """
     rows = stage(_clean(vectors, id_col, vec_col))
     spark = rows.sparkSession
@@ -149,7 +150,9 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
     q = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("blk"), F.size("vec").alias("dim"))
     blocks = q.groupBy("dim", "blk").agg(F.collect_list(F.struct("id", "vec")).alias("qs"))  # about `block` queries
     groups = -(-n_blocks // blocks_per_group)
-    to = graphs.select("shard", "dim").join(blocks.withColumn("grp", F.pmod("blk", F.lit(groups))), "dim").select(F.col("shard").alias("to"), F.col("grp").alias("to_grp"), "qs")
+    # Every block goes to every shard of its length, under a key of shard and group, so that no key holds more than blocks_per_group blocks.
+    each = blocks.withColumn("grp", F.pmod("blk", F.lit(groups))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    to = each.select(F.concat_ws("-", "dim", "part").alias("to"), F.col("grp").alias("to_grp"), "qs")
     held = graphs.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("grp", F.col("grp").cast(to.schema["to_grp"].dataType))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -176,4 +179,5 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id", vec
 
     hits = held.groupBy("shard", "grp").cogroup(to.groupBy("to", "to_grp")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return hits.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    hits = hits.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
