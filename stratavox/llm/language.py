@@ -8,6 +8,7 @@ entropy; the language of least entropy wins.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.common import column, crc_mod, map_batches
 
-_GAP = re.compile(r"[\W\d_]+")
+#: Numerals that count as word characters but are no letters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_GAP = re.compile(rf"[\W\d_{_NUMERALS}]+")
 UNKNOWN, SPACE = 0, 1
 
 
@@ -146,30 +149,23 @@ class CrossParser:
         return langs, scores
 
 
-def fit_languages(docs: DataFrame, chars_per_lang: int = 24_000, docs_per_lang: int = 64, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:
-    """Fit on a bounded sample: about docs_per_lang rows of each language, chosen by a hash of the id, outside the held-out fold.
+def fit_languages(docs: DataFrame, chars_per_lang: int = 32_000, docs_per_lang: int = 64, text_chars: int = 4000, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:
+    """Fit on a bounded sample of whole texts: about docs_per_lang rows of each language, chosen by a hash of the id, outside the
+    held-out fold and of at most text_chars characters; of these as many as reach chars_per_lang characters.
 
-    Of these, equal slices up to chars_per_lang characters a language. Null ids, texts and languages take no part.
+    Null ids, texts and languages take no part, nor do rows with longer texts.
     """
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (crc_mod(id_col, folds) != held_out))
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(F.length("_text").between(1, text_chars))
     counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     wanted = F.lit(False)
     for lang, n in counts.items():
-        wanted = wanted | ((F.col("_lang") == lang) & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, docs_per_lang / n))))
-    texts: dict[str, list[str]] = {}
-    rows = rows.withColumn("_text", F.substring("_text", 1, 2 * chars_per_lang))  # of the sample only: bounds what comes to the driver
+        wanted = wanted | ((F.col("_lang") == lang) & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, docs_per_lang / n)) + 1))
+    samples: dict[str, str] = {}
     for r in rows.filter(wanted).orderBy(F.xxhash64("_id"), "_id", "_text").limit(4 * docs_per_lang * max(1, len(counts))).collect():
-        if clean := normalise(r["_text"]):
-            texts.setdefault(r["_lang"], []).append(clean)
-    samples = {}
-    for lang, found in texts.items():
-        share, out = max(200, chars_per_lang // len(found)), ""
-        for again in (0, share):  # a second slice of each where the first ones leave room
-            for t in found:
-                if len(out) < chars_per_lang and len(t) > again:
-                    out += t[again : again + (share if again == 0 else chars_per_lang)][: chars_per_lang - len(out)] + " "
-        samples[lang] = out
+        have = samples.get(r["_lang"], "")
+        if len(have) < chars_per_lang and (clean := normalise(r["_text"])):
+            samples[r["_lang"]] = have + clean + " "
     return CrossParser.fit(samples)
 
 
