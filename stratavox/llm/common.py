@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read and write: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder every executor can read and write: spark.checkpoint.dir. Only a local session may leave it unset and gets a
+    temporary one; on a cluster that is an error, as executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = "file://" + tempfile.mkdtemp(prefix="stratavox-")
     return shared_dir.own
@@ -74,7 +77,7 @@ BATCH_ROWS = 500
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, with its session's Arrow batches limited to BATCH_ROWS rows."""
+    """df, with its session's Arrow batches limited to BATCH_ROWS rows, a setting of the session that stays (README, "Scale")."""
     spark = df.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
@@ -152,5 +155,13 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix64(h)
 
 
+def free_names(taken: list[str], *wanted: str) -> tuple[str, ...]:
+    """The wanted names, with underscores before them until none of them is taken."""
+    low = {t.lower() for t in taken}
+    while low & {w.lower() for w in wanted}:
+        wanted = tuple("_" + w for w in wanted)
+    return wanted
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

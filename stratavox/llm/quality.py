@@ -110,37 +110,39 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: i
     return fm
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, folds: int = 5, held_out: int = 0, text_col: str = "text", id_col: str = "doc_id", meta_col: str = "n_chars") -> FactorisationMachine:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, folds: int = 5, held_out: int = 0, text_chars: int = 50_000, text_col: str = "text", id_col: str = "doc_id", meta_col: str = "n_chars") -> FactorisationMachine:
     """Fit on at most `sample` labelled rows, those of least xxhash64 of the id, outside the held-out fold.
 
-    Of several labels of an id the mean counts (0.5 and more is 1); null ids, null labels and ids without a document take no part.
+    Of several labels of an id the mean counts (0.5 and more is 1), of several documents one; null ids, null labels, ids without
+    a document and documents of more than text_chars characters take no part. What comes to the driver is bounded by both limits.
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & (crc_mod(id_col, folds) != held_out))
     picked = usable.groupBy(F.col(id_col).alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(meta_col).cast("long").alias("_n")).join(F.broadcast(picked), "_id")
+    rows = rows.filter(F.coalesce(F.length("_text"), F.lit(0)) <= text_chars)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fs = [features(t, n) for t, n in zip(column(b, "_text"), column(b, "_n"), strict=True)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("_y")), pa.array([f[0].astype(np.int32).tobytes() for f in fs], pa.binary()), pa.array([f[1].tobytes() for f in fs], pa.binary())], names=["_id", "_y", "i", "v"])
 
     id_type = rows.schema["_id"].dataType.simpleString()
-    got = map_batches(rows, f"_id {id_type}, _y int, i binary, v binary", run).toPandas()
-    got = got.sort_values(["_id", "i"]).head(sample) if len(got) else got
+    found = map_batches(rows, f"_id {id_type}, _y int, i binary, v binary", run)
+    got = found.groupBy("_id").agg(F.min(F.struct("i", "v", "_y")).alias("x")).select("_id", "x.*").toPandas()
+    got = got.sort_values("_id") if len(got) else got
     feats = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32)) for i, v in zip(got["i"], got["v"], strict=True)]
     return train(feats, got["_y"].to_numpy(dtype=np.float32))
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3, text_col: str = "text", meta_col: str = "n_chars", out: tuple[str, str] = ("score", "predicted"), keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The kept columns of docs (all, by default), score in [0, 1] and predicted. Null and empty texts are scored by their statistics.
+    """The kept columns of docs (all, by default, but for ones named as the new columns), score in [0, 1] and predicted. Null and empty texts are scored by their statistics.
 
     The model, a fixed 1.2 MB whatever the data, goes to the workers by a Spark broadcast variable.
     """
-    keep = tuple(docs.columns) if keep is None else keep
-    clash = {c for c in keep if c in out}
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep if c not in clash], F.col(text_col).alias("_text"), F.col(meta_col).cast("long").alias("_n"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_text"), F.col(f"`{meta_col}`").cast("long").alias("_n"))
     fields = rows.schema.fields[:-2]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {out[0]} double, {out[1]} int"
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], "score double, predicted int"])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fm, texts, metas, scores = shared.value, column(b, "_text"), column(b, "_n"), []
@@ -150,6 +152,6 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
             z = fm.raw(np.concatenate([f[0] for f in fs]), np.concatenate([f[1] for f in fs]), starts)
             scores.append(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))))
         s = np.concatenate(scores)
-        return pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(fields))], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*[f.name for f in fields], *out])
+        return pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(fields))], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*[f.name for f in fields], "score", "predicted"])
 
-    return map_batches(rows, schema, run)
+    return map_batches(rows, schema, run).toDF(*keep, *out)
