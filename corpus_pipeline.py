@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm.common import stage, table
+from stratavox.llm.common import free_names, stage, table
 from stratavox.llm.near_dedup import drop_near_duplicates
 from stratavox.llm.packing import assign_sequences, tokenize_pieces
 from stratavox.llm.pii import redact_pii
@@ -20,7 +20,8 @@ from stratavox.llm.substring_dedup import remove_repeats
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, out=("_score", "_predicted")).filter("_predicted = 1").select(*docs.columns)
+    score, predicted = free_names(docs.columns, "_score", "_predicted")
+    return score_quality(docs, model, out=(score, predicted)).filter(F.col(predicted) == 1).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
