@@ -30,6 +30,11 @@ def _columns(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", *[c.alias(n) for n, c in cols.items()])
 
 
+def _generated(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows for which the condition holds, by a generator: a filter would be pushed below the projections and repeat their arithmetic."""
+    return _columns(df, _hit=F.explode_outer(F.when(condition, F.array(F.lit(1))))).filter("_hit is not null").drop("_hit")
+
+
 def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] = (0, 0, 0), up: tuple[int, int, int] = (0, 0, MATRIX_RESOLUTION), window: tuple[tuple[int, int, int], tuple[int, int, int]] | None = None, dz_per_distance: int | None = None, keys: tuple[str, ...] = ("scan_id", "idx"), origin: str = "corner") -> DataFrame:
     """Cells each point updates: keys, len, step, ix, iy, iz, value, weight (negative where interpolated). Integers throughout.
 
@@ -42,13 +47,13 @@ def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] =
     start = [p * res + (res // 2 if origin == "centre" else 0) for p in pos]
     m = MATRIX_RESOLUTION
 
-    def bounded(df: DataFrame, cells: list[Column]) -> DataFrame:
+    def inside(cells: list[Column]) -> Column:
         if window is None:
-            return df
-        return df.filter(in_bounds(cells[0], window[0][0], window[1][0]) & in_bounds(cells[1], window[0][1], window[1][1]) & in_bounds(cells[2], window[0][2], window[1][2]))
+            return F.lit(True)
+        return in_bounds(cells[0], window[0][0], window[1][0]) & in_bounds(cells[1], window[0][1], window[1][1]) & in_bounds(cells[2], window[0][2], window[1][2])
 
     df = points.select(*keys, *[lng(a).alias(a) for a in AXES])
-    df = bounded(df, [cell_trunc(a, res) for a in AXES])
+    df = df.filter(inside([cell_trunc(a, res) for a in AXES]))
     df = _columns(df, **{f"d{a}": F.col(a) - start[i] for i, a in enumerate(AXES)})
     # Zero lengths become nulls and empty outer generators, not filters, which would be pushed below the projections and repeat
     # their arithmetic there (plain generators infer such filters themselves).
@@ -64,9 +69,10 @@ def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] =
     df = _columns(df, len=F.explode_outer(F.when(F.col("vx").isNotNull(), F.sequence(F.lit(1).cast("bigint"), F.col("dist") + tau, F.lit(step).cast("bigint"))))).filter("len is not null")
     df = _columns(df, **{f"p{a}": F.lit(start[i]) + idiv(F.col(f"d{a}") * F.col("len"), "dist") for i, a in enumerate(AXES)})
     df = _columns(df, **{f"i{a}": cell_trunc(f"p{a}", res) for a in AXES})
-    along = Window.partitionBy(*keys, *AXES).orderBy("len")
-    df = _columns(df, lx=F.lag("ix", 1, 0).over(along), ly=F.lag("iy", 1, 0).over(along)).filter("not (ix = lx and iy = ly)")
-    df = bounded(df, [F.col(f"i{a}") for a in AXES])
+    # The cell of the step before is computed again rather than fetched, which would take a sort.
+    before = [cell_trunc(F.lit(start[i]) + idiv(F.col(f"d{a}") * (F.col("len") - step), "dist"), res) for i, a in enumerate(AXES[:2])]
+    moved = F.when(F.col("len") > 1, (F.col("ix") != before[0]) | (F.col("iy") != before[1])).otherwise((F.col("ix") != 0) | (F.col("iy") != 0))
+    df = _generated(df, moved & inside([F.col(f"i{a}") for a in AXES]))
     centre = [F.col(a) - (F.col(f"i{a}") * res + res // 2) for a in AXES]
     df = _columns(df, near=F.least(_norm3(centre), F.lit(tau)))
     df = _columns(df, value=F.when(F.col("len") > F.col("dist"), -F.col("near")).otherwise(F.col("near")))
@@ -76,17 +82,47 @@ def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] =
     lowest = [F.col(f"p{a}") - idiv(F.col("fan") * F.col(f"v{a}"), m) for a in AXES]
     spots = [cell_trunc(lo + idiv(F.col("step") * res * F.col(f"v{a}"), m), res) for lo, a in zip(lowest, AXES, strict=True)]
     df = df.select(*keys, *AXES, "len", "step", *[c.alias(f"i{a}") for c, a in zip(spots, AXES, strict=True)], "value", F.when(F.col("step") == F.col("mid"), F.col("weight")).otherwise(-F.col("weight")).alias("weight"))
-    return bounded(df, [F.col(f"i{a}") for a in AXES])
+    return _generated(df, inside([F.col(f"i{a}") for a in AXES])) if window is not None else df
+
+
+#: Bits of the packed keys of merge_nearest: distance, weight, and the order's parts. What does not fit is clipped, which
+#: only matters between equal distances.
+_BITS = {"value": 15, "weight": 7, "scan_id": 39, "idx": 18, "len": 17, "step": 4}
 
 
 def merge_nearest(cells: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("scan_id", "idx", "x", "y", "z", "len", "step")) -> DataFrame:
     """A2, canonical rule: direct hits before interpolated ones, then least |value|, then first in order.
 
-    A bounded aggregate that combines before the shuffle; the result does not depend on partitioning.
+    Two hash aggregates of one packed long each, within scans and then over scans, that combine before the shuffle; the first
+    needs no shuffle where points are dealt by scan. Values are 16-bit as stored, new weights below 128. Other orders than the
+    ray march's take a sorting aggregate. The result does not depend on partitioning.
     """
-    by = F.struct((F.col("weight") < 0).cast("int").alias("i"), F.abs("value").alias("a"), *order)
-    g = cells.groupBy(*keys, "ix", "iy", "iz").agg(F.min_by(F.struct("value", "weight"), by).alias("e"))
-    return g.select(*keys, "ix", "iy", "iz", F.col("e.value").alias("value"), F.col("e.weight").alias("weight"))
+    if order[:2] != ("scan_id", "idx") or set(order) - {"scan_id", "idx", *AXES, "len", "step"}:
+        by = F.struct((F.col("weight") < 0).cast("int").alias("i"), F.abs("value").alias("a"), *order)
+        g = cells.groupBy(*keys, "ix", "iy", "iz").agg(F.min_by(F.struct("value", "weight"), by).alias("e"))
+        return g.select(*keys, "ix", "iy", "iz", F.col("e.value").alias("value"), F.col("e.weight").alias("weight"))
+
+    def packed(parts: list[tuple[Column, int]]) -> Column:
+        key = parts[0][0]
+        for c, n in parts[1:]:
+            key = F.shiftleft(key, n).bitwiseOR(c)
+        return key
+
+    def clipped(c: str) -> tuple[Column, int]:
+        return F.least(lng(c), F.lit((1 << _BITS[c]) - 1)), _BITS[c]
+
+    fits = (F.abs("value") < 1 << _BITS["value"]) & (F.abs("weight") < 1 << _BITS["weight"])
+    entry = [((F.col("value") < 0).cast("bigint"), 1), (F.abs("weight"), _BITS["weight"])]
+    first = packed([((F.col("weight") < 0).cast("bigint"), 1), (F.abs("value"), _BITS["value"]), *[clipped(c) for c in ("idx", "len", "step") if c in order], *entry])
+    rank = sum(_BITS[c] for c in ("idx", "len", "step") if c in order)
+    low = 1 + _BITS["weight"]
+    g = cells.groupBy(*keys, "scan_id", "ix", "iy", "iz").agg(F.min(F.when(fits, first).otherwise(F.raise_error("value or weight out of range").cast("bigint"))).alias("k"))
+    over = packed([(F.shiftright("k", rank + low), 1), clipped("scan_id"), (F.col("k").bitwiseAND(F.lit((1 << low) - 1)), low)])
+    g = g.groupBy(*keys, "ix", "iy", "iz").agg(F.min(over).alias("k"))
+    part = lambda at, n: F.shiftright("k", at).bitwiseAND(F.lit((1 << n) - 1))
+    size, weight = part(low + _BITS["scan_id"], _BITS["value"]), part(0, _BITS["weight"])
+    top = low + _BITS["scan_id"] + _BITS["value"]
+    return g.select(*keys, "ix", "iy", "iz", F.when(part(_BITS["weight"], 1) == 1, -size).otherwise(size).alias("value"), F.when(part(top, 1) == 1, -weight).otherwise(weight).alias("weight"))
 
 
 def merge_in_order(cells: DataFrame, order: tuple[str, ...] = ("scan_id", "idx", "x", "y", "z", "len", "step")) -> DataFrame:
@@ -153,11 +189,10 @@ def splat(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] = (0,
         column = Window.partitionBy(*keys, *AXES, "la", "lb").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn("_past", F.max((F.col("near") > tau).cast("int")).over(column)).filter("_past = 0")
     else:
-        # Generated rather than filtered, as a filter and the null checks it implies would repeat the arithmetic below the projections.
         inside = F.col("near") <= tau
         if window is not None:
             inside = inside & in_bounds("ix", window[0][0], window[1][0]) & in_bounds("iy", window[0][1], window[1][1]) & in_bounds("iz", window[0][2], window[1][2])
-        df = _columns(df, _hit=F.explode_outer(F.when(inside, F.array(F.lit(1))))).filter("_hit is not null").dropDuplicates([*keys, *AXES, "ix", "iy", "iz"])
+        df = _generated(df, inside).dropDuplicates([*keys, *AXES, "ix", "iy", "iz"])
     df = _columns(df, value=F.when(F.col("front") > 0, -F.col("near")).otherwise(F.col("near")))
     df = df.select(*keys, "ix", "iy", "iz", "value", idiv(tsdf_weight("value", tau) * F.col("acc"), m).alias("weight")).filter("weight <> 0")
     if window is not None and stop_early:

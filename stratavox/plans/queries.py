@@ -45,8 +45,9 @@ def _turn(degrees: float, tx: float, ty: float, tz: float) -> list[list[int]]:
 
 
 POSE = _turn(5, 100, -50, 20)
-RES, TAU, HALF = 500, 1500, 8
-WINDOW = ((0, 0, 0), (17, 17, 17))
+#: A map of 2 m cells whose window of 122 m holds all points of the table.
+RES, TAU, HALF = 2000, 6000, 30
+WINDOW = ((0, 0, 0), (61, 61, 61))
 XYZ = "x, y, z"
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +315,8 @@ def _rays(spark, sf, where: str = "true", dz: int | None = None) -> DataFrame:
 
 
 _DZ = TD.beam_spread()
+#: Vertical spread of the fanned queries, wider than a beam's so that fans hold several cells.
+FAN = 2000
 
 
 @query(f"WITH {S.rays(RES, TAU, HALF, _DZ)} SELECT scan_id, idx, len, step, ix, iy, iz, value, weight FROM cells")
@@ -321,21 +324,21 @@ def ray_march_cells(spark, sf):
     return _rays(spark, sf).drop("x", "y", "z")
 
 
-@query(f"WITH {S.rays(RES, TAU, HALF, 8000)} SELECT scan_id, idx, len, step, ix, iy, iz, value, weight FROM cells")
+@query(f"WITH {S.rays(RES, TAU, HALF, FAN)} SELECT scan_id, idx, len, step, ix, iy, iz, value, weight FROM cells")
 def ray_march_fan(spark, sf):
-    return _rays(spark, sf, dz=8000).drop("x", "y", "z")
+    return _rays(spark, sf, dz=FAN).drop("x", "y", "z")
 
 
-@query(f"WITH {S.rays(RES, TAU, HALF, 8000)}, {S.merged()} SELECT * FROM voxels")
+@query(f"WITH {S.rays(RES, TAU, HALF, FAN)}, {S.merged()} SELECT * FROM voxels")
 def ray_merge_min(spark, sf):
-    return TD.merge_nearest(_rays(spark, sf, dz=8000))
+    return TD.merge_nearest(_rays(spark, sf, dz=FAN))
 
 
 def _state(spark, sf, parity: int) -> DataFrame:
-    return TD.merge_nearest(_rays(spark, sf, f"scan_id % 2 = {parity}", 8000))
+    return TD.merge_nearest(_rays(spark, sf, f"scan_id % 2 = {parity}", FAN))
 
 
-_TWO = f"{S.rays(RES, TAU, HALF, 8000)}, even AS (SELECT * FROM cells WHERE scan_id % 2 = 0), odd_ AS (SELECT * FROM cells WHERE scan_id % 2 = 1), {S.merged('a', 'even')}, {S.merged('b', 'odd_')}"
+_TWO = f"{S.rays(RES, TAU, HALF, FAN)}, even AS (SELECT * FROM cells WHERE scan_id % 2 = 0), odd_ AS (SELECT * FROM cells WHERE scan_id % 2 = 1), {S.merged('a', 'even')}, {S.merged('b', 'odd_')}"
 _UPSERT = f"""{_TWO}, j AS (SELECT coalesce(a.ix, b.ix) AS ix, coalesce(a.iy, b.iy) AS iy, coalesce(a.iz, b.iz) AS iz, a.value AS v, a.weight AS w, b.value AS nv, b.weight AS nw
   FROM a FULL JOIN b ON a.ix = b.ix AND a.iy = b.iy AND a.iz = b.iz),
 up AS (SELECT ix, iy, iz, coalesce(CASE WHEN w > 0 AND nw > 0 THEN (v * w + nv * nw) // (w + nw) WHEN nw IS NOT NULL AND nw <> 0 AND NOT coalesce(w > 0, false) THEN nv ELSE v END, nv) AS value,
