@@ -116,15 +116,30 @@ def inverse_rigid4(m: Column) -> Column:
     return F.array(*rows, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
 
 
+def _minor(m: Column, n: int, rows: list[int], cols: list[int]) -> Column:
+    if len(rows) == 1:
+        return m[rows[0] * n + cols[0]]
+    terms = [m[rows[0] * n + c] * _minor(m, n, rows[1:], [x for x in cols if x != c]) * float((-1) ** k) for k, c in enumerate(cols)]
+    return sum(terms[1:], terms[0])
+
+
+def det4(m: Column) -> Column:
+    """E33."""
+    return _minor(m, 4, [0, 1, 2, 3], [0, 1, 2, 3])
+
+
+def inverse4(m: Column) -> Column:
+    """Any 4x4 matrix by its adjugate; entries are null where the determinant is zero."""
+    d = F.nullif(det4(m), F.lit(0.0))
+    rest = lambda x: [i for i in range(4) if i != x]
+    return F.array(*[_minor(m, 4, rest(j), rest(i)) * float((-1) ** (i + j)) / d for i in range(4) for j in range(4)])
+
+
 def outer(a: Column, n: int) -> Column:
     """A6."""
     return F.array(*[a[i] * a[j] for i in range(n) for j in range(n)])
 
 
-def numpy_det(m: np.ndarray) -> float:
-    return float(np.linalg.det(m))
-
-
 # ---------------------------------------------------------------- rotations
 
 
@@ -147,24 +162,50 @@ def euler_rotation(ax: Column, ay: Column, az: Column) -> Column:
     return F.array(cy * cz, -cy * sz, sy, cx * sz + sx * sy * cz, cx * cz - sx * sy * sz, -sx * cy, sx * sz - cx * sy * cz, sx * cz + cx * sy * sz, cx * cy)
 
 
+#: Coefficients of the published arc tangent approximation (fixed values).
+ATAN_LINEAR, ATAN_SQUARE = 0.2447, 0.0663
+
+
 def fast_atan(x: Column) -> Column:
-    """A rational approximation of the arc tangent, within 0.005 rad."""
-    small = x / (1 + 0.28125 * x * x)
-    large = F.signum(x) * (np.pi / 2) - x / (x * x + 0.28125)
-    return F.when(F.abs(x) <= 1, small).otherwise(large)
+    """Arc tangent on -1..1, within 0.0015 rad."""
+    return x * (np.pi / 4) - x * (F.abs(x) - 1) * (F.abs(x) * ATAN_SQUARE + ATAN_LINEAR)
 
 
 def fast_atan2(y: Column, x: Column) -> Column:
-    at = fast_atan(y / F.nullif(x, F.lit(0.0)))
-    return F.when(x > 0, at).when((x < 0) & (y >= 0), at + np.pi).when(x < 0, at - np.pi).when(y > 0, F.lit(np.pi / 2)).when(y < 0, F.lit(-np.pi / 2)).otherwise(F.lit(0.0))
+    """The angle of (x, y) in -pi..pi; 0 at the origin. The smaller part over the larger one goes into fast_atan()."""
+    upper = F.when(y >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    flat = fast_atan(y / F.nullif(x, F.lit(0.0))) + F.when(x < 0, upper * np.pi).otherwise(F.lit(0.0))
+    steep = upper * (np.pi / 2) - fast_atan(x / F.nullif(y, F.lit(0.0)))
+    return F.when(F.abs(y) < F.abs(x), flat).otherwise(F.coalesce(steep, F.lit(0.0)))
+
+
+def _parts(p: list[Column], q: list[Column]) -> list[Column]:
+    return [a - b for a, b in zip(p, q, strict=True)]
+
+
+def _crossed(u: list[Column], v: list[Column]) -> list[Column]:
+    return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+
+def _length(w: list[Column]) -> Column:
+    return F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])
 
 
 def point_to_line(p: list[Column], a: list[Column], b: list[Column]) -> Column:
     """|(p - a) x (p - b)| / |a - b|."""
-    u, v, e = [p[i] - a[i] for i in range(3)], [p[i] - b[i] for i in range(3)], [a[i] - b[i] for i in range(3)]
-    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-    size = lambda w: F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])
-    return size(n) / size(e)
+    return _length(_crossed(_parts(p, a), _parts(p, b))) / _length(_parts(a, b))
+
+
+def _by_twist(p: list[Column], grad: list[Column]) -> Column:
+    """Derivative by a twist (rotation, translation) on the left of what has the gradient `grad` by the point p."""
+    return F.array(*_crossed(p, grad), *grad)
+
+
+def point_to_line_jacobian(p: list[Column], a: list[Column], b: list[Column]) -> Column:
+    """Derivative of point_to_line() by a twist that moves p; null on the line."""
+    n, e = _crossed(_parts(p, a), _parts(p, b)), _parts(a, b)
+    size = F.nullif(_length(n), F.lit(0.0)) * _length(e)
+    return _by_twist(p, [-c / size for c in _crossed(n, e)])
 
 
 def point_to_plane(p: list[Column], normal: list[Column], d: Column) -> Column:
@@ -172,6 +213,55 @@ def point_to_plane(p: list[Column], normal: list[Column], d: Column) -> Column:
     return normal[0] * p[0] + normal[1] * p[1] + normal[2] * p[2] + d
 
 
+def point_to_plane_jacobian(p: list[Column], normal: list[Column]) -> Column:
+    """Derivative of point_to_plane() by a twist that moves p."""
+    return _by_twist(p, normal)
+
+
+# ---------------------------------------------------------------- twists as columns
+
+
+def _affine(rot: list[Column], t: list[Column]) -> Column:
+    """Row-major 4x4 array of a rotation (9) and a translation (3)."""
+    o, one = F.lit(0.0), F.lit(1.0)
+    return F.array(*rot[0:3], t[0], *rot[3:6], t[1], *rot[6:9], t[2], o, o, o, one)
+
+
+def _skew_series(w: list[Column], a: Column, b: Column) -> list[Column]:
+    """I + a K + b K K, where K is the cross product with w, row-major."""
+    ww = [[w[i] * w[k] for k in range(3)] for i in range(3)]
+    t2 = ww[0][0] + ww[1][1] + ww[2][2]
+    k = {(0, 1): -w[2], (0, 2): w[1], (1, 0): w[2], (1, 2): -w[0], (2, 0): -w[1], (2, 1): w[0]}
+    return [(1 + b * (ww[i][i] - t2)) if i == j else a * k[i, j] + b * ww[i][j] for i in range(3) for j in range(3)]
+
+
+def twist_to_transform(xi: list[Column], centre: list[Column]) -> Column:
+    """E19 as a 4x4 array: rotation by xi[:3] about the centre, then translation by xi[3:]. A zero rotation is the identity."""
+    theta = F.sqrt(xi[0] * xi[0] + xi[1] * xi[1] + xi[2] * xi[2])
+    safe = F.nullif(theta, F.lit(0.0))
+    rot = _skew_series(xi[:3], F.coalesce(F.sin(theta) / safe, F.lit(1.0)), F.coalesce((1 - F.cos(theta)) / (safe * safe), F.lit(0.5)))
+    t = [centre[i] + xi[3 + i] - sum((rot[3 * i + k] * centre[k] for k in range(1, 3)), rot[3 * i] * centre[0]) for i in range(3)]
+    return _affine(rot, t)
+
+
+def se3_exp(xi: list[Column], small: float = 1e-6) -> Column:
+    """E20 as a 4x4 array: exponential of a twist (rotation first), by series below `small`."""
+    t2 = xi[0] * xi[0] + xi[1] * xi[1] + xi[2] * xi[2]
+    theta = F.nullif(F.sqrt(t2), F.lit(0.0))
+    near = theta.isNull() | (theta < small)
+    a = F.when(near, 1 - t2 / 6).otherwise(F.sin(theta) / theta)
+    b = F.when(near, 0.5 - t2 / 24).otherwise((1 - F.cos(theta)) / (theta * theta))
+    c = F.when(near, 1 / 6 - t2 / 120).otherwise((theta - F.sin(theta)) / (theta * theta * theta))
+    left = _skew_series(xi[:3], b, c)
+    t = [left[3 * i] * xi[3] + left[3 * i + 1] * xi[4] + left[3 * i + 2] * xi[5] for i in range(3)]
+    return _affine(_skew_series(xi[:3], a, b), t)
+
+
+def manifold_plus(pose: Column, xi: list[Column]) -> Column:
+    """E24 as a 4x4 array: a pose moved by a twist on its left."""
+    return matmul(se3_exp(xi), pose, 4)
+
+
 # ---------------------------------------------------------------- NumPy forms for solver steps
 
 

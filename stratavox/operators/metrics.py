@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavox.functions.grid import idiv
+from stratavox.operators.timeseries import sliding_mean
 
 
 def runtime_stats(timings: DataFrame, skip: int = 1, key: str = "task", seq: str = "seq", value: str = "micros") -> DataFrame:
@@ -21,6 +22,11 @@ def runtime_stats(timings: DataFrame, skip: int = 1, key: str = "task", seq: str
     return t.groupBy(key).agg(F.count("*").alias("n"), F.max_by(value, seq).alias("last"), F.sum(v).alias("total"), F.min(v).alias("least"), F.coalesce(F.max(F.when(F.col(seq) != F.coalesce("_skip", F.lit(-1)), v)), F.lit(0)).alias("most"), idiv(F.sum(v), F.count("*")).alias("average"))
 
 
+def run_average(timings: DataFrame, n: int = 10, key: str = "task", seq: str = "seq", value: str = "micros") -> DataFrame:
+    """A12's run_avg: the sliding mean of a task's samples, as of its last one."""
+    return sliding_mean(timings, value, n, (key,), (seq,), "run_avg").groupBy(key).agg(F.max_by("run_avg", seq).alias("run_avg"))
+
+
 def runtime_histogram(timings: DataFrame, width: int = 10_000, buckets: int = 10, key: str = "task", value: str = "micros") -> DataFrame:
     """Counts in buckets of `width`; the last is open-ended."""
     return timings.groupBy(key, F.least(idiv(value, width), F.lit(buckets - 1).cast("bigint")).alias("bucket")).agg(F.count("*").alias("n"))

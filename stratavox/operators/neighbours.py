@@ -37,10 +37,22 @@ def box_join(queries: DataFrame, points: DataFrame, half: int, prefix: tuple[str
     return df.drop("bx", "by", "bz")
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, r: int, query_key: list[str], point_key: list[str], prefix: tuple[str, str] = ("q_", "p_")) -> DataFrame:
-    """The k nearest within r of every query, ascending squared distance, ties by the point's key; rank from 1."""
-    w = Window.partitionBy(*[f"{prefix[0]}{c}" for c in query_key]).orderBy("d2", *[f"{prefix[1]}{c}" for c in point_key])
-    return radius_join(queries, points, r, prefix).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def knn_join(queries: DataFrame, points: DataFrame, k: int, r: int, query_key: list[str], point_key: list[str], prefix: tuple[str, str] = ("q_", "p_"), near: int | None = None) -> DataFrame:
+    """The k nearest within r of every query, ascending squared distance, ties by the point's key; rank from 1.
+
+    Queries that have k points within `near` (a quarter of r) are done with those, which are their nearest; only the others look
+    as far as r, so that dense clouds do not form all pairs within r.
+    """
+    q_key = [f"{prefix[0]}{c}" for c in query_key]
+    w = Window.partitionBy(*q_key)
+
+    def ranked(q: DataFrame, reach: int) -> DataFrame:
+        by = w.orderBy("d2", *[f"{prefix[1]}{c}" for c in point_key])
+        return radius_join(q, points, reach, prefix).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+    close = ranked(queries, max(1, r // 4 if near is None else near)).withColumn("_n", F.max("rank").over(w)).filter(F.col("_n") == k).drop("_n")
+    done = close.filter("rank = 1").select(*[F.col(f"{prefix[0]}{c}").alias(c) for c in query_key])
+    return close.unionByName(ranked(queries.join(done, query_key, "left_anti"), r))
 
 
 def accepted(knn: DataFrame, query_key: list[str], k: int, limit2: int) -> DataFrame:

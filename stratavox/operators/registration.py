@@ -51,6 +51,12 @@ def normal_equations(jac: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return jac.groupBy(*keys).agg(*h, *g, F.sum(F.abs("value")).alias("e"), F.count("*").alias("c"))
 
 
+def sums(df: DataFrame, col: str, keys: tuple[str, ...] = (), parts: int = 1, part_of: str | None = None) -> DataFrame:
+    """A4: total of a column, and its split into `parts` by part_of modulo parts."""
+    split = [F.sum(F.when(F.pmod(F.col(part_of), F.lit(parts)) == k, F.col(col)).otherwise(0)).alias(f"part{k}") for k in range(parts)] if part_of else []
+    return df.groupBy(*keys).agg(F.sum(col).alias("total"), *split)
+
+
 def covariance(df: DataFrame, cols: tuple[str, ...], others: tuple[str, ...] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """A5: mean outer product, without subtracting means."""
     others = others or cols

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratavox.functions.linalg import np_quat_of
+from stratavox.functions.linalg import np_quat_of, quat_mul
 
 
 def assign_to_next(samples: DataFrame, scans: DataFrame, ts: str = "ts", by: tuple[str, ...] = (), scan_cols: tuple[str, ...] = ("scan_key",)) -> DataFrame:
@@ -62,6 +62,29 @@ def pose_deltas(poses: DataFrame, by: tuple[str, ...] = ("session",), order: tup
     return poses.withColumns({f"d{a}": F.col(f"t{a}") - F.coalesce(F.lag(f"t{a}").over(w), F.col(f"t{a}")) for a in "xyz"})
 
 
+def rotation_deltas(poses: DataFrame, by: tuple[str, ...] = ("session",), order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Translation difference and rotation difference (unit quaternion dqx..dqw, current times inverse of the last) to the
+    previous pose of a session, from qx..qw; nothing and the identity for the first."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    last = [F.coalesce(F.lag(f"q{a}").over(w), F.col(f"q{a}")) for a in "xyzw"]
+    df = pose_deltas(poses, by, order).select("*", *[c.alias(f"_l{a}") for c, a in zip(last, "xyzw", strict=True)])
+    inverse = [*[-F.col(f"_l{a}") for a in "xyz"], F.col("_lw")]
+    delta = quat_mul([F.col(f"q{a}") for a in "xyzw"], inverse)
+    return df.select(*poses.columns, "dx", "dy", "dz", *[c.alias(f"dq{a}") for c, a in zip(delta, "xyzw", strict=True)])
+
+
+def moved_pose(pose: Column, turn: Column, shift: Column, before: bool = False) -> Column:
+    """A 4x4 pose turned by a 3x3 rotation on its right (its rotation part only), or with before on its left, then shifted on its left."""
+    rot = [[turn[3 * i + k] for k in range(3)] for i in range(3)]
+    cell = lambda i, k: pose[4 * i + k]
+    if before:
+        out = [[sum((rot[i][m] * cell(m, k) for m in (1, 2)), rot[i][0] * cell(0, k)) for k in range(4)] for i in range(3)]
+    else:
+        out = [[*[sum((cell(i, m) * rot[m][k] for m in (1, 2)), cell(i, 0) * rot[0][k]) for k in range(3)], cell(i, 3)] for i in range(3)]
+    rows = [c if k < 3 else c + shift[i] for i in range(3) for k, c in enumerate(out[i])]
+    return F.array(*rows, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+
 def _fold(df: DataFrame, by: str, order: list[str], schema: str, start, step, emit) -> DataFrame:
     """An ordered fold per key with small state: partitions stream through sorted by key, so no group is held whole."""
 

@@ -16,6 +16,11 @@ def surface_points(voxels: DataFrame, tau: int, res: int) -> DataFrame:
     return v.select(*[(F.col(f"i{a}") * res + res // 2).alias(a) for a in "xyz"], red.alias("red"), green.alias("green"))
 
 
+def coloured(points: DataFrame, red: float, green: float, blue: float) -> DataFrame:
+    """One colour for all points."""
+    return points.select("*", F.lit(red).alias("red"), F.lit(green).alias("green"), F.lit(blue).alias("blue"))
+
+
 #: Corner pairs of a box, by bits of x, y and z: the pairs that differ in one bit.
 EDGES = [(a, a | bit) for a in range(8) for bit in (1, 2, 4) if not a & bit]
 
