@@ -199,23 +199,15 @@ def float_transform(spark, sf):
     return A.points(spark, sf).select("scan_id", "idx", *[c.alias(a) for c, a in zip(G.float_transform("x", "y", "z", _HALVES), "xyz", strict=True)])
 
 
-@query(f"WITH {S.PTS} SELECT scan_id, idx, CAST(trunc(CAST(x AS DOUBLE) * CAST(0.001 AS DOUBLE) * 1000) AS BIGINT) AS mm, {S.norm('x', 'y', 'z')} AS rng FROM pts WHERE x % 8 = 0")
+@query(f"WITH {S.PTS} SELECT scan_id, idx, CAST(trunc(CAST(x AS DOUBLE) * CAST(0.001 AS DOUBLE) * 1000) AS BIGINT) AS mm, {S.norm('x', 'y', 'z')} AS rng FROM pts")
 def metres_and_ranges(spark, sf):
-    return _metres(A.points(spark, sf).filter("x % 8 = 0"))
+    """E1, E12."""
+    return A.points(spark, sf).select("scan_id", "idx", G.to_mm(F.col("x") * 0.001).alias("mm"), G.norm_trunc("x", "y", "z").alias("rng"))
 
 
-@query()
-def metres_and_ranges_all_points(spark, sf):
-    return _metres(A.points(spark, sf))
-
-
-def _metres(p: DataFrame) -> DataFrame:
-    return p.select("scan_id", "idx", ((F.col("x") * 0.001) * 1000).cast("bigint").alias("mm"), G.norm_trunc("x", "y", "z").alias("rng"))
-
-
-@query(f"WITH {S.RAW}, c AS (SELECT DISTINCT {', '.join(f'{S.fdiv(a, 4000)} AS i{a}' for a in 'xyz')} FROM raw) SELECT ix, iy, iz, xor(xor(ix * 4294967296, iy * 65536), iz) AS h FROM c WHERE ix >= 0 AND iy >= 0 AND iz >= 0")
+@query(f"WITH {S.RAW}, c AS (SELECT DISTINCT {', '.join(f'{S.fdiv(a, 4000)} AS i{a}' for a in 'xyz')} FROM raw) SELECT ix, iy, iz, xor(xor(ix * 4294967296, iy * 65536), iz) AS h FROM c")
 def voxel_hash(spark, sf):
-    c = A.raw_points(spark, sf).select(*[G.cell_floor(a, 4000).alias(f"i{a}") for a in "xyz"]).distinct().filter("ix >= 0 and iy >= 0 and iz >= 0")
+    c = A.raw_points(spark, sf).select(*[G.cell_floor(a, 4000).alias(f"i{a}") for a in "xyz"]).distinct()
     return c.select("ix", "iy", "iz", G.voxel_hash("ix", "iy", "iz").alias("h"))
 
 
@@ -518,14 +510,21 @@ for _name in FE.VARIANTS:
 
 
 _NEAR = "(q.x - p.x)*(q.x - p.x) + (q.y - p.y)*(q.y - p.y) + (q.z - p.z)*(q.z - p.z)"
-_PAIR = f"{S.PTS}, q AS (SELECT * FROM pts WHERE idx % 40 = 0), p AS (SELECT * FROM pts WHERE scan_id % 2 = 1), pairs AS (SELECT q.scan_id AS q_scan_id, q.idx AS q_idx, p.scan_id AS p_scan_id, p.idx AS p_idx, p.x AS p_x, p.y AS p_y, p.z AS p_z, {_NEAR} AS d2 FROM q JOIN p ON p.x BETWEEN q.x - 3000 AND q.x + 3000 AND p.y BETWEEN q.y - 3000 AND q.y + 3000 AND p.z BETWEEN q.z - 3000 AND q.z + 3000 WHERE {_NEAR} <= 3000*3000)"
-_KNN = "knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_scan_id, q_idx ORDER BY d2, p_scan_id, p_idx) AS rank FROM pairs) WHERE rank <= 5)"
 
 
-def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """The part of the points that the SQL forms compare; the queries of all points have no SQL."""
-    p = A.points(spark, sf).drop("intensity")
-    return p.filter("idx % 40 = 0"), p.filter("scan_id % 2 = 1")
+def _bucketed(side: int) -> str:
+    """All points (q) beside all points (p) of their 27 cells of a grid."""
+    cell = lambda a: S.fdiv(a, side)
+    return f"""{S.PTS}, p AS (SELECT *, {', '.join(f'{cell(a)} AS cell_{a}' for a in 'xyz')} FROM pts),
+q AS (SELECT scan_id, idx, x, y, z, {', '.join(f'cell_{a} + d{a}.d AS cell_{a}' for a in 'xyz')} FROM p, {', '.join(f'(VALUES (-1), (0), (1)) d{a}(d)' for a in 'xyz')})"""
+
+
+def _pairs(r: int) -> str:
+    return f"{_bucketed(r)}, pairs AS (SELECT q.scan_id AS q_scan_id, q.idx AS q_idx, p.scan_id AS p_scan_id, p.idx AS p_idx, p.x AS p_x, p.y AS p_y, p.z AS p_z, {_NEAR} AS d2 FROM q JOIN p USING (cell_x, cell_y, cell_z) WHERE {_NEAR} <= {r} * {r})"
+
+
+_PAIR = _pairs(3000)
+_KNN = "knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_scan_id, q_idx ORDER BY d2, p_scan_id, p_idx) AS rank FROM pairs) WHERE rank <= 5)"
 
 
 def _every(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -533,8 +532,8 @@ def _every(spark, sf) -> tuple[DataFrame, DataFrame]:
     return p, p
 
 
-def _knn(spark, sf, sides=_sides) -> DataFrame:
-    return NB.knn_join(*sides(spark, sf), 5, 3000, ["scan_id", "idx"], ["scan_id", "idx"])
+def _knn(spark, sf) -> DataFrame:
+    return NB.knn_join(*_every(spark, sf), 5, 3000, ["scan_id", "idx"], ["scan_id", "idx"])
 
 
 @query(f"WITH {_PAIR}, {_KNN} SELECT q_scan_id, q_idx, p_scan_id, p_idx, d2, CAST(rank AS BIGINT) AS rank FROM knn")
@@ -547,14 +546,14 @@ def knn_accepted(spark, sf):
     return NB.accepted(_knn(spark, sf), ["q_scan_id", "q_idx"], 5, 2500 * 2500).select("q_scan_id", "q_idx", "p_scan_id", "p_idx")
 
 
-@query(f"WITH {_PAIR} SELECT q_scan_id, q_idx, p_scan_id, p_idx, d2 FROM pairs WHERE d2 <= 1500*1500")
+@query(f"WITH {_pairs(1500)} SELECT q_scan_id, q_idx, p_scan_id, p_idx, d2 FROM pairs")
 def radius_join(spark, sf):
-    return NB.radius_join(*_sides(spark, sf), 1500).select("q_scan_id", "q_idx", "p_scan_id", "p_idx", "d2")
+    return NB.radius_join(*_every(spark, sf), 1500).select("q_scan_id", "q_idx", "p_scan_id", "p_idx", "d2")
 
 
-@query(f"WITH {S.PTS} SELECT q.scan_id AS q_scan_id, q.idx AS q_idx, p.scan_id AS p_scan_id, p.idx AS p_idx FROM pts q JOIN pts p ON abs(q.x - p.x) <= 1000 AND abs(q.y - p.y) <= 1000 AND abs(q.z - p.z) <= 1000 WHERE q.idx % 40 = 0 AND p.scan_id % 2 = 1")
+@query(f"WITH {_bucketed(1000)} SELECT q.scan_id AS q_scan_id, q.idx AS q_idx, p.scan_id AS p_scan_id, p.idx AS p_idx FROM q JOIN p USING (cell_x, cell_y, cell_z) WHERE abs(q.x - p.x) <= 1000 AND abs(q.y - p.y) <= 1000 AND abs(q.z - p.z) <= 1000")
 def box_join(spark, sf):
-    return NB.box_join(*_sides(spark, sf), 1000).select("q_scan_id", "q_idx", "p_scan_id", "p_idx")
+    return NB.box_join(*_every(spark, sf), 1000).select("q_scan_id", "q_idx", "p_scan_id", "p_idx")
 
 
 @query(f"WITH {_PAIR}, {_KNN} SELECT q_scan_id, q_idx, count(*) AS n, {', '.join(f'CAST(sum(p_{a}) AS BIGINT) AS s{a}' for a in 'xyz')}, {', '.join(f'CAST(sum(p_{a} * p_{b}) AS BIGINT) AS s{a}{b}' for i, a in enumerate('xyz') for b in 'xyz'[i:])} FROM knn GROUP BY 1, 2")
@@ -562,40 +561,15 @@ def plane_fit_moments(spark, sf):
     return NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"])
 
 
-@query()
-def knn5_all_points(spark, sf):
-    return _knn(spark, sf, _every).select("q_scan_id", "q_idx", "p_scan_id", "p_idx", "d2", F.col("rank").cast("bigint").alias("rank"))
-
-
-@query()
-def knn_accepted_all_points(spark, sf):
-    return NB.accepted(_knn(spark, sf, _every), ["q_scan_id", "q_idx"], 5, 2500 * 2500).select("q_scan_id", "q_idx", "p_scan_id", "p_idx")
-
-
-@query()
-def radius_join_all_points(spark, sf):
-    return NB.radius_join(*_every(spark, sf), 1500).select("q_scan_id", "q_idx", "p_scan_id", "p_idx", "d2")
-
-
-@query()
-def box_join_all_points(spark, sf):
-    return NB.box_join(*_every(spark, sf), 1000).select("q_scan_id", "q_idx", "p_scan_id", "p_idx")
-
-
-@query()
-def plane_fit_moments_all_points(spark, sf):
-    return NB.scatter(_knn(spark, sf, _every), ["q_scan_id", "q_idx"])
-
-
 @query()
 def plane_fit(spark, sf):
-    return NB.plane_fit(NB.scatter(_knn(spark, sf, _every), ["q_scan_id", "q_idx"]).filter("n = 5"))
+    return NB.plane_fit(NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"]).filter("n = 5"))
 
 
 @query()
 def plane_accepted(spark, sf):
     """fitted planes that all five neighbours lie within 200 mm of."""
-    knn = _knn(spark, sf, _every)
+    knn = _knn(spark, sf)
     fits = NB.plane_fit(NB.scatter(knn, ["q_scan_id", "q_idx"]).filter("n = 5")).filter("a is not null")
     near = knn.groupBy("q_scan_id", "q_idx").agg(F.collect_list(F.array("p_x", "p_y", "p_z")).alias("ps"))
     off = F.transform("ps", lambda p: F.col("a") * p[0] + F.col("b") * p[1] + F.col("c") * p[2] + F.col("d"))
@@ -604,18 +578,13 @@ def plane_accepted(spark, sf):
 
 @query()
 def line_and_normal(spark, sf):
-    return NB.principal_axes(NB.scatter(_knn(spark, sf, _every), ["q_scan_id", "q_idx"]).filter("n = 5"))
+    return NB.principal_axes(NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"]).filter("n = 5"))
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 10000) AS BIGINT)) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 10000) AS BIGINT)) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
 d AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: (q.v[i] - e.v[i]) * (q.v[i] - e.v[i]))) AS BIGINT) AS d2 FROM q, e)
 SELECT query_id, vec_id, d2, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id) AS rank FROM d) WHERE rank <= 5""")
 def knn5_embeddings(spark, sf):
-    return _knn5_embeddings(spark, sf, "vec_id % 50 = 0")
-
-
-@query()
-def knn5_embeddings_every_20th(spark, sf):
     return _knn5_embeddings(spark, sf, "vec_id % 20 = 0")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratavox.functions import grid as G
 from stratavox.functions import linalg as L
 from stratavox.operators import filters as FI
 from stratavox.operators import metrics as ME
@@ -238,6 +240,20 @@ def pose_moved(spark, sf):
     return p.select("session", "seq", micro(F.col("r")[0]).alias("after00"), micro(F.col("r")[3]).alias("after03"), micro(F.col("l")[3]).alias("before03"))
 
 
+_FIXED = lambda e: f"CAST(trunc(({e}) * 32768) AS BIGINT)"
+
+
+@query(f"SELECT CAST(degrees AS INT) AS degrees, {_FIXED('cos(radians(degrees))')} AS m00, {_FIXED('-sin(radians(degrees))')} AS m01, {_FIXED('sin(radians(degrees))')} AS m10, {_FIXED('degrees / 7.0')} AS m03 FROM range(-179, 180) t(degrees)")
+def fixed_matrices(spark, sf):
+    """Rotations by whole degrees with a translation, as fixed-point matrices."""
+    rows = []
+    for d in range(-179, 180):
+        c, s = math.cos(math.radians(d)), math.sin(math.radians(d))
+        m = G.fixed_matrix([[c, -s, 0, d / 7.0], [s, c, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]])
+        rows.append((d, m[0][0], m[0][1], m[1][0], m[0][3]))
+    return spark.createDataFrame(rows, "degrees int, m00 bigint, m01 bigint, m10 bigint, m03 bigint")
+
+
 @query(f"WITH {S.PTS} SELECT scan_id, CAST(sum(z) AS BIGINT) AS total, {', '.join(f'CAST(sum(CASE WHEN idx % 4 = {k} THEN z ELSE 0 END) AS BIGINT) AS part{k}' for k in range(4))} FROM pts GROUP BY scan_id")
 def sums_in_parts(spark, sf):
     """A4."""

@@ -22,8 +22,8 @@ def test_joins_of_all_points(spark):
                 full.add(ids[i])
         pairs |= {(*ids[i], *ids[j]) for j in np.flatnonzero(d2 <= 1500**2)}
         boxes |= {(*ids[i], *ids[j]) for j in np.flatnonzero((np.abs(off) <= 1000).all(1))}
-    got = {(r.q_scan_id, r.q_idx, r.p_scan_id, r.p_idx, r.d2, r["rank"]) for r in QUERIES["knn5_all_points"](spark, SF).collect()}
+    got = {(r.q_scan_id, r.q_idx, r.p_scan_id, r.p_idx, r.d2, r["rank"]) for r in QUERIES["knn5_points"](spark, SF).collect()}
     assert got == near
-    for name, want in (("radius_join_all_points", pairs), ("box_join_all_points", boxes)):
+    for name, want in (("radius_join", pairs), ("box_join", boxes)):
         assert {(r.q_scan_id, r.q_idx, r.p_scan_id, r.p_idx) for r in QUERIES[name](spark, SF).collect()} == want
     assert full and {(r.q_scan_id, r.q_idx) for r in QUERIES["plane_fit"](spark, SF).collect()} == full

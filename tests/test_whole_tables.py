@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_rows_of_whole_tables(spark):
-    assert QUERIES["metres_and_ranges_all_points"](spark, SF).count() == A.points(spark, SF).count()
+    assert QUERIES["metres_and_ranges"](spark, SF).count() == A.points(spark, SF).count()
     poses = {(r.session, r.seq) for r in A.poses(spark, SF).collect()}
     got = QUERIES["pose_predict"](spark, SF).collect()
     assert {(r.session, r.seq) for r in got} == poses and len(got) == len(poses)
@@ -23,4 +23,4 @@ def test_every_20th_vector_is_searched(spark):
     for q in np.flatnonzero(ids % 20 == 0):
         d2 = ((v - v[q]) ** 2).sum(1)
         want |= {(int(ids[q]), int(ids[j]), k) for k, j in enumerate(np.lexsort((ids, d2))[:5], 1)}
-    assert {(r.query_id, r.vec_id, r["rank"]) for r in QUERIES["knn5_embeddings_every_20th"](spark, SF).collect()} == want
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in QUERIES["knn5_embeddings"](spark, SF).collect()} == want
