@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratavox.functions.linalg import np_quat_of, quat_mul
+from stratavox.functions.linalg import euler_rotation, identity, inverse_rigid4, matmul, np_quat_of, quat_mul
 
 
 def assign_to_next(samples: DataFrame, scans: DataFrame, ts: str = "ts", by: tuple[str, ...] = (), scan_cols: tuple[str, ...] = ("scan_key",)) -> DataFrame:
@@ -85,87 +85,78 @@ def moved_pose(pose: Column, turn: Column, shift: Column, before: bool = False)
     return F.array(*rows, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
 
 
-def _fold(df: DataFrame, by: str, order: list[str], schema: str, start, step, emit) -> DataFrame:
-    """An ordered fold per key with small state: partitions stream through sorted by key, so no group is held whole."""
-
-    def run(batches):
-        key, state = object(), None
-        for b in batches:
-            rows = b.to_pylist()
-            out = []
-            for r in rows:
-                if r[by] != key:
-                    key, state = r[by], start()
-                state = step(state, r)
-                if (e := emit(state, r)) is not None:
-                    out.append(e)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    probe = df.sparkSession.createDataFrame([], schema)
-    arrow = to_arrow_schema(probe.schema)
-    return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
-
-
-def euler_matrix(w: np.ndarray) -> np.ndarray:
-    (cx, cy, cz), (sx, sy, sz) = np.cos(w), np.sin(w)
-    return np.array([[1, 0, 0], [0, cx, -sx], [0, sx, cx]]) @ np.array([[cy, 0, sy], [0, 1, 0], [-sy, 0, cy]]) @ np.array([[cz, -sz, 0], [sz, cz, 0], [0, 0, 1.0]])
+def _euler_product(left: Column, acc: Column) -> Column:
+    """Rx Ry Rz of the angles of `left` times acc, a row-major 3x3 array."""
+    return matmul(euler_rotation(left["ax"], left["ay"], left["az"]), acc, 3)
 
 
 def integrate_rotation(imu: DataFrame, sensor: str = "sensor_id", ts: str = "stamp", scan: str = "scan_key") -> DataFrame:
     """Rotation (row-major 3x3) since the previous scan for every (sensor, scan), from samples assigned to scans.
 
     Rates times the absolute time step, as rotations about x, y, z, are multiplied on the left; a sensor's first sample only sets
-    the clock. Samples without a scan are left out. One row per scan: its samples' product, emitted with its last sample.
+    the clock. Samples without a scan are left out. The samples of one scan, a bounded group, are folded as an array.
     """
     df = imu.filter(F.col(scan).isNotNull()).withColumn("_s", F.unix_micros(F.col(ts).cast("timestamp")))
     w = Window.partitionBy(sensor).orderBy("_s", scan)
-    df = df.select(sensor, scan, "_s", "wx", "wy", "wz", F.coalesce(F.lead(scan).over(w) != F.col(scan), F.lit(True)).alias("_last"))
-
-    def step(state, r):
-        clock, rot, fresh = state
-        if fresh:
-            rot = np.eye(3)
-        if clock is not None:
-            dt = abs(r["_s"] - clock) / 1e6
-            rot = euler_matrix(np.array([r["wx"], r["wy"], r["wz"]]) * dt) @ rot
-        return r["_s"], rot, r["_last"]
-
-    def emit(state, r):
-        return {sensor: r[sensor], scan: r[scan], "rotation": state[1].ravel().tolist()} if r["_last"] else None
-
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return _fold(df, sensor, ["_s", scan], f"{sensor} {types[sensor]}, {scan} {types[scan]}, rotation array<double>", lambda: (None, np.eye(3), False), step, emit)
+    dt = F.coalesce(F.abs(F.col("_s") - F.lag("_s").over(w)) / 1e6, F.lit(0.0))
+    df = df.select(sensor, scan, "_s", "wx", "wy", "wz", dt.alias("_dt"))
+    angles = F.struct("_s", *[(F.col(f"w{a}") * F.col("_dt")).alias(f"a{a}") for a in "xyz"])
+    g = df.groupBy(sensor, scan).agg(F.array_sort(F.collect_list(angles)).alias("_a"))
+    return g.select(sensor, scan, F.aggregate("_a", identity(3), lambda acc, x: _euler_product(x, acc)).alias("rotation"))
+
+
+def prefix_products(m: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """m[i] @ m[i-1] @ ... @ m[first[i]] for every i, in log2(n) batched products."""
+    out, reach, n = m.copy(), np.arange(len(m)), len(m)
+    step = 1
+    while step < n:
+        back = reach - 1  # what is joined next ends here
+        on = np.flatnonzero(back >= first)
+        if not len(on):
+            break
+        out[on], reach[on] = out[on] @ out[back[on]], reach[back[on]]
+        step *= 2
+    return out
 
 
 def accumulate_poses(steps: DataFrame, by: str = "session", order: str = "seq") -> DataFrame:
-    """Rotations multiply on the left, translations only add; columns rotation array<double>(9), tx, ty, tz in, pose columns out."""
-    types = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
-
-    def step(state, r):
-        rot, t = state
-        return np.array(r["rotation"], float).reshape(3, 3) @ rot, t + np.array([r["tx"], r["ty"], r["tz"]], float)
+    """Rotations multiply on the left, translations only add; columns rotation array<double>(9), tx, ty, tz in, pose columns out.
 
-    def emit(state, r):
-        q = np_quat_of(state[0])
-        return {by: r[by], order: r[order], "tx": float(state[1][0]), "ty": float(state[1][1]), "tz": float(state[1][2]), "qx": float(q[0]), "qy": float(q[1]), "qz": float(q[2]), "qw": float(q[3])}
+    Sorted partitions stream through with one rotation and one translation as state; a batch is one run of batched products.
+    """
+    types = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+    schema = f"{by} {types[by]}, {order} {types[order]}, tx double, ty double, tz double, qx double, qy double, qz double, qw double"
 
-    return _fold(steps, by, [order], f"{by} {types[by]}, {order} {types[order]}, tx double, ty double, tz double, qx double, qy double, qz double, qw double", lambda: (np.eye(3), np.zeros(3)), step, emit)
+    def run(batches):
+        last, rot, t = object(), np.eye(3), np.zeros(3)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            keys = b.column(0).to_pylist()
+            new = np.array([i == 0 or keys[i] != keys[i - 1] for i in range(n)])
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            m = b.column(2).flatten().to_numpy().reshape(n, 3, 3)
+            moves = np.stack([b.column(k).to_numpy() for k in (3, 4, 5)], 1)
+            rots, sums = prefix_products(m, first), np.cumsum(moves, 0)
+            shift = sums - (sums[first] - moves[first])
+            if keys[0] == last:  # goes on from the batch before
+                head = first == 0
+                rots[head], shift[head] = rots[head] @ rot, shift[head] + t
+            last, rot, t = keys[-1], rots[-1], shift[-1]
+            q = np.array([np_quat_of(r) for r in rots])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(v)) for v in (*shift.T, *q.T)]], names=[by, order, "tx", "ty", "tz", "qx", "qy", "qz", "qw"])
+
+    rows = steps.select(by, order, F.col("rotation").cast("array<double>"), *[F.col(f"t{a}").cast("double").alias(f"t{a}") for a in "xyz"])
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
 
 
 def predict_constant_velocity(poses: DataFrame, by: str = "session", order: str = "seq") -> DataFrame:
     """The next pose if the last motion repeats: now * (last^-1 * now), from rotation (9) and translation; the first repeats itself."""
-    types = {f.name: f.dataType.simpleString() for f in poses.schema.fields}
-
-    def step(state, r):
-        m = np.eye(4)
-        m[:3, :3], m[:3, 3] = np.array(r["rotation"], float).reshape(3, 3), [r["tx"], r["ty"], r["tz"]]
-        return (state[1] if state[1] is not None else m), m
-
-    def emit(state, r):
-        nxt = state[1] @ np.linalg.inv(state[0]) @ state[1]
-        return {by: r[by], order: r[order], "next_pose": nxt.ravel().tolist()}
-
-    return _fold(poses, by, [order], f"{by} {types[by]}, {order} {types[order]}, next_pose array<double>", lambda: (None, None), step, emit)
+    r, t = F.col("rotation"), [F.col(f"t{a}").cast("double") for a in "xyz"]
+    now = F.array(*[c for i in range(3) for c in (r[3 * i], r[3 * i + 1], r[3 * i + 2], t[i])], *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+    w = Window.partitionBy(by).orderBy(order)
+    df = poses.select(by, order, now.alias("_now"))
+    df = df.select(by, order, "_now", F.coalesce(F.lag("_now").over(w), F.col("_now")).alias("_last"))
+    df = df.select(by, order, "_now", matmul(inverse_rigid4(F.col("_last")), F.col("_now"), 4).alias("_step"))
+    return df.select(by, order, matmul(F.col("_now"), F.col("_step"), 4).alias("next_pose"))

@@ -672,25 +672,43 @@ def queue_pairs(spark, sf):
     return TS.pair_queues(p.filter("seq % 3 <> 0").select("session", "seq", "tx"), p.filter("seq % 2 = 0").select("session", "seq", "ty"), ["session", "seq"])
 
 
-@query()
+_MICRO = lambda e: f"CAST(round(({e}) * 1e6) AS BIGINT)"
+_FOLD = "[" + ", ".join(" + ".join(f"m[{3 * i + j + 1}] * acc[{3 * j + k + 1}]" for j in range(3)) for i in range(3) for k in range(3)) + "]"
+_NINE = [f"r{i}{k}" for i in range(3) for k in range(3)]
+
+
+def _entries(df: DataFrame, array: str, names: list[str], *keys: str) -> DataFrame:
+    return df.select(*keys, *[F.round(F.col(array)[i] * 1e6).cast("bigint").alias(n) for i, n in enumerate(names)])
+
+
+@query(f"""WITH {S.IMU}, {S.SCANS}, a AS (SELECT i.sensor_id, i.ts, i.w, (SELECT arg_min(s.scan_key, s.ts) FROM scans s WHERE s.sensor_id = i.sensor_id AND s.ts >= i.ts) AS scan_key FROM imu i),
+t AS (SELECT *, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY sensor_id ORDER BY ts, scan_key) AS before FROM a WHERE scan_key IS NOT NULL),
+g AS (SELECT *, w / 1e9 * coalesce(abs(us - before) / 1e6, 0) AS gx, w / 2e9 * coalesce(abs(us - before) / 1e6, 0) AS gz FROM t),
+m AS (SELECT sensor_id, scan_key, us, [cos(gz), -sin(gz), 0, cos(gx) * sin(gz), cos(gx) * cos(gz), -sin(gx), sin(gx) * sin(gz), sin(gx) * cos(gz), cos(gx)] AS m FROM g),
+f AS (SELECT sensor_id, scan_key, list_reduce(list(m ORDER BY us), lambda acc, m: {_FOLD}) AS r FROM m GROUP BY 1, 2) SELECT sensor_id, scan_key, {', '.join(f'{_MICRO(f"r[{i + 1}]")} AS {n}' for i, n in enumerate(_NINE))} FROM f""")
 def imu_rotation(spark, sf):
-    """Matrix products per scan; compared with a plain loop in the tests."""
+    """The matrix product of each scan's samples."""
     a = TS.assign_to_next(A.imu(spark, sf), A.scans(spark, sf), by=("sensor_id",))
     a = a.select("sensor_id", "scan_key", F.col("ts").alias("stamp"), (F.col("w") / 1e9).alias("wx"), F.lit(0.0).alias("wy"), (F.col("w") / 2e9).alias("wz"))
-    return TS.integrate_rotation(a)
+    return _entries(TS.integrate_rotation(a), "rotation", _NINE, "sensor_id", "scan_key")
 
 
-@query()
+@query(f"""WITH {S.POSES}, d AS (SELECT session, seq, {', '.join(f't{a} - coalesce(lag(t{a}) OVER w, t{a}) AS d{a}' for a in 'xyz')} FROM poses WINDOW w AS (PARTITION BY session ORDER BY seq)),
+c AS (SELECT session, seq, {', '.join(f'CAST(sum(d{a}) OVER w AS DOUBLE) AS t{a}' for a in 'xyz')}, sum(dy) OVER w / 2000.0 AS h FROM d WINDOW w AS (PARTITION BY session ORDER BY seq))
+SELECT session, seq, tx, ty, tz, {_MICRO("CASE WHEN abs(cos(h)) >= abs(sin(h)) THEN abs(cos(h)) ELSE cos(h) * sign(sin(h)) END")} AS qw, {_MICRO("CASE WHEN abs(cos(h)) >= abs(sin(h)) THEN sin(h) * sign(cos(h)) ELSE abs(sin(h)) END")} AS qz FROM c""")
 def pose_accumulate(spark, sf):
-    steps = TS.pose_deltas(A.poses(spark, sf)).select("session", "seq", L.euler_rotation(F.lit(0.0), F.lit(0.0), F.col("dz") / 1000.0).alias("rotation"), F.col("dx").alias("tx"), F.col("dy").alias("ty"), F.col("dz").alias("tz"))
-    return TS.accumulate_poses(steps)
+    """Every step turns about z by its dy in milliradians."""
+    steps = TS.pose_deltas(A.poses(spark, sf)).select("session", "seq", L.euler_rotation(F.lit(0.0), F.lit(0.0), F.col("dy") / 1000.0).alias("rotation"), F.col("dx").alias("tx"), F.col("dy").alias("ty"), F.col("dz").alias("tz"))
+    return TS.accumulate_poses(steps).select("session", "seq", "tx", "ty", "tz", *[F.round(F.col(q) * 1e6).cast("bigint").alias(q) for q in ("qw", "qz")])
 
 
-@query()
+@query(f"""WITH {S.POSES}, l AS (SELECT *, ty / 1000.0 AS a, coalesce(lag(ty / 1000.0) OVER w, ty / 1000.0) AS b, {', '.join(f't{x} - coalesce(lag(t{x}) OVER w, t{x}) AS d{x}' for x in 'xyz')} FROM poses WINDOW w AS (PARTITION BY session ORDER BY seq))
+SELECT session, seq, {_MICRO('cos(2 * a - b)')} AS r00, {_MICRO('sin(2 * a - b)')} AS r10, {', '.join(f"CAST(round(({e}) * 1e3) AS BIGINT) AS n{x}" for x, e in (('x', 'cos(a - b) * dx - sin(a - b) * dy + tx'), ('y', 'sin(a - b) * dx + cos(a - b) * dy + ty'), ('z', 'dz + tz')))} FROM l""")
 def pose_predict(spark, sf):
-    """E25 over all poses of the table, turned about z by their tz in milliradians."""
-    turn = L.euler_rotation(F.lit(0.0), F.lit(0.0), F.col("tz") / 1000.0)
-    return TS.predict_constant_velocity(A.poses(spark, sf).select("session", "seq", turn.alias("rotation"), "tx", "ty", "tz"))
+    """E25 over all poses of the table, turned about z by their ty in milliradians; places in thousandths."""
+    turn = L.euler_rotation(F.lit(0.0), F.lit(0.0), F.col("ty") / 1000.0)
+    p = TS.predict_constant_velocity(A.poses(spark, sf).select("session", "seq", turn.alias("rotation"), "tx", "ty", "tz"))
+    return p.select("session", "seq", *[F.round(F.col("next_pose")[i] * s).cast("bigint").alias(n) for i, s, n in ((0, 1e6, "r00"), (4, 1e6, "r10"), (3, 1e3, "nx"), (7, 1e3, "ny"), (11, 1e3, "nz"))])
 
 
 # ---------------------------------------------------------------- metrics
