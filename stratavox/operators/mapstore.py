@@ -69,6 +69,39 @@ def entering(voxels: DataFrame, old: tuple, new: tuple, size: tuple) -> DataFram
     return leaving(voxels, new, old, size)
 
 
+class MapVersions:
+    """A map as numbered folders under a path. A version counts once it is whole, so readers go on with the last one while
+    the next is written, and no lock is held; drop() removes versions that no one reads any more."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _child(self, name: str):
+        return self._root.suffix(f"/{name}")
+
+    def versions(self) -> list[int]:
+        if not self._fs.exists(self._root):
+            return []
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._root)]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self._fs.exists(self._child(f"{n}/_SUCCESS")))
+
+    def publish(self, voxels: DataFrame) -> int:
+        number = (self.versions() or [-1])[-1] + 1
+        write_map(voxels, f"{self.path}/v{number}")
+        return number
+
+    def read(self, number: int | None = None, window: tuple | None = None) -> DataFrame:
+        """A version, the newest whole one by default."""
+        return read_map(self.spark, f"{self.path}/v{self.versions()[-1] if number is None else number}", window)
+
+    def drop(self, before: int) -> None:
+        for n in self.versions():
+            if n < before:
+                self._fs.delete(self._child(f"v{n}"), True)
+
+
 class LocalMap:
     """A window over an immutable map version. shift() changes a predicate; set() adds a new version of single cells."""
 
@@ -76,6 +109,7 @@ class LocalMap:
         self.voxels, self.default, self.pos = voxels, default, tuple(pos)
         self.size = tuple(s + 1 - s % 2 for s in size)
         self.offset = tuple(s // 2 for s in self.size)
+        self.changed: dict[tuple[int, int, int], tuple[int, int]] = {}
 
     def shift(self, pos: tuple[int, int, int]) -> None:
         self.offset = tuple((o + n - p) % s for o, n, p, s in zip(self.offset, pos, self.pos, self.size, strict=True))
@@ -85,7 +119,7 @@ class LocalMap:
         return all(abs(c - p) <= s // 2 - buffer for c, p, s in zip((x, y, z), self.pos, self.size, strict=True))
 
     def cells(self) -> DataFrame:
-        v = self.voxels
+        v = self.flush()
         for c, p, s in zip(("ix", "iy", "iz"), self.pos, self.size, strict=True):
             v = v.filter(in_bounds(c, p, s))
         return v
@@ -93,14 +127,33 @@ class LocalMap:
     def value(self, x: int, y: int, z: int) -> tuple[int, int]:
         if not self.holds(x, y, z):
             raise IndexError(f"cell {(x, y, z)} is outside the window")
-        row = self.voxels.filter((F.col("ix") == x) & (F.col("iy") == y) & (F.col("iz") == z)).select("value", "weight").first()
-        return tuple(row) if row else self.default
+        return self.values([(x, y, z)])[0]
+
+    def values(self, cells: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """Many cells by one job; what was set last counts."""
+        for c in cells:
+            if not self.holds(*c):
+                raise IndexError(f"cell {c} is outside the window")
+        asked = [c for c in cells if c not in self.changed]
+        found = {}
+        if asked:
+            keys = self.voxels.sparkSession.createDataFrame(asked, "ix bigint, iy bigint, iz bigint").distinct()
+            found = {(r.ix, r.iy, r.iz): (r.value, r.weight) for r in self.voxels.join(F.broadcast(keys), ["ix", "iy", "iz"]).collect()}
+        return [self.changed.get(c) or found.get(c, self.default) for c in cells]
 
     def set(self, x: int, y: int, z: int, value: int, weight: int) -> None:
+        """Cells that were set stay on the driver until flush(), one small table whatever their number of changes."""
         if not self.holds(x, y, z):
             raise IndexError(f"cell {(x, y, z)} is outside the window")
-        new = self.voxels.sparkSession.createDataFrame([(x, y, z, value, weight)], self.voxels.schema)
-        self.voxels = self.voxels.filter(~((F.col("ix") == x) & (F.col("iy") == y) & (F.col("iz") == z))).unionByName(new)
+        self.changed[x, y, z] = (value, weight)
+
+    def flush(self) -> DataFrame:
+        """The map's new version with all cells that were set."""
+        if self.changed:
+            new = self.voxels.sparkSession.createDataFrame([(*c, *v) for c, v in self.changed.items()], "ix bigint, iy bigint, iz bigint, value bigint, weight bigint")
+            kept = self.voxels.join(F.broadcast(new.select("ix", "iy", "iz")), ["ix", "iy", "iz"], "left_anti")
+            self.voxels, self.changed = kept.unionByName(new.select(kept.columns)), {}
+        return self.voxels
 
 
 def store_poses(poses: DataFrame, scale: float = 1000.0, session: str | None = None, order: tuple[str, ...] = ("seq",)) -> DataFrame:

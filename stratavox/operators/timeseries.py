@@ -85,6 +85,12 @@ def moved_pose(pose: Column, turn: Column, shift: Column, before: bool = False)
     return F.array(*rows, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
 
 
+def euler_matrix(w: np.ndarray) -> np.ndarray:
+    """E28 for one sample: Rx Ry Rz."""
+    (cx, cy, cz), (sx, sy, sz) = np.cos(w), np.sin(w)
+    return np.array([[1, 0, 0], [0, cx, -sx], [0, sx, cx]]) @ np.array([[cy, 0, sy], [0, 1, 0], [-sy, 0, cy]]) @ np.array([[cz, -sz, 0], [sz, cz, 0], [0, 0, 1.0]])
+
+
 def _euler_product(left: Column, acc: Column) -> Column:
     """Rx Ry Rz of the angles of `left` times acc, a row-major 3x3 array."""
     return matmul(euler_rotation(left["ax"], left["ay"], left["az"]), acc, 3)

@@ -100,21 +100,35 @@ def encode_files(cloud: DataFrame, kind: str = "pcd", key: str = "scan_id", orde
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Writes name and content into a folder by the cluster's file system; a folder that exists is an error.
+    """Writes name and content into a new folder; one that exists is an error.
 
-    Executors write through Hadoop, so any store works: each row is a task-side write of one scan's bytes.
+    Executors write, a file per row, through the file system of the folder's address (local or shared paths, HDFS, object stores).
+    A file appears under its name once it is whole, so that a task that runs again does no harm.
     """
     spark = files.sparkSession
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(path):
         raise FileExistsError(folder)
     fs.mkdirs(path)
-    for row in files.orderBy("name").toLocalIterator():  # one scan at a time, never all of them
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(path, row["name"]), False)
-        out.write(bytearray(row["content"]))
-        out.close()
+
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow.fs import FileSystem
+
+        store, base = FileSystem.from_uri(folder if "://" in folder or not folder.startswith("file:") else "file://" + folder[5:])
+        n = 0
+        for b in it:
+            for name, content in zip(b.column(0), b.column(1), strict=True):
+                part = f"{base}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_py())
+                store.move(part, f"{base}/{name.as_py()}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    files.select("name", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:
@@ -182,9 +196,8 @@ def register_sources(spark: SparkSession) -> None:
             with open(re.sub("^file://", "", partition.value), "rb") as f:
                 fields = parse_pcd(f.read())
             n = len(fields["x"])
-            zero = np.zeros(n, np.float32)
-            for i, row in enumerate(zip(*[np.asarray(fields.get(c, zero), float).tolist() for c in ("x", "y", "z", "intensity")], strict=True)):
-                yield (partition.value, i, *row)
+            cols = [pa.array(np.asarray(fields.get(c, np.zeros(n)), np.float32)) for c in ("x", "y", "z", "intensity")]
+            yield pa.RecordBatch.from_arrays([pa.array([partition.value] * n, pa.string()), pa.array(np.arange(n)), *cols], names=["path", "idx", "x", "y", "z", "intensity"])
 
     class PcdSource(DataSource):
         """Files that every executor can open by path; for other stores use read_pcd()."""

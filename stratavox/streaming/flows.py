@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stratavox.operators.mapstore import read_map, write_map
+from stratavox.operators.timeseries import euler_matrix
 from stratavox.operators.tsdf import merge_nearest, ray_march, upsert
 
 
@@ -65,6 +67,34 @@ def assign_stream(events: DataFrame, key: str = "sensor_id", ts: str = "ts") ->
     return events.groupBy(key).applyInPandasWithState(run, f"{key} {kt}, scan_key bigint, w_sum bigint, samples bigint", "total bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def rotation_stream(events: DataFrame, key: str = "sensor_id", ts: str = "ts") -> DataFrame:
+    """The rotation of a sensor since its last scan, a row per scan (kind 1), from rates wx, wy, wz of samples (kind 0).
+
+    The state is the clock and the product so far, nine numbers. The first sample only sets the clock; a sample later than every
+    scan so far counts for the next one. A scan without samples has the identity.
+    """
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        clock, rot = state.get if state.exists else (None, None)
+        rot = np.eye(3) if rot is None else np.array(rot, float).reshape(3, 3)
+        rows = pd.concat(list(batches)).sort_values([ts, "kind"])
+        stamps = rows[ts].astype("datetime64[us]").astype("int64").to_numpy()
+        out = []
+        for t, kind, eid, w in zip(stamps.tolist(), rows["kind"], rows["event_id"], rows[["wx", "wy", "wz"]].to_numpy(float), strict=True):
+            if kind == 0:
+                if clock is not None:
+                    rot = euler_matrix(w * (abs(t - clock) / 1e6)) @ rot
+                clock = t
+            else:
+                out.append((k[0], int(eid), rot.ravel().tolist()))
+                rot = np.eye(3)
+        state.update((clock, rot.ravel().tolist()))
+        yield pd.DataFrame(out, columns=[key, "scan_key", "rotation"])
+
+    kt = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kt}, scan_key bigint, rotation array<double>", "clock bigint, rot array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def gate_stream(poses: DataFrame, limit: float, key: str = "session", order: str = "seq") -> DataFrame:
     """Poses at least `limit` from the last kept one of their session; the state is that pose."""
 
@@ -89,6 +119,13 @@ def latest_per_key(batch: DataFrame, key: str, ts: str) -> DataFrame:
     return batch.groupBy(key).agg(F.max_by(F.struct(*rest), ts).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def bounded_queue(batch: DataFrame, capacity: int, key: str, order: list[str], force: bool = False) -> DataFrame:
+    """What a queue of `capacity` places per key would hold of a micro-batch that nothing drains: the first rows, as newer ones
+    are dropped, or with force the last, as they push the oldest out."""
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() if force else F.col(c) for c in order])
+    return batch.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= capacity).drop("_place")
+
+
 def map_writer(path: str, res: int, tau: int, max_weight: int, window: tuple | None = None, dz_per_distance: int | None = None, stage: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that integrates a micro-batch of points into the map at path.
 
@@ -116,6 +153,13 @@ def map_writer(path: str, res: int, tau: int, max_weight: int, window: tuple | N
     return write
 
 
+def drain(df: DataFrame, folder: str) -> DataFrame:
+    """Works off what is available into a new folder of Parquet files, exactly once each, and stops. Rows stay distributed."""
+    q = df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
 def run_to_end(df: DataFrame, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
     """Drains what is available into a memory table and stops."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
