@@ -328,13 +328,14 @@ def _map_split(width: int, gram: int, level: int, last: bool):
 
 
 def _repeats_in(content: DataFrame, width: int, gram: int, hot_runs: int, levels: int, level: int = 1) -> DataFrame:
-    """Repeated stretches (a, c, off, cnt) of distinct runs (a, c, bytes); rows equal in a and c are one run."""
+    """Repeated stretches hs (off, cnt) of distinct runs (a, c, bytes), in one or more rows a run; rows equal in a and c are one run."""
+    stretch = F.array(F.struct("off", "cnt")).alias("hs")
     spark = content.sparkSession
     n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = stage(content.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > hot_runs).select("a"))
     none_hot = hot.isEmpty() or level > levels + 1
     cold = content if none_hot else content.join(hot, "a", "left_anti")
-    hits = cold.repartition(n_parts, "a").sortWithinPartitions("a", "c").mapInArrow(_map_sort(width), "a bigint, c bigint, off int, cnt int")
+    hits = cold.repartition(n_parts, "a").sortWithinPartitions("a", "c").mapInArrow(_map_sort(width), "a bigint, c bigint, off int, cnt int").select("a", "c", stretch)
     if none_hot:
         return hits
     large = content.join(hot, "a", "left_semi").dropDuplicates(["a", "c"])
@@ -342,8 +343,10 @@ def _repeats_in(content: DataFrame, width: int, gram: int, hot_runs: int, levels
     distinct = stage(parts.groupBy("a", "c").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bytes").alias("bytes")))
     mixed = distinct.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").select("a")
     below = _repeats_in(stage(distinct.join(mixed, "a").select("a", "c", "bytes")), width, gram, hot_runs, levels, level + 1)
-    below = stage(below.unionByName(distinct.filter("copies > 1").select("a", "c", F.lit(0).alias("off"), F.col("n").alias("cnt"))))
-    found = parts.join(below.withColumnRenamed("off", "inner"), ["a", "c"]).select(F.col("pa").alias("a"), F.col("pc").alias("c"), (F.col("off") + F.col("inner")).alias("off"), "cnt")
+    below = below.unionByName(distinct.filter("copies > 1").select("a", "c", F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("cnt"))).alias("hs")))
+    below = stage(below.groupBy("a", "c").agg(F.flatten(F.collect_list("hs")).alias("hs")))  # one row meets each of a part's places
+    moved = F.transform("hs", lambda h: F.struct((F.col("off") + h["off"]).alias("off"), h["cnt"].alias("cnt")))
+    found = parts.join(below, ["a", "c"]).select(F.col("pa").alias("a"), F.col("pc").alias("c"), moved.alias("hs"))
     return hits.unionByName(found)
 
 
@@ -389,9 +392,9 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = stage(distinct)
     content = stage(_fetch(rows, distinct, width, broadcast_rows))
     hits = _repeats_in(content, width, gram, hot_runs, levels)
-    hits = hits.unionByName(distinct.filter("copies > 1").select("a", "c", F.lit(0).alias("off"), F.col("rep.n").alias("cnt")))
+    hits = hits.unionByName(distinct.filter("copies > 1").select("a", "c", F.array(F.struct(F.lit(0).alias("off"), F.col("rep.n").alias("cnt"))).alias("hs")))
     # One row per run, with all its repeated stretches, meets each of the run's places. Written first, so that Spark can split a hot run's.
-    stretches = stage(hits.groupBy("a", "c").agg(F.collect_list(F.struct("off", "cnt")).alias("hs")))
+    stretches = stage(hits.groupBy("a", "c").agg(F.flatten(F.collect_list("hs")).alias("hs")))
     unstage(content)
     unstage(distinct)
     at = lambda s: F.transform("hs", lambda h: F.struct((s + h["off"]).alias("s"), (s + h["off"] + h["cnt"] + (width - 1)).alias("e")))
