@@ -8,7 +8,6 @@ entropy; the language of least entropy wins.
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,15 +17,22 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.common import column, crc_mod, map_batches
 
-#: Numerals that count as word characters but are no letters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_GAP = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_GAP = re.compile(r"[\W\d_]+")
 UNKNOWN, SPACE = 0, 1
 
 
 def normalise(text: str | None) -> str:
-    """Lower case; every run of non-letters is one space."""
-    return _GAP.sub(" ", text.lower()).strip() if text else ""
+    """Lower case; every run of non-letters is one space. What the pattern takes for letters includes numerals such as ½, which go too."""
+    if not text:
+        return ""
+    text = _GAP.sub(" ", text.lower())
+    if not text.isascii():
+        odd = [c for c in set(text) if c > "\x7f" and not c.isalpha()]
+        for c in odd:
+            text = text.replace(c, " ")
+        if odd:
+            text = " ".join(text.split())
+    return text.strip()
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
