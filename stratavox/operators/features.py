@@ -156,30 +156,113 @@ def pick_line(curv: np.ndarray, taken: np.ndarray, xyz: np.ndarray, width: int,
     return out
 
 
-def extract_features(grid: DataFrame, width: int, variant: str | Variant = "production", marked: str = "marked") -> DataFrame:
-    """scan_id, ring, col, kind, curvature of picked points. One line of a scan is a bounded group; suppression is sequential in it.
+def pick_lines(curv: np.ndarray, taken: np.ndarray, xyz: np.ndarray, v: Variant, parts: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pick_line() for many lines at once, a step for all of them together: the line, the column and whether it is an edge, of each pick."""
+    n, width = curv.shape
+    taken, used = taken.copy(), np.zeros((n, width), bool)
+    near = ((xyz[:, 1:] - xyz[:, :-1]) ** 2).sum(2) <= (np.inf if v.gap is None else v.gap)
+    span, found = width // parts, []
+
+    def take(rows: np.ndarray, c: np.ndarray, edge: bool) -> None:
+        found.append((rows, c, np.full(len(rows), edge)))
+        taken[rows, c] = True
+        for side in (1, -1):
+            r, at = rows, c
+            for _ in range(v.reach):
+                nxt = at + side
+                ok = (nxt >= 0) & (nxt < width)
+                r, at, nxt = r[ok], at[ok], nxt[ok]
+                ok = near[r, np.minimum(at, nxt)]
+                r, at = r[ok], nxt[ok]
+                taken[r, at] = True
+
+    def walk(order: np.ndarray, wanted: np.ndarray, room: np.ndarray, edge: bool) -> None:
+        refused, done = np.zeros(n, bool), np.zeros(n, bool)
+        for k in range(order.shape[1]):
+            c = order[:, k]
+            rows = np.flatnonzero(wanted[np.arange(n), c] & ~done)
+            rows = rows[~taken[rows, c[rows]]]
+            if not len(rows):
+                continue
+            full = room[rows] == 0
+            if v.cap == "strict":
+                done[rows[full]] = True
+            else:
+                full &= ~refused[rows]
+                refused[rows[full]] = True
+            rows = rows[~full]
+            room[rows] -= room[rows] > 0
+            if edge:
+                used[rows, c[rows]] = True
+            take(rows, c[rows], edge)
+
+    edge_like = curv > v.edge_least if v.strict_edge else curv >= v.edge_least
+    for lo in range(5, width - 6, span):
+        part = curv[:, lo : min(lo + span, width - 6)]
+        walk(lo + np.argsort(-part, axis=1, kind="stable"), edge_like, np.full(n, v.edges), True)
+        if not v.surf_is_rest:
+            walk(lo + np.argsort(part, axis=1, kind="stable"), curv <= v.surf_most, np.full(n, v.surfs if v.surfs is not None else 1 << 60), False)
+    if v.surf_is_rest:
+        rows, c = np.nonzero(~used[:, 5 : width - 6] & ~taken[:, 5 : width - 6])
+        found.append((rows, c + 5, np.zeros(len(rows), bool)))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def extract_features(grid: DataFrame, width: int, variant: str | Variant = "production", marked: str = "marked", lines: int = 2000) -> DataFrame:
+    """scan_id, ring, col, kind, curvature of picked points. Suppression is sequential in a line; up to `lines` lines go in step.
 
     The grid needs x, y, z, curvature and, if the variant uses them, the marks and intensity. Short or broken lines give nothing.
+    Sorted partitions stream through; what is held is bounded by `lines` and one line.
     """
     v = VARIANTS[variant] if isinstance(variant, str) else variant
     cols = [*LINE, "col", "x", "y", "z", "curvature"] + ([marked] if v.marks else []) + (["intensity"] if v.least_intensity is not None else [])
 
-    def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        t = table.sort_by("col")
-        at = t.column("col").to_numpy()
-        if n != width or at[0] != 0 or at[-1] != width - 1:
-            picks: list[tuple[int, str]] = []
-        else:
-            curv = np.nan_to_num(t.column("curvature").to_numpy(zero_copy_only=False).astype(float), nan=-1.0)
-            taken = t.column(marked).to_numpy(zero_copy_only=False).astype(bool) if v.marks else np.zeros(n, bool)
-            if v.least_intensity is not None:
-                taken = taken | (t.column("intensity").to_numpy(zero_copy_only=False) < v.least_intensity)
-            xyz = np.stack([t.column(a).to_numpy(zero_copy_only=False).astype(float) for a in "xyz"], 1)
-            picks = pick_line(curv, taken, xyz, width, v)
-        one = t.slice(0, 1)
-        k = len(picks)
-        curv_of = [t.column("curvature")[c].as_py() for c, _ in picks]
-        return pa.table({"scan_id": pa.array([one.column("scan_id")[0].as_py()] * k, pa.int64()), "ring": pa.array([one.column("ring")[0].as_py()] * k, pa.int64()), "col": pa.array([c for c, _ in picks], pa.int64()), "kind": pa.array([s for _, s in picks], pa.string()), "curvature": pa.array([float(c) for c in curv_of], pa.float64())})
-
-    return grid.select(*cols).groupBy(*LINE).applyInArrow(run, "scan_id bigint, ring bigint, col bigint, kind string, curvature double")
+    def solve(t: pa.Table) -> pa.RecordBatch | None:
+        get = lambda c: t.column(c).to_numpy()
+        scan, ring, col = get("scan_id"), get("ring"), get("col")
+        new = np.concatenate([[True], (scan[1:] != scan[:-1]) | (ring[1:] != ring[:-1])])
+        first = np.flatnonzero(new)
+        whole = first[np.diff(np.append(first, len(scan))) == width]
+        at = whole[:, None] + np.arange(width)
+        at = at[(col[at] == np.arange(width)).all(1)]
+        if not len(at):
+            return None
+        curv = np.nan_to_num(get("curvature").astype(float), nan=-1.0)[at]
+        taken = get(marked).astype(bool)[at] if v.marks else np.zeros(at.shape, bool)
+        if v.least_intensity is not None:
+            taken = taken | (get("intensity")[at] < v.least_intensity)
+        row, c, edge = pick_lines(curv, taken, np.stack([get(a).astype(float)[at] for a in "xyz"], 2), v)
+        place = at[row, c]
+        return pa.RecordBatch.from_arrays([pa.array(scan[place]), pa.array(ring[place]), pa.array(c.astype(np.int64)), pa.array(np.where(edge, "edge", "surf").tolist(), pa.string()), pa.array(get("curvature").astype(float)[place])], names=["scan_id", "ring", "col", "kind", "curvature"])
+
+    def run(batches):
+        held, rows = [], 0
+
+        def flush(last: bool):
+            """All lines that are known to be whole; the last one, unless nothing follows, waits."""
+            t = pa.Table.from_batches(held)
+            cut = t.num_rows
+            if not last:
+                scan, ring = t.column("scan_id").to_numpy(), t.column("ring").to_numpy()
+                other = np.flatnonzero((scan != scan[-1]) | (ring != ring[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+            out = solve(t.slice(0, cut)) if cut else None
+            return out, t.slice(cut).to_batches()
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= lines * width:
+                out, held = flush(False)
+                rows = sum(x.num_rows for x in held)
+                if out is not None:
+                    yield out
+        if held:
+            out, _ = flush(True)
+            if out is not None:
+                yield out
+
+    rows = grid.select(*cols).withColumns({"scan_id": F.col("scan_id").cast("bigint"), "ring": F.col("ring").cast("bigint"), "col": F.col("col").cast("bigint")})
+    return rows.repartition(*LINE).sortWithinPartitions(*LINE, "col").mapInArrow(run, "scan_id bigint, ring bigint, col bigint, kind string, curvature double")

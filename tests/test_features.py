@@ -61,6 +61,18 @@ def test_picking_matches_a_plain_loop(spark):
         assert FE.pick_line(curv, marked, np.zeros((W, 3)), W, v) == naive(curv, marked, W, v)
 
 
+def test_lines_in_step_pick_as_one_by_one():
+    rng = np.random.default_rng(8)
+    for v in FE.VARIANTS.values():
+        n = 40
+        curv, taken = rng.choice([-1.0, 0.0, 0.0005, 0.05, 0.5, 1.0, 3.0, 9.0], (n, W)), rng.random((n, W)) < 0.05
+        xyz = np.cumsum(rng.choice([0.05, 0.3], (n, W, 3), p=[0.8, 0.2]), axis=1)
+        row, col, edge = FE.pick_lines(curv, taken, xyz, v)
+        got = {(int(r), int(c), "edge" if e else "surf") for r, c, e in zip(row, col, edge, strict=True)}
+        want = {(r, c, k) for r in range(n) for c, k in FE.pick_line(curv[r], taken[r], xyz[r], W, v)}
+        assert got == want and len(got) == len(row)
+
+
 def test_every_variant_runs_on_a_grid(spark):
     rng = np.random.default_rng(5)
     rows = [(s, r, c, float(np.cos(c / 9) * 10 + rng.random()), float(np.sin(c / 9) * 10), float(r), 60.0) for s in range(2) for r in range(3) for c in range(W)]
@@ -71,6 +83,7 @@ def test_every_variant_runs_on_a_grid(spark):
         got = FE.extract_features(g, W, name)
         assert {r.kind for r in got.select("kind").distinct().collect()} <= {"edge", "surf"}
         assert got.count() == got.select("scan_id", "ring", "col").distinct().count()
+        assert got.count() == FE.extract_features(g, W, name, lines=1).count()
     broken = g.filter("not (ring = 1 and col = 7)")
     assert {r.ring for r in FE.extract_features(broken, W, "production").select("ring").distinct().collect()} <= {0, 2}
 
