@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +34,11 @@ def runtime_histogram(timings: DataFrame, width: int = 10_000, buckets: int = 10
     return timings.groupBy(key, F.least(idiv(value, width), F.lit(buckets - 1).cast("bigint")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def write_sheet(df: DataFrame, folder: str, name: str, sep: str = ",") -> None:
-    """A named sheet with a header."""
-    df.write.mode("errorifexists").csv(f"{folder}/{name}", header=True, sep=sep)
+def write_sheet(df: DataFrame, folder: str, name: str, sep: str = ",", dated: datetime | None = None) -> str:
+    """A named sheet with a header, in a subfolder of the date and time if given; returns its place."""
+    path = f"{folder}/{dated:%Y-%m-%d_%H-%M-%S}/{name}" if dated else f"{folder}/{name}"
+    df.write.mode("errorifexists").csv(path, header=True, sep=sep)
+    return path
 
 
 def measurement_sheet(measures: DataFrame, series: str, run: str, value: str, runs: int) -> DataFrame:

@@ -44,10 +44,16 @@ def jacobians(matched: DataFrame, centre: tuple[int, int, int]) -> DataFrame:
     return matched.select("*", *[c.alias(f"j{i}") for i, c in enumerate(j)])
 
 
+def _exact_sum(product: Column) -> Column:
+    """Sum of 64-bit integers as a decimal: their halves are summed apart, as the sum of many need not fit 64 bits."""
+    high, low = F.sum(F.shiftright(product, 32)), F.sum(product.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return (high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + low.cast("decimal(20,0)")).cast("decimal(32,0)")
+
+
 def normal_equations(jac: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """A3: the 21 distinct sums of J J^T, the 6 of J v, the summed |v| and the count, in one aggregate with partial sums."""
-    h = [F.sum(F.col(f"j{i}") * F.col(f"j{k}")).alias(f"h{i}{k}") for i in range(6) for k in range(i, 6)]
-    g = [F.sum(F.col(f"j{i}") * F.col("value")).alias(f"g{i}") for i in range(6)]
+    """A3: the 21 distinct sums of J J^T, the 6 of J v (decimals), the summed |v| and the count, in one aggregate with partial sums."""
+    h = [_exact_sum(F.col(f"j{i}") * F.col(f"j{k}")).alias(f"h{i}{k}") for i in range(6) for k in range(i, 6)]
+    g = [_exact_sum(F.col(f"j{i}") * F.col("value")).alias(f"g{i}") for i in range(6)]
     return jac.groupBy(*keys).agg(*h, *g, F.sum(F.abs("value")).alias("e"), F.count("*").alias("c"))
 
 

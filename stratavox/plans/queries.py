@@ -418,7 +418,8 @@ _J = ["(y + 50) * gz - (z - 20) * gy", "(z - 20) * gx - (x - 100) * gz", "(x - 1
 
 @query(f"WITH {_MATCH}, jac AS (SELECT scan_id, value, {', '.join(f'{e} AS j{i}' for i, e in enumerate(_J))} FROM hit) SELECT scan_id, " + ", ".join(f"CAST(sum(j{i} * j{k}) AS BIGINT) AS h{i}{k}" for i in range(6) for k in range(i, 6)) + ", " + ", ".join(f"CAST(sum(j{i} * value) AS BIGINT) AS g{i}" for i in range(6)) + ", CAST(sum(abs(value)) AS BIGINT) AS e, count(*) AS c FROM jac GROUP BY scan_id")
 def normal_equations(spark, sf):
-    return RG.normal_equations(RG.jacobians(_matched(spark, sf), (100, -50, 20)), ("scan_id",))
+    sums = RG.normal_equations(RG.jacobians(_matched(spark, sf), (100, -50, 20)), ("scan_id",))
+    return sums.select("scan_id", *[F.col(c).cast("bigint").alias(c) for c in sums.columns[1:]])
 
 
 @query(f"""WITH {S.PTS}, mv AS (SELECT scan_id, {', '.join(f'{a} - {e} AS d{a}' for e, a in zip(S.transform(POSE), 'xyz', strict=True))} FROM pts), e AS (SELECT *, dx*dx+dy*dy+dz*dz AS d2 FROM mv),

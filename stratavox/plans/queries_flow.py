@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
@@ -131,8 +132,9 @@ def scan_tensors(spark, sf):
 def timing_sheet(spark, sf):
     """The statistics as a named sheet with a header, read back."""
     folder, stats = _folder(spark), ME.runtime_stats(A.timings(spark, sf))
-    ME.write_sheet(stats, folder, "timings", ";")
-    return spark.read.schema(stats.schema).csv(f"{folder}/timings", header=True, sep=";")
+    path = ME.write_sheet(stats, folder, "timings", ";", datetime(2024, 5, 6, 7, 8, 9))
+    assert path.endswith("/2024-05-06_07-08-09/timings")
+    return spark.read.schema(stats.schema).csv(path, header=True, sep=";")
 
 
 # ---------------------------------------------------------------- the map store
