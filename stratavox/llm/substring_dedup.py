@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratavox.llm.common import _powers, bounded_batches, column, mix64, stage, unstage
@@ -328,8 +328,9 @@ def _map_split(width: int, gram: int, level: int, last: bool):
 
 
 def _repeats_in(content: DataFrame, width: int, gram: int, hot_runs: int, levels: int, level: int = 1) -> DataFrame:
-    """Repeated stretches hs (off, cnt) of distinct runs (a, c, bytes), in one or more rows a run; rows equal in a and c are one run."""
-    stretch = F.array(F.struct("off", "cnt")).alias("hs")
+    """Repeated stretches hs of windows (from s to before e) of distinct runs (a, c, bytes), in one or more rows a run; rows equal in a and
+    c are one run."""
+    stretch = _stretch(F.col("off"), F.col("cnt"))
     spark = content.sparkSession
     n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = stage(content.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > hot_runs).select("a"))
@@ -343,15 +344,23 @@ def _repeats_in(content: DataFrame, width: int, gram: int, hot_runs: int, levels
     distinct = stage(parts.groupBy("a", "c").agg(F.count("*").alias("copies"), F.min("n").alias("n"), F.first("bytes").alias("bytes")))
     mixed = distinct.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").select("a")
     below = _repeats_in(stage(distinct.join(mixed, "a").select("a", "c", "bytes")), width, gram, hot_runs, levels, level + 1)
-    below = below.unionByName(distinct.filter("copies > 1").select("a", "c", F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("cnt"))).alias("hs")))
+    below = below.unionByName(distinct.filter("copies > 1").select("a", "c", _stretch(F.lit(0), F.col("n"))))
     below = stage(below.groupBy("a", "c").agg(F.flatten(F.collect_list("hs")).alias("hs")))  # one row meets each of a part's places
-    moved = F.transform("hs", lambda h: F.struct((F.col("off") + h["off"]).alias("off"), h["cnt"].alias("cnt")))
+    moved = F.transform("hs", lambda h: F.struct((F.col("off") + h["s"]).alias("s"), (F.col("off") + h["e"]).alias("e")))
     found = parts.join(below, ["a", "c"]).select(F.col("pa").alias("a"), F.col("pc").alias("c"), moved.alias("hs"))
-    return hits.unionByName(found)
+    found = found.groupBy("a", "c").agg(F.flatten(F.collect_list("hs")).alias("hs"))  # at most a stretch for each window of a run
+    return hits.unionByName(found.mapInArrow(_map_merge, f"a bigint, c bigint, hs {_SPANS}"))
+
+
+_SPANS = "array<struct<s:bigint,e:bigint>>"
+
+
+def _stretch(off: Column, n: Column) -> Column:
+    return F.array(F.struct(off.cast("bigint").alias("s"), (off + n).cast("bigint").alias("e"))).alias("hs")
 
 
 def _map_merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts and merges the intervals of each row."""
+    """Sorts and merges the intervals of each row, the list in its third column."""
     for b in it:
         lists = b.column(2)
         start, end = (lists.flatten().field(i).to_numpy() for i in (0, 1))
@@ -366,7 +375,7 @@ def _map_merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         until = reach[np.append(first[1:], len(row)) - 1] if len(row) else reach
         spans = pa.StructArray.from_arrays([pa.array(start[first], pa.int64()), pa.array(until, pa.int64())], names=["s", "e"])
         cuts = pa.array(np.searchsorted(row[first], np.arange(b.num_rows + 1)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(cuts, spans)], names=["_id", "_x", "spans"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(cuts, spans)], names=b.schema.names)
 
 
 def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 2000, levels: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -392,15 +401,15 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = stage(distinct)
     content = stage(_fetch(rows, distinct, width, broadcast_rows))
     hits = _repeats_in(content, width, gram, hot_runs, levels)
-    hits = hits.unionByName(distinct.filter("copies > 1").select("a", "c", F.array(F.struct(F.lit(0).alias("off"), F.col("rep.n").alias("cnt"))).alias("hs")))
+    hits = hits.unionByName(distinct.filter("copies > 1").select("a", "c", _stretch(F.lit(0), F.col("rep.n"))))
     # One row per run, with all its repeated stretches, meets each of the run's places. Written first, so that Spark can split a hot run's.
     stretches = stage(hits.groupBy("a", "c").agg(F.flatten(F.collect_list("hs")).alias("hs")))
     unstage(content)
     unstage(distinct)
-    at = lambda s: F.transform("hs", lambda h: F.struct((s + h["off"]).alias("s"), (s + h["off"] + h["cnt"] + (width - 1)).alias("e")))
+    at = lambda s: F.transform("hs", lambda h: F.struct((s + h["s"]).alias("s"), (s + h["e"] + (width - 1)).alias("e")))
     part = mixed.join(stretches, ["a", "c"]).select("_id", "_x", F.flatten(F.transform(starts, at)).alias("se"))
     spans = whole.unionByName(part).groupBy("_id", "_x").agg(F.flatten(F.collect_list("se")).alias("spans"))
-    return spans.mapInArrow(_map_merge, f"_id {id_type}, _x bigint, spans array<struct<s:bigint,e:bigint>>")
+    return spans.mapInArrow(_map_merge, f"_id {id_type}, _x bigint, spans {_SPANS}")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200, gram: int = 32, hot_runs: int = 2000, levels: int = 3, broadcast_rows: int = 1_000_000, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
