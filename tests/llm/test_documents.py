@@ -56,6 +56,29 @@ def test_quality_held_out_accuracy(spark):
     assert got.filter("held_out").count() == sum(zlib.crc32(str(i.doc_id).encode()) % 5 == 0 for i in got.select("doc_id").collect())
 
 
+def plain_scores(model, rows):
+    """Scores by loops over all pairs of features, a row (text, n_chars) at a time."""
+    out = []
+    for text, n in rows:
+        idx, val = QU.features(text, n)
+        vs = [model.v[i].astype(float) * float(x) for i, x in zip(idx, val, strict=True)]
+        z = float(model.bias) + sum(float(model.w[i]) * float(x) for i, x in zip(idx, val, strict=True))
+        z += sum(float(a @ b) for k, a in enumerate(vs) for b in vs[:k])
+        out.append(1 / (1 + np.exp(-min(max(z, -30), 30))))
+    return out
+
+
+def test_quality_query_against_plain_loops(spark):
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = QU.fit_quality(d.select("doc_id", "text", "n_chars"), labels)
+    rows = {r.doc_id: (r.text, r.n_chars) for r in d.filter("length(text) < 1500").collect()}
+    got = {r.doc_id: r for r in QUERIES["op1_quality_fm"](spark, SF).collect()}
+    assert len(got) == d.count()
+    for i, want in zip(rows, plain_scores(model, rows.values()), strict=True):
+        assert abs(got[i].score - want) < 1e-4 and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert abs(want - 0.3) < 1e-4 or got[i].predicted == (want >= 0.3)
+
+
 def test_quality_of_odd_rows(spark):
     d = docs(spark, ODD, [None, *range(len(ODD) - 1)])
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
@@ -156,6 +179,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {i: (c, sizes[c]) for i, c in enumerate(want)}
 
 
+def test_classes_do_not_depend_on_partitions(spark):
+    texts = edited(70, 11, 60, 3) + edited(30, 12, 200, 20)
+    found = []
+    for n in (1, 3, 17):
+        d = docs(spark, texts).repartition(n, F.rand(n))
+        found.append({r.doc_id: r.class_id for r in near_duplicate_classes(d, window=4, block=8, chunk=5).collect()})
+    assert found[0] == found[1] == found[2]
+
+
+def test_skewed_counts_do_not_matter(spark):
+    texts = ["a " * 50 + "b " * 5 + "a " * 5, "a " * 5 + "b " * 50 + "a " * 5 + "c"]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > 0.8
+    assert len({r.class_id for r in near_duplicate_classes(docs(spark, texts)).collect()}) == 1
+
+
 def test_large_buckets_keep_their_links(spark):
     texts = edited(120, 5, 200, 2)  # nearly all similar: buckets above the window of 8
     got = {r.doc_id: r.class_id for r in near_duplicate_classes(docs(spark, texts), window=8, block=16).collect()}
@@ -254,6 +293,38 @@ def test_phrases_against_plain_parsing():
         assert abs(int(row[1]) - count(samples["y"], t)) <= sum(c not in samples["y"] for c in t) + 1
 
 
+def test_language_query_against_plain_parsing(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 900").limit(60).collect()
+    picked = {}
+    real = LA.CrossParser.fit
+
+    def keep(samples):
+        picked.update(samples)
+        return real(samples)
+
+    LA.CrossParser.fit = keep
+    try:
+        got = {r.doc_id: r for r in QUERIES["op6_language_id"](spark, SF).collect()}
+    finally:
+        LA.CrossParser.fit = real
+    assert len(got) == d.count() and len(picked) >= 2
+    for r in rows:
+        text = LA.normalise(r.text)
+        costs = {}
+        for lang, sample in picked.items():
+            n, cur = 1, ""
+            for c in text:
+                if cur + c in sample:
+                    cur += c
+                else:
+                    n, cur = n + 1, c if c in sample else ""
+            costs[lang] = n * np.log2(max(len(sample), 2))
+        low = sorted(costs.values())
+        assert got[r.doc_id].lang_pred == (min(sorted(costs), key=costs.get) if text else "und")
+        assert not text or abs(got[r.doc_id].score - low[1] / (low[0] + low[1])) < 1e-9
+
+
 def test_language_held_out(spark):
     got = QUERIES["op6_language_id"](spark, "/root/testdata/sf0.01")
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -459,6 +530,22 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         out = spark.read.parquet(str(tmp_path / name))
         before = {r.doc_id: r.text for r in d.collect()}
+        if name == "quality":
+            model = QU.fit_quality(d, spark.read.parquet(f"{SF}/labels.parquet"))
+            short = [r for r in d.collect() if len(r.text or "") < 1500]
+            kept = {r.doc_id for r in out.collect()}
+            for r, s in zip(short, plain_scores(model, [(r.text, r.n_chars) for r in short]), strict=True):
+                assert abs(s - 0.3) < 1e-4 or (r.doc_id in kept) == (s >= 0.3)
+        if name == "packing":
+            from tokenizers import Tokenizer
+
+            tok, by = Tokenizer.from_file(tokenizer_file()), defaultdict(list)
+            for r in out.collect():
+                by[r.doc_id].append(r)
+            assert by.keys() == before.keys()
+            for i, found in by.items():
+                found.sort(key=lambda r: r.piece)
+                assert np.frombuffer(b"".join(bytes(r.ids) for r in found), "<u4").tolist() == tok.encode(before[i], add_special_tokens=False).ids + [2]
         if name in ("quality", "near_dedup"):
             assert all(before[r.doc_id] == r.text for r in out.collect()) and 0 < out.count() < len(before)
         if name == "near_dedup":

@@ -15,7 +15,7 @@ from stratavox.llm.html_extract import extract_html, main_text
 from stratavox.llm.queries import tokenizer_file
 
 
-def bm25_by_brute_force(rows, queries, k=10, most=8, k1=1.2, b=0.75):
+def bm25_by_brute_force(rows, queries, k=10, most=None, k1=1.2, b=0.75):
     tf = [dict(zip(*[x.tolist() for x in terms_of(t)], strict=True)) for _, t in rows]
     size = [sum(x.values()) for x in tf]
     n, mean = len(rows), max(sum(size) / len(rows), 1e-9)
@@ -34,7 +34,7 @@ def bm25_by_brute_force(rows, queries, k=10, most=8, k1=1.2, b=0.75):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_docs": 60}, {"shard_docs": 60, "broadcast_terms": 0}], ids=["one_shard", "floors", "shuffled"])
+@pytest.mark.parametrize("options", [{}, {"shard_docs": 60, "query_terms": 8}, {"shard_docs": 20, "first_docs": 25, "broadcast_terms": 0, "block_terms": 150}], ids=["one_shard", "eight_terms", "blocks_of_hashes"])
 def test_bm25_against_brute_force(spark, options):
     rng = random.Random(2)
     vocab = [f"w{int(rng.paretovariate(0.6))}" for _ in range(3000)]
@@ -45,14 +45,14 @@ def test_bm25_against_brute_force(spark, options):
     got = defaultdict(list)
     for r in search_bm25(d, spark.createDataFrame(queries, "query_id bigint, text string"), **options).orderBy("query_id", "rank").collect():
         got[r.query_id].append((-r.score, r.doc_id))
-    for qid, want in bm25_by_brute_force(rows, queries).items():
+    for qid, want in bm25_by_brute_force(rows, queries, most=options.get("query_terms")).items():
         assert [i for _, i in got[qid]] == [i for _, i in want]
         assert np.allclose([s for s, _ in got[qid]], [s for s, _ in want])
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert search_bm25(empty, empty.withColumnRenamed("doc_id", "query_id")).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_docs": 60}], ids=["one_shard", "floors"])
+@pytest.mark.parametrize("options", [{}, {"shard_docs": 30, "first_docs": 5}], ids=["one_shard", "shards"])
 def test_bm25_of_all_terms(spark, monkeypatch, options):
     from stratavox.llm import queries as Q
 
