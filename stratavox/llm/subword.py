@@ -54,10 +54,16 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces), default=1)
         #: Every ending of a piece, with (id, score) if it is a piece itself and else with an empty tuple.
         self.endings: dict[str, tuple[int, int] | tuple[()]] = {p[k:]: () for p in self.pieces for k in range(len(p))} | self.pieces
-        # No piece crosses the start of a run of spaces, nor a line break or tab without a piece of its own: paths always meet there.
+        # Stretches end where no piece crosses, so that all paths meet: before a run of spaces, at a line break or tab without a piece of
+        # its own, and between letters and other characters. Whether that holds is read off the vocabulary.
         solo = "".join(c for c in "\n\r\t" if not any(c in p for p in self.pieces))
-        crossing = any(" " in p.lstrip(" ") for p in self.pieces)
-        self.cut = re.compile(r"(?s).+" if crossing else rf"[{solo}]|[ ]*[^ {solo}]+|[ ]+" if solo else r"[ ]*[^ ]+|[ ]+")
+        plain_words = [p.lstrip(" ") for p in self.pieces]
+        mixed = any(a.isalpha() != b.isalpha() for p in plain_words for a, b in zip(p, p[1:], strict=False))
+        if any(" " in p for p in plain_words):
+            self.cut = re.compile(r"(?s).+")
+        else:
+            words = rf"[^ {solo}]+" if mixed else rf"(?:[^\W\d_]+|(?:[^ {solo}\w]|[\d_])+)"
+            self.cut = re.compile((rf"[{solo}]|" if solo else "") + rf"[ ]*{words}|[ ]+")
         self.memo: dict[str, tuple[int, ...]] = {}
         self.stream = StreamingViterbi(self)
 
