@@ -96,19 +96,17 @@ def principal_axes(moments: DataFrame) -> DataFrame:
 
 
 def plane_fit(moments: DataFrame) -> DataFrame:
-    """Unit normal and offset of the plane n p + d = 0 that least squares fit; null where the points do not span one."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moments.schema.fields) + ", a double, b double, c double, d double"
+    """Unit normal and offset of the plane n p + d = 0 that least squares fit; null where the points do not span one.
 
-    def run(it):
-        for pdf in it:
-            _, _, m = _matrices(pdf)
-            s = pdf[["sx", "sy", "sz"]].to_numpy(float)
-            ok = np.abs(np.linalg.det(m)) > 1e-9 * np.maximum(np.trace(m, axis1=1, axis2=2), 1e-300) ** 3
-            out = np.full((len(pdf), 4), np.nan)
-            if ok.any():
-                x = np.linalg.solve(m[ok], -s[ok][:, :, None])[:, :, 0]
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                out[ok] = np.concatenate([x / size, 1 / size], axis=1)
-            yield pdf.assign(a=out[:, 0], b=out[:, 1], c=out[:, 2], d=out[:, 3])
-
-    return moments.mapInPandas(run, schema)
+    The 3x3 system of the moments is solved by its cofactors, as columns.
+    """
+    m = {a + b: F.col(f"s{min(a, b)}{max(a, b)}").cast("double") for a in AXES for b in AXES}
+    xx, xy, xz, yy, yz, zz = (m[k] for k in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    cof = {"xx": yy * zz - yz * yz, "xy": xz * yz - xy * zz, "xz": xy * yz - xz * yy, "yy": xx * zz - xz * xz, "yz": xy * xz - xx * yz, "zz": xx * yy - xy * xy}
+    df = moments.select("*", *[c.alias(f"_{k}") for k, c in cof.items()], (xx + yy + zz).alias("_t"))
+    det = xx * F.col("_xx") + xy * F.col("_xy") + xz * F.col("_xz")
+    df = df.select("*", F.when(F.abs(det) > F.col("_t") * F.col("_t") * F.col("_t") * 1e-9, det).alias("_d"))
+    row = lambda a: -sum((F.col(f"_{min(a, b)}{max(a, b)}") * F.col(f"s{b}") for b in AXES[1:]), F.col(f"_{min(a, 'x')}{max(a, 'x')}") * F.col("sx")) / F.col("_d")
+    df = df.select("*", *[row(a).alias(f"_n{a}") for a in AXES])
+    df = df.select("*", F.sqrt(F.col("_nx") * F.col("_nx") + F.col("_ny") * F.col("_ny") + F.col("_nz") * F.col("_nz")).alias("_l"))
+    return df.select(*moments.columns, *[(F.col(f"_n{a}") / F.col("_l")).alias(n) for a, n in zip(AXES, "abc", strict=True)], (1 / F.col("_l")).alias("d"))

@@ -383,9 +383,24 @@ def map_window_edges(spark, sf):
     return PB.window_edges(spark, (1, -2, 0), (21, 21, 5), 64)
 
 
-@query()
+_SM = G.MATRIX_RESOLUTION
+_CROSS = lambda u, v: [f"{u}{p} * {v}{q} - {u}{q} * {v}{p}" for p, q in ("yz", "zx", "xy")]
+_SPLAT = f"""{S.PTS}, s0 AS (SELECT scan_id, idx, x, y, z, sqrt(CAST(x*x + y*y + z*z AS DOUBLE)) AS len FROM pts WHERE abs(x // {RES}) <= {HALF} AND abs(y // {RES}) <= {HALF} AND abs(z // {RES}) <= {HALF}),
+s1 AS (SELECT scan_id, idx, {', '.join(f'{a} * {_SM} // {RES} AS d{a}' for a in 'xyz')}, {', '.join(f'CAST(trunc(-{a} / len * {_SM}) AS BIGINT) AS n{a}' for a in 'xyz')} FROM s0),
+s2 AS (SELECT *, {S.norm('dx', 'dy', 'dz')} AS dist FROM s1), s3 AS (SELECT *, (-({' + '.join(f'n{a} * (d{a} * {_SM} // dist)' for a in 'xyz')})) // {_SM} AS acc FROM s2 WHERE dist > 0),
+s4 AS (SELECT scan_id, idx, dx, dy, dz, dist, abs(acc) AS acc, {', '.join(f'CASE WHEN acc < 0 THEN -n{a} ELSE n{a} END AS n{a}' for a in 'xyz')} FROM s3 WHERE acc <> 0),
+s5 AS (SELECT *, {', '.join(f'CASE WHEN nx = 0 AND nz = 0 THEN {f} ELSE {g} END AS u{a}' for a, f, g in (('x', '0', '-nz'), ('y', 'nz', '0'), ('z', '-ny', 'nx')))} FROM s4),
+s6 AS (SELECT *, {', '.join(f'({c}) // {_SM} AS v{a}' for a, c in zip('xyz', _CROSS('n', 'u'), strict=True))} FROM s5), s7 AS (SELECT *, {', '.join(f'({c}) // {_SM} AS t{a}' for a, c in zip('xyz', _CROSS('n', 'v'), strict=True))}, dist * {2 * int(math.tan(45.0 / 256 / 180 * math.pi) / 2.0 * _SM)} // {_SM} + 1 AS reach FROM s6),
+s8 AS (SELECT *, unnest(range(-reach, reach + 1, {_SM // 2})) AS la FROM s7), s9 AS (SELECT *, unnest(range(-reach, reach + 1, {_SM // 2})) AS lb FROM s8), s10 AS (SELECT *, unnest(range(-{TAU * _SM // RES}, {TAU * _SM // RES} + 1, {_SM // 2})) AS ln FROM s9),
+s11 AS (SELECT DISTINCT scan_id, idx, acc, dx, dy, dz, nx, ny, nz, {', '.join(f'CAST(floor((d{a} + t{a} * la // {_SM} + v{a} * lb // {_SM} + n{a} * ln // {_SM}) / {_SM}.0) AS BIGINT) AS i{a}' for a in 'xyz')} FROM s10),
+s12 AS (SELECT *, {', '.join(f'd{a} * {RES} // {_SM} - (i{a} * {RES} + {RES // 2}) AS e{a}' for a in 'xyz')} FROM s11), s13 AS (SELECT *, {S.norm('ex', 'ey', 'ez')} AS near, nx*ex + ny*ey + nz*ez AS front FROM s12 WHERE abs(ix) <= {HALF} AND abs(iy) <= {HALF} AND abs(iz) <= {HALF}),
+s14 AS (SELECT *, CASE WHEN front > 0 THEN -near ELSE near END AS value FROM s13 WHERE near <= {TAU}), s15 AS (SELECT *, ({S.weight('value', TAU)}) * acc // {_SM} AS weight FROM s14),
+splats AS (SELECT *, 0 AS len, 0 AS step FROM s15 WHERE weight <> 0)"""
+
+
+@query(f"WITH {_SPLAT}, {S.merged('voxels', 'splats')} SELECT * FROM voxels")
 def normal_splat(spark, sf):
-    """Normals are the directions back to the scanner; checked against a sequential loop in the tests."""
+    """Normals are the directions back to the scanner; also checked against a sequential loop in the tests."""
     p = A.points(spark, sf)
     n = F.sqrt((F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).cast("double"))
     p = p.select("scan_id", "idx", "x", "y", "z", *[(-F.col(a) / n).alias(f"n{a}") for a in "xyz"])
@@ -562,19 +577,32 @@ def plane_fit_moments(spark, sf):
     return NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"])
 
 
-@query()
+_SUMS = f"m0 AS (SELECT q_scan_id, q_idx, {', '.join(f'CAST(CAST(sum(p_{a}) AS BIGINT) AS DOUBLE) AS s{a}' for a in 'xyz')}, {', '.join(f'CAST(CAST(sum(p_{a} * p_{b}) AS BIGINT) AS DOUBLE) AS {a}{b}' for i, a in enumerate('xyz') for b in 'xyz'[i:])} FROM knn GROUP BY 1, 2 HAVING count(*) = 5)"
+_PLANES = f"""{_PAIR}, {_KNN}, {_SUMS}, m1 AS (SELECT *, yy*zz - yz*yz AS cxx, xz*yz - xy*zz AS cxy, xy*yz - xz*yy AS cxz, xx*zz - xz*xz AS cyy, xy*xz - xx*yz AS cyz, xx*yy - xy*xy AS czz, xx + yy + zz AS tr FROM m0),
+m2 AS (SELECT *, xx*cxx + xy*cxy + xz*cxz AS det FROM m1), m3 AS (SELECT *, CASE WHEN abs(det) > tr * tr * tr * CAST(1e-9 AS DOUBLE) THEN det END AS dt FROM m2),
+m4 AS (SELECT q_scan_id, q_idx, -(cxx*sx + cxy*sy + cxz*sz) / dt AS nx, -(cxy*sx + cyy*sy + cyz*sz) / dt AS ny, -(cxz*sx + cyz*sy + czz*sz) / dt AS nz FROM m3),
+m5 AS (SELECT *, sqrt(nx*nx + ny*ny + nz*nz) AS l FROM m4), planes AS (SELECT q_scan_id, q_idx, nx / l AS a, ny / l AS b, nz / l AS c, 1 / l AS d FROM m5)"""
+_ROUNDED = ", ".join(f"CAST(round({v} * {k}) AS BIGINT) AS {v}" for v, k in (("a", 1e6), ("b", 1e6), ("c", 1e6), ("d", 1e3)))
+
+
+def _rounded(planes: DataFrame) -> DataFrame:
+    """Normals in millionths, offsets in micrometres."""
+    return planes.select("q_scan_id", "q_idx", *[F.round(F.col(v) * k).cast("bigint").alias(v) for v, k in (("a", 1e6), ("b", 1e6), ("c", 1e6), ("d", 1e3))])
+
+
+@query(f"WITH {_PLANES} SELECT q_scan_id, q_idx, {_ROUNDED} FROM planes")
 def plane_fit(spark, sf):
-    return NB.plane_fit(NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"]).filter("n = 5"))
+    return _rounded(NB.plane_fit(NB.scatter(_knn(spark, sf), ["q_scan_id", "q_idx"]).filter("n = 5")))
 
 
-@query()
+@query(f"WITH {_PLANES}, good AS (SELECT q_scan_id, q_idx FROM planes JOIN knn USING (q_scan_id, q_idx) WHERE a IS NOT NULL GROUP BY 1, 2 HAVING max(abs(a * p_x + b * p_y + c * p_z + d)) <= 200) SELECT q_scan_id, q_idx, {_ROUNDED} FROM planes JOIN good USING (q_scan_id, q_idx)")
 def plane_accepted(spark, sf):
     """fitted planes that all five neighbours lie within 200 mm of."""
     knn = _knn(spark, sf)
     fits = NB.plane_fit(NB.scatter(knn, ["q_scan_id", "q_idx"]).filter("n = 5")).filter("a is not null")
     near = knn.groupBy("q_scan_id", "q_idx").agg(F.collect_list(F.array("p_x", "p_y", "p_z")).alias("ps"))
     off = F.transform("ps", lambda p: F.col("a") * p[0] + F.col("b") * p[1] + F.col("c") * p[2] + F.col("d"))
-    return fits.join(near, ["q_scan_id", "q_idx"]).filter(FI.plane_holds(off, 200.0)).select("q_scan_id", "q_idx", "a", "b", "c", "d")
+    return _rounded(fits.join(near, ["q_scan_id", "q_idx"]).filter(FI.plane_holds(off, 200.0)))
 
 
 @query()
