@@ -16,6 +16,7 @@ from stratavox.operators import neighbours as NB
 from stratavox.operators import registration as RG
 from stratavox.operators import solvers as SO
 from stratavox.operators import timeseries as TS
+from stratavox.plans import queries as Q
 from stratavox.plans import sql as S
 from stratavox.sources import adapters as A
 from stratavox.sources import publish as PB
@@ -316,6 +317,17 @@ def normals_k50(spark, sf):
     return NB.principal_axes(NB.scatter(knn, ["q_scan_id", "q_idx"]))
 
 
+_EIGEN = f"""{Q._PAIR}, {Q._KNN}, {Q._SUMS}, v1 AS (SELECT q_scan_id, q_idx, {', '.join(f'{a}{b} - s{a} * s{b} / 5 AS {a}{b}' for i, a in enumerate('xyz') for b in 'xyz'[i:])} FROM m0), v2 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM v1),
+v3 AS (SELECT *, sqrt(((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2*(xy*xy + xz*xz + yz*yz)) / 6) AS p FROM v2), v4 AS (SELECT *, CASE WHEN p > 0 THEN ((xx-q)*((yy-q)*(zz-q) - yz*yz) - xy*(xy*(zz-q) - yz*xz) + xz*(xy*yz - (yy-q)*xz)) / (2*p*p*p) ELSE 0 END AS r FROM v3),
+v5 AS (SELECT *, acos(greatest(-1, least(1, r))) / 3 AS phi FROM v4), v6 AS (SELECT *, q + 2*p*cos(phi) AS e2, q + 2*p*cos(phi + 2*pi()/3) AS e0 FROM v5)"""
+
+
+@query(f"WITH {_EIGEN} SELECT q_scan_id, q_idx, e2 > 3 * (3*q - e2 - e0) AS is_line FROM v6")
+def line_flags(spark, sf):
+    """Whether the greatest eigenvalue of five neighbours' scatter exceeds three times the second."""
+    return NB.principal_axes(NB.scatter(Q._knn(spark, sf), ["q_scan_id", "q_idx"]).filter("n = 5")).select("q_scan_id", "q_idx", "is_line")
+
+
 @query(f"WITH {S.POSES}, w AS (SELECT session, seq, row_number() OVER (PARTITION BY session ORDER BY seq) AS k FROM poses) SELECT session, seq, least(k, 20) AS steps FROM w")
 def pose_paths(spark, sf):
     """Each pose with the path that led to it."""
