@@ -504,7 +504,7 @@ def feature_topk(spark, sf):
 
 
 def _features(spark, sf, variant: str) -> DataFrame:
-    """Metres, as thresholds are in metres; suppression is sequential, so SQL cannot express it; tests compare with a plain loop."""
+    """Metres, as thresholds are in metres. Suppression is sequential, which SQL says as a recursion; tests also compare with a plain loop."""
     g = A.grid(spark, sf)
     m = g.select("scan_id", "ring", "col", *[(F.col(a) / 1000.0).alias(a) for a in "xyz"], (F.col("range") / 1000.0).alias("range"), F.col("intensity").cast("double").alias("intensity"))
     m = FE.occlusion_marks(FE.curvature(m, A.GRID_WIDTH), A.GRID_WIDTH, jump=25.0, least=2.0, most=60.0, parallel=None)
@@ -520,6 +520,7 @@ def _variant(name: str):
 
 for _name in FE.VARIANTS:
     QUERIES[f"features_{_name}"] = _variant(_name)
+    ORACLE_SQL[f"features_{_name}"] = S.features(FE.VARIANTS[_name], 25.0, 2.0, 60.0)
 
 
 # ---------------------------------------------------------------- neighbours

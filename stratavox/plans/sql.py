@@ -72,5 +72,37 @@ def gradient(name: str = "grads", source: str = "voxels") -> str:
     return out + f"{name} AS (SELECT * FROM {at})"
 
 
+def features(v, jump: float, least: float, most: float) -> str:
+    """Greedy picking as a recursion over the candidates of each line in order, with the list of taken columns as its state. v is a
+    features.Variant; lengths are in metres."""
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    over = "OVER (PARTITION BY scan_id, ring ORDER BY col)"
+    taps = lambda a: " + ".join([f"lag({a}, {k}) {over}" for k in range(5, 0, -1)] + [a] + [f"lead({a}, {k}) {over}" for k in range(1, 6)])
+    near = "1" if v.gap is None else f"CASE WHEN power(lead(x) {over} - x, 2) + power(lead(y) {over} - y, 2) + power(lead(z) {over} - z, 2) <= {d(v.gap)} THEN 1 ELSE 0 END"
+    chain = lambda f, first: " + ".join(" * ".join(f"coalesce({f}(nr, {k}) {over}, 0)" for k in range(first, first + n)) for n in range(1, v.reach + 1))
+    barred = (["marked"] if v.marks else []) + ([f"intensity < {v.least_intensity}"] if v.least_intensity is not None else [])
+    edge = f"curvature {'>' if v.strict_edge else '>='} {d(v.edge_least)}"
+    strict = "true" if v.cap == "strict" else "false"
+    surf = "" if v.surf_is_rest else f" UNION ALL SELECT scan_id, ring, col, s, 1, row_number() OVER (PARTITION BY scan_id, ring, s ORDER BY curvature, col), el, er FROM g5 WHERE curvature <= {d(v.surf_most)}"
+    room = f"CASE WHEN kind = 0 THEN {v.edges} ELSE {v.surfs if v.surfs is not None else 1 << 40} END"
+    rest = "" if not v.surf_is_rest else """ UNION ALL SELECT scan_id, ring, col, 'surf' FROM (SELECT scan_id, ring, unnest(range(5, 250)) AS col, arg_max(taken, rn) AS taken FROM st GROUP BY scan_id, ring) WHERE NOT taken[col + 1]"""
+    return f"""WITH RECURSIVE {GRID}, g1 AS (SELECT scan_id, ring, col, intensity, {', '.join(f'{d(a)} / {d(1000)} AS {a}' for a in 'xyz')}, {d('rng')} / {d(1000)} AS rng FROM grid),
+g2 AS (SELECT *, CASE WHEN col BETWEEN 5 AND 249 THEN rng ELSE 0 END AS r, {', '.join(f'{taps(a)} - {a} * 11 AS d{a}' for a in 'xyz')}, {near} AS nr FROM g1),
+g3 AS (SELECT *, dx * dx + dy * dy + dz * dz AS curvature, CASE WHEN col BETWEEN 5 AND 249 AND r - lead(r) {over} > {d(jump)} THEN 1 ELSE 0 END AS fall, CASE WHEN col BETWEEN 5 AND 249 AND lead(r) {over} - r > {d(jump)} THEN 1 ELSE 0 END AS rise,
+ {chain('lead', 0)} AS er, {chain('lag', 1)} AS el FROM g2),
+g4 AS (SELECT *, max(fall) OVER (PARTITION BY scan_id, ring ORDER BY col ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) = 1 OR coalesce(max(rise) OVER (PARTITION BY scan_id, ring ORDER BY col ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) = 1, false)
+ OR (col BETWEEN 5 AND 249 AND (r < {d(least)} OR r > {d(most)})) AS marked, (col - 5) // 42 AS s FROM g3),
+g5 AS (SELECT * FROM g4 WHERE col BETWEEN 5 AND 249),
+q1 AS (SELECT scan_id, ring, col, s, 0 AS kind, row_number() OVER (PARTITION BY scan_id, ring, s ORDER BY curvature DESC, col) AS place, el, er FROM g5 WHERE {edge}{surf}),
+q2 AS (SELECT *, row_number() OVER (PARTITION BY scan_id, ring ORDER BY s, kind, place) AS rn FROM q1),
+st AS (SELECT scan_id, ring, CAST(0 AS BIGINT) AS rn, list({' OR '.join(barred) or 'false'} ORDER BY col) AS taken, CAST(-1 AS BIGINT) AS s, 0 AS kind, CAST(0 AS BIGINT) AS room, false AS refused, false AS done, false AS pick, CAST(-1 AS BIGINT) AS col FROM g4 GROUP BY scan_id, ring
+ UNION ALL SELECT scan_id, ring, rn, CASE WHEN pick THEN list_transform(taken, lambda b, i: b OR (i - 1 BETWEEN col - el AND col + er)) ELSE taken END, s, kind, CASE WHEN pick AND room > 0 THEN room - 1 ELSE room END, refused OR (was_full AND NOT {strict}), done OR (was_full AND {strict}), pick, col
+ FROM (SELECT *, act AND NOT was_full AS pick FROM (SELECT *, act AND room = 0 AND ({strict} OR NOT refused) AS was_full FROM (SELECT *, NOT done AND NOT taken[col + 1] AS act FROM (
+  SELECT q.scan_id, q.ring, q.rn, st.taken, q.s, q.kind, q.col, q.el, q.er, CASE WHEN q.s = st.s AND q.kind = st.kind THEN st.room ELSE {room.replace('kind', 'q.kind')} END AS room, q.s = st.s AND q.kind = st.kind AND st.refused AS refused, q.s = st.s AND q.kind = st.kind AND st.done AS done
+  FROM st JOIN q2 q ON q.scan_id = st.scan_id AND q.ring = st.ring AND q.rn = st.rn + 1))))),
+found AS (SELECT scan_id, ring, col, CASE WHEN kind = 0 THEN 'edge' ELSE 'surf' END AS feature FROM st WHERE pick{rest})
+SELECT f.scan_id, f.ring, f.col, f.feature AS kind, g.curvature FROM found f JOIN g4 g USING (scan_id, ring, col)"""
+
+
 def transform(m: list[list[int]], x: str = "x", y: str = "y", z: str = "z") -> list[str]:
     return [f"({r[0]} * {x} + {r[1]} * {y} + {r[2]} * {z} + {r[3]}) // 32768" for r in m[:3]]
