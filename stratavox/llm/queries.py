@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from stratavox.llm.ann import nearest_neighbours
 from stratavox.llm.bm25 import search_bm25
 from stratavox.llm.common import crc_mod, table
+from stratavox.llm.dual_tree import cluster_vectors
 from stratavox.llm.html_extract import extract_html
 from stratavox.llm.language import fit_languages, identify_language
+from stratavox.llm.line_dedup import drop_repeated_lines
 from stratavox.llm.near_dedup import near_duplicate_classes
 from stratavox.llm.packing import assign_sequences, tokenize_pieces
 from stratavox.llm.pii import KINDS, find_pii
 from stratavox.llm.quality import fit_quality, score_quality
 from stratavox.llm.substring_dedup import remove_repeats
 from stratavox.llm.subword import encode_documents
+from stratavox.llm.whitening import whiten
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -83,6 +86,25 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_rowmatrix_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, facts = whiten(table(spark, sf_dir, "embeddings"))
+    long = rows.select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.element_at(F.array(*map(F.lit, facts["explained"])), F.col("at") + 1) if facts["n"] else F.lit(0.0)
+    return long.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(facts["n"]).cast("long").alias("n"), "deviation",
+        "whitened", explained.cast("double").alias("explained"), F.lit(facts["identity_error"]).alias("identity_error"),
+    )
+
+
+def op13_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_lines(table(spark, sf_dir, "documents"), min_chars=1, min_docs=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -94,5 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_streaming_viterbi": op9_streaming_viterbi,
     "op10_html_extract": op10_html_extract,
+    "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
+    "op12_rowmatrix_whitening": op12_rowmatrix_whitening,
+    "op13_bloom_line_dedup": op13_bloom_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
