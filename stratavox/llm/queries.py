@@ -120,4 +120,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_rowmatrix_whitening": op12_rowmatrix_whitening,
     "op13_bloom_line_dedup": op13_bloom_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _lloyd_sql(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: str = "2") -> str:
+    """Lloyd with every distance computed, one pair of steps a round."""
+    nearest = "SELECT r, min({{'d': d, 'c': c}}) AS best FROM (SELECT r, c, list_sum(list_transform(list_zip(kept.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept, m{0} AS m) GROUP BY r"
+    means = "SELECT m.c, coalesce(g.x, m.x) AS x FROM m{0} AS m LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (SELECT best.c AS c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{0} JOIN kept USING (r), range(1, {1}) AS t(i) GROUP BY ALL) GROUP BY c) AS g ON g.c = m.c"
+    steps = [
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: isfinite(e))) = {dim})",
+        f"m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS c, x FROM kept QUALIFY c < {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED ({nearest.format(n)})")
+        if n < rounds:
+            steps.append(f"m{n + 1} AS MATERIALIZED ({means.format(n, dim + 1)})")
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m{rounds}.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN kept USING (r) JOIN m{rounds} ON m{rounds}.c = best.c"
+    )
+
+
+_LINES_SQL = """WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nr FROM documents),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+often AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(often.k) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE often.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN often USING (k) GROUP BY doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op11_dual_tree_lloyd": _lloyd_sql(), "op13_bloom_line_dedup": _LINES_SQL}
