@@ -22,7 +22,9 @@ def split_tag(tag: Column) -> list[Column]:
 
 
 def padded_name(n: Column, width: int = 5, extension: str = "") -> Column:
-    return F.concat(F.lpad(n.cast("string"), width, "0"), F.lit(extension))
+    """n with zeros before it up to `width` digits; longer numbers stay whole."""
+    digits = n.cast("string")
+    return F.concat(F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), "0"), F.lit(extension))
 
 
 def base_name(path: Column) -> Column:

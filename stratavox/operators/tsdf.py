@@ -85,19 +85,19 @@ def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] =
     return _generated(df, inside([F.col(f"i{a}") for a in AXES])) if window is not None else df
 
 
-#: Bits of the packed keys of merge_nearest: distance, weight, and the order's parts. What does not fit is clipped, which
-#: only matters between equal distances.
+#: Bits of the packed keys of merge_nearest: distance, weight, and the order's parts.
 _BITS = {"value": 15, "weight": 7, "scan_id": 39, "idx": 18, "len": 17, "step": 4}
 
 
-def merge_nearest(cells: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("scan_id", "idx", "x", "y", "z", "len", "step")) -> DataFrame:
+def merge_nearest(cells: DataFrame, keys: tuple[str, ...] = (), order: tuple[str, ...] = ("scan_id", "idx", "x", "y", "z", "len", "step"), wide: bool = False) -> DataFrame:
     """A2, canonical rule: direct hits before interpolated ones, then least |value|, then first in order.
 
     Two hash aggregates of one packed long each, within scans and then over scans, that combine before the shuffle; the first
-    needs no shuffle where points are dealt by scan. Values are 16-bit as stored, new weights below 128. Other orders than the
-    ray march's take a sorting aggregate. The result does not depend on partitioning.
+    needs no shuffle where points are dealt by scan. Values are 16-bit as stored, new weights below 128, parts of the order not
+    negative and within _BITS (scans of up to 2**18 points); a cell beyond that is an error. Other orders than the ray march's, and
+    `wide`, take a sorting aggregate that has no bounds. The result does not depend on partitioning.
     """
-    if order[:2] != ("scan_id", "idx") or set(order) - {"scan_id", "idx", *AXES, "len", "step"}:
+    if wide or order[:2] != ("scan_id", "idx") or set(order) - {"scan_id", "idx", *AXES, "len", "step"}:
         by = F.struct((F.col("weight") < 0).cast("int").alias("i"), F.abs("value").alias("a"), *order)
         g = cells.groupBy(*keys, "ix", "iy", "iz").agg(F.min_by(F.struct("value", "weight"), by).alias("e"))
         return g.select(*keys, "ix", "iy", "iz", F.col("e.value").alias("value"), F.col("e.weight").alias("weight"))
@@ -108,16 +108,16 @@ def merge_nearest(cells: DataFrame, keys: tuple[str, ...] = (), order: tuple[str
             key = F.shiftleft(key, n).bitwiseOR(c)
         return key
 
-    def clipped(c: str) -> tuple[Column, int]:
-        return F.least(lng(c), F.lit((1 << _BITS[c]) - 1)), _BITS[c]
-
     fits = (F.abs("value") < 1 << _BITS["value"]) & (F.abs("weight") < 1 << _BITS["weight"])
+    for c in ("scan_id", "idx", "len", "step"):
+        if c in order:
+            fits &= F.shiftrightunsigned(lng(c), _BITS[c]) == 0  # of negative numbers the upper bits are set
     entry = [((F.col("value") < 0).cast("bigint"), 1), (F.abs("weight"), _BITS["weight"])]
-    first = packed([((F.col("weight") < 0).cast("bigint"), 1), (F.abs("value"), _BITS["value"]), *[clipped(c) for c in ("idx", "len", "step") if c in order], *entry])
+    first = packed([((F.col("weight") < 0).cast("bigint"), 1), (F.abs("value"), _BITS["value"]), *[(lng(c), _BITS[c]) for c in ("idx", "len", "step") if c in order], *entry])
     rank = sum(_BITS[c] for c in ("idx", "len", "step") if c in order)
     low = 1 + _BITS["weight"]
-    g = cells.groupBy(*keys, "scan_id", "ix", "iy", "iz").agg(F.min(F.when(fits, first).otherwise(F.raise_error("value or weight out of range").cast("bigint"))).alias("k"))
-    over = packed([(F.shiftright("k", rank + low), 1), clipped("scan_id"), (F.col("k").bitwiseAND(F.lit((1 << low) - 1)), low)])
+    g = cells.groupBy(*keys, "scan_id", "ix", "iy", "iz").agg(F.min(F.when(fits, first).otherwise(F.raise_error("a value, weight or part of the order is out of range: use wide").cast("bigint"))).alias("k"))
+    over = packed([(F.shiftright("k", rank + low), 1), (lng("scan_id"), _BITS["scan_id"]), (F.col("k").bitwiseAND(F.lit((1 << low) - 1)), low)])
     g = g.groupBy(*keys, "ix", "iy", "iz").agg(F.min(over).alias("k"))
     part = lambda at, n: F.shiftright("k", at).bitwiseAND(F.lit((1 << n) - 1))
     size, weight = part(low + _BITS["scan_id"], _BITS["value"]), part(0, _BITS["weight"])

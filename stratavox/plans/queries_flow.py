@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ def _folder(spark: SparkSession) -> str:
     """A new folder in the shared one (spark.checkpoint.dir), removed when the driver ends; local sessions may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stratavox-")
     path = f"{base}/flow-{uuid.uuid4().hex}"
@@ -190,20 +191,34 @@ def map_cells(spark, sf):
 # ---------------------------------------------------------------- streams
 
 
-def _stream(df: DataFrame, ts: str | None = None) -> tuple[DataFrame, str]:
-    """df as a stream of its files, and a folder for what it makes."""
-    spark = df.sparkSession
-    folder = _folder(spark)
-    df.write.parquet(f"{folder}/in")
-    return FL.read_stream(spark, f"{folder}/in", df.schema, ts, files_per_trigger=1000), folder
+#: Micro-batches that the queries' inputs fall into, besides the one of the closing beat.
+BATCHES = 3
+
+
+def _stream(df: DataFrame, ts: str) -> tuple[DataFrame, str]:
+    """df as a stream in BATCHES micro-batches of files, and a folder for what it makes.
+
+    Rows are out of order by up to 1.6 of a batch's span of time, within and across batches; the watermark waits for twice that span.
+    """
+    spark, folder = df.sparkSession, _folder(df.sparkSession)
+    low, high = df.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    low, high = low or 0, high or 0
+    span = (high - low) // BATCHES + 1
+    mixed = F.pmod(F.xxhash64(*df.columns), F.lit(1000))
+    batch = F.least(F.floor((F.unix_micros(ts) - low) / span + mixed * 0.0006), F.lit(BATCHES - 1))
+    for k in range(BATCHES):
+        df.filter(batch == k).sortWithinPartitions(mixed).write.mode("append").parquet(f"{folder}/in")
+    files = len(spark.read.schema(df.schema).parquet(f"{folder}/in").inputFiles())
+    FL.write_beat(spark, f"{folder}/in", df.schema, ts, datetime.fromtimestamp((high + 4 * span) / 1e6 + 1, UTC))
+    return FL.read_stream(spark, f"{folder}/in", df.schema, ts, f"{2 * span} microseconds", files_per_trigger=-(-files // BATCHES)), folder
 
 
 @query(Q.ORACLE_SQL["imu_smooth"].replace("SELECT event_id, sensor_id,", "SELECT sensor_id,").replace("AS smooth", "AS smooth, epoch_us(ts) AS us"))
 def stream_smooth(spark, sf):
     """S2, T4."""
     imu = A.imu(spark, sf).select("event_id", "sensor_id", F.col("ts").cast("timestamp").alias("ts"), "w")
-    src, folder = _stream(imu)
-    out = FL.drain(FL.smooth_stream(src), f"{folder}/out")
+    src, folder = _stream(imu, "ts")
+    out = FL.drain(FL.smooth_stream(src, order=("event_id",)), f"{folder}/out")
     return out.select("sensor_id", "smooth", F.unix_micros("ts").alias("us"))
 
 
@@ -215,7 +230,7 @@ def _events(spark, sf) -> DataFrame:
 @query(Q.ORACLE_SQL["imu_per_scan"])
 def stream_assign(spark, sf):
     """Samples summed into the next scan of their sensor; scans without samples left out."""
-    src, folder = _stream(_events(spark, sf))
+    src, folder = _stream(_events(spark, sf), "ts")
     out = FL.drain(FL.assign_stream(src), f"{folder}/out")
     return out.filter("samples > 0").select("sensor_id", "scan_key", "samples", "w_sum")
 
@@ -227,7 +242,7 @@ _CLOCKED = Q.ORACLE_SQL["imu_rotation"]
 def stream_rotation(spark, sf):
     """The rotation of each scan's samples."""
     e = _events(spark, sf).select("event_id", "sensor_id", "ts", "kind", (F.col("w") / 1e9).alias("wx"), F.lit(0.0).alias("wy"), (F.col("w") / 2e9).alias("wz"))
-    src, folder = _stream(e)
+    src, folder = _stream(e, "ts")
     out = FL.drain(FL.rotation_stream(src), f"{folder}/out")
     some = A.imu(spark, sf).select("sensor_id", F.col("ts").cast("timestamp").alias("ts"))
     from stratavox.operators import timeseries as TS
@@ -239,35 +254,50 @@ def stream_rotation(spark, sf):
 @query(Q.ORACLE_SQL["distance_gate"])
 def stream_gate(spark, sf):
     """T6, F16."""
-    src, folder = _stream(A.poses(spark, sf))
+    src, folder = _stream(_stamped_poses(spark, sf), "ts")
     return FL.drain(FL.gate_stream(src, 60000.0), f"{folder}/out").select("session", "seq", "tx", "ty", "tz")
 
 
-@query(f"WITH {S.POSES}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS up, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS down FROM poses) SELECT 'oldest' AS kept, session, seq FROM r WHERE up <= 3 UNION ALL SELECT 'newest', session, seq FROM r WHERE down <= 3 UNION ALL SELECT 'latest', session, seq FROM r WHERE down = 1")
-def stream_queues(spark, sf):
-    """Three places a session, dropping the newest or pushing out the oldest, and one place for the latest."""
-    src, folder = _stream(A.poses(spark, sf).select("session", "seq", "tx"))
-
-    def keep(batch: DataFrame, number: int) -> None:
-        kinds = {"oldest": FL.bounded_queue(batch, 3, "session", ["seq"]), "newest": FL.bounded_queue(batch, 3, "session", ["seq"], force=True), "latest": FL.latest_per_key(batch, "session", "seq").select(*batch.columns)}
-        rows = [df.select(F.lit(k).alias("kept"), "session", "seq") for k, df in kinds.items()]
-        rows[0].unionByName(rows[1]).unionByName(rows[2]).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+def _stamped_poses(spark, sf) -> DataFrame:
+    return A.poses(spark, sf).withColumn("ts", F.timestamp_seconds("seq"))
 
-    src.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("kept string, session bigint, seq bigint").parquet(f"{folder}/out/batch=0")
 
-
-@query(f"WITH {Q._V} SELECT * FROM voxels")
+@query(
+    f"WITH {S.POSES}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS up, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS down FROM poses) "
+    "SELECT 'oldest' AS kept, session, seq FROM r WHERE up <= 3 UNION ALL SELECT 'newest', session, seq FROM r WHERE down <= 3 UNION ALL SELECT 'latest', session, seq FROM r WHERE down = 1 "
+    "UNION ALL SELECT 'taken', session, seq FROM r"
+)
+def stream_queues(spark, sf):
+    """Queues of each session over all micro-batches, drained at the end: three places that drop the newest or push out the
+    oldest, one place for the latest, and one place whose reader takes every pose as it comes."""
+    poses = _stamped_poses(spark, sf).select("session", "seq", "ts")
+    kinds = {"oldest": (3, False), "newest": (3, True), "latest": (1, True), "taken": (1, False)}
+    queues = F.explode(F.array(*[F.struct(F.lit(k).alias("kept"), F.lit(c).alias("capacity"), F.lit(f).alias("force")) for k, (c, f) in kinds.items()]))
+    name = F.concat_ws(":", "q.kept", "session").alias("queue")
+    pushes = poses.select("session", "seq", "ts", queues.alias("q")).select(name, "ts", F.lit("push").alias("act"), F.col("seq").alias("item"), "q.capacity", "q.force", "q.kept")
+    pops = pushes.filter("kept = 'taken'").withColumns({"act": F.lit("pop_all_if"), "ts": F.col("ts") + F.expr("INTERVAL 1 MILLISECOND")})
+    ends = pushes.groupBy("queue").agg(F.max("ts").alias("ts")).select("queue", (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"), F.lit("drain").alias("act"), F.lit(0).cast("bigint").alias("item"), F.lit(1).alias("capacity"), F.lit(False).alias("force"))
+    src, folder = _stream(pushes.unionByName(pops).drop("kept").unionByName(ends), "ts")
+    out = FL.drain(FL.queue_stream(src), f"{folder}/out")
+    parts = F.split("queue", ":")
+    return out.select(parts[0].alias("kept"), parts[1].cast("bigint").alias("session"), F.col("item").alias("seq"))
+
+
+@query(Q.ORACLE_SQL["tsdf_upsert"])
 def stream_map(spark, sf):
-    """Points stream into the map at a path; all of them in one batch make the map of one integration."""
-    src, folder = _stream(A.points(spark, sf))
-    number = iter(range(1000))
+    """Points stream into the map at a path, even scans in the first micro-batch and odd ones in the second."""
+    folder, n = _folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    points = A.points(spark, sf)
+    for k in (0, 1):
+        points.filter(F.col("scan_id") % 2 == k).repartition(n).write.mode("append").option("maxRecordsPerFile", 0).parquet(f"{folder}/in")
+    src = FL.read_stream(spark, f"{folder}/in", points.schema, files_per_trigger=n)
+    number = itertools.count()
 
     def cut(df: DataFrame) -> DataFrame:
         path = f"{folder}/cut-{next(number)}"
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    write = FL.map_writer(f"{folder}/map", Q.RES, Q.TAU, 640, Q.WINDOW, stage=cut)
+    write = FL.map_writer(f"{folder}/map", Q.RES, Q.TAU, 640, Q.WINDOW, Q.FAN, stage=cut)
     src.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return MS.read_map(spark, f"{folder}/map")

@@ -103,7 +103,7 @@ def write_files(files: DataFrame, folder: str) -> None:
     """Writes name and content into a new folder; one that exists is an error.
 
     Executors write, a file per row, through the file system of the folder's address (local or shared paths, HDFS, object stores).
-    A file appears under its name once it is whole, so that a task that runs again does no harm.
+    A file appears under its name once it is whole, so that a task that runs again does no harm. Names that repeat are an error.
     """
     spark = files.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -128,7 +128,10 @@ def write_files(files: DataFrame, folder: str) -> None:
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
-    files.select("name", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    rows = files.select("name", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+    made = fs.getContentSummary(path).getFileCount()
+    if made < rows:  # attempts that were cut off may leave more
+        raise ValueError(f"{rows} rows made {made} files: names repeat")
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:

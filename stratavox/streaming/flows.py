@@ -1,18 +1,22 @@
 """Structured Streaming forms of the engine's operators.
 
-Keyed state lives in applyInPandasWithState; the voxel map is too large for operator state and is upserted per micro-batch into
-chunk directories by foreachBatch. Offsets replace queues; latest-only queues become latest_per_key(); triggers replace polling.
+Keyed folds run in event time: rows wait in state until the watermark has passed them, so results do not depend on how rows fall into
+files and micro-batches. The voxel map is too large for operator state and is upserted per micro-batch into chunk directories by
+foreachBatch. Offsets and triggers replace polling.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stratavox.operators.mapstore import read_map, write_map
 from stratavox.operators.timeseries import euler_matrix
@@ -25,92 +29,199 @@ def read_stream(spark: SparkSession, path: str, schema, ts: str | None = None, d
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if ts else df
 
 
-def smooth_stream(imu: DataFrame, n: int = 10, key: str = "sensor_id", ts: str = "ts", value: str = "w") -> DataFrame:
-    """T4: sliding mean per sensor; the state is the last n values. Rows of a batch are taken in order of their stamps."""
+def write_beat(spark: SparkSession, path: str, schema, ts: str, at) -> None:
+    """A row without a key, stamped `at`: once it is read, the watermark passes all rows more than the delay before it, and they are released."""
+    row = spark.createDataFrame([(None,) * len(schema.fields)], StructType([StructField(f.name, f.dataType) for f in schema.fields]))
+    row.withColumn(ts, F.lit(at).cast(schema[ts].dataType)).write.mode("append").parquet(path)
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (held, seen) = state.get if state.exists else ([], 0)
-        held = list(held)
-        rows = pd.concat(list(batches)).sort_values(ts)
-        out = []
-        for v in rows[value]:
+
+def _to_bytes(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+class EventOrder(StatefulProcessor):
+    """Rows wait in state until the watermark has passed their stamps (micros), then each key's go through `fold` in event order.
+
+    State is kept per slot, a hash of keys, so that a micro-batch makes a few calls a slot and not some for every key: the waiting rows and the
+    carries of the slot's keys. Every batch sets a timer at its first row. `fold(key, carry, rows)` gives the next carry, a tuple or None,
+    and rows out. Rows that come after the watermark has passed them are released at once, after all that went before.
+    """
+
+    def __init__(self, fold: Callable, key: str, order: list[str]):
+        self.fold, self.key, self.order = fold, key, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "part binary")
+        self.carry = handle.getValueState("carry", "by_key binary")
+
+    def _set_timer(self, rows: pd.DataFrame) -> None:
+        self.handle.registerTimer(int(rows["stamp_us"].min()) // 1000 + 1)  # the watermark, in whole milliseconds, has then passed the row
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        come = pd.concat(list(rows), ignore_index=True)
+        come = come[come[self.key].notna()]  # a row without a key is a beat
+        if len(come):
+            self.waiting.appendValue((_to_bytes(come),))
+            self._set_timer(come)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        parts = [pa.ipc.open_stream(bytes(part)).read_pandas() for (part,) in self.waiting.get()]
+        if not parts:  # another timer of this micro-batch has released them
+            return
+        rows = pd.concat(parts, ignore_index=True)
+        passed = rows["stamp_us"] // 1000 < timerValues.getCurrentWatermarkInMs()
+        if not passed.any():
+            return
+        ready, rest = rows[passed].sort_values(["stamp_us", *self.order], kind="stable"), rows[~passed]
+        if len(rest):
+            self.waiting.put([(_to_bytes(rest),)])
+            self._set_timer(rest)
+        else:
+            self.waiting.clear()
+        held = self.carry.get()
+        carries = pickle.loads(bytes(held[0])) if held else {}
+        outs = []
+        for k, mine in ready.groupby(self.key, sort=False):
+            carries[k], out = self.fold(k, carries.get(k), mine)
+            if len(out):
+                outs.append(out)
+        self.carry.update((pickle.dumps(carries),))
+        if outs:
+            yield pd.concat(outs, ignore_index=True)
+
+    def close(self) -> None:
+        return
+
+
+def in_event_order(rows: DataFrame, key: str, ts: str, order: list[str], fold: Callable, out: str, slots: int = 256) -> DataFrame:
+    """`fold` over a watermarked stream, each key in order of (ts, *order) whatever order its rows come in.
+
+    The result is that of the whole table read at once, for rows no later than the watermark's delay. Late ones count where they come; rows
+    without a key only move the clock. Keys cross as text and stamps as micros (`stamp_us`). State is RocksDB's, which timers need; the session
+    keeps that setting. The number of slots may not change while a checkpoint lives; it bounds how many tasks share the keys.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # Without the watermarked column Spark's own filter of late rows, which would drop them, has nothing to look at.
+    plain = rows.withColumns({"stamp_us": F.unix_micros(ts), key: F.col(key).cast("string"), "slot": F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(slots))}).drop(ts)
+    wanted = StructType.fromDDL(out)
+    texts = StructType([StructField(f.name, StringType() if f.name == key else f.dataType) for f in wanted])
+    got = plain.groupBy("slot").transformWithStateInPandas(EventOrder(fold, key, order), texts, "append", "eventTime")
+    return got.withColumn(key, F.col(key).cast(wanted[key].dataType))
+
+
+def smooth_stream(imu: DataFrame, n: int = 10, key: str = "sensor_id", ts: str = "ts", value: str = "w", order: tuple[str, ...] = ()) -> DataFrame:
+    """T4: sliding mean per sensor; the carry is the last n values."""
+
+    def fold(k, carry: tuple | None, rows: pd.DataFrame):
+        held, seen = carry or ([], 0)
+        held, out = list(held), []
+        for v in rows[value].to_numpy(float):
             held = [*held, float(v)][-n:]
             seen += 1
             out.append(float(v) if seen <= n else sum(held) / n)
-        state.update((held, seen))
-        yield pd.DataFrame({key: [k[0]] * len(rows), ts: rows[ts].to_numpy(), "smooth": out})
+        return (held, seen), pd.DataFrame({key: [k] * len(rows), "stamp_us": rows["stamp_us"].to_numpy(), "smooth": out})
 
-    kt, tt = imu.schema[key].dataType.simpleString(), imu.schema[ts].dataType.simpleString()
-    return imu.groupBy(key).applyInPandasWithState(run, f"{key} {kt}, {ts} {tt}, smooth double", "held array<double>, seen bigint", "append", GroupStateTimeout.NoTimeout)
+    kt = imu.schema[key].dataType.simpleString()
+    got = in_event_order(imu.select(key, ts, value, *order), key, ts, list(order), fold, f"{key} {kt}, stamp_us bigint, smooth double")
+    return got.select(key, F.timestamp_micros("stamp_us").alias(ts), "smooth")
 
 
 def assign_stream(events: DataFrame, key: str = "sensor_id", ts: str = "ts") -> DataFrame:
     """Samples (kind 0, columns event_id, w) summed into the next scan (kind 1) of their sensor, a row per scan.
 
-    Samples later than every scan so far wait in the state as a sum and a count. A late sample goes to the next scan.
+    The carry is a sum and a count. A sample that comes after its scan was released goes to the next scan.
     """
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, n = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values([ts, "kind"])
+    def fold(k, carry: tuple | None, rows: pd.DataFrame):
+        total, n = carry or (0, 0)
         out = []
         for kind, eid, w in zip(rows["kind"], rows["event_id"], rows["w"], strict=True):
             if kind == 0:
                 total, n = total + int(w), n + 1
             else:
-                out.append((k[0], int(eid), total, n))
+                out.append((k, int(eid), total, n))
                 total, n = 0, 0
-        state.update((total, n))
-        yield pd.DataFrame(out, columns=[key, "scan_key", "w_sum", "samples"])
+        return (total, n), pd.DataFrame(out, columns=[key, "scan_key", "w_sum", "samples"])
 
     kt = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kt}, scan_key bigint, w_sum bigint, samples bigint", "total bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
+    return in_event_order(events.select(key, ts, "kind", "event_id", "w"), key, ts, ["kind", "event_id"], fold, f"{key} {kt}, scan_key bigint, w_sum bigint, samples bigint")
 
 
 def rotation_stream(events: DataFrame, key: str = "sensor_id", ts: str = "ts") -> DataFrame:
     """The rotation of a sensor since its last scan, a row per scan (kind 1), from rates wx, wy, wz of samples (kind 0).
 
-    The state is the clock and the product so far, nine numbers. The first sample only sets the clock; a sample later than every
-    scan so far counts for the next one. A scan without samples has the identity.
+    The carry is the clock and the product so far, nine numbers. The first sample only sets the clock; a sample that comes after its
+    scan was released counts for the next one. A scan without samples has the identity.
     """
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        clock, rot = state.get if state.exists else (None, None)
+    def fold(k, carry: tuple | None, rows: pd.DataFrame):
+        clock, rot = carry or (None, None)
         rot = np.eye(3) if rot is None else np.array(rot, float).reshape(3, 3)
-        rows = pd.concat(list(batches)).sort_values([ts, "kind"])
-        stamps = rows[ts].astype("datetime64[us]").astype("int64").to_numpy()
         out = []
-        for t, kind, eid, w in zip(stamps.tolist(), rows["kind"], rows["event_id"], rows[["wx", "wy", "wz"]].to_numpy(float), strict=True):
+        for t, kind, eid, w in zip(rows["stamp_us"].tolist(), rows["kind"], rows["event_id"], rows[["wx", "wy", "wz"]].to_numpy(float), strict=True):
             if kind == 0:
                 if clock is not None:
                     rot = euler_matrix(w * (abs(t - clock) / 1e6)) @ rot
-                clock = t
+                clock = int(t)
             else:
-                out.append((k[0], int(eid), rot.ravel().tolist()))
+                out.append((k, int(eid), rot.ravel().tolist()))
                 rot = np.eye(3)
-        state.update((clock, rot.ravel().tolist()))
-        yield pd.DataFrame(out, columns=[key, "scan_key", "rotation"])
+        return (clock, rot.ravel().tolist()), pd.DataFrame(out, columns=[key, "scan_key", "rotation"])
 
     kt = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kt}, scan_key bigint, rotation array<double>", "clock bigint, rot array<double>", "append", GroupStateTimeout.NoTimeout)
+    return in_event_order(events.select(key, ts, "kind", "event_id", "wx", "wy", "wz"), key, ts, ["kind", "event_id"], fold, f"{key} {kt}, scan_key bigint, rotation array<double>")
 
 
-def gate_stream(poses: DataFrame, limit: float, key: str = "session", order: str = "seq") -> DataFrame:
-    """Poses at least `limit` from the last kept one of their session; the state is that pose."""
+def gate_stream(poses: DataFrame, limit: float, key: str = "session", ts: str = "ts", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Poses at least `limit` from the last kept one of their session; the carry is that pose."""
+    kept = [c for c in poses.columns if c != ts]
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(order)
-        keep = []
+    def fold(k, carry: tuple | None, rows: pd.DataFrame):
+        last, keep = carry, []
         for i, p in enumerate(zip(rows["tx"].astype(float), rows["ty"].astype(float), rows["tz"].astype(float), strict=True)):
             if last is None or sum((a - b) ** 2 for a, b in zip(p, last, strict=True)) >= limit * limit:
                 last = p
                 keep.append(i)
-        if last is not None:
-            state.update(last)
-        yield rows.iloc[keep]
+        return last, rows.iloc[keep].assign(**{key: k})[[*kept, "stamp_us"]]
+
+    types = ", ".join(f"{c} {poses.schema[c].dataType.simpleString()}" for c in kept)
+    got = in_event_order(poses, key, ts, list(order), fold, f"{types}, stamp_us bigint")
+    return got.select(*kept, F.timestamp_micros("stamp_us").alias(ts))
+
 
-    return poses.groupBy(key).applyInPandasWithState(run, poses.schema, "x double, y double, z double", "append", GroupStateTimeout.NoTimeout)
+def queue_stream(events: DataFrame, key: str = "queue", ts: str = "ts", order: tuple[str, ...] = ("item",)) -> DataFrame:
+    """Bounded queues in event time, one a key; rows (key, item, at) leave in the order they are taken.
+
+    Columns of events: act, item (bigint), capacity, force. "push" adds item at the end; a full queue drops it, or with force loses its
+    oldest instead. "pop" takes the oldest, "pop_if" only if its item is at most the event's, "pop_all_if" all such from the front (a scan
+    taking the samples before it), "peek" shows the oldest, "drain" takes all, "clear" drops all. An empty queue gives nothing, as a pop that
+    does not wait. The carry is the queue, at most `capacity` items.
+    """
+
+    def fold(k, carry: tuple | None, rows: pd.DataFrame):
+        held, out = list(carry[0]) if carry else [], []
+        for us, act, item, capacity, force in zip(rows["stamp_us"].tolist(), rows["act"], rows["item"], rows["capacity"], rows["force"], strict=True):
+            if act == "push":
+                if len(held) >= capacity and force:
+                    held = held[1 - int(capacity) :] if capacity > 1 else []
+                if len(held) < capacity:
+                    held.append(int(item))
+                continue
+            n = {"pop": 1, "peek": 1, "pop_if": int(bool(held) and held[0] <= item), "drain": len(held)}.get(act, 0)
+            if act == "pop_all_if":
+                n = next((i for i, h in enumerate(held) if h > item), len(held))
+            out += [(k, h, us) for h in held[:n]]
+            held = [] if act == "clear" else held if act == "peek" else held[n:]
+        return (held,), pd.DataFrame(out, columns=[key, "item", "at"])
+
+    kt = events.schema[key].dataType.simpleString()
+    return in_event_order(events.select(key, ts, "act", "item", "capacity", "force"), key, ts, list(order), fold, f"{key} {kt}, item bigint, at bigint")
 
 
 def latest_per_key(batch: DataFrame, key: str, ts: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Map window and chunk store: single-ray golden values, round trips, shifts."""
 
+import pytest
+
 from stratavox.operators.mapstore import LocalMap, dense_chunks, read_map, touched_cells, write_map
 from stratavox.operators.tsdf import merge_in_order, merge_nearest, ray_march, upsert
 from stratavox.schemas import VOXELS
@@ -82,3 +84,17 @@ def test_weighted_upsert(spark):
     a = spark.createDataFrame([(0, 0, 0, 100, 64), (1, 0, 0, 7, 640), (2, 0, 0, 5, -3), (3, 0, 0, 1, 9)], VOXELS)
     b = spark.createDataFrame([(0, 0, 0, -50, 32), (1, 0, 0, 7, 64), (2, 0, 0, 6, 64), (4, 0, 0, 2, -8)], VOXELS)
     assert as_dict(upsert(a, b, 640)) == {(0, 0, 0): (50, 96), (1, 0, 0): (7, 640), (2, 0, 0): (6, 64), (3, 0, 0): (1, 9), (4, 0, 0): (2, -8)}
+
+
+def test_merge_order_beyond_the_packed_bits(spark):
+    order = ("scan_id", "idx", "x", "y", "z", "len", "step")
+    schema = ", ".join(f"{c} bigint" for c in (*order, "ix", "iy", "iz", "value", "weight"))
+    far = [(0, 300_001, 0, 0, 0, 1, 20, 0, 0, 0, 50, 32), (0, 300_000, 0, 0, 0, 1, 30, 0, 0, 0, -50, 64), (0, 5, 0, 0, 0, 1, 17, 1, 0, 0, 7, 1), (0, 5, 0, 0, 0, 1, 16, 1, 0, 0, -7, 2), (0, -1, 0, 0, 0, 1, 0, 2, 0, 0, 9, 3)]
+    cells = spark.createDataFrame(far, schema)
+    assert as_dict(merge_nearest(cells, wide=True)) == as_dict(merge_in_order(cells)) == {(0, 0, 0): (-50, 64), (1, 0, 0): (-7, 2), (2, 0, 0): (9, 3)}
+    for at in range(5):
+        if at != 2:
+            with pytest.raises(Exception, match="out of range"):
+                merge_nearest(cells.filter(f"ix = {far[at][7]}")).collect()
+    near = spark.createDataFrame([(0, 2**18 - 1, 0, 0, 0, 1, 15, 0, 0, 0, 50, 32), (0, 2**18 - 2, 0, 0, 0, 1, 15, 0, 0, 0, -50, 64)], schema)
+    assert as_dict(merge_nearest(near)) == {(0, 0, 0): (-50, 64)}

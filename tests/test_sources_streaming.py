@@ -1,6 +1,7 @@
 """Cloud files and messages, streams against batch results."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -65,41 +66,114 @@ def test_window_edges_and_path(spark):
     assert [len(r.path) for r in PB.path_of(p, last=3).orderBy("seq").collect()] == [1, 2, 3, 3]
 
 
+def test_scans_of_six_digits_keep_their_files(spark, tmp_path):
+    rows = [(s, i, float(i), 0.0, float(s), 1.0) for s in (7, 123456, 123457, 10_000_000) for i in range(5)]
+    folder = str(tmp_path / "clouds")
+    CL.write_files(CL.encode_files(spark.createDataFrame(rows, CLOUD)), folder)
+    back = CL.read_pcd(spark, folder + "/*.pcd").collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.idx) for r in back) == sorted((f"{s:05d}.pcd", i) for s, i, *_ in rows)
+    twice = spark.createDataFrame([("a", b"1"), ("a", b"2")], "name string, content binary")
+    with pytest.raises(ValueError, match="repeat"):
+        CL.write_files(twice, str(tmp_path / "twice"))
+
+
 def samples(spark):
     start = dt.datetime(2024, 1, 1)
     rows = [(i, i % 3, start + dt.timedelta(seconds=i), i * 7 % 50, int(i % 5 == 0)) for i in range(60)]
     return spark.createDataFrame(rows, "event_id bigint, sensor_id bigint, ts timestamp, w bigint, kind int")
 
 
-def test_stream_smoothing_equals_batch(spark, tmp_path):
+def live(spark, folder, rows, parts, ts="ts", delay="365 days", last=None, mixed=None):
+    """rows in `parts` files, dealt by `mixed` (at random by default), read one a trigger; a beat at the end moves the clock past them."""
+    mixed = F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) if mixed is None else mixed
+    for k in range(parts):
+        rows.filter(mixed == k).coalesce(1).orderBy(F.xxhash64(*rows.columns, F.lit(7))).write.mode("append").parquet(f"{folder}/in")
+    FL.write_beat(spark, f"{folder}/in", rows.schema, ts, last or dt.datetime(2099, 1, 1))
+    return FL.read_stream(spark, f"{folder}/in", rows.schema, ts, delay)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_stream_smoothing_of_shuffled_files_equals_batch(spark, tmp_path, parts):
     s = samples(spark)
-    s.repartition(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
-    live = FL.read_stream(spark, str(tmp_path / "in"), s.schema, "ts")
-    got = FL.run_to_end(FL.smooth_stream(live, 4), str(tmp_path / "c"), "smooth_test").collect()
+    got = FL.drain(FL.smooth_stream(live(spark, tmp_path, s, parts), 4), str(tmp_path / "out")).collect()
     want = TS.sliding_mean(s, "w", 4, ("sensor_id",), ("ts",)).collect()
     assert sorted((r.sensor_id, r.ts, round(r.smooth, 9)) for r in got) == sorted((r.sensor_id, r.ts, round(r.smooth, 9)) for r in want)
 
 
-def test_stream_assignment_equals_batch(spark, tmp_path):
+def test_stream_assignment_of_shuffled_files_equals_batch(spark, tmp_path):
     s = samples(spark)
-    for lo in (0, 30):  # two files, two batches: sums wait in the state between them
-        s.filter(F.col("event_id").between(lo, lo + 29)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    live = FL.read_stream(spark, str(tmp_path / "in"), s.schema, "ts")
-    got = FL.run_to_end(FL.assign_stream(live), str(tmp_path / "c"), "assign_test").collect()
+    got = FL.drain(FL.assign_stream(live(spark, tmp_path, s, 4)), str(tmp_path / "out")).collect()
     imu, scans = s.filter("kind = 0"), s.filter("kind = 1").select(F.col("event_id").alias("scan_key"), "sensor_id", "ts")
     want = TS.assign_to_next(imu, scans, by=("sensor_id",)).filter("scan_key is not null").groupBy("sensor_id", "scan_key").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
     assert sorted((r.sensor_id, r.scan_key, r.w_sum, r.samples) for r in got if r.samples) == sorted((r.sensor_id, r.scan_key, r.w, r.n) for r in want.collect())
 
 
-def test_stream_gate_equals_batch(spark, tmp_path):
+def test_a_late_sample_falls_into_the_next_scan(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    batches = [[(1, 1, at(1), 10, 0), (2, 1, at(5), 0, 1)], [(3, 1, at(30), 7, 0)], [(6, 1, at(31), 1, 0)], [(4, 1, at(4), 100, 0)], [(5, 1, at(60), 0, 1)]]  # event 4 comes when scan 2 is out
+    schema = "event_id bigint, sensor_id bigint, ts timestamp, w bigint, kind int, part int"
+    rows = spark.createDataFrame([(*r, k) for k, b in enumerate(batches) for r in b], schema)
+    stream = live(spark, tmp_path, rows, 5, delay="10 seconds", last=at(1000), mixed=F.col("part"))
+    got = FL.drain(FL.assign_stream(stream), str(tmp_path / "out"))
+    assert sorted((r.scan_key, r.w_sum, r.samples) for r in got.collect()) == [(2, 10, 1), (5, 108, 3)]
+
+
+def test_stream_rotation_of_samples_before_each_scan(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(i, 1, at(0.25 * i), 0, 0.0, 0.0, np.pi) for i in range(1, 8)] + [(90, 1, at(1.25), 1, 0.0, 0.0, 0.0), (91, 1, at(1.75), 1, 0.0, 0.0, 0.0)]
+    d = spark.createDataFrame(rows, "event_id bigint, sensor_id bigint, ts timestamp, kind int, wx double, wy double, wz double")
+    got = {r.scan_key: np.array(r.rotation).reshape(3, 3) for r in FL.drain(FL.rotation_stream(live(spark, tmp_path, d, 3)), str(tmp_path / "out")).collect()}
+    half = np.array([[-1, 0, 0], [0, -1, 0], [0, 0, 1]])  # four steps of 45 degrees
+    quarter = np.array([[0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    assert np.allclose(got[90], half, atol=1e-6) and np.allclose(got[91], quarter, atol=1e-6)
+
+
+def test_stream_gate_of_shuffled_files_equals_batch(spark, tmp_path):
     p = spark.createDataFrame([(i % 2, i, float((i * 13) % 7), 0.0, 0.0) for i in range(40)], "session bigint, seq bigint, tx double, ty double, tz double")
-    for lo in (0, 20):
-        p.filter(F.col("seq").between(lo, lo + 19)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    live = FL.read_stream(spark, str(tmp_path / "in"), p.schema)
-    got = FL.run_to_end(FL.gate_stream(live, 3.0), str(tmp_path / "c"), "gate_test").collect()
+    got = FL.drain(FL.gate_stream(live(spark, tmp_path, p.withColumn("ts", F.timestamp_seconds("seq")), 6), 3.0), str(tmp_path / "out")).collect()
     assert sorted((r.session, r.seq) for r in got) == sorted((r.session, r.seq) for r in FI.distance_gate(p, 3.0).collect())
 
 
+def test_stream_stops_and_goes_on_from_its_state(spark, tmp_path):
+    s = samples(spark)
+    first, then = (s.filter(c) for c in ("event_id < 30", "event_id >= 30"))
+    for k, part in enumerate((first, then)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k:
+            FL.write_beat(spark, str(tmp_path / "in"), s.schema, "ts", dt.datetime(2099, 1, 1))
+        out = FL.drain(FL.smooth_stream(FL.read_stream(spark, str(tmp_path / "in"), s.schema, "ts", "5 seconds"), 4), str(tmp_path / "out"))
+    want = TS.sliding_mean(s, "w", 4, ("sensor_id",), ("ts",)).collect()
+    assert sorted((r.sensor_id, r.ts, round(r.smooth, 9)) for r in out.collect()) == sorted((r.sensor_id, r.ts, round(r.smooth, 9)) for r in want)
+
+
+def test_stream_queues_against_plain_queues(spark, tmp_path):
+    rng = random.Random(4)
+    acts = ["push"] * 6 + ["pop", "pop_if", "pop_all_if", "peek", "drain", "clear"]
+    kinds = {"a": (3, False), "b": (3, True), "c": (1, True), "d": (1, False)}
+    start = dt.datetime(2024, 1, 1)
+    rows = [(q, start + dt.timedelta(seconds=i), rng.choice(acts), i if rng.random() < 0.7 else i // 2, *kinds[q]) for i in range(120) for q in kinds]
+    d = spark.createDataFrame(rows, "queue string, ts timestamp, act string, item bigint, capacity int, force boolean")
+    got = [(r.queue, r.item, r["at"]) for r in FL.drain(FL.queue_stream(live(spark, tmp_path, d, 4)), str(tmp_path / "out")).collect()]
+    want, held = [], {q: [] for q in kinds}
+    for q, ts, act, item, capacity, force in rows:
+        h, us = held[q], int((ts - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
+        if act == "push":
+            if len(h) == capacity and force:
+                h.pop(0)
+            if len(h) < capacity:
+                h.append(item)
+        elif act == "pop" and h or act == "pop_if" and h and h[0] <= item:
+            want.append((q, h.pop(0), us))
+        elif act == "peek" and h:
+            want.append((q, h[0], us))
+        elif act in ("drain", "pop_all_if"):
+            while h and (act == "drain" or h[0] <= item):
+                want.append((q, h.pop(0), us))
+        elif act == "clear":
+            h.clear()
+    assert sorted(got) == sorted(want) and want
+
+
 def test_stream_map_upsert(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(s, i, *map(int, rng.integers(-4000, 4000, 3))) for s in range(2) for i in range(30)]
