@@ -2,7 +2,9 @@
 
 Every block of text passes points for its length and commas to its ancestors, halved per level and discounted by the
 container's link density. The best container, lifted to an enclosing article or main element, and its well-scored
-siblings are kept. Menus, headers, footers, sidebars, notices, adverts, forms, comments and raw elements are pruned first.
+siblings are kept. Menus, headers, footers, asides and raw elements are pruned first. Blocks that only their class or id words, their
+being hidden or their being a form speak against (suspects) are pruned unless they wrap the page: such words often stand on wrappers
+("has-sidebar", "modal-open"). A wrapper scores half, and is kept only around the best container.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from stratavox.llm.common import map_batches
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
 #: Elements that are pruned inside a line of text, without ending its block.
 INSIDE = frozenset("noscript template svg math object select button canvas audio video".split())
-PRUNED = RAW | INSIDE | frozenset("nav header footer aside form head menu dialog".split())
+PRUNED = RAW | INSIDE | frozenset("nav header footer aside head menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote section article main figure figcaption address center details summary fieldset hgroup search".split()
+    "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote section article main figure figcaption address center details summary fieldset hgroup search form".split()
 ) | (PRUNED - RAW - INSIDE)
 ENDS_P = (BLOCK - {"html", "body", "head"}) | {"hr"}
 #: An open element on the left is closed by a start tag on the right.
@@ -40,38 +42,58 @@ WEAK = frozenset("header sidebar side rail notice notices banner alert message s
 KEEPS = frozenset("content article main post entry story body text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
+#: Words that also tell what the page around holds; a suspect by these alone is a wrapper if most of the page's text is in it.
+LAYOUT = frozenset("nav navbar navigation sidebar side rail header footer masthead modal popup search menu message widget widgets toolbar form".split())
+#: What a wrapper holds: the article is in it. Not counted where it is a suspect itself.
+HEADS = frozenset("article main h1".split())
+
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+#: Verdicts on an element by its start tag. LAYOUT_SUSPECT may be rescued by its share of the text, SUSPECT only by what it holds.
+WANTED, LAYOUT_SUSPECT, SUSPECT, UNWANTED = range(4)
+
+
+def _verdict(tag: str, attrs: str) -> int:
     if tag in PRUNED:
-        return True
+        return UNWANTED
     if not attrs or tag in ("html", "body"):
-        return False
-    words: set[str] = set()
+        return LAYOUT_SUSPECT if tag == "form" else WANTED
+    found: set[str] = {"form"} if tag == "form" else set()
+    kept = own = False
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
-        if name in ("class", "id", "role"):
-            value = unescape(m[2] or m[3] or m[4] or "").lower()
-            if name == "role" and value.strip() in ROLES:
-                return True
-            words.update(_SPLIT.split(value))
-    if words & STRONG:
-        return True
-    return bool(words & WEAK) and not words & KEEPS
+        value = unescape(m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
+            found.add("hidden")
+        elif name == "role" and value.strip() in ROLES:
+            return UNWANTED
+        elif name in ("class", "id", "role"):
+            for token in value.split():
+                words = set(_SPLIT.split(token))
+                found |= words & (STRONG | WEAK)
+                kept |= bool(words & KEEPS)
+                own |= bool(words & KEEPS) and not words & STRONG
+    if tag in ("article", "main") and own:  # "post comments-open"
+        found &= {"hidden"}
+    if not found or kept and found <= WEAK:
+        return WANTED
+    return LAYOUT_SUSPECT if found <= LAYOUT else SUSPECT
 
 
 class _Node:
-    __slots__ = ("parent", "tag", "depth", "size", "link", "points", "blocks", "pruned", "gone")
+    __slots__ = ("parent", "tag", "depth", "size", "link", "points", "blocks", "pruned", "gone", "verdict", "whole", "holds")
 
-    def __init__(self, parent, tag, pruned=False):
+    def __init__(self, parent, tag, pruned=False, verdict=WANTED):
         self.parent, self.tag, self.depth = parent, tag, parent.depth + 1 if parent else 0
         self.size = self.link = 0
         self.points = 0.0
         self.blocks: list[tuple[int, str]] = []
         self.pruned, self.gone = pruned, False
+        self.verdict = verdict
+        self.whole, self.holds = 0, False  # of suspects and what is in them: text outside of links, and whether HEADS are among it
 
 
 class _Tree:
@@ -113,7 +135,7 @@ class _Tree:
         if self.in_link:
             self.links += len(s.strip())
 
-    def push(self, tag: str, pruned: bool, block: bool) -> None:
+    def push(self, tag: str, pruned: bool, block: bool, verdict: int = WANTED) -> None:
         if block:
             self.flush()
             self.blocks.append(len(self.stack))
@@ -121,7 +143,7 @@ class _Tree:
             self.limits.append(len(self.stack))
         self.at.setdefault(tag, []).append(len(self.stack))
         # plain elements inside a pruned one of the same line are dropped with it
-        node = _Node(self.stack[-1], tag, pruned or not block and self.stack[-1].pruned)
+        node = _Node(self.stack[-1], tag, pruned or not block and self.stack[-1].pruned, verdict)
         self.stack.append(node)
         self.nodes.append(node)
 
@@ -137,7 +159,7 @@ class _Tree:
                 self.blocks.pop()
             if self.limits and self.limits[-1] == k:
                 self.limits.pop()
-            if node.pruned and (node.tag in UNENDED or k == to and by or node.tag in BLOCK and by not in ("", "body", "html")):
+            if (node.pruned or node.verdict) and (node.tag in UNENDED or k == to and by or node.tag in BLOCK and by not in ("", "body", "html")):
                 node.gone = True
 
     def start(self, tag: str, attrs: str) -> None:
@@ -147,7 +169,8 @@ class _Tree:
             self.pop(self.blocks[-1])
         while tag in CLOSES.get(self.stack[self.blocks[-1]].tag, ()):
             self.pop(self.blocks[-1])
-        if _unwanted(tag, attrs):
+        verdict = _verdict(tag, attrs)
+        if verdict == UNWANTED or verdict and tag not in BLOCK:
             if tag in BLOCK or not attrs.endswith("/"):
                 self.push(tag, True, tag in BLOCK)
         elif tag == "a":
@@ -155,7 +178,7 @@ class _Tree:
             if self.at.get("a"):
                 self.push(tag, False, False)
         elif tag in BLOCK:
-            self.push(tag, False, True)
+            self.push(tag, False, True, verdict)
         elif self.at.get(tag):  # inside a pruned element of this tag
             self.push(tag, False, False)
 
@@ -240,13 +263,35 @@ INLINE_PARENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption pre figca
 LEVELS = 50
 
 
-def _best(nodes: list[_Node]) -> str:
+def _judge(nodes: list[_Node]) -> list[_Node]:
+    """What is left without pruned elements and suspects that are no wrappers; wrappers keep their verdict. Parents stand first."""
     left = []
-    for n in nodes:  # parents stand before their children
-        n.gone = n.gone or n.parent is not None and n.parent.gone
-        if not n.gone:
+    for n in nodes:
+        n.gone = n.gone and (n.pruned or n.verdict)
+        if n.parent is not None and n.parent.pruned and n.parent.gone:
+            n.pruned = n.gone = True
+        if not (n.pruned and n.gone):
+            n.verdict = n.verdict if n.gone else WANTED  # one that the page never closes holds the rest of the page
+            n.gone = False
             left.append(n)
-    nodes = left
+    for n in reversed(left):
+        n.whole += sum(len(t) for _, t in n.blocks) - n.link
+        n.holds = n.holds or n.tag in HEADS and not n.verdict
+        if n.parent is not None:
+            n.parent.whole += n.whole
+            n.parent.holds = n.parent.holds or n.holds
+    total = left[0].whole if left else 0
+    out = []
+    for n in left:
+        wrapper = n.holds or n.verdict == LAYOUT_SUSPECT and 2 * n.whole > total
+        n.gone = n.verdict and not wrapper or n.parent is not None and n.parent.gone
+        if not n.gone:
+            out.append(n)
+    return out
+
+
+def _best(nodes: list[_Node]) -> str:
+    nodes = _judge(nodes)
     if not any(n.blocks for n in nodes):
         return ""
     kids: dict[int, list[_Node]] = {}
@@ -265,8 +310,12 @@ def _best(nodes: list[_Node]) -> str:
             n.parent.size += n.size
             n.parent.link += n.link
             kids.setdefault(id(n.parent), []).append(n)
-    score = lambda n: n.points * (1 - n.link / max(n.size, 1)) * (1.5 if n.tag in ("article", "main") else 1.0)
+    score = lambda n: n.points * (1 - n.link / max(n.size, 1)) * (1.5 if n.tag in ("article", "main") else 1.0) * (0.5 if n.verdict else 1.0)
     best = max((n for n in nodes if n.tag not in INLINE_PARENTS), key=lambda n: (score(n), n.depth), default=nodes[0])
+    around, at = set(), best
+    while at is not None:
+        around.add(id(at))
+        at = at.parent
     lift = best
     while lift is not None and lift.tag not in ("article", "main"):
         lift = lift.parent
@@ -274,7 +323,7 @@ def _best(nodes: list[_Node]) -> str:
     keep = [best]
     least = max(score(best) * 0.2, 1e-9)
     for n in kids.get(id(best.parent), []) if best.parent is not None else []:
-        if n is not best:
+        if n is not best and not n.verdict:
             dense = n.link / max(n.size, 1)
             if score(n) >= least or n.tag in INLINE_PARENTS and n.size > 80 and dense < 0.25:
                 keep.append(n)
@@ -282,7 +331,7 @@ def _best(nodes: list[_Node]) -> str:
     while keep:
         n = keep.pop()
         blocks += n.blocks
-        keep += kids.get(id(n), [])
+        keep += [c for c in kids.get(id(n), []) if not c.verdict or id(c) in around]
     return "\n".join(t for _, t in sorted(blocks))
 
 

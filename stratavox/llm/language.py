@@ -8,11 +8,12 @@ entropy; the language of least entropy wins.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavox.llm.common import column, crc_mod, map_batches
@@ -65,9 +66,14 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return trans
 
 
+#: Bytes of the dense part of a model's transitions.
+DENSE_BYTES = 48 << 20
+
+
 @dataclass
 class CrossParser:
-    """table[state * width + code] is the next state or -1; start has each language's first state, cost its log2 sample length."""
+    """table[state * width + code] is the next state or -1 for the commonest characters, whose codes are below width; others are looked up
+    among `keys`, sorted state * codes + code. start holds each language's start state, cost its log2 sample length."""
 
     langs: list[str]
     alphabet: dict[str, int]
@@ -75,24 +81,41 @@ class CrossParser:
     start: np.ndarray
     cost: np.ndarray
     width: int
+    keys: np.ndarray
+    to: np.ndarray
 
     @classmethod
-    def fit(cls, samples: dict[str, str]) -> CrossParser:
+    def fit(cls, samples: dict[str, str], dense_bytes: int = DENSE_BYTES) -> CrossParser:
         langs = sorted(samples)
-        alphabet = {c: i + 2 for i, c in enumerate(sorted(set("".join(samples.values())) - {" "}))} | {" ": SPACE}
-        width = len(alphabet) + 1
-        tables, start, at = [], [], 0
-        for lang in langs:
-            trans = suffix_automaton([alphabet[c] for c in samples[lang]])
-            t = np.full((len(trans), width), -1, np.int32)
-            for s, out in enumerate(trans):
-                for c, to in out.items():
-                    t[s, c] = to + at
-            start.append(at)
-            at += len(trans)
-            tables.append(t)
-        table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        return cls(langs, alphabet, table, np.array(start, np.int32), np.log2([max(len(samples[x]), 2) for x in langs]), width)
+        n = Counter(c for lang in langs for c in samples[lang] if c != " ")
+        alphabet = {c: i + 2 for i, c in enumerate(sorted(n, key=lambda c: (-n[c], c)))} | {" ": SPACE}
+        codes = len(alphabet) + 1
+        automata = [suffix_automaton([alphabet[c] for c in samples[lang]]) for lang in langs]
+        start = np.concatenate([[0], np.cumsum([len(a) for a in automata])]).astype(np.int64)
+        width = int(min(codes, max(2, dense_bytes // (4 * max(int(start[-1]), 1)))))
+        table = np.full(int(start[-1]) * width, -1, np.int32)
+        keys, to = [], []
+        for at, trans in zip(start.tolist(), automata, strict=False):
+            for s, out in enumerate(trans, at):
+                for c, t in out.items():
+                    if c < width:
+                        table[s * width + c] = t + at
+                    else:
+                        keys.append(s * codes + c), to.append(t + at)
+        order = np.argsort(np.array(keys, np.int64))
+        return cls(langs, alphabet, table, start[:-1].astype(np.int32), np.log2([max(len(samples[x]), 2) for x in langs]), width, np.array(keys, np.int64)[order], np.array(to, np.int32)[order])
+
+    def _next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there is none, of a row of states for each language and a code for each column."""
+        if not len(self.keys):
+            return self.table.take(state * self.width + code)
+        out = self.table.take(state * self.width + np.minimum(code, self.width - 1))
+        rare = np.flatnonzero(code >= self.width)
+        if len(rare):
+            key = state[:, rare].astype(np.int64) * (len(self.alphabet) + 1) + code[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[:, rare] = np.where(self.keys[at] == key, self.to[at], -1)
+        return out
 
     def _codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -116,7 +139,8 @@ class CrossParser:
             codes = self._codes(t)
             parts += [(i, codes[s : s + block]) for s in range(0, len(codes), block)]
         parts.sort(key=lambda p: -len(p[1]))
-        root = self.table.reshape(-1, self.width)[self.start]
+        every = np.arange(len(self.alphabet) + 1)
+        root = self._next(np.repeat(self.start[:, None], len(every), axis=1), every)
         restart = np.where(root < 0, self.start[:, None], root).astype(np.int32)
         for at in range(0, len(parts), lanes):
             group = parts[at : at + lanes]
@@ -130,7 +154,7 @@ class CrossParser:
             for pos in range(sizes[0]):
                 n = active[pos]
                 c = grid[pos, :n]
-                nxt = self.table.take(state[:, :n] * self.width + c)
+                nxt = self._next(state[:, :n], c)
                 miss = nxt < 0
                 count[:, :n] += miss
                 state[:, :n] = np.where(miss, restart.take(c, axis=1), nxt)
@@ -155,23 +179,41 @@ class CrossParser:
         return langs, scores
 
 
-def fit_languages(docs: DataFrame, chars_per_lang: int = 32_000, docs_per_lang: int = 64, text_chars: int = 4000, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:
-    """Fit on a bounded sample of whole texts: about docs_per_lang rows of each language, chosen by a hash of the id, outside the
-    held-out fold and of at most text_chars characters; of these as many as reach chars_per_lang characters.
+def fit_languages(docs: DataFrame, chars_per_lang: int = 32_000, docs_per_lang: int = 64, text_chars: int = 4000, most_langs: int = 200, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:
+    """Fit on a bounded sample: about docs_per_lang rows of each language, chosen by a hash of the id, outside the held-out fold; of these
+    as many as reach chars_per_lang characters. A text of more than text_chars gives a window of that length, at a place hashed from
+    its id. The most_langs languages of most rows are learned (ties: the smaller name).
 
-    Null ids, texts and languages take no part, nor do rows with longer texts.
+    Null ids, texts and languages and empty texts take no part.
     """
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (crc_mod(id_col, folds) != held_out))
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(F.length("_text").between(1, text_chars))
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col("_lang") == lang) & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, docs_per_lang / n)) + 1))
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(F.length("_text") > 0)
+    counts = rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(most_langs).collect()
+    if not counts:
+        return CrossParser.fit({})
+    h = F.pmod(F.xxhash64("_id"), F.lit(1_000_000))
+    below = F.create_map(*[x for r in counts for x in (F.lit(r["_lang"]), F.lit(int(1_000_000 * min(1.0, docs_per_lang / r["n"])) + 1))])
+    at = 1 + F.pmod(F.xxhash64("_id", F.lit(1)), F.greatest(F.lit(1), F.length("_text") - text_chars + 1))
+    part = rows.select("_id", "_lang", F.substring("_text", at.cast("int"), F.lit(text_chars)).alias("_text"), F.xxhash64("_id").alias("_h"))
+    first = Window.partitionBy("_lang").orderBy("_h", "_id", "_text")
+
+    def take(some: DataFrame) -> list:
+        """At most 4 * docs_per_lang rows of a language, of which Spark keeps as many a task before it shuffles."""
+        return some.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= 4 * docs_per_lang).orderBy("_h", "_id", "_text").collect()
+
     samples: dict[str, str] = {}
-    for r in rows.filter(wanted).orderBy(F.xxhash64("_id"), "_id", "_text").limit(4 * docs_per_lang * max(1, len(counts))).collect():
-        have = samples.get(r["_lang"], "")
-        if len(have) < chars_per_lang and (clean := normalise(r["_text"])):
-            samples[r["_lang"]] = have + clean + " "
+
+    def learn(found: list) -> None:
+        for r in found:
+            have = samples.get(r["_lang"], "")
+            if len(have) < chars_per_lang and (clean := normalise(r["_text"])):
+                samples[r["_lang"]] = have + clean + " "
+
+    learn(take(part.filter(h < F.element_at(below, F.col("_lang")))))
+    # A language whose rows share few ids may have had all of them above its threshold.
+    left = [r["_lang"] for r in counts if r["_lang"] not in samples]
+    if left:
+        learn(take(part.filter(F.col("_lang").isin(left))))
     return CrossParser.fit(samples)
 
 

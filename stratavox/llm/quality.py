@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.llm.common import column, crc_mod, map_batches
+from stratavox.llm.common import column, crc_mod, map_batches, stage
 
 WORD_BITS = 15
 BINS = 16
@@ -110,16 +110,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: i
     return fm
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, folds: int = 5, held_out: int = 0, text_chars: int = 50_000, text_col: str = "text", id_col: str = "doc_id", meta_col: str = "n_chars") -> FactorisationMachine:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, folds: int = 5, held_out: int = 0, max_features: int = 20_000_000, text_col: str = "text", id_col: str = "doc_id", meta_col: str = "n_chars") -> FactorisationMachine:
     """Fit on at most `sample` labelled rows, those of least xxhash64 of the id, outside the held-out fold.
 
-    Of several labels of an id the mean counts (0.5 and more is 1), of several documents one; null ids, null labels, ids without
-    a document and documents of more than text_chars characters take no part. What comes to the driver is bounded by both limits.
+    Of several labels of an id the mean counts (0.5 and more is 1), of several documents one; null ids, null labels and ids without
+    a document take no part. Texts of any length count whole: their features come to the driver, at most max_features of them, of
+    the rows of least hash if there are more, and those of one row at least.
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & (crc_mod(id_col, folds) != held_out))
     picked = usable.groupBy(F.col(id_col).alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(meta_col).cast("long").alias("_n")).join(F.broadcast(picked), "_id")
-    rows = rows.filter(F.coalesce(F.length("_text"), F.lit(0)) <= text_chars)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fs = [features(t, n) for t, n in zip(column(b, "_text"), column(b, "_n"), strict=True)]
@@ -127,7 +127,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 8000, folds: i
 
     id_type = rows.schema["_id"].dataType.simpleString()
     found = map_batches(rows, f"_id {id_type}, _y int, i binary, v binary", run)
-    got = found.groupBy("_id").agg(F.min(F.struct("i", "v", "_y")).alias("x")).select("_id", "x.*").toPandas()
+    found = stage(found.groupBy("_id").agg(F.min(F.struct("i", "v", "_y")).alias("x")).select("_id", "x.*"))
+    sizes = sorted(found.select(F.xxhash64("_id"), F.length("i") / 4).collect())  # at most `sample` pairs
+    fits = np.searchsorted(np.cumsum([n for _, n in sizes]), max_features, side="right")
+    cut = sizes[max(fits, 1) - 1][0] if sizes else 0
+    got = found.filter(F.xxhash64("_id") <= cut).toPandas()
     got = got.sort_values("_id") if len(got) else got
     feats = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32)) for i, v in zip(got["i"], got["v"], strict=True)]
     return train(feats, got["_y"].to_numpy(dtype=np.float32))

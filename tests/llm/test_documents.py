@@ -563,3 +563,44 @@ def test_pipeline_stages(spark, tmp_path):
             assert [got[i] for i in ids] == [PI.redact(before[i], s) for i, s in zip(ids, pii_by_brute_force([before[i] for i in ids]), strict=True)]
         d = out
     assert d.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+
+
+def test_language_of_long_texts_only(spark):
+    """40 English texts of 6400 characters and 40 short German ones: both are learned, by windows of the long ones."""
+    rng = random.Random(3)
+    english, german = "the cat sat on the mat and ran with dogs over hills".split(), "der hund sitzt auf dem dach und läuft mit katzen über hügel".split()
+    text = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(english, 1600), "en") for i in range(40)] + [(100 + i, text(german, 60), "de") for i in range(40)] + [(700, "x y z " * 50, "once")] * 300
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert min(len(t) for _, t, la in rows if la == "en") > 4000
+    model = LA.fit_languages(d, folds=1, held_out=5)
+    assert model.langs == ["de", "en", "once"]  # the last has one id, above its threshold
+    got = {r.doc_id: r.lang_pred for r in LA.identify_language(d, model).collect()}
+    assert all(got[i] == la for i, _, la in rows)
+
+
+def test_rare_characters_are_looked_up_alike_and_tables_stay_small():
+    rng = random.Random(4)
+    samples = {f"l{k}": "".join(chr(0x4E00 + rng.randrange(k * 300, k * 300 + 3000)) if rng.random() < 0.9 else " " for _ in range(8000)) for k in range(8)}
+    small = LA.CrossParser.fit(samples, dense_bytes=1 << 20)
+    size = lambda m: m.table.nbytes + m.keys.nbytes + m.to.nbytes
+    assert len(small.alphabet) > 3000 and size(small) < 8 << 20
+    assert size(LA.CrossParser.fit(samples)) < 100 << 20
+    few = {"a": "the cat sat on the mat " * 3, "b": "der hund saß auf dem dach " * 3}
+    dense, sparse = LA.CrossParser.fit(few), LA.CrossParser.fit(few, dense_bytes=1)
+    assert sparse.width == 2 and not len(dense.keys)
+    texts = ["the cat saß auf", "mat dach qqq", "", "ß", *samples.values()]
+    assert (dense.phrases(texts) == sparse.phrases(texts)).all()
+    whole = list(samples.values())
+    assert (small.phrases(whole).argmin(1) == np.arange(8)).all()
+
+
+def test_quality_learns_from_long_texts(spark):
+    rows = [(i, ("good words here " if i % 2 else "bad junk there ") * 5000, 75_000) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id bigint, quality int, toxic int")
+    fit = QU.fit_quality(d, labels, folds=1, held_out=5)
+    got = {r.doc_id: r.score for r in QU.score_quality(d, fit).collect()}
+    assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if i % 2 == 0) + 0.1
+    one = QU.fit_quality(d, labels, folds=1, held_out=5, max_features=1)  # one row: the prior
+    assert not one.w.any()

@@ -336,3 +336,98 @@ def test_documents_of_the_table(spark):
     odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "<p>x</p>"), (1, "u", "<p>x</p>")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(r.text for r in extract_html(odd).collect()) == ["", "", "x", "x"]
     assert extract_html(odd.limit(0)).count() == 0
+
+
+STORY = "".join(f"<p>Words of part {i} of a story, long enough, with commas, to be told from notes and menus of a page.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div id="page" class="site has-sidebar"><article>%s</article></div>', '<div class="layout right-sidebar">%s</div>', '<article class="post comments-open">%s</article>', '<main class="content nav-fixed">%s</main>',
+        '<div class="modal-open"><article>%s</article></div>', '<div id="search-page">%s</div>', '<form id="aspnetForm">%s</form>', '<form><div class="right-sidebar"><section>%s</section></div></form>',
+        '<div class="modal-open"><h1 hidden>x</h1><div>%s</div><div class="comments"><p>First! And a comment, long, longer, longest, of a reader who, as ever, goes on.</p></div></div>',
+        '<div class="has-sidebar"><div>%s</div><div class="sidebar"><p>News, of other things, here.</p></div><form><p>Name, and address, please.</p></form></div>',
+        '<div>%s</div><div hidden><p>Hidden, unseen, and long, so long that, were it shown, it would, by its commas, win.</p></div><p style="display: none">no</p>',
+    ],
+)
+def test_words_on_wrappers_do_not_prune_the_article(page):
+    got = main_text(f"<html><body>{page % STORY}</body></html>")
+    assert [x for x in got.split("\n") if x != "x"] == [f"Words of part {i} of a story, long enough, with commas, to be told from notes and menus of a page." for i in range(4)]
+
+
+def test_suspects_that_hold_all_text_are_still_no_article():
+    for words in ("comments", "cookie-notice", "advert", "newsletter signup"):
+        assert main_text(f'<body><div class="{words}">{STORY}</div></body>') == ""
+
+
+def test_scores_against_a_plain_tree():
+    """400 random pages without articles: the scores, siblings and wrappers of main_text() as their definitions say, container by container."""
+    rng = random.Random(12)
+
+    def grow(depth):
+        words = rng.choice(["", "", "", "sidebar", "comments", "modal-open", "a b", "left rail"])
+        kids = [grow(depth - 1) if depth and rng.random() < 0.5 else (rng.choice(["", "x, " * rng.randint(0, 6)]) + "word " * rng.randint(1, 60)).strip() + rng.choice(["", "", "|" + "link words " * rng.randint(1, 9)]) for _ in range(rng.randint(1, 4))]
+        return (words, kids)
+
+    def html(n):
+        return f'<div class="{n[0]}">' + "".join(html(k) if isinstance(k, tuple) else "<p>" + k.split("|")[0] + ("<a>" + k.split("|")[1] + "</a>" if "|" in k else "") + "</p>" for k in n[1]) + "</div>"
+
+    def text(k):
+        return " ".join(k.replace("|", "").split())
+
+    linked = lambda k: len(k.split("|")[1].strip()) if "|" in k else 0
+    below = lambda n: [x for k in n[1] for x in (below(k) if isinstance(k, tuple) else [k])]
+
+    def whole(n):
+        return sum(len(text(k)) - linked(k) for k in below(n))
+
+    layout, bad = {"sidebar", "modal-open", "left rail"}, {"comments"}
+
+    def prune(n, total):
+        return (n[0], [k if isinstance(k, str) else prune(k, total) for k in n[1] if isinstance(k, str) or k[0] not in layout | bad or k[0] in layout and 2 * whole(k) > total])
+
+    def containers(n, path=()):
+        yield n, path
+        for k in n[1]:
+            if isinstance(k, tuple):
+                yield from containers(k, (*path, n))
+
+    def points(n):
+        return sum(((1 + text(k).count(",") + min(len(text(k)) / 100, 3)) * (1 - linked(k) / len(text(k))) if isinstance(k, str) else points(k) / 2) for k in n[1])
+
+    def dense(n):
+        return sum(linked(k) for k in below(n)) / max(sum(len(text(k)) for k in below(n)), 1)
+
+    def score(n):
+        return points(n) * (1 - dense(n)) * (0.5 if n[0] in layout else 1)
+
+    found = 0
+    for _ in range(400):
+        root = ("", [grow(3) for _ in range(rng.randint(1, 3))])
+        page = "<html><body>" + "".join(html(k) for k in root[1]) + "</body></html>"
+        left = prune(root, whole(root))
+        every = list(containers(left))
+        if not below(left):
+            assert main_text(page) == ""
+            continue
+        top = max(score(n) for n, _ in every)
+        best, path = max((e for e in every if abs(score(e[0]) - top) < 1e-9), key=lambda e: len(e[1]))
+        if sum(abs(score(n) - top) < 1e-9 for n, _ in every) > 1:
+            continue  # ties are by place
+        around = {id(x) for x in (*path, best)}
+
+        def told(n, around=around):
+            return [x for k in n[1] for x in ([text(k)] if isinstance(k, str) else told(k) if k[0] not in layout or id(k) in around else [])]
+
+        want = []
+        for k in path[-1][1] if path else [best]:
+            if k is best:
+                want += told(k)
+            elif isinstance(k, tuple):
+                want += told(k) if k[0] not in layout and score(k) >= max(top * 0.2, 1e-9) else []
+            elif len(text(k)) > 80 and linked(k) / len(text(k)) < 0.25:
+                want.append(text(k))
+        assert main_text(page).split("\n") == want
+        found += 1
+    assert found > 250
