@@ -1,58 +1,15 @@
-"""Neighbour joins on grid buckets (J5-J7, O1) and local geometry from them."""
+"""Local geometry from neighbour joins (A8, A9, A11, F12-F14); the joins themselves are those of kdtree.py."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavox.functions.grid import fdiv
+from stratavox.operators.kdtree import AXES, box_join, knn_join, radius_join
 
-AXES = ("x", "y", "z")
-
-
-def _bucketed(points: DataFrame, cell: int, prefix: str) -> DataFrame:
-    return points.select(*[F.col(c).alias(f"{prefix}{c}") for c in points.columns], *[fdiv(a, cell).alias(f"b{a}") for a in AXES])
-
-
-def radius_join(queries: DataFrame, points: DataFrame, r: int, prefix: tuple[str, str] = ("q_", "p_")) -> DataFrame:
-    """All pairs within r, inclusive, with d2. Buckets of side r: each query meets 27 of them by an equi-join, then the exact test."""
-    q = _bucketed(queries, r, prefix[0])
-    for a in AXES:
-        q = q.withColumn(f"b{a}", F.explode(F.array(*[F.col(f"b{a}") + k for k in (-1, 0, 1)])))
-    p = _bucketed(points, r, prefix[1])
-    d2 = sum(((F.col(f"{prefix[0]}{a}") - F.col(f"{prefix[1]}{a}")) * (F.col(f"{prefix[0]}{a}") - F.col(f"{prefix[1]}{a}")) for a in AXES[1:]), (F.col(f"{prefix[0]}x") - F.col(f"{prefix[1]}x")) * (F.col(f"{prefix[0]}x") - F.col(f"{prefix[1]}x")))
-    return q.join(p, ["bx", "by", "bz"]).withColumn("d2", d2).filter(F.col("d2") <= r * r).drop("bx", "by", "bz")
-
-
-def box_join(queries: DataFrame, points: DataFrame, half: int, prefix: tuple[str, str] = ("q_", "p_")) -> DataFrame:
-    """All pairs whose coordinates differ by at most `half` on each axis; buckets as in radius_join()."""
-    q = _bucketed(queries, half, prefix[0])
-    for a in AXES:
-        q = q.withColumn(f"b{a}", F.explode(F.array(*[F.col(f"b{a}") + k for k in (-1, 0, 1)])))
-    df = q.join(_bucketed(points, half, prefix[1]), ["bx", "by", "bz"])
-    for a in AXES:
-        df = df.filter(F.abs(F.col(f"{prefix[0]}{a}") - F.col(f"{prefix[1]}{a}")) <= half)
-    return df.drop("bx", "by", "bz")
-
-
-def knn_join(queries: DataFrame, points: DataFrame, k: int, r: int, query_key: list[str], point_key: list[str], prefix: tuple[str, str] = ("q_", "p_"), near: int | None = None) -> DataFrame:
-    """The k nearest within r of every query, ascending squared distance, ties by the point's key; rank from 1.
-
-    Queries that have k points within `near` (a quarter of r) are done with those, which are their nearest; only the others look
-    as far as r, so that dense clouds do not form all pairs within r.
-    """
-    q_key = [f"{prefix[0]}{c}" for c in query_key]
-    w = Window.partitionBy(*q_key)
-
-    def ranked(q: DataFrame, reach: int) -> DataFrame:
-        by = w.orderBy("d2", *[f"{prefix[1]}{c}" for c in point_key])
-        return radius_join(q, points, reach, prefix).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
-
-    close = ranked(queries, max(1, r // 4 if near is None else near)).withColumn("_n", F.max("rank").over(w)).filter(F.col("_n") == k).drop("_n")
-    done = close.filter("rank = 1").select(*[F.col(f"{prefix[0]}{c}").alias(c) for c in query_key])
-    return close.unionByName(ranked(queries.join(done, query_key, "left_anti"), r))
+__all__ = ["accepted", "box_join", "knn_join", "plane_fit", "principal_axes", "radius_join", "scatter"]
 
 
 def accepted(knn: DataFrame, query_key: list[str], k: int, limit2: int) -> DataFrame:

@@ -76,7 +76,7 @@ def feature_odometry(edges: DataFrame, surfs: DataFrame, map_edges: DataFrame, m
 
         def matched(q: DataFrame, p: DataFrame, m=m) -> DataFrame:
             moved = q.select("id", *[F.col(a).alias(f"o{a}") for a in AXES], *[c.alias(a) for c, a in zip(fixed_transform("x", "y", "z", m), AXES, strict=True)])
-            knn = NB.knn_join(moved, p, 5, int(near * 1000), ["id"], ["id"])
+            knn = NB.knn_join(moved, p, 5, int(near * 1000), ["id"])
             knn = NB.accepted(knn, ["q_id"], 5, int(near * 1000) ** 2)
             return NB.scatter(knn, ["q_id", "q_ox", "q_oy", "q_oz"])
 

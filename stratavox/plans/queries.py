@@ -550,7 +550,7 @@ def _every(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def _knn(spark, sf) -> DataFrame:
-    return NB.knn_join(*_every(spark, sf), 5, 3000, ["scan_id", "idx"], ["scan_id", "idx"])
+    return NB.knn_join(*_every(spark, sf), 5, 3000, ["scan_id", "idx"], keep=(["scan_id", "idx"], ["scan_id", "idx", "x", "y", "z"]))
 
 
 @query(f"WITH {_PAIR}, {_KNN} SELECT q_scan_id, q_idx, p_scan_id, p_idx, d2, CAST(rank AS BIGINT) AS rank FROM knn")
@@ -565,12 +565,12 @@ def knn_accepted(spark, sf):
 
 @query(f"WITH {_pairs(1500)} SELECT q_scan_id, q_idx, p_scan_id, p_idx, d2 FROM pairs")
 def radius_join(spark, sf):
-    return NB.radius_join(*_every(spark, sf), 1500).select("q_scan_id", "q_idx", "p_scan_id", "p_idx", "d2")
+    return NB.radius_join(*_every(spark, sf), 1500, keep=(["scan_id", "idx"], ["scan_id", "idx"]))
 
 
 @query(f"WITH {_bucketed(1000)} SELECT q.scan_id AS q_scan_id, q.idx AS q_idx, p.scan_id AS p_scan_id, p.idx AS p_idx FROM q JOIN p USING (cell_x, cell_y, cell_z) WHERE abs(q.x - p.x) <= 1000 AND abs(q.y - p.y) <= 1000 AND abs(q.z - p.z) <= 1000")
 def box_join(spark, sf):
-    return NB.box_join(*_every(spark, sf), 1000).select("q_scan_id", "q_idx", "p_scan_id", "p_idx")
+    return NB.box_join(*_every(spark, sf), 1000, keep=(["scan_id", "idx"], ["scan_id", "idx"])).drop("d2")
 
 
 @query(f"WITH {_PAIR}, {_KNN} SELECT q_scan_id, q_idx, count(*) AS n, {', '.join(f'CAST(sum(p_{a}) AS BIGINT) AS s{a}' for a in 'xyz')}, {', '.join(f'CAST(sum(p_{a} * p_{b}) AS BIGINT) AS s{a}{b}' for i, a in enumerate('xyz') for b in 'xyz'[i:])} FROM knn GROUP BY 1, 2")

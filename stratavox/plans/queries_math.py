@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavox.functions import grid as G
 from stratavox.functions import linalg as L
 from stratavox.operators import filters as FI
+from stratavox.operators import gicp as GI
 from stratavox.operators import metrics as ME
 from stratavox.operators import neighbours as NB
 from stratavox.operators import registration as RG
@@ -309,11 +311,57 @@ def distribution_match(spark, sf):
     return spark.createDataFrame(rows, "row int, col int, value double, gated double, fitness double")
 
 
+def _gicp_sql(k: int, res: int, shift: int) -> str:
+    """The first equations of voxelised GICP, step by step as operators/gicp.py has them: covariances, cells, pairs, weights, products."""
+    six, axes = [(i, j) for i in range(3) for j in range(i, 3)], "xyz"
+
+    def sym(m: str, i: int, j: int) -> str:
+        return f"{m}{min(i, j)}{max(i, j)}"
+
+    def inverse(step: str, source: str, m: str, out: str) -> str:
+        c = {"00": f"{m}11*{m}22 - {m}12*{m}12", "01": f"{m}02*{m}12 - {m}01*{m}22", "02": f"{m}01*{m}12 - {m}02*{m}11", "11": f"{m}00*{m}22 - {m}02*{m}02", "12": f"{m}01*{m}02 - {m}00*{m}12", "22": f"{m}00*{m}11 - {m}01*{m}01"}
+        inner = ", ".join(f"{v} AS c{n}" for n, v in c.items())
+        return f"{step} AS (SELECT *, {', '.join(f'c{n} / det AS {out}{n}' for n in c)} FROM (SELECT *, {m}00*c00 + {m}01*c01 + {m}02*c02 AS det FROM (SELECT *, {inner} FROM {source})))"
+
+    jac = [[None, "-p2", "p1", "-1.0", None, None], ["p2", None, "-p0", None, "-1.0", None], ["-p1", "p0", None, None, None, "-1.0"]]
+    u = [f"{' + '.join(f'{sym(chr(119), i, r)} * ({jac[r][j]})' for r in range(3) if jac[r][j])} AS u{i}{j}" for i in range(3) for j in range(6)]
+    h = {f"h{i}{j}": " + ".join(f"u{r}{j} * ({jac[r][i]})" for r in range(3) if jac[r][i]) for i in range(6) for j in range(i, 6)}
+    g = {f"g{i}": " + ".join(f"u{r}{i} * e{r}" for r in range(3)) for i in range(6)}
+    around = ", ".join(f"({', '.join(str(s * (a == b)) for b in range(3))})" for a in range(3) for s in ((0, -1, 1) if a == 0 else (-1, 1)))
+    steps = [
+        f"{Q._PAIR}", Q._KNN,
+        f"n5 AS (SELECT q_scan_id, q_idx, {', '.join(f'sum(p_{a}) AS s{i}' for i, a in enumerate(axes))}, {', '.join(f'sum(p_{axes[i]} * p_{axes[j]}) AS q{i}{j}' for i, j in six)} FROM knn GROUP BY 1, 2 HAVING count(*) = {k})",
+        f"bs AS (SELECT x, y, z, {', '.join(f'CAST({k} * q{i}{j} - s{i} * s{j} AS DOUBLE) / {k * k}.0 / CAST(1e6 AS DOUBLE) + CAST({1e-6 if i == j else 0} AS DOUBLE) AS b{i}{j}' for i, j in six)} FROM n5 JOIN pts ON pts.scan_id = q_scan_id AND pts.idx = q_idx)",
+        inverse("bi", "bs", "b", "i"),
+        f"cs AS (SELECT x, y, z, {', '.join(f'b{i}{j} * sqrt({chr(43).join(f'{2 if a != b else 1}*i{a}{b}*i{a}{b}' for a, b in six)}) AS c{i}{j}' for i, j in six)} FROM bi)",
+        f"cells AS (SELECT {', '.join(f'{S.fdiv(a, res)} AS i{a}' for a in axes)}, count(*) AS n, {', '.join(f'CAST(sum({a}) AS DOUBLE) / count(*) / 1000.0 AS m{i}' for i, a in enumerate(axes))}, {', '.join(f'avg(c{i}{j}) AS t{i}{j}' for i, j in six)} FROM cs GROUP BY ALL)",
+        f"src AS (SELECT x + {shift} AS x, y, z, {', '.join(f'c{i}{j} AS r{i}{j}' for i, j in six)} FROM cs)",
+        f"moved AS (SELECT *, {', '.join(f'{a} / CAST(1000 AS DOUBLE) AS p{i}' for i, a in enumerate(axes))}, {', '.join(f'{S.fdiv(a, res)} + o{a} AS i{a}' for a in axes)} FROM src, (VALUES {around}) o(ox, oy, oz))",
+        f"paired AS (SELECT n, p0, p1, p2, {', '.join(f'm{i} - p{i} AS e{i}' for i in range(3))}, {', '.join(f't{i}{j} + r{i}{j} AS s{i}{j}' for i, j in six)} FROM moved JOIN cells USING (ix, iy, iz))",
+        inverse("vs", "paired", "s", "v"),
+        f"ws AS (SELECT p0, p1, p2, e0, e1, e2, {', '.join(f'n * v{i}{j} AS w{i}{j}' for i, j in six)} FROM vs)",
+        f"us AS (SELECT *, {', '.join(u)} FROM ws)",
+        f"sums AS (SELECT count(*) AS c, {', '.join(f'sum({v}) AS {n}' for n, v in (h | g).items())} FROM us)",
+    ]
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(round({n} / c * 10) AS BIGINT) AS tenths, c AS pairs FROM sums" for n in h | g)
+    return f"WITH {', '.join(steps)} {rows}"
+
+
+@query(_gicp_sql(5, 4000, 200))
+def gicp_equations(spark, sf):
+    """Normal equations a pair of the cloud, displaced by 200 mm, against the Gaussians of its own 4 m cells and those by their faces."""
+    covs = GI.point_covariances(A.points(spark, sf).drop("intensity"), ["scan_id", "idx"], k=5, r=3000)
+    row = GI.normal_equations(covs.withColumn("x", F.col("x") + 200), GI.target_cells(covs, 4000), 4000, np.eye(4), 7)
+    names = [c for c in row.columns if c[0] in "hg"]
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.round(F.col(n) / F.col("c") * 10).cast("bigint").alias("tenths"), F.col("c").alias("pairs")) for n in names]))
+    return row.select(parts.alias("r")).select("r.*")
+
+
 @query()
 def normals_k50(spark, sf):
     """Normals from the 50 nearest points of every point."""
     p = A.points(spark, sf).drop("intensity")
-    knn = NB.knn_join(p, p, 50, 4000, ["scan_id", "idx"], ["scan_id", "idx"])
+    knn = NB.knn_join(p, p, 50, 4000, ["scan_id", "idx"], keep=(["scan_id", "idx"], ["x", "y", "z"]))
     return NB.principal_axes(NB.scatter(knn, ["q_scan_id", "q_idx"]))
 
 

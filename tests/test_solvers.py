@@ -102,7 +102,7 @@ def test_neighbours_against_brute_force(spark):
     pts = rng.integers(-3000, 3000, (400, 3))
     p = frame(spark, pts)
     q = p.filter("idx % 10 = 0")
-    knn = NB.knn_join(q, p, 5, 1500, ["idx"], ["idx"]).select("q_idx", "p_idx", "d2", "rank").collect()
+    knn = NB.knn_join(q, p, 5, 1500, ["idx"]).select("q_idx", "p_idx", "d2", "rank").collect()
     d2 = ((pts[:, None].astype(int) - pts[None]) ** 2).sum(2)
     for i in range(0, 400, 10):
         near = sorted((d2[i, j], j) for j in range(400) if d2[i, j] <= 1500**2)[:5]
