@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavox.functions.grid import cell_trunc, chunk_of, fdiv, fixed_transform, idiv, in_chunk_index, lng, voxel_centre
@@ -37,6 +37,21 @@ def voxel_centroid(points: DataFrame, leaf: int, keys: tuple[str, ...] = (), ext
     return g.agg(F.count("*").alias("n"), *[F.avg(F.col(a)).alias(a) for a in (*AXES, *extra)])
 
 
+def approximate_grid(points: DataFrame, leaf: int, keys: tuple[str, ...] = ("scan_id",), order: tuple[str, ...] = ("idx",), slots: int = 512) -> DataFrame:
+    """A1e: the means that a hash table of `slots` (a power of two) gives out when every cell has one slot and a point of another cell in it
+    flushes what the slot holds: keys, slot, run, ix, iy, iz, n and the means. A cell can come out several times.
+
+    A slot's points, in order, are runs of one cell, so the table is a window over slots and an aggregate over runs. Keys bound a group.
+    """
+    cells = points.select(*keys, *order, *[lng(a).alias(a) for a in AXES], *[fdiv(a, leaf).alias(f"i{a}") for a in AXES])
+    slot = (F.col("ix") * 7171 + F.col("iy") * 3079 + F.col("iz") * 4231).bitwiseAND(F.lit(slots - 1))
+    w = Window.partitionBy(*keys, "slot").orderBy(*order)
+    same = [F.col(f"i{a}") == F.lag(f"i{a}").over(w) for a in AXES]
+    runs = cells.withColumn("slot", slot).withColumn("_new", F.when(same[0] & same[1] & same[2], 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "slot", "run", "ix", "iy", "iz").agg(F.count("*").alias("n"), *[(F.sum(a).cast("double") / F.count("*")).alias(a) for a in AXES])
+
+
 def demean(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """A10: points minus the truncated centroid of their group; the centroids are aggregated and joined."""
     mean = points.groupBy(*keys).agg(*[idiv(F.sum(lng(a)), F.count("*")).alias(f"m{a}") for a in AXES])

@@ -157,6 +157,19 @@ def voxel_centroid(spark, sf):
     return VX.voxel_centroid(A.raw_points(spark, sf), 4000)
 
 
+_SLOTS = f"{S.PTS}, c AS (SELECT scan_id, idx, x, y, z, {', '.join(f'{S.fdiv(a, 2000)} AS i{a}' for a in 'xyz')} FROM pts), s AS (SELECT *, (ix * 7171 + iy * 3079 + iz * 4231) & 511 AS slot FROM c)"
+
+
+@query(
+    f"WITH {_SLOTS}, f AS (SELECT *, CASE WHEN lag((ix, iy, iz)) OVER w = (ix, iy, iz) THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY scan_id, slot ORDER BY idx)), "
+    "r AS (SELECT *, sum(fresh) OVER (PARTITION BY scan_id, slot ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM f) "
+    f"SELECT scan_id, slot, ix, iy, iz, CAST(run AS BIGINT) AS run, count(*) AS n, {', '.join(f'CAST(sum({a}) AS DOUBLE) / count(*) AS {a}' for a in 'xyz')} FROM r GROUP BY ALL"
+)
+def approximate_grid(spark, sf):
+    """A1e over whole scans: what each slot of 512 gives out, in order."""
+    return VX.approximate_grid(A.points(spark, sf), 2000)
+
+
 @query(f"WITH {S.PTS}, m AS (SELECT scan_id, {', '.join(f'CAST(sum({a}) AS BIGINT) // count(*) AS m{a}' for a in 'xyz')} FROM pts GROUP BY scan_id) SELECT scan_id, idx, {', '.join(f'{a} - m{a} AS {a}' for a in 'xyz')} FROM pts JOIN m USING (scan_id)")
 def demeaned(spark, sf):
     return VX.demean(A.points(spark, sf), ("scan_id",)).select("scan_id", "idx", "x", "y", "z")

@@ -10,6 +10,7 @@ from stratavox.operators import registration as RG
 from stratavox.operators import solvers as SO
 from stratavox.operators import tsdf as TD
 from stratavox.params import Params
+from stratavox.plans.mapping import Mapping
 from stratavox.plans.pipelines import feature_odometry, map_and_register
 
 PTS = "scan_id bigint, idx bigint, x bigint, y bigint, z bigint"
@@ -175,3 +176,47 @@ def test_pipelines_run_end_to_end(spark):
     moved = metres.withColumn("x", F.col("x") - 0.05)
     pose = feature_odometry(empty, moved, empty, metres, params, rounds=2)
     assert abs(pose[0, 3] - 0.05) < 0.05 and np.abs(pose[:3, :3] - np.eye(3)).max() < 0.05
+
+
+def test_mapping_goes_on_while_a_version_is_written(spark, tmp_path):
+    """Five scans under a known motion: poses found, and the map, gathered scans and shift included, by plain loops under those poses."""
+    walls = room(step=300)
+    params = Params.of({"map": {"resolution": 200, "max_distance": 0.8, "size": {"x": 9, "y": 9, "z": 5}, "shift": 0.1}, "registration": {"max_iterations": 3}})
+    run = Mapping(spark, str(tmp_path / "map"), params, writing=1, dz_per_distance=2500, snap=60)
+    move = np.array([60, 0, 0])
+    for k in range(5):
+        run.add(k, frame(spark, walls - k * move, k))
+    run.finish()
+    assert [s.version for s in run.steps] == [0, 1, 2, 3, 3] and [s.shifted for s in run.steps][:4] == [False, False, True, False]
+    assert run.versions.versions() == [0, 1, 2, 3]
+    found = [s.pose[:3, 3] for s in run.steps]
+    assert max(np.abs(p - k * move).max() for k, p in enumerate(found)) <= 120  # two ticks
+    m, want = params.map, None
+    for group in ([0], [1], [2], [3, 4]):
+        pts = [(k, i, *map(int, w)) for k in group for i, w in enumerate(walls - k * move + found[k].astype(int)) if not (w - found[k] < 300).all()]
+        if len(group) > 1:
+            slots, out, runs = {}, [], {}
+            for _, _, *c in pts:
+                cell = tuple(v // 200 for v in c)
+                slot = (cell[0] * 7171 + cell[1] * 3079 + cell[2] * 4231) & 511
+                if slot not in slots or slots[slot][0] != cell:
+                    runs[slot] = runs.get(slot, 0) + 1
+                    slots[slot] = (cell, [])
+                    out.append((slot, runs[slot], slots[slot][1]))
+                slots[slot][1].append(c)
+            pts = [(group[-1], r * 512 + s, *(int(np.mean([c[a] for c in cs])) for a in range(3))) for s, r, cs in out]
+        step = run.steps[group[-1]]
+        pos = tuple(int(v // 200) for v in found[group[-1]])
+        rays = TD.ray_march(spark.createDataFrame(pts, PTS), 200, m.tau, pos=pos, window=(step.centre, m.odd_cells), dz_per_distance=2500)
+        cells = {(r.ix, r.iy, r.iz): (r.value, r.weight) for r in TD.merge_nearest(rays, wide=True).collect()}
+        if want is None:
+            want = cells
+            continue
+        for c, (v, w) in cells.items():
+            old = want.get(c)
+            if old is None or w and old[1] <= 0:
+                want[c] = (v, w)
+            elif old[1] > 0 and w > 0:
+                total = old[0] * old[1] + v * w
+                want[c] = (int(total / (old[1] + w)), min(m.scaled_max_weight, old[1] + w))
+    assert {(r.ix, r.iy, r.iz): (r.value, r.weight) for r in run.versions.read().collect()} == want
