@@ -83,6 +83,15 @@ def pcd_files(spark, sf):
     return _doubles(back.withColumn("scan_id", F.regexp_extract("path", r"(\d+)\.pcd$", 1).cast("bigint")))
 
 
+@query(_CLOUD_SQL)
+def pcd_compressed_files(spark, sf):
+    """The same in compressed form, each field's values together."""
+    folder = _folder(spark)
+    C.write_files(C.encode_files(_cloud(spark, sf), "pcd_compressed"), folder)
+    back = C.read_pcd(spark, f"{folder}/*.pcd")
+    return _doubles(back.withColumn("scan_id", F.regexp_extract("path", r"(\d+)\.pcd$", 1).cast("bigint")))
+
+
 @query(_CLOUD_SQL)
 def ply_files(spark, sf):
     """PLY files, decoded again."""

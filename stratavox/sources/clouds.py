@@ -22,8 +22,61 @@ SIZES = {("F", 4): "<f4", ("F", 8): "<f8", ("I", 1): "i1", ("I", 2): "<i2", ("I"
 CLOUD = "x float, y float, z float, intensity float"
 
 
+def lzf_decode(data: bytes, size: int) -> bytes:
+    """What LZF data stands for: runs of up to 32 bytes as they are, and copies of what came up to 8192 bytes before."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        code = data[at]
+        at += 1
+        if code < 32:
+            out += data[at : at + code + 1]
+            at += code + 1
+            continue
+        n = code >> 5
+        if n == 7:
+            n += data[at]
+            at += 1
+        n += 2
+        start = len(out) - ((code & 31) << 8 | data[at]) - 1
+        at += 1
+        if start < 0:
+            raise ValueError("LZF data refers to what is before its start")
+        piece = out[start : start + n]
+        out += (piece * (n // len(piece) + 1))[:n]  # a copy may run into itself
+    if len(out) != size:
+        raise ValueError(f"LZF data stands for {len(out)} bytes, not {size}")
+    return bytes(out)
+
+
+def lzf_encode(data: bytes) -> bytes:
+    """LZF data: bytes as they are, but for runs of one byte, which are copies of the byte before."""
+    out, at = bytearray(), 0
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(np.concatenate([raw[1:] != raw[:-1], [True]])) + 1 if len(raw) else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+
+    def plain(to: int) -> None:
+        nonlocal at
+        while at < to:
+            n = min(32, to - at)
+            out.append(n - 1)
+            out.extend(data[at : at + n])
+            at += n
+
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        if end - start < 8:
+            continue
+        plain(start + 1)
+        while end - at >= 3:
+            n = min(264, end - at)
+            out.extend([(n - 2) << 5, 0] if n < 9 else [7 << 5, n - 9, 0])
+            at += n
+    plain(len(data))
+    return bytes(out)
+
+
 def parse_pcd(data: bytes) -> dict[str, np.ndarray]:
-    """Fields of a PCD file in ascii or binary form."""
+    """Fields of a PCD file in ascii, binary or binary_compressed form; the last holds each field's values of all points together."""
     head: dict[str, list[str]] = {}
     at = 0
     while at < len(data):
@@ -42,6 +95,14 @@ def parse_pcd(data: bytes) -> dict[str, np.ndarray]:
         rows = [r.split() for r in data[at:].decode("ascii").split("\n") if r.strip()][:n]
         place = np.cumsum([0, *counts])
         return {f: np.array([r[p] for r in rows], dtype=float).astype(k) for f, k, p in zip(names, kinds, place, strict=False)}
+    if head["DATA"][0] == "binary_compressed":
+        packed, size = struct.unpack_from("<II", data, at)
+        raw, out, place = lzf_decode(data[at + 8 : at + 8 + packed], size), {}, 0
+        for f, k, c in zip(names, kinds, counts, strict=True):
+            v = np.frombuffer(raw, k, n * c, place)
+            out[f] = v.reshape(n, c) if c > 1 else v
+            place += v.nbytes
+        return out
     if head["DATA"][0] != "binary":
         raise ValueError(f"PCD data of kind {head['DATA'][0]} is not supported")
     dt = np.dtype([(f"{f}", k, (c,)) if c > 1 else (f, k) for f, k, c in zip(names, kinds, counts, strict=True)])
@@ -49,15 +110,20 @@ def parse_pcd(data: bytes) -> dict[str, np.ndarray]:
     return {f: rec[f] for f in names}
 
 
-def format_pcd(fields: dict[str, np.ndarray]) -> bytes:
-    """A binary PCD file of float32 fields."""
+def format_pcd(fields: dict[str, np.ndarray], compressed: bool = False) -> bytes:
+    """A binary or binary_compressed PCD file of float32 fields."""
     n = len(next(iter(fields.values()))) if fields else 0
     rec = np.zeros(n, [(f, "<f4") for f in fields])
     for f, v in fields.items():
         rec[f] = v
     k = len(fields)
-    head = f"# .PCD v0.7\nVERSION 0.7\nFIELDS {' '.join(fields)}\nSIZE {' '.join(['4'] * k)}\nTYPE {' '.join(['F'] * k)}\nCOUNT {' '.join(['1'] * k)}\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA binary\n"
-    return head.encode() + rec.tobytes()
+    data = rec.tobytes()
+    if compressed:
+        raw = b"".join(np.ascontiguousarray(rec[f]).tobytes() for f in fields)
+        packed = lzf_encode(raw)
+        data = struct.pack("<II", len(packed), len(raw)) + packed
+    head = f"# .PCD v0.7\nVERSION 0.7\nFIELDS {' '.join(fields)}\nSIZE {' '.join(['4'] * k)}\nTYPE {' '.join(['F'] * k)}\nCOUNT {' '.join(['1'] * k)}\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA binary{'_compressed' if compressed else ''}\n"
+    return head.encode() + data
 
 
 def format_ply(fields: dict[str, np.ndarray]) -> bytes:
@@ -86,8 +152,8 @@ def read_pcd(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_files(cloud: DataFrame, kind: str = "pcd", key: str = "scan_id", order: str = "idx") -> DataFrame:
-    """One row per scan: name (five digits) and content; a scan is a bounded group."""
-    make = format_pcd if kind == "pcd" else format_ply
+    """One row per scan: name (five digits) and content; a scan is a bounded group. Kinds: pcd, pcd_compressed, ply."""
+    make = {"pcd": format_pcd, "pcd_compressed": lambda f: format_pcd(f, True), "ply": format_ply}[kind]
     key_type = cloud.schema[key].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
@@ -96,7 +162,7 @@ def encode_files(cloud: DataFrame, kind: str = "pcd", key: str = "scan_id", orde
         return pa.table({key: t.column(key).slice(0, 1), "content": pa.array([make(fields)], pa.binary())})
 
     out = cloud.select(key, order, "x", "y", "z", "intensity").groupBy(key).applyInArrow(run, f"{key} {key_type}, content binary")
-    return out.select(key, padded_name(F.col(key), 5, f".{kind}").alias("name"), "content")
+    return out.select(key, padded_name(F.col(key), 5, f".{kind[:3]}").alias("name"), "content")
 
 
 def write_files(files: DataFrame, folder: str) -> None:

@@ -66,6 +66,28 @@ def test_window_edges_and_path(spark):
     assert [len(r.path) for r in PB.path_of(p, last=3).orderBy("seq").collect()] == [1, 2, 3, 3]
 
 
+def test_compressed_pcd_by_hand_and_back():
+    # "abc", six bytes from three before (a copy that runs into itself), "x", twenty from one before
+    golden = bytes([2]) + b"abc" + bytes([4 << 5, 2]) + bytes([0]) + b"x" + bytes([7 << 5, 11, 0])
+    assert CL.lzf_decode(golden, 30) == b"abcabcabc" + b"x" * 21
+    far = bytes(range(32)) * 20
+    assert CL.lzf_decode(b"".join(bytes([31]) + far[k : k + 32] for k in range(0, 640, 32)) + bytes([(1 << 5) | (600 >> 8), 600 & 255]), 643) == far + far[640 - 601 : 640 - 598]
+    for bad, size in ((bytes([0]) + b"a", 2), (bytes([2 << 5, 5]), 4)):
+        with pytest.raises(ValueError):
+            CL.lzf_decode(bad, size)
+    rng = random.Random(5)
+    for n in (0, 1, 7, 33, 300, 5000):
+        raw = b"".join(bytes([rng.randrange(256)]) * rng.choice([1, 1, 2, 8, 9, 300, 1000]) for _ in range(n))[: 4 * n]
+        assert CL.lzf_decode(CL.lzf_encode(raw), len(raw)) == raw
+    head = "VERSION 0.7\nFIELDS x n rgb\nSIZE 4 2 1\nTYPE F U U\nCOUNT 1 1 3\nWIDTH 2\nHEIGHT 1\nPOINTS 2\nDATA binary_compressed\n"
+    raw = np.array([1.5, -2.0], "<f4").tobytes() + np.array([7, 65535], "<u2").tobytes() + bytes([1, 2, 3, 4, 5, 6])
+    got = CL.parse_pcd(head.encode() + (len(raw) + 1).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + bytes([len(raw) - 1]) + raw)
+    assert got["x"].tolist() == [1.5, -2.0] and got["n"].tolist() == [7, 65535] and got["rgb"].tolist() == [[1, 2, 3], [4, 5, 6]]
+    fields = {c: np.arange(50, dtype=np.float32) // 20 for c in ("x", "y", "z")}
+    back = CL.parse_pcd(CL.format_pcd(fields, compressed=True))
+    assert all((back[c] == v).all() for c, v in fields.items())
+
+
 def test_scans_of_six_digits_keep_their_files(spark, tmp_path):
     rows = [(s, i, float(i), 0.0, float(s), 1.0) for s in (7, 123456, 123457, 10_000_000) for i in range(5)]
     folder = str(tmp_path / "clouds")
