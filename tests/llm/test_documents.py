@@ -504,6 +504,17 @@ def test_pii_query_against_brute_force_with_added_spans(spark):
     assert all(got[i].spans.count("phone:9:26") == 1 and got[i].spans.count(":") == 4 for i in range(len(rows), len(texts)))
 
 
+def test_pii_query_counts_base_spans_and_lists_all(spark, tmp_path):
+    texts = [f"please call me at +1 (5{i:02d}) 555-12{i:02d} now" for i in range(24)] + ["please call me at 555-01-99 now", None, "a@b.cd 10.0.0.1"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op8_pii"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        base = plain_spans(t or "")
+        assert [got[i][f"n_{k}"] for k in PI.KINDS] == [sum(kind == k for *_, kind in base) for k in PI.KINDS]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
+    assert got[24].n_phone == 0 and got[24].spans.startswith("phone:18:")
+
+
 def test_pii_of_very_long_odd_texts():
     import time
 
