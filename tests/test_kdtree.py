@@ -71,6 +71,21 @@ def test_a_leaf_of_equal_points_is_dealt_over_tasks(spark):
     assert KD.radius_join(p, p, 0, leaf_points=50).count() == 500 * 500 + 19
 
 
+def test_what_a_nearest_join_sends_grows_as_the_points_do(spark):
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+    rng = np.random.default_rng(9)
+
+    def written(n):
+        bus.waitUntilEmpty()
+        before = store.executorList(True).head().totalShuffleWrite()
+        p = spark.createDataFrame([(i, *map(int, c)) for i, c in enumerate(rng.integers(0, 2000, (n, 3)))], SCHEMA)
+        assert KD.knn_join(p, p, 3, 3000, ["id"], leaf_points=100).count() == 3 * n
+        bus.waitUntilEmpty()
+        return store.executorList(True).head().totalShuffleWrite() - before
+
+    assert written(8000) < 5 * written(2000)  # all points are within reach of all others, so sending by reach alone grows with the square
+
+
 def test_empty_sides_null_coordinates_and_other_columns(spark):
     p = spark.createDataFrame([(1, 0, 0, 0, "a"), (2, None, 0, 0, "b"), (3, 1, 1, 1, None)], SCHEMA + ", name string")
     q = spark.createDataFrame([(9, 0, 0, 1, 2.5)], SCHEMA + ", w double")
