@@ -231,3 +231,14 @@ def test_mapping_goes_on_while_a_version_is_written(spark, tmp_path):
                 total = old[0] * old[1] + v * w
                 want[c] = (int(total / (old[1] + w)), min(m.scaled_max_weight, old[1] + w))
     assert {(r.ix, r.iy, r.iz): (r.value, r.weight) for r in run.versions.read().collect()} == want
+
+
+def test_marching_and_splatting_tasks_stay_small(spark):
+    from stratavox.plans import queries as Q
+    from stratavox.sources import adapters as A
+
+    sf = "/root/testdata/sf0.001"
+    small = A.points(spark, sf, 500)
+    assert small.rdd.getNumPartitions() == -(-small.count() // 500) > 4 and sorted(small.collect()) == sorted(A.points(spark, sf).collect())
+    for name in ("normal_splat", "tsdf_upsert"):
+        assert "REPARTITION_BY_NUM" in Q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
