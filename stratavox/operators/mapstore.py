@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratavox.functions.grid import CHUNK, chunk_of, in_bounds, in_chunk_index, lng, pack, round_half_away, unpack_value, unpack_weight
@@ -58,11 +58,17 @@ def touched_cells(chunks: DataFrame) -> DataFrame:
     return c.filter("weight > 0")
 
 
+def kept(voxels: DataFrame, condition: Column) -> DataFrame:
+    """The merged cells for which the condition holds. A filter would go below the merge and repeat the march's arithmetic for every
+    comparison, in a method too large for Java to compile; a generator stays above it."""
+    return voxels.select("*", F.explode_outer(F.when(condition, F.array(F.lit(1)))).alias("_kept")).filter("_kept is not null").drop("_kept")
+
+
 def leaving(voxels: DataFrame, old: tuple, new: tuple, size: tuple) -> DataFrame:
     """I4: cells of the old window that the new one does not hold."""
     def inside(pos):
         return in_bounds("ix", pos[0], size[0]) & in_bounds("iy", pos[1], size[1]) & in_bounds("iz", pos[2], size[2])
-    return voxels.filter(inside(old) & ~inside(new))
+    return kept(voxels, inside(old) & ~inside(new))
 
 
 def entering(voxels: DataFrame, old: tuple, new: tuple, size: tuple) -> DataFrame:

@@ -170,7 +170,7 @@ def map_window_read(spark, sf):
     """A map is written, some chunks are replaced, and a window is read."""
     folder = _folder(spark)
     MS.write_map(Q._state(spark, sf, 0), folder)
-    MS.write_map(Q._state(spark, sf, 1).filter("ix >= 0"), folder, "upsert")
+    MS.write_map(MS.kept(Q._state(spark, sf, 1), F.col("ix") >= 0), folder, "upsert")
     return MS.read_map(spark, folder, ((2, -1, 0), (25, 21, 9)))
 
 

@@ -98,3 +98,11 @@ def test_merge_order_beyond_the_packed_bits(spark):
                 merge_nearest(cells.filter(f"ix = {far[at][7]}")).collect()
     near = spark.createDataFrame([(0, 2**18 - 1, 0, 0, 0, 1, 15, 0, 0, 0, 50, 32), (0, 2**18 - 2, 0, 0, 0, 1, 15, 0, 0, 0, -50, 64)], schema)
     assert as_dict(merge_nearest(near)) == {(0, 0, 0): (-50, 64)}
+
+
+def test_conditions_on_merged_cells_stay_above_the_merge(spark):
+    from stratavox.plans.queries import QUERIES
+
+    plan = QUERIES["map_shift_leaving"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Aggregate", 1)
+    assert "_kept" in above and "_kept" not in below and "<= 2" not in below
