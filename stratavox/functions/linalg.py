@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- vectors as arrays
@@ -235,26 +235,69 @@ def _skew_series(w: list[Column], a: Column, b: Column) -> list[Column]:
     return [(1 + b * (ww[i][i] - t2)) if i == j else a * k[i, j] + b * ww[i][j] for i in range(3) for j in range(3)]
 
 
-def twist_to_transform(xi: list[Column], centre: list[Column]) -> Column:
-    """E19 as a 4x4 array: rotation by xi[:3] about the centre, then translation by xi[3:]. A zero rotation is the identity."""
-    theta = F.sqrt(xi[0] * xi[0] + xi[1] * xi[1] + xi[2] * xi[2])
+def _turned(centre: list[Column], move: list[Column], rot: list[Column]) -> list[Column]:
+    return [centre[i] + move[i] - sum((rot[3 * i + k] * centre[k] for k in range(1, 3)), rot[3 * i] * centre[0]) for i in range(3)]
+
+
+def _turn_terms(theta: Column) -> tuple[Column, Column]:
     safe = F.nullif(theta, F.lit(0.0))
-    rot = _skew_series(xi[:3], F.coalesce(F.sin(theta) / safe, F.lit(1.0)), F.coalesce((1 - F.cos(theta)) / (safe * safe), F.lit(0.5)))
-    t = [centre[i] + xi[3 + i] - sum((rot[3 * i + k] * centre[k] for k in range(1, 3)), rot[3 * i] * centre[0]) for i in range(3)]
-    return _affine(rot, t)
+    return F.coalesce(F.sin(theta) / safe, F.lit(1.0)), F.coalesce((1 - F.cos(theta)) / (safe * safe), F.lit(0.5))
 
 
-def se3_exp(xi: list[Column], small: float = 1e-6) -> Column:
-    """E20 as a 4x4 array: exponential of a twist (rotation first), by series below `small`."""
-    t2 = xi[0] * xi[0] + xi[1] * xi[1] + xi[2] * xi[2]
-    theta = F.nullif(F.sqrt(t2), F.lit(0.0))
+def _exp_terms(t2: Column, theta: Column, small: float) -> tuple[Column, Column, Column]:
     near = theta.isNull() | (theta < small)
     a = F.when(near, 1 - t2 / 6).otherwise(F.sin(theta) / theta)
     b = F.when(near, 0.5 - t2 / 24).otherwise((1 - F.cos(theta)) / (theta * theta))
     c = F.when(near, 1 / 6 - t2 / 120).otherwise((theta - F.sin(theta)) / (theta * theta * theta))
-    left = _skew_series(xi[:3], b, c)
-    t = [left[3 * i] * xi[3] + left[3 * i + 1] * xi[4] + left[3 * i + 2] * xi[5] for i in range(3)]
-    return _affine(_skew_series(xi[:3], a, b), t)
+    return a, b, c
+
+
+def _moved_by(left: list[Column], v: list[Column]) -> list[Column]:
+    return [left[3 * i] * v[0] + left[3 * i + 1] * v[1] + left[3 * i + 2] * v[2] for i in range(3)]
+
+
+def twist_to_transform(xi: list[Column], centre: list[Column]) -> Column:
+    """E19 as a 4x4 array: rotation by xi[:3] about the centre, then translation by xi[3:]. A zero rotation is the identity."""
+    rot = _skew_series(xi[:3], *_turn_terms(F.sqrt(xi[0] * xi[0] + xi[1] * xi[1] + xi[2] * xi[2])))
+    return _affine(rot, _turned(centre, xi[3:], rot))
+
+
+def se3_exp(xi: list[Column], small: float = 1e-6) -> Column:
+    """E20 as a 4x4 array: exponential of a twist (rotation first), by series below `small`."""
+    t2 = xi[0] * xi[0] + xi[1] * xi[1] + xi[2] * xi[2]
+    a, b, c = _exp_terms(t2, F.nullif(F.sqrt(t2), F.lit(0.0)), small)
+    return _affine(_skew_series(xi[:3], a, b), _moved_by(_skew_series(xi[:3], b, c), xi[3:]))
+
+
+# Catalyst takes entries out of an array before it is made, so each would repeat the whole series, in a method too large for Java to
+# compile. Columns by steps, each a projection of its own, are computed once.
+
+ROT = [f"_r{i}{k}" for i in range(3) for k in range(3)]
+
+
+def _steps(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    for s in steps:
+        df = df.select("*", *[c.alias(n) for n, c in s.items()])
+    return df
+
+
+def twist_columns(df: DataFrame, xi: list[str], centre: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """twist_to_transform() of columns: df with what is computed once, and the first three rows of the transform."""
+    w, move = [F.col(n) for n in xi[:3]], [F.col(n) for n in xi[3:]]
+    df = _steps(df, {"_th": F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])}, dict(zip(("_a", "_b"), _turn_terms(F.col("_th")), strict=True)))
+    df = _steps(df, dict(zip(ROT, _skew_series(w, F.col("_a"), F.col("_b")), strict=True)))
+    rot = [F.col(r) for r in ROT]
+    t = _turned(centre, move, rot)
+    return df, [*rot[0:3], t[0], *rot[3:6], t[1], *rot[6:9], t[2]]
+
+
+def se3_columns(df: DataFrame, xi: list[str], small: float = 1e-6) -> tuple[DataFrame, list[Column]]:
+    """se3_exp() of columns: df with what is computed once, and the first three rows of the transform."""
+    w, v = [F.col(n) for n in xi[:3]], [F.col(n) for n in xi[3:]]
+    df = _steps(df, {"_t2": w[0] * w[0] + w[1] * w[1] + w[2] * w[2]}, {"_th": F.nullif(F.sqrt("_t2"), F.lit(0.0))})
+    df = _steps(df, dict(zip(("_a", "_b", "_c"), _exp_terms(F.col("_t2"), F.col("_th"), small), strict=True)))
+    rot, t = _skew_series(w, F.col("_a"), F.col("_b")), _moved_by(_skew_series(w, F.col("_b"), F.col("_c")), v)
+    return df, [*rot[0:3], t[0], *rot[3:6], t[1], *rot[6:9], t[2]]
 
 
 def manifold_plus(pose: Column, xi: list[Column]) -> Column:

@@ -92,13 +92,15 @@ _MOVING = "WHERE th > 0"
 def twist_transform(spark, sf):
     """E19."""
     t = _twists(spark, sf).filter("w0 <> 0 or w1 <> 0 or w2 <> 0")
-    return _spread(t, L.twist_to_transform(_xi(), [F.lit(c) for c in _CENTRE]), M4, "scan_id", "idx")
+    t, entries = L.twist_columns(t, list(TWIST), [F.lit(c) for c in _CENTRE])
+    return t.select("scan_id", "idx", *[micro(c).alias(n) for n, c in zip(M4, entries, strict=True)])
 
 
 @query(_sql(_EXP_SQL, _TW, "scan_id", "idx") + f"tw {_MOVING}")
 def se3_exponential(spark, sf):
     """E20."""
-    return _spread(_twists(spark, sf).filter("w0 <> 0 or w1 <> 0 or w2 <> 0"), L.se3_exp(_xi()), M4, "scan_id", "idx")
+    t, entries = L.se3_columns(_twists(spark, sf).filter("w0 <> 0 or w1 <> 0 or w2 <> 0"), list(TWIST))
+    return t.select("scan_id", "idx", *[micro(c).alias(n) for n, c in zip(M4, entries, strict=True)])
 
 
 @query(_sql(_PLUS_SQL, _TW, "scan_id", "idx") + f"tw {_MOVING}")
