@@ -305,6 +305,23 @@ def manifold_plus(pose: Column, xi: list[Column]) -> Column:
     return matmul(se3_exp(xi), pose, 4)
 
 
+def inverse4_columns(df: DataFrame, m: list[str]) -> tuple[DataFrame, Column, list[Column]]:
+    """det4() and inverse4() of 16 columns: df with the 2x2 minors of the upper and lower rows, the determinant and the inverse's entries."""
+    at = lambda r, c: F.col(m[4 * r + c])
+    two = [(p, q) for p in range(4) for q in range(p + 1, 4)]
+    df = _steps(df, {f"_{h}{p}{q}": at(r, p) * at(r + 1, q) - at(r, q) * at(r + 1, p) for h, r in (("u", 0), ("l", 2)) for p, q in two})
+    rest = lambda *gone: [i for i in range(4) if i not in gone]
+    terms = [F.col(f"_u{p}{q}") * F.col("_l{}{}".format(*rest(p, q))) * float((-1) ** (p + q + 1)) for p, q in two]
+    df = _steps(df, {"_det": sum(terms[1:], terms[0])})
+    d = F.nullif(F.col("_det"), F.lit(0.0))
+
+    def entry(i: int, j: int) -> Column:
+        half, row, (p, q, t) = ("l", 1 - j, rest(i)) if j < 2 else ("u", 5 - j, rest(i))
+        return (at(row, p) * F.col(f"_{half}{q}{t}") - at(row, q) * F.col(f"_{half}{p}{t}") + at(row, t) * F.col(f"_{half}{p}{q}")) * float((-1) ** (i + j)) / d
+
+    return df, F.col("_det"), [entry(i, j) for i in range(4) for j in range(4)]
+
+
 # ---------------------------------------------------------------- NumPy forms for solver steps
 
 

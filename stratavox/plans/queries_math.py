@@ -213,9 +213,12 @@ CAST(500000 AS BIGINT) AS x22, {_micro('-c / 6')} AS x23, s*s - b*b AS p00, 5*c
 def matrix4_algebra(spark, sf):
     """Determinant, inverse, trace and product of [[s, -b, 0, 0], [b, s, 0, 0], [0, 0, 2, c], [0, 0, 0, 3]] with s = a a + 1."""
     o, s = F.lit(0.0), F.col("a") * F.col("a") + 1
-    m = F.array(s, -F.col("b"), o, o, F.col("b"), s, o, o, o, o, F.lit(2.0), F.col("c"), o, o, o, F.lit(3.0))
-    p = _abc(spark, sf).select("scan_id", "idx", m.alias("m")).select("scan_id", "idx", "m", L.inverse4(F.col("m")).alias("x"), L.matmul(F.col("m"), F.col("m"), 4).alias("p"))
-    return p.select("scan_id", "idx", L.det4(F.col("m")).alias("det"), L.trace(F.col("m"), 4).alias("trace"), *[micro(F.col("x")[i]).alias(n) for i, n in ((0, "x00"), (1, "x01"), (10, "x22"), (11, "x23"))], F.col("p")[0].alias("p00"), F.col("p")[11].alias("p23"))
+    cells = [s, -F.col("b"), o, o, F.col("b"), s, o, o, o, o, F.lit(2.0), F.col("c"), o, o, o, F.lit(3.0)]
+    names = [f"e{i}{k}" for i in range(4) for k in range(4)]
+    p, det, x = L.inverse4_columns(_abc(spark, sf).select("scan_id", "idx", *[c.alias(n) for c, n in zip(cells, names, strict=True)]), names)
+    m = F.array(*names)
+    square = L.matmul(m, m, 4)
+    return p.select("scan_id", "idx", det.alias("det"), L.trace(m, 4).alias("trace"), *[micro(x[i]).alias(n) for i, n in ((0, "x00"), (1, "x01"), (10, "x22"), (11, "x23"))], square[0].alias("p00"), square[11].alias("p23"))
 
 
 @query(f"WITH {_M} SELECT scan_id, idx, a + 1 AS s00, b AS s01, (c + 1) / 2 AS h22, 6 + 2*(a + b + c) AS trace, a*a + b*b AS q00 FROM q")
