@@ -295,12 +295,8 @@ def stream_queues(spark, sf):
 @query(Q.ORACLE_SQL["tsdf_upsert"])
 def stream_map(spark, sf):
     """Points stream into the map at a path, even scans in the first micro-batch and odd ones in the second."""
-    folder, n = _folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    points = A.points(spark, sf)
-    for k in (0, 1):
-        points.filter(F.col("scan_id") % 2 == k).repartition(n).write.mode("append").option("maxRecordsPerFile", 0).parquet(f"{folder}/in")
-    src = FL.read_stream(spark, f"{folder}/in", points.schema, files_per_trigger=n)
-    number = itertools.count()
+    folder, number = _folder(spark), itertools.count()
+    points = A.points(spark, sf, Q.PER_TASK)
 
     def cut(df: DataFrame) -> DataFrame:
         path = f"{folder}/cut-{next(number)}"
@@ -308,5 +304,8 @@ def stream_map(spark, sf):
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
     write = FL.map_writer(f"{folder}/map", Q.RES, Q.TAU, 640, Q.WINDOW, Q.FAN, stage=cut)
-    src.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    for k in (0, 1):  # files that come while the stream rests are the next micro-batch, however many they are
+        points.filter(F.col("scan_id") % 2 == k).write.mode("append").parquet(f"{folder}/in")
+        src = FL.read_stream(spark, f"{folder}/in", points.schema, files_per_trigger=(1 << 31) - 1)
+        src.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return MS.read_map(spark, f"{folder}/map")

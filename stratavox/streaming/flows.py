@@ -237,15 +237,16 @@ def bounded_queue(batch: DataFrame, capacity: int, key: str, order: list[str], f
     return batch.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= capacity).drop("_place")
 
 
-def map_writer(path: str, res: int, tau: int, max_weight: int, window: tuple | None = None, dz_per_distance: int | None = None, stage: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+def map_writer(path: str, res: int, tau: int, max_weight: int, window: tuple | None = None, dz_per_distance: int | None = None, stage: Callable[[DataFrame], DataFrame] | None = None, per_task: int = 150_000) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that integrates a micro-batch of points into the map at path.
 
-    Only the chunks that the batch touches are read and rewritten, by dynamic partition overwrite. `stage` cuts the lineage before
+    Points are dealt by scan, about `per_task` to a task, before they are marched, so that the merge within scans needs no shuffle of cells. Only the chunks that the batch touches are read and rewritten, by dynamic partition overwrite. `stage` cuts the lineage before
     the overwrite of what was read; by default the merged cells go through a reliable checkpoint.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        batch = batch.repartition(max(spark.sparkContext.defaultParallelism, -(-batch.count() // per_task)), "scan_id")
         cells = merge_nearest(ray_march(batch, res, tau, window=window, dz_per_distance=dz_per_distance))
         cells = stage(cells) if stage else cells.checkpoint()
         if cells.isEmpty():

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -213,5 +214,22 @@ def test_stream_map_upsert(spark, tmp_path):
     assert got.count() == got.select(key).distinct().count() and got.agg(F.max("weight")).first()[0] <= 640
 
 
+def test_stream_map_deals_points_not_cells_by_scan(spark, tmp_path):
+    rows = [(s, i, 700 * i - 3000, 300 * s - 500, 100 * i) for s in range(4) for i in range(10)]
+    p = spark.createDataFrame(rows, "scan_id bigint, idx bigint, x bigint, y bigint, z bigint").repartition(3)
+    plans = []
+
+    def stage(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    FL.map_writer(str(tmp_path / "map"), 400, 900, 640, ((0, 0, 0), (21, 21, 21)), stage=stage)(p, 0)
+    by = re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plans[0])
+    assert any(k.startswith("ix#") for k in by)
+    assert not any("scan_id#" in k and "ix#" in k for k in by)  # scans with their cells were shuffled
+    once = merge_nearest(ray_march(p, 400, 900, window=((0, 0, 0), (21, 21, 21))))
+    assert sorted(map(tuple, read_map(spark, str(tmp_path / "map")).select(once.columns).collect())) == sorted(map(tuple, once.collect()))
+
+
 def test_latest_of_a_batch(spark):
     assert {(r.sensor_id, r.event_id) for r in FL.latest_per_key(samples(spark), "sensor_id", "ts").collect()} == {(0, 57), (1, 58), (2, 59)}
