@@ -28,10 +28,14 @@ def _partial(j: np.ndarray, r: np.ndarray, w: np.ndarray) -> pd.DataFrame:
 
 
 def _solve(rows: DataFrame, residuals: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray, np.ndarray]], damping: float) -> tuple[np.ndarray, float, float] | None:
+    return _solve_sums(rows, lambda pdf: _partial(*residuals(pdf)), damping)
+
+
+def _solve_sums(rows: DataFrame, partial: Callable[[pd.DataFrame], pd.DataFrame], damping: float) -> tuple[np.ndarray, float, float] | None:
     def run(it):
         for pdf in it:
             if len(pdf):
-                yield _partial(*residuals(pdf))
+                yield partial(pdf)
 
     sums = rows.mapInPandas(run, _SCHEMA).agg(*[F.sum(c.split()[0]).alias(c.split()[0]) for c in _SCHEMA.split(", ")]).first()
     if sums is None or not sums["c"]:
@@ -107,7 +111,8 @@ def match_distributions(points: DataFrame, gaussians: DataFrame, res: int, prior
     """I3, our own design after the published voxelised method: pose and fitness (mean squared distance to the cells' means).
 
     Points meet the Gaussian of the cell they fall in; distances are weighed by its covariance, planes being stretched along
-    themselves (eigenvalues 1, 1, 0.001). The cells are broadcast only if they were counted to be few.
+    themselves (eigenvalues 1, 1, 0.001). An iteration sums the moments of the points of every cell, so Python sees cells and not points.
+    The cells are broadcast only if they were counted to be few.
     """
     pose = np.eye(4) if prior is None else np.array(prior, float)
     cells = gaussians
@@ -116,37 +121,49 @@ def match_distributions(points: DataFrame, gaussians: DataFrame, res: int, prior
     source = points.select(*[F.col(a).cast("double").alias(f"p{a}") for a in "xyz"])
 
     def joined(at: np.ndarray) -> DataFrame:
+        """Moments of the moved points of every cell, about the cell's corner so that nothing cancels, beside its Gaussian."""
         q = [sum((F.col(f"p{a}") * float(at[i, k]) for k, a in enumerate("xyz")), F.lit(float(at[i, 3]))) for i in range(3)]
-        return source.select("*", *[F.floor(c / res).cast("bigint").alias(f"i{a}") for c, a in zip(q, "xyz", strict=True)]).join(cells, ["ix", "iy", "iz"])
-
-    def weighed(at: np.ndarray):
-        def residuals(pdf: pd.DataFrame):
-            q, mean = _moved(pdf, at), pdf[["m0", "m1", "m2"]].to_numpy(float)
-            cov = np.zeros((len(pdf), 3, 3))
-            for i in range(3):
-                for k in range(i, 3):
-                    cov[:, i, k] = cov[:, k, i] = pdf[f"c{i}{k}"]
-            _, vecs = np.linalg.eigh(cov)
-            root = np.array([1 / np.sqrt(1e-3), 1.0, 1.0])  # square roots of the inverse stretched eigenvalues
-            a = root[None, :, None] * vecs.transpose(0, 2, 1)
-            d = q - mean
-            r = (a @ d[:, :, None])[:, :, 0]
-            skew = np.zeros((len(pdf), 3, 3))
-            skew[:, 0, 1], skew[:, 0, 2], skew[:, 1, 0], skew[:, 1, 2], skew[:, 2, 0], skew[:, 2, 1] = q[:, 2], -q[:, 1], -q[:, 2], q[:, 0], q[:, 1], -q[:, 0]
-            j = np.concatenate([a @ skew, a], axis=2)
-            return j.reshape(-1, 6), r.ravel(), np.ones(r.size)
-
-        return residuals
+        p = source.select(*[c.alias(f"q{i}") for i, c in enumerate(q)])
+        p = p.select("*", *[F.floor(F.col(f"q{i}") / res).cast("bigint").alias(f"i{a}") for i, a in enumerate("xyz")])
+        p = p.select("ix", "iy", "iz", *[(F.col(f"q{i}") - F.col(f"i{a}") * res).alias(f"u{i}") for i, a in enumerate("xyz")])
+        sums = [F.sum(f"u{i}").alias(f"s{i}") for i in range(3)] + [F.sum(F.col(f"u{i}") * F.col(f"u{k}")).alias(f"s{i}{k}") for i in range(3) for k in range(i, 3)]
+        return p.groupBy("ix", "iy", "iz").agg(F.count("*").cast("double").alias("points"), *sums).join(cells, ["ix", "iy", "iz"])
+
+    def sums_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """_partial() of all points of all cells. Residuals are A (q - m), their derivatives A [skew | I], both linear in q, so that their
+        products are polynomials of second degree and follow from the moments."""
+        n, corner = pdf["points"].to_numpy(float), pdf[["ix", "iy", "iz"]].to_numpy(float) * res
+        first, second, cov = pdf[["s0", "s1", "s2"]].to_numpy(float), np.zeros((len(pdf), 3, 3)), np.zeros((len(pdf), 3, 3))
+        for i in range(3):
+            for k in range(i, 3):
+                second[:, i, k] = second[:, k, i] = pdf[f"s{i}{k}"]
+                cov[:, i, k] = cov[:, k, i] = pdf[f"c{i}{k}"]
+        _, vecs = np.linalg.eigh(cov)
+        w = vecs @ (np.array([1 / 1e-3, 1.0, 1.0])[None, :, None] * vecs.transpose(0, 2, 1))  # inverse stretched eigenvalues
+        mean = first / n[:, None]
+        spread = second - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+        q, d = corner + mean, corner + mean - pdf[["m0", "m1", "m2"]].to_numpy(float)
+        # [skew(q) | I] = base + sum over axes of (q_a - mean_a) by_axis[a]; the sums of single deviations vanish
+        by_axis = np.zeros((3, 3, 6))
+        for a, (r, c) in enumerate(((2, 1), (0, 2), (1, 0))):
+            by_axis[a, r, c], by_axis[a, c, r] = -1.0, 1.0
+        base = np.concatenate([np.einsum("na,arc->nrc", q, by_axis[:, :, :3]), np.tile(np.eye(3), (len(pdf), 1, 1))], axis=2)
+        h = np.einsum("n,nri,nrs,nsk->ik", n, base, w, base, optimize=True) + np.einsum("nab,ari,nrs,bsk->ik", spread, by_axis, w, by_axis, optimize=True)
+        g = np.einsum("n,nri,nrs,ns->i", n, base, w, d, optimize=True) + np.einsum("nab,ari,nrb->i", spread, by_axis, w, optimize=True)
+        e = np.einsum("n,nr,nrs,ns->", n, d, w, d, optimize=True) + np.einsum("nab,nab->", spread, w)
+        return pd.DataFrame([[*[h[i, k] for i, k in _UPPER], *g, float(e), float(3 * n.sum())]], columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     for _ in range(iterations):
-        got = _solve(joined(pose), weighed(pose), 1e-6)
+        got = _solve_sums(joined(pose), sums_of, 1e-6)
         if got is None:
             return pose, float("inf")
         pose = _step(pose, got[0])
         if np.linalg.norm(got[0]) < epsilon:
             break
-    d2 = sum(((sum((F.col(f"p{a}") * float(pose[i, k]) for k, a in enumerate("xyz")), F.lit(float(pose[i, 3]))) - F.col(f"m{i}")) ** 2 for i in range(1, 3)), (sum((F.col(f"p{a}") * float(pose[0, k]) for k, a in enumerate("xyz")), F.lit(float(pose[0, 3]))) - F.col("m0")) ** 2)
-    fit = joined(pose).agg(F.avg(d2).alias("f")).first()["f"]
+    at = joined(pose)
+    off = [F.col(f"i{a}") * res - F.col(f"m{i}") for i, a in enumerate("xyz")]
+    d2 = [F.col(f"s{i}{i}") + 2 * F.col(f"s{i}") * off[i] + F.col("points") * off[i] * off[i] for i in range(3)]
+    fit = at.agg((F.sum(d2[0] + d2[1] + d2[2]) / F.sum("points")).alias("f")).first()["f"]
     return pose, float("inf") if fit is None else float(fit)
 
 

@@ -242,3 +242,25 @@ def test_marching_and_splatting_tasks_stay_small(spark):
     assert small.rdd.getNumPartitions() == -(-small.count() // 500) > 4 and sorted(small.collect()) == sorted(A.points(spark, sf).collect())
     for name in ("normal_splat", "tsdf_upsert"):
         assert "REPARTITION_BY_NUM" in Q.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distribution_matching_hands_cells_not_points_to_python(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    xyz = rng.integers(-2000, 2000, (500, 3))
+    p = spark.createDataFrame([tuple(map(int, r)) for r in xyz], "x bigint, y bigint, z bigint")
+    cells, seen, solve = SO.voxel_gaussians(p, 1000).cache(), [], SO._solve_sums
+    monkeypatch.setattr(SO, "_solve_sums", lambda rows, *rest: (seen.append(rows.count()), solve(rows, *rest))[1])
+    moved = xyz + np.array([150, -40, 20])
+    q = spark.createDataFrame([tuple(map(int, r)) for r in moved], "x bigint, y bigint, z bigint")
+    pose, _ = SO.match_distributions(q, cells, 1000, iterations=1)
+    assert seen and max(seen) <= cells.count()
+    by = {(r.ix, r.iy, r.iz): r for r in cells.collect()}
+    h, g = np.zeros((6, 6)), np.zeros(6)
+    for v in moved.astype(float):
+        c = by.get(tuple(int(k) for k in v // 1000))
+        if c is not None:
+            cov = np.array([[c[f"c{min(i, k)}{max(i, k)}"] for k in range(3)] for i in range(3)])
+            a = np.diag([1 / np.sqrt(1e-3), 1, 1]) @ np.linalg.eigh(cov)[1].T
+            j = a @ np.concatenate([np.array([[0, v[2], -v[1]], [-v[2], 0, v[0]], [v[1], -v[0], 0]]), np.eye(3)], axis=1)
+            h, g = h + j.T @ j, g + j.T @ a @ (v - [c.m0, c.m1, c.m2])
+    assert np.allclose(pose, SO._step(np.eye(4), -np.linalg.solve(h + 1e-6 * np.diag(np.diag(h) + 1e-12), g)), rtol=1e-8, atol=1e-8)
