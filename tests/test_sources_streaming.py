@@ -1,10 +1,13 @@
 """Cloud files and messages, streams against batch results."""
 
 import datetime as dt
+import pickle
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +134,29 @@ def test_stream_assignment_of_shuffled_files_equals_batch(spark, tmp_path):
     assert sorted((r.sensor_id, r.scan_key, r.w_sum, r.samples) for r in got if r.samples) == sorted((r.sensor_id, r.scan_key, r.w, r.n) for r in want.collect())
 
 
+def test_a_slot_of_many_keys_makes_one_frame():
+    held = {"waiting": [], "carry": None}
+    parts = SimpleNamespace(appendValue=held["waiting"].append, get=lambda: iter(list(held["waiting"])), put=lambda v: held["waiting"].__setitem__(slice(None), v), clear=held["waiting"].clear)
+    carry = SimpleNamespace(get=lambda: held["carry"], update=lambda v: held.update(carry=v))
+    handle = SimpleNamespace(getListState=lambda *_: parts, getValueState=lambda *_: carry, registerTimer=lambda at: None)
+
+    def fold(k, had, rows):
+        assert all(type(v) is list for v in rows.values())
+        return ((had or (0,))[0] + len(rows["n"]),), [(k, n) for n in rows["n"]]
+
+    order = FL.EventOrder(fold, "k", ["n"], ["k", "n"])
+    order.init(handle)
+    clock = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    for shift in (0, 1):
+        come = pd.DataFrame({"k": [str(i % 100) for i in range(300)] + [None], "n": [300 - i for i in range(301)], "stamp_us": [5000 + 100_000 * shift] * 301})
+        order.handleInputRows(0, iter([come]), clock(0))
+    first = list(order.handleExpiredTimer(0, clock(50), None))
+    assert len(first) == 1 and first[0].columns.tolist() == ["k", "n"]
+    assert all(g["n"].tolist() == sorted(g["n"]) and len(g) == 3 for _, g in first[0].groupby("k"))
+    assert sorted(first[0]["n"]) == list(range(1, 301)) and len(list(order.handleExpiredTimer(0, clock(500), None))) == 1
+    assert pickle.loads(held["carry"][0]) == {str(k): (6,) for k in range(100)} and not held["waiting"]
+
+
 def test_a_late_sample_falls_into_the_next_scan(spark, tmp_path):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     batches = [[(1, 1, at(1), 10, 0), (2, 1, at(5), 0, 1)], [(3, 1, at(30), 7, 0)], [(6, 1, at(31), 1, 0)], [(4, 1, at(4), 100, 0)], [(5, 1, at(60), 0, 1)]]  # event 4 comes when scan 2 is out
