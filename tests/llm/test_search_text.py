@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stratavox.llm import subword as SW
 from stratavox.llm.ann import build_graph, nearest_neighbours, robust_prune
-from stratavox.llm.bm25 import search_bm25, terms_of
+from stratavox.llm.bm25 import ShardIndex, search_bm25, terms_of
 from stratavox.llm.html_extract import extract_html, main_text
 from stratavox.llm.queries import tokenizer_file
 
@@ -71,6 +71,44 @@ def test_bm25_of_all_terms(spark, monkeypatch, options):
         assert np.allclose([s for s, _ in got[qid]], [s for s, _ in want])
 
 
+def shard_of_two_kinds(n=1000, seed=5):
+    """Documents of two vocabularies in turn, some equal, with a few words of both."""
+    rng = np.random.default_rng(seed)
+    rows = [np.unique(np.concatenate([rng.choice(60, 25), rng.choice(900, 4) + 200]) + 60 * (d % 2) * (rng.random(29) < 2)) for d in range(n)]
+    rows[40], rows[400] = rows[10], rows[10]
+    doc, term = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows)
+    return rows, doc, term, rng.random(len(term)) + 0.5
+
+
+def test_blocks_hold_similar_documents_whatever_their_ids():
+    rows, doc, term, worth = shard_of_two_kinds()
+    share = np.bincount(term, minlength=2000) / len(rows)
+    index = ShardIndex(np.arange(len(rows)), doc, term, worth, 2000, share)
+    common = index.place[np.arange(60)]  # of even documents; each block of ids would hold some
+    bound = index.block_max[common[common >= 0]].sum(0)
+    assert (common >= 0).all() and (bound < bound.max() / 2).sum() >= 3
+
+
+@pytest.mark.parametrize("k", [1, 10, 2000])
+def test_shard_search_against_plain_sums(k):
+    rows, doc, term, worth = shard_of_two_kinds()
+    worth[np.isin(doc, (40, 400))] = np.tile(worth[doc == 10], 2)
+    queries = [*rows[:300], np.array([1999]), np.zeros(0, int), np.arange(0, 1300, 7)]
+    cuts, asked = np.concatenate([[0], np.cumsum([len(q) for q in queries])]), np.concatenate(queries)
+    index = ShardIndex(np.arange(len(rows)) + 7, doc, term, worth, 2000, np.bincount(asked, minlength=2000) / len(queries))
+    sums = np.stack([np.bincount(doc[on := np.isin(term, q)], worth[on], minlength=len(rows)) for q in queries])
+    floor = np.sort(sums, axis=1)[:, -min(k, len(rows))]
+    for thresholds in (np.full(len(queries), -np.inf), floor, np.where(np.arange(len(queries)) % 2, floor, -np.inf)):
+        found = {i: dict(zip(ids.tolist(), scores.tolist(), strict=True)) for i, ids, scores in index.top(cuts, asked, thresholds, k)}
+        for i, s in enumerate(sums):
+            must = np.flatnonzero((s > 0) & (s >= floor[i] * (1 + 1e-9)))
+            got = found.get(i, {})
+            assert set((must + 7).tolist()) <= set(got) and all(got[d] == pytest.approx(s[d - 7]) for d in got)
+            if thresholds[i] > 0:
+                assert all(v >= thresholds[i] * (1 - 1e-9) for v in got.values())
+    assert {17, 47, 407} <= set(dict((i, ids.tolist()) for i, ids, _ in index.top(cuts, asked, np.full(len(queries), -np.inf), k))[10])
+
+
 def test_prune_keeps_the_nearest_and_spreads():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)).astype(np.float32)
