@@ -88,6 +88,26 @@ def test_every_variant_runs_on_a_grid(spark):
     assert {r.ring for r in FE.extract_features(broken, W, "production").select("ring").distinct().collect()} <= {0, 2}
 
 
+def test_points_held_do_not_grow_with_the_partition(spark, monkeypatch):
+    picked, lines, width = FE.pick_lines, 620, 256
+
+    def few(curv, *rest):
+        assert curv.size < 150_000, curv.size
+        return picked(curv, *rest)
+
+    monkeypatch.setattr(FE, "pick_lines", few)
+    g = spark.range(lines * width).select(F.expr("0L").alias("scan_id"), F.expr(f"id div {width}").alias("ring"), F.expr(f"id % {width}").alias("col"), F.sin("id").alias("x"), F.cos(F.col("id") * 3).alias("y"), F.lit(1.0).alias("z"))
+    g = FE.curvature(g, width).withColumn("marked", F.lit(False))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = FE.extract_features(g, width, "production")
+        assert got.select("ring").distinct().count() == lines
+        assert got.count() == got.select("ring", "col").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_edges_of_a_step_image(spark):
     from stratavox.operators import images as IM
 
