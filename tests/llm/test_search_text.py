@@ -109,6 +109,24 @@ def test_shard_search_against_plain_sums(k):
     assert {17, 47, 407} <= set(dict((i, ids.tolist()) for i, ids, _ in index.top(cuts, asked, np.full(len(queries), -np.inf), k))[10])
 
 
+def test_shard_search_where_no_query_of_a_batch_can_reach():
+    rows, doc, term, worth = shard_of_two_kinds()
+    cuts, asked = np.concatenate([[0], np.cumsum([len(q) for q in rows])]), np.concatenate(rows)
+    index = ShardIndex(np.arange(len(rows)), doc, term, worth, 2000, np.bincount(asked, minlength=2000) / len(rows))
+    assert list(index.top(cuts, asked, np.full(len(rows), 1e6), 10)) == []
+    floors = np.where(np.arange(len(rows)) == 17, -np.inf, 1e6)
+    assert [i for i, _, _ in index.top(cuts, asked, floors, 10)] == [17]
+    assert list(index.top(np.zeros(4, int), np.zeros(0, int), np.full(3, -np.inf), 10)) == []
+
+
+def test_shard_search_without_common_terms():
+    n = 500
+    index = ShardIndex(np.arange(n), np.arange(n), np.arange(n), np.full(n, 2.0), n, np.full(n, 1 / n))
+    assert index.matrix.shape[1] == 0
+    found = {i: (ids.tolist(), scores.tolist()) for i, ids, scores in index.top(np.arange(n + 1), np.arange(n), np.full(n, -np.inf), 10)}
+    assert found == {i: ([i], [2.0]) for i in range(n)}
+
+
 def test_prune_keeps_the_nearest_and_spreads():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8)).astype(np.float32)
