@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavox.functions.grid import MATRIX_RESOLUTION, cell_trunc, idiv, in_bounds, lng, merge_value, norm_trunc, tsdf_weight
+from stratavox.session import unchecked
 
 AXES = ("x", "y", "z")
 
@@ -41,7 +42,8 @@ def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] =
     The ray runs from the scanner's cell `pos` (its corner or centre) to the point and tau behind it in steps of half a cell.
     Cells with the previous step's x and y are skipped, the march starting from cell (0, 0). Around each cell a fan along the
     interpolation axis covers the vertical spacing of beams. `window` is (centre, size) of the local map in cells; points are
-    tested before rays are generated, cells after. Zero-length rays and rays along `up` give nothing.
+    tested before rays are generated, cells after. Zero-length rays and rays along `up` give nothing. Where the window bounds all
+    products below 2**62, the arithmetic is not tested for overflow; else it is.
     """
     dz = beam_spread() if dz_per_distance is None else dz_per_distance
     start = [p * res + (res // 2 if origin == "centre" else 0) for p in pos]
@@ -52,8 +54,19 @@ def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] =
             return F.lit(True)
         return in_bounds(cells[0], window[0][0], window[1][0]) & in_bounds(cells[1], window[0][1], window[1][1]) & in_bounds(cells[2], window[0][2], window[1][2])
 
+    bounded = False
+    if window is not None:
+        far = [(abs(c) + size // 2 + 2) * res + abs(s) for c, size, s in zip(*window, start, strict=True)]  # of a point from the start
+        bounded = 2 * max(far) + tau < 1 << 30 and abs(dz) < 1 << 30 and max(abs(u) for u in up) <= m
     df = points.select(*keys, *[lng(a).alias(a) for a in AXES])
     df = df.filter(inside([cell_trunc(a, res) for a in AXES]))
+    with unchecked(df.sparkSession, bounded):
+        return _cells_of_rays(df, res, tau, start, up, dz, keys, None if window is None else inside)
+
+
+def _cells_of_rays(df: DataFrame, res: int, tau: int, start: list[int], up: tuple[int, int, int], dz: int, keys: tuple[str, ...], within) -> DataFrame:
+    """The march of ray_march for points in its window; `within` tests cells, if there is a window."""
+    m, inside = MATRIX_RESOLUTION, within or (lambda cells: F.lit(True))
     df = _columns(df, **{f"d{a}": F.col(a) - start[i] for i, a in enumerate(AXES)})
     # Zero lengths become nulls and empty outer generators, not filters, which would be pushed below the projections and repeat
     # their arithmetic there (plain generators infer such filters themselves).
@@ -78,11 +91,12 @@ def ray_march(points: DataFrame, res: int, tau: int, pos: tuple[int, int, int] =
     df = _columns(df, value=F.when(F.col("len") > F.col("dist"), -F.col("near")).otherwise(F.col("near")))
     df = _columns(df, weight=tsdf_weight("value", tau))
     df = _columns(df, fan=idiv(F.col("len") * dz, m))
-    df = _columns(df, mid=idiv("fan", res), step=F.explode_outer(F.when(F.col("weight") != 0, F.sequence(F.lit(0).cast("bigint"), idiv(F.col("fan") * 2, res))))).filter("step is not null")
+    alone = F.when(F.col("fan") * 2 < res, F.array(F.lit(0).cast("bigint")))  # most fans are, and a sequence would be made for each
+    df = _columns(df, mid=idiv("fan", res), step=F.explode_outer(F.when(F.col("weight") != 0, alone.otherwise(F.sequence(F.lit(0).cast("bigint"), idiv(F.col("fan") * 2, res)))))).filter("step is not null")
     lowest = [F.col(f"p{a}") - idiv(F.col("fan") * F.col(f"v{a}"), m) for a in AXES]
     spots = [cell_trunc(lo + idiv(F.col("step") * res * F.col(f"v{a}"), m), res) for lo, a in zip(lowest, AXES, strict=True)]
     df = df.select(*keys, *AXES, "len", "step", *[c.alias(f"i{a}") for c, a in zip(spots, AXES, strict=True)], "value", F.when(F.col("step") == F.col("mid"), F.col("weight")).otherwise(-F.col("weight")).alias("weight"))
-    return _generated(df, inside([F.col(f"i{a}") for a in AXES])) if window is not None else df
+    return _generated(df, inside([F.col(f"i{a}") for a in AXES])) if within is not None else df
 
 
 #: Bits of the packed keys of merge_nearest: distance, weight, and the order's parts.

@@ -1,8 +1,10 @@
-"""Makes a session's Python workers find this package."""
+"""Makes a session's Python workers find this package; plans without tests for overflow."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +18,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+@contextmanager
+def unchecked(spark: SparkSession, bounded: bool = True) -> Iterator[None]:
+    """Columns selected inside do not test whole numbers for overflow, which takes as long as the arithmetic itself. Only for steps whose
+    numbers are bounded; the session's setting is read when a plan is made, and is put back."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    if not bounded or before == "false":
+        yield
+        return
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

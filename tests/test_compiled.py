@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stratavox.functions import linalg as L
+from stratavox.operators.tsdf import ray_march
+from stratavox.session import unchecked
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,3 +54,30 @@ def test_inverse_by_minors(spark):
         else:
             assert r.x == [None] * 16
     assert len(rows) == 21
+
+
+def codes_of(spark, df):
+    plan = df._jdf.queryExecution().executedPlan()
+    parts = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+    return "".join(parts.apply(i)._2() for i in range(parts.length()))
+
+
+def test_march_in_a_window_does_not_test_for_overflow(plain):
+    pts = plain.createDataFrame([(1, i, 5000 + 700 * i, 300 - 41 * i, 900 - 13 * i) for i in range(20)], "scan_id bigint, idx bigint, x bigint, y bigint, z bigint")
+    plain.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        near = ray_march(pts, 1000, 3000, window=((0, 0, 0), (61, 61, 61)), dz_per_distance=2000)
+        wide = ray_march(pts, 1000, 3000, window=((0, 0, 0), (1 << 21,) * 3), dz_per_distance=2000)
+        free = ray_march(pts, 1000, 3000, dz_per_distance=2000)
+        assert plain.conf.get("spark.sql.ansi.enabled") == "true"
+        assert "multiplyExact" not in codes_of(plain, near) and all("multiplyExact" in codes_of(plain, df) for df in (wide, free))
+        rows = [sorted(map(tuple, df.collect())) for df in (near, wide, free)]
+        assert rows[0] and any(r[near.columns.index("step")] > 0 for r in rows[0]) and rows[0] == rows[1] == rows[2]
+        far = plain.createDataFrame([(1, 0, 1 << 40, 1 << 40, 5)], "scan_id bigint, idx bigint, x bigint, y bigint, z bigint")
+        with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+            ray_march(far, 1 << 39, 1 << 38).collect()
+        with pytest.raises(ValueError), unchecked(plain):
+            raise ValueError
+        assert plain.conf.get("spark.sql.ansi.enabled") == "true"
+    finally:
+        plain.conf.unset("spark.sql.ansi.enabled")
