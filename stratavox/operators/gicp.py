@@ -53,37 +53,50 @@ def inverse_sym(df: DataFrame, m: str, out: str) -> DataFrame:
 def point_covariances(points: DataFrame, key: list[str], k: int = 10, r: int = 3000, least: float = 1e-6) -> DataFrame:
     """key, x, y, z and c00..c22: the covariance of the k nearest points within r (the point is one), plus `least` on the diagonal and times
     the Frobenius norm of its inverse, so that it tells directions and not sizes. Points with fewer neighbours are left out."""
-    near = KD.knn_join(points, points, k, r, key, keep=([*key, *AXES], list(AXES)))
-    sums = [F.sum(f"p_{a}").alias(f"_s{i}") for i, a in enumerate(AXES)] + [F.sum(F.col(f"p_{AXES[i]}") * F.col(f"p_{AXES[j]}")).alias(f"_q{i}{j}") for i, j in SIX]
-    g = near.groupBy(*[f"q_{c}" for c in (*key, *AXES)]).agg(F.count("*").alias("_n"), *sums).filter(F.col("_n") == k)
-    # n Sxy - Sx Sy is a whole number, so nothing cancels
-    cov = [((k * F.col(f"_q{i}{j}") - F.col(f"_s{i}") * F.col(f"_s{j}")).cast("double") / float(k * k) / 1e6 + (least if i == j else 0.0)).alias(f"b{i}{j}") for i, j in SIX]
-    df = inverse_sym(g.select(*[F.col(f"q_{c}").alias(c) for c in (*key, *AXES)], *cov), "b", "i")
+    g = KD.knn_moments(points, points, k, r, key, keep=[*key, *AXES]).filter(F.col("n") == k)
+    g = g.repartition(*AXES)  # cells and source read this, so that the search runs once
+    # n Sxy - Sx Sy is a whole number, so nothing cancels, and the same for offsets from the point
+    cov = [((k * F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}")).cast("double") / float(k * k) / 1e6 + (least if i == j else 0.0)).alias(f"b{i}{j}") for i, j in SIX]
+    df = inverse_sym(g.select(*key, *AXES, *cov), "b", "i")
     norm = F.sqrt(_total([F.col(f"i{i}{j}") * F.col(f"i{i}{j}") * (1.0 if i == j else 2.0) for i, j in SIX]))
     df = df.withColumn("_f", norm)
     return df.select(*key, *AXES, *[(F.col(f"b{i}{j}") * F.col("_f")).alias(f"c{i}{j}") for i, j in SIX])
 
 
+def _at_cells(df: DataFrame, cell: list[Column], around: list[tuple]) -> DataFrame:
+    """A row for each cell ix, iy, iz around. By a generator, as tests for null that a join infers would else go below the exchange that cells
+    and source share, which would then be two."""
+    at = [F.struct(*[(c + o).cast("bigint").alias(f"i{a}") for a, c, o in zip(AXES, cell, offset, strict=True)]) for offset in around]
+    return df.select(*[c for c in df.columns if c not in ("ix", "iy", "iz")], F.explode(F.array(*at)).alias("_at")).select("*", "_at.*").drop("_at")
+
+
+def few_cells(points: DataFrame, res: int, broadcast_cells: int = 200_000) -> bool:
+    """Whether the points lie in at most so many cells, which bounds their target cells; only coordinates are read."""
+    return points.select(*[fdiv(a, res).alias(f"i{a}") for a in AXES]).distinct().limit(broadcast_cells + 1).count() <= broadcast_cells
+
+
 def target_cells(covariances: DataFrame, res: int) -> DataFrame:
     """ix, iy, iz, n, mean m0..m2 (metres) and mean covariance t00..t22 of the points of every floored cell."""
-    g = covariances.groupBy(*[fdiv(a, res).alias(f"i{a}") for a in AXES])
+    g = _at_cells(covariances, [fdiv(a, res) for a in AXES], AROUND[1]).groupBy("ix", "iy", "iz")
     means = [(F.sum(a).cast("double") / F.count("*") / 1000.0).alias(f"m{i}") for i, a in enumerate(AXES)]
     return g.agg(F.count("*").alias("n"), *means, *[F.avg(f"c{i}{j}").alias(f"t{i}{j}") for i, j in SIX])
 
 
-def normal_equations(source: DataFrame, cells: DataFrame, res: int, pose: np.ndarray, around: int = 7) -> DataFrame:
+def normal_equations(source: DataFrame, cells: DataFrame, res: int, pose: np.ndarray, around: int = 7, few: bool = False) -> DataFrame:
     """One row: h00..h55 and g0..g5 of J^T W J and J^T W e, the weighed square error e2 and the number of pairs c, at a pose (4x4, metres).
 
-    e is the cell's mean less the moved point, W = n (C_cell + R C_point R^T)^-1; turns come before moves, and act on the left.
+    e is the cell's mean less the moved point, W = n (C_cell + R C_point R^T)^-1; turns come before moves, and act on the left. Cells that
+    are `few` are broadcast and looked up around each point. Others go to the cells they are around of, so that a join shuffles each point once.
     """
     rot = [[float(pose[i, k]) for k in range(3)] for i in range(3)]
     moved = [_total([F.col(a) * (rot[i][k] / 1000.0) for k, a in enumerate(AXES)]) + float(pose[i, 3]) for i in range(3)]
     df = source.select(*[f"c{i}{j}" for i, j in SIX], *[m.alias(f"p{i}") for i, m in enumerate(moved)])
     turned = lambda i, j: _total([_sym("c", a, b) * (rot[i][a] * rot[j][b]) for a in range(3) for b in range(3)])
     cell = [F.floor(F.col(f"p{i}") * 1000.0 / res).cast("bigint") for i in range(3)]
-    df = df.select(*[f"p{i}" for i in range(3)], *[turned(i, j).alias(f"r{i}{j}") for i, j in SIX], F.array(*cell).alias("_cell"))
-    offsets = F.explode(F.array(*[F.array(*map(F.lit, o)) for o in AROUND[around]])).alias("_o")
-    df = df.select("*", offsets).select("*", *[(F.col("_cell")[k] + F.col("_o")[k]).cast("bigint").alias(f"i{a}") for k, a in enumerate(AXES)]).drop("_cell", "_o")
+    df = df.select(*[f"p{i}" for i in range(3)], *[turned(i, j).alias(f"r{i}{j}") for i, j in SIX], *[c.alias(f"i{a}") for a, c in zip(AXES, cell, strict=True)])
+    # The cells around are the same seen from either side.
+    df = _at_cells(df, [F.col(f"i{a}") for a in AXES], AROUND[around if few else 1])
+    cells = F.broadcast(cells) if few else _at_cells(cells, [F.col(f"i{a}") for a in AXES], AROUND[around])
     df = df.join(cells, ["ix", "iy", "iz"])
     df = df.select("n", *[f"p{i}" for i in range(3)], *[(F.col(f"m{i}") - F.col(f"p{i}")).alias(f"e{i}") for i in range(3)], *[(F.col(f"t{i}{j}") + F.col(f"r{i}{j}")).alias(f"s{i}{j}") for i, j in SIX])
     df = inverse_sym(df, "s", "v")
@@ -104,10 +117,9 @@ def match(source: DataFrame, cells: DataFrame, res: int, prior: np.ndarray | Non
     Cache both before. The cells are broadcast only if they were counted to be few. Without a pair the fitness is infinite.
     """
     pose, fit = np.eye(4) if prior is None else np.array(prior, float), float("inf")
-    if broadcast_cells and cells.limit(broadcast_cells + 1).count() <= broadcast_cells:
-        cells = F.broadcast(cells)
+    few = bool(broadcast_cells) and cells.limit(broadcast_cells + 1).count() <= broadcast_cells
     for _ in range(iterations):
-        row = normal_equations(source, cells, res, pose, around).first()
+        row = normal_equations(source, cells, res, pose, around, few).first()
         if not row["c"]:
             return pose, float("inf")
         h, g = np.zeros((6, 6)), np.array([row[f"g{i}"] for i in range(6)])

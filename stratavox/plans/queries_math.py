@@ -355,8 +355,9 @@ def _gicp_sql(k: int, res: int, shift: int) -> str:
 @query(_gicp_sql(5, 4000, 200))
 def gicp_equations(spark, sf):
     """Normal equations a pair of the cloud, displaced by 200 mm, against the Gaussians of its own 4 m cells and those by their faces."""
-    covs = GI.point_covariances(A.points(spark, sf).drop("intensity"), ["scan_id", "idx"], k=5, r=3000)
-    row = GI.normal_equations(covs.withColumn("x", F.col("x") + 200), GI.target_cells(covs, 4000), 4000, np.eye(4), 7)
+    p = A.points(spark, sf).drop("intensity")
+    covs = GI.point_covariances(p, ["scan_id", "idx"], k=5, r=3000)
+    row = GI.normal_equations(covs.withColumn("x", F.col("x") + 200), GI.target_cells(covs, 4000), 4000, np.eye(4), 7, GI.few_cells(p, 4000))
     names = [c for c in row.columns if c[0] in "hg"]
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.round(F.col(n) / F.col("c") * 10).cast("bigint").alias("tenths"), F.col("c").alias("pairs")) for n in names]))
     return row.select(parts.alias("r")).select("r.*")
