@@ -54,7 +54,7 @@ def point_covariances(points: DataFrame, key: list[str], k: int = 10, r: int = 3
     """key, x, y, z and c00..c22: the covariance of the k nearest points within r (the point is one), plus `least` on the diagonal and times
     the Frobenius norm of its inverse, so that it tells directions and not sizes. Points with fewer neighbours are left out."""
     g = KD.knn_moments(points, points, k, r, key, keep=[*key, *AXES]).filter(F.col("n") == k)
-    g = g.repartition(*AXES)  # cells and source read this, so that the search runs once
+    g = g.repartition(*key)  # cells and source read this, so that the search runs once; by key, as many points may be equal
     # n Sxy - Sx Sy is a whole number, so nothing cancels, and the same for offsets from the point
     cov = [((k * F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}")).cast("double") / float(k * k) / 1e6 + (least if i == j else 0.0)).alias(f"b{i}{j}") for i, j in SIX]
     df = inverse_sym(g.select(*key, *AXES, *cov), "b", "i")

@@ -57,4 +57,5 @@ def test_gicp_equations_search_once_and_shuffle_no_pairs(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     moments = [line for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+    assert all("hashpartitioning(scan_id" in line for line in moments)  # equal points do not meet in one task
     assert len(moments) == 2 and sum("ReusedExchange" in line for line in moments) == 1
